@@ -19,8 +19,10 @@ scheme with one part per feature, which misses nothing.
 
 Groups.  Members of one signature are not expanded into pairs.  They are first
 paired with the group's smallest document (each document only with its best
-such partner), verified and closed to components; only members of one signature
-that are then still in different components are compared.
+such partner), verified and closed to components.  Only documents that share a
+signature with a foreign component go on: they list all their parts, those that
+share too few of them with foreign components cannot link and are out, and the
+others are compared through their rarest signatures.
 """
 
 from __future__ import annotations
@@ -29,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import scratch
+from . import blobs, scratch
 from . import textvec as tv
 from .components import connected_components
 
@@ -63,7 +65,7 @@ def _scan(k: int):
             all_g = np.sort(np.concatenate(parts))
             at = np.flatnonzero(np.r_[True, all_g[1:] != all_g[:-1]]) if len(all_g) else np.empty(0, np.int64)
             df = np.diff(np.r_[at, len(all_g)])
-            hot = df >= max(4, b.num_rows // 2000)
+            hot = df >= max(3, b.num_rows // 5000)
             n = np.concatenate(sizes)
             m = int(hot.sum())
             yield pa.RecordBatch.from_arrays(
@@ -103,22 +105,37 @@ class Scheme:
         return [(own, self.differences(s, self.largest_partner(s))), (below, self.differences(s, low - 1))]
 
 
-def signatures(g: np.ndarray, d: np.ndarray, sizes: np.ndarray, frequent: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, text index) of the sets (g, d); see the module text."""
+INSTANCE = 0x7F  # the low bits of a signature: twice the band, plus one for the scheme of single features
+
+
+def signatures(
+    g: np.ndarray, d: np.ndarray, sizes: np.ndarray, frequent: np.ndarray, scheme: Scheme, whole: bool = False
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, text index) of the sets (g, d), and (text, instance, non-empty parts, differences allowed); see the module text.
+
+    whole: all non-empty parts, not only the first ones.
+    """
+    info: list[np.ndarray] = [np.empty((0, 4), np.int64)]
     if not len(g):
-        return np.empty(0, U64), np.empty(0, np.int64)
+        return np.empty(0, U64), np.empty(0, np.int64), info[0]
     zone = np.zeros(len(g), U64)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, g), len(frequent) - 1)
         zone = (frequent[at] == g).astype(U64)
     inner = tv.mix64(g ^ U64(0xA5A5A5A55A5A5A5A))
     out_s, out_d = [], []
-    for level, (band, allowed) in enumerate(scheme.bands(sizes)):
+    tag = ~U64(INSTANCE)
+
+    def note(found: np.ndarray, which: np.ndarray, band: np.ndarray, allowed: np.ndarray, single: int) -> None:
+        i = np.flatnonzero(which)
+        info.append(np.column_stack([i, 2 * band[i] + single, found[i], allowed[i]]))
+
+    for band, allowed in scheme.bands(sizes):
         here = (band >= 0) & (sizes > 0)
         if not here.any():
             continue
         sel = slice(None) if here.all() else here[d]
-        gd, gi, gz, gg = d[sel], inner[sel], zone[sel], g[sel]
+        gd, gi, gz = d[sel], inner[sel], zone[sel]
         n = scheme.parts(np.maximum(band, 0)).astype(U64)[gd]
         part = ((gi >> U64(32)) * n) >> U64(32)
         key = (gd.astype(U64) << U64(40)) | (gz << U64(39)) | part
@@ -128,12 +145,12 @@ def signatures(g: np.ndarray, d: np.ndarray, sizes: np.ndarray, frequent: np.nda
         content = np.add.reduceat(tv.mix64(gi_s), at)
         doc = gd_s[at]
         first = np.searchsorted(doc, np.arange(len(sizes)))
-        rank = np.arange(len(at)) - first[doc]
-        keep = rank <= allowed[doc]
+        keep = np.ones(len(at), bool) if whole else np.arange(len(at)) - first[doc] <= allowed[doc]
         b = band[doc].astype(U64)
-        out_s.append(tv.mix64(content ^ (b << U64(56)))[keep])
+        out_s.append((tv.mix64(content ^ (b << U64(56))) & tag | b << U64(1))[keep])
         out_d.append(doc[keep])
         found = np.bincount(doc, minlength=len(sizes))
+        note(found, here, band, allowed, 0)
         lacking = here & (found <= allowed)
         if lacking.any():
             sel = lacking[gd]
@@ -141,81 +158,65 @@ def signatures(g: np.ndarray, d: np.ndarray, sizes: np.ndarray, frequent: np.nda
             order = np.lexsort((li, lz, ld))
             ld, li = ld[order], li[order]
             first = np.searchsorted(ld, np.arange(len(sizes)))
-            keep = np.arange(len(ld)) - first[ld] <= allowed[ld]
-            out_s.append(tv.mix64(li ^ (band[ld].astype(U64) << U64(56)) ^ U64(0x5EED5EED5EED))[keep])
+            keep = np.ones(len(ld), bool) if whole else np.arange(len(ld)) - first[ld] <= allowed[ld]
+            b = band[ld].astype(U64)
+            out_s.append((tv.mix64(li ^ (b << U64(56)) ^ U64(0x5EED5EED5EED)) & tag | b << U64(1) | U64(1))[keep])
             out_d.append(ld[keep])
-    return np.concatenate(out_s), np.concatenate(out_d)
+            note(np.bincount(ld, minlength=len(sizes)), lacking, band, allowed, 1)
+    return np.concatenate(out_s), np.concatenate(out_d), np.concatenate(info)
 
 
-def _emit(k: int, percent: int, frequent: np.ndarray, buckets: int):
-    """Signatures of a batch by bucket.  Texts of one batch that share a signature are
-    reduced to their smallest id before the shuffle; the rest ride along as members."""
+def _emit(k: int, percent: int, frequent: np.ndarray, buckets: int, whole: bool = False):
+    """Signatures of a batch, packed by bucket (see blobs)."""
     scheme = Scheme(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
-        for batch in batches:
+        for turn, batch in enumerate(batches):
             batch = batch.filter(batch.column(0).is_valid())
             if not batch.num_rows:
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offs = tv.buffers(batch.column(1))
-            ss, dd, seen = [], [], {}
+            ss, dd, seen = [np.empty(0, U64)], [np.empty(0, np.int64)], {}
             for x, y in tv.row_blocks(offs):
                 g, d, sizes = shingle_sets(data, offs[x : y + 1], k)
-                # texts with equal sets: only the first one lists its signatures
-                if len(g):
-                    first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-                    present = d[first]
-                    whole = np.add.reduceat(tv.mix64(g ^ U64(0x77AA77AA)), first) ^ sizes[present].astype(U64)
-                    fresh = np.zeros(len(sizes), bool)
-                    for i, w in zip(present.tolist(), whole.tolist()):
-                        if w not in seen:
-                            seen[w] = True
-                            fresh[i] = True
-                    keep = fresh[d]
-                    s, sd = signatures(g[keep], d[keep], np.where(fresh, sizes, 0), frequent, scheme)
-                    ss += [s, tv.mix64(whole)]
-                    dd += [ids[sd + x], ids[present + x]]
-            if not ss:
-                continue
-            s, d = np.concatenate(ss), np.concatenate(dd)
-            order = np.lexsort((d, s))
-            s, d = s[order], d[order]
-            start = np.r_[True, s[1:] != s[:-1]]
-            at = np.flatnonzero(start)
-            many = np.repeat(np.diff(np.r_[at, len(s)]) > 1, np.diff(np.r_[at, len(s)]))
-            ls, ld = s[many], d[many]
-            s, d = s[at], d[at]
-            narrow = np.uint32 if d.min() >= 0 and d.max() < 2**32 else np.int64
-            cuts = np.searchsorted((s >> U64(32)) * U64(buckets) >> U64(32), np.arange(buckets + 1, dtype=U64))
-            lcuts = np.linspace(0, len(ls), buckets + 1).astype(np.int64)
-            rows = []
-            for b in range(buckets):
-                i, j = cuts[b], cuts[b + 1]
-                lb = (b + turn) % buckets
-                li, lj = lcuts[lb], lcuts[lb + 1]
-                if i < j or li < lj:
-                    rows.append((b, narrow is np.int64, tv.planes(s[i:j]), tv.planes(d[i:j].astype(narrow)), tv.planes(ls[li:lj]), tv.planes(ld[li:lj])))
-            turn += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.bool_(), *[pa.binary()] * 4))], names=["bucket", "wide", "s", "d", "ls", "ld"])
+                if not len(g):
+                    continue
+                if whole:
+                    s, sd, _ = signatures(g, d, sizes, frequent, scheme, True)
+                    ss.append(s)
+                    dd.append(ids[sd + x])
+                    continue
+                # texts with equal sets share a signature of the whole set; only the first lists the others
+                first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+                present = d[first]
+                all_of = np.add.reduceat(tv.mix64(g ^ U64(0x77AA77AA)), first) ^ sizes[present].astype(U64)
+                fresh = np.zeros(len(sizes), bool)
+                for i, w in zip(present.tolist(), all_of.tolist()):
+                    if w not in seen:
+                        seen[w] = fresh[i] = True
+                keep = fresh[d]
+                s, sd, _ = signatures(g[keep], d[keep], np.where(fresh, sizes, 0), frequent, scheme)
+                ss += [s, tv.mix64(all_of)]
+                dd += [ids[sd + x], ids[present + x]]
+            yield blobs.pack(np.concatenate(ss), np.concatenate(dd), buckets, turn)
 
     return run
 
 
-def _gather(t: pa.Table) -> pa.Table:
-    """Members of the signatures of a bucket that more than one batch has, and the members found before."""
-    s = np.concatenate([tv.from_planes(x, np.uint64) for x in t["s"].to_pylist()] or [np.empty(0, U64)])
-    d = np.concatenate([tv.from_planes(x, np.int64 if w else np.uint32).astype(np.int64) for x, w in zip(t["d"].to_pylist(), t["wide"].to_pylist())] or [np.empty(0, np.int64)])
-    order = np.argsort(s)
-    s, d = s[order], d[order]
-    same = s[1:] == s[:-1]
-    keep = np.zeros(len(s), bool)
-    keep[1:] |= same
-    keep[:-1] |= same
-    ls = [tv.from_planes(x, np.uint64) for x in t["ls"].to_pylist()]
-    ld = [tv.from_planes(x, np.int64) for x in t["ld"].to_pylist()]
-    return pa.table({"sig": np.concatenate([s[keep], *ls]).view(np.int64), "doc": np.concatenate([d[keep], *ld])})
+def _needs(k: int, percent: int, frequent: np.ndarray):
+    """(doc, instance, need): how many of its signatures a document must share to link at all."""
+    scheme = Scheme(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            data, offs = tv.buffers(batch.column(1))
+            for x, y in tv.row_blocks(offs):
+                *_, info = signatures(*shingle_sets(data, offs[x : y + 1], k), frequent, scheme, True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[info[:, 0] + x]), pa.array(info[:, 1]), pa.array(info[:, 2] - info[:, 3])], names=["doc", "inst", "need"])
+
+    return run
 
 
 def _verify(k: int, percent: int):
@@ -250,7 +251,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 
 def similar_documents(
     docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text",
-    frequent_share: int = 2000, buckets: int | None = None,
+    frequent_share: int = 10_000, buckets: int | None = None,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per input row.
 
@@ -274,8 +275,8 @@ def similar_documents(
     frequent = np.sort(np.array([r[0] for r in counts.select("id").toLocalIterator()], dtype=np.int64).view(U64))
 
     n_buckets = buckets or 8 * scratch.shuffle_partitions(spark)
-    packed = src.mapInArrow(_emit(k, percent, frequent, n_buckets), "bucket int, wide boolean, s binary, d binary, ls binary, ld binary")
-    members = scratch.table(packed.groupBy("bucket").applyInArrow(_gather, "sig long, doc long"), "nj-members")
+    packed = src.mapInArrow(_emit(k, percent, frequent, n_buckets), blobs.SCHEMA)
+    members = scratch.table(packed.groupBy("bucket").applyInArrow(blobs.gather, blobs.MEMBERS), "nj-members")
 
     texts = scratch.table(src.where("doc is not null").join(members.select("doc").distinct(), "doc", "left_semi"), "nj-texts")
     reps = members.groupBy("sig").agg(F.min("doc").alias("rep"))
@@ -284,8 +285,12 @@ def similar_documents(
     links = _verified(best, texts, k, percent)
     comps = connected_components(links)
 
-    rest = _unresolved(members, comps, info, percent)
-    rest = scratch.table(rest, "nj-rest")
+    unsettled = _labelled(members, comps).select("doc").distinct()
+    open_texts = scratch.table(texts.join(unsettled, "doc", "left_semi"), "nj-open-texts")
+    repacked = open_texts.mapInArrow(_emit(k, percent, frequent, n_buckets, True), blobs.SCHEMA)
+    shared = scratch.table(repacked.groupBy("bucket").applyInArrow(blobs.gather, blobs.MEMBERS), "nj-shared").distinct()
+    needs = open_texts.mapInArrow(_needs(k, percent, frequent), "doc long, inst long, need long")
+    rest = scratch.table(_open_pairs(_labelled(shared, comps), needs, info, percent), "nj-rest")
     more = _verified(rest, texts, k, percent)
     # components found so far stand for their members: contract, then close once more
     over = more.join(comps.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comps.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
@@ -296,13 +301,32 @@ def similar_documents(
     return info.join(final, info.doc_id == final.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _unresolved(members: DataFrame, comps: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share a signature, can link by their sizes and are in different components."""
-    sized = info.where("doc_id is not null").groupBy("doc_id").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
+def _labelled(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(sig, doc, comp) of the signatures whose members are in different components."""
     lab = members.join(comps, members.doc == comps.node, "left").select("sig", "doc", F.coalesce("component", "doc").alias("comp"))
-    open_sigs = lab.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
-    m = lab.join(open_sigs, "sig", "left_semi").distinct()
-    m = scratch.table(m.join(sized, m.doc == sized.doc_id).select("sig", "doc", "comp", "lo", "hi"), "nj-open")
+    mixed = lab.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
+    return lab.join(mixed, "sig", "left_semi")
+
+
+def _open_pairs(lab: DataFrame, needs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """Pairs of documents in different components that may still link.
+
+    A linking pair differs in at most D parts, so each side has all but D of its
+    signatures shared with a foreign component; a document with fewer is out.
+    Of the pair's shared signatures take the rarest: before it, in either
+    document's order of rarity, stand only unshared ones, at most D.  So each
+    document needs to be looked up by its D+1 rarest signatures alone, of which
+    those that no foreign component has are known to find nothing.
+    """
+    inst = F.col("sig").bitwiseAND(F.lit(INSTANCE))
+    freq = lab.groupBy("sig").agg(F.count("*").alias("freq"))
+    own = scratch.table(lab.join(freq, "sig").withColumn("inst", inst), "nj-lab")
+    have = own.groupBy("doc", "inst").agg(F.count("*").alias("have"))
+    may = have.join(needs.groupBy("doc", "inst").agg(F.min("need").alias("need")), ["doc", "inst"]).where("have >= need")
+    by_rarity = Window.partitionBy("doc", "inst").orderBy("freq", "sig")
+    picked = own.join(may, ["doc", "inst"]).withColumn("rank", F.row_number().over(by_rarity)).where("rank <= have - need + 1").select("sig", "doc", "comp")
+    sized = info.where("doc_id is not null").groupBy("doc_id").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
+    m = scratch.table(picked.join(sized, picked.doc == sized.doc_id).select("sig", "doc", "comp", "lo", "hi"), "nj-picked")
     a = m.select("sig", F.col("doc").alias("a"), F.col("comp").alias("ca"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
     b = m.select("sig", F.col("doc").alias("b"), F.col("comp").alias("cb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
     fits = (F.col("ha") * 100 >= F.col("lb") * percent) & (F.col("hb") * 100 >= F.col("la") * percent)

@@ -9,6 +9,7 @@ text longer than a block is processed alone.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,11 @@ _BASE = U64(0x9E3779B97F4A7C15 | 1)
 _INV = U64(pow(int(_BASE), -1, 1 << 64))
 PIECE = 1 << 20
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+except OSError:
+    _libc = None
+
 _pow_cache: dict[str, np.ndarray] = {}
 
 
@@ -79,8 +85,16 @@ SPACE = is_space_table()
 NOT_ALNUM = not_alnum_table()
 
 
+def release() -> None:
+    """Returns freed memory to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, row offsets) of a string column; a null counts as an empty text."""
+    release()
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     if col.null_count:
