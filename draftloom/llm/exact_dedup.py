@@ -106,6 +106,17 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, with all its columns, without repeated texts: the row with the largest id stays.
+
+    The digests alone decide; texts are not shuffled where ids are unique.  Among
+    rows that repeat both id and text exactly one stays.
+    """
+    spark = docs.sparkSession
+    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
+    return deduplicate_new(docs, index, id_col, text_col)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -6,16 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import op8_bpe_round_trip
+from .decontaminate import op3_benchmark_decontamination
 from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .language_id import op5_language_id
+from .licenses import op2_license_scan
 from .ngram_join import op1_ngram_jaccard_join
+from .pii import op4_pii
 from .quality import op7_quality_classifier
 from .substring_dedup import op9_substring_dedup
 from .toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_license_scan": op2_license_scan,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_pii": op4_pii,
+    "op5_language_id": op5_language_id,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_toxicity": op10_toxicity,
 }

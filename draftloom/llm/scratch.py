@@ -7,6 +7,7 @@ and survives the loss of executors.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -24,11 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_local[0]}"
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files that no plan needs any more.
+
+    It does so when the driver's garbage is collected, which else may come long
+    after a written table has cut the lineage that they belong to.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write df and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    free_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
