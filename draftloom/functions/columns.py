@@ -148,7 +148,7 @@ def with_front_face_aliases(cards: DataFrame, name: str = "name") -> DataFrame:
     front = cards.where(F.col(name).contains(" // ")).withColumn("__full", F.col(name)).withColumn(name, F.split_part(F.col(name), F.lit(" // "), F.lit(1))).withColumn("__first", F.lit(0))
     rows = front.unionByName(cards.withColumn("__full", F.col(name)).withColumn("__first", F.lit(1)))
     best = Window.partitionBy(name).orderBy("__first", "__full")
-    return rows.withColumn("__r", F.row_number().over(best)).where("__r = 1").drop("__r", "__first", "__full")
+    return rows.withColumn("__r", F.row_number().over(best)).where("__r = 1").drop("__r", "__first").withColumnRenamed("__full", "full_name")
 
 
 def maindeck_cardlist(decks: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ SQL: dict[str, str] = {
                CASE c_mktsegment WHEN 'BUILDING' THEN 'PremierDraft' WHEN 'AUTOMOBILE' THEN 'TradDraft' WHEN 'MACHINERY' THEN 'Sealed'
                     WHEN 'HOUSEHOLD' THEN 'ArenaDirect_Sealed' ELSE 'QuickDraft' END AS format,
                CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'WU' WHEN '2' THEN 'UB' WHEN '3' THEN 'BRG' WHEN '4' THEN 'RG' ELSE 'W' END AS archetype,
-               o_orderdate AS trophy_time, 7 AS wins, CAST(o_orderkey % 3 AS INT) AS losses
+               CAST(o_orderdate AS TIMESTAMP) AS trophy_time, 7 AS wins, CAST(o_orderkey % 3 AS INT) AS losses
         FROM {orders} JOIN {customer} ON o_custkey = c_custkey""",
     "fx_lines": """
         SELECT d.aggregate_id, d.set_code, d.format, d.archetype, d.trophy_time, p.p_brand AS card_name, l.l_quantity, l.l_linenumber, l.l_returnflag
@@ -68,7 +68,7 @@ SQL: dict[str, str] = {
                doc_id % 7 AS votes_yes, doc_id % 3 AS votes_meh, doc_id % 5 AS votes_no, text AS summary
         FROM {documents}""",
     "fx_votes": """
-        SELECT event_id, event_id % 100 AS article_id, user_id AS reader_id, ts,
+        SELECT event_id, event_id % 100 AS article_id, user_id AS reader_id, CAST(ts AS TIMESTAMP) AS ts,
                CASE event_type WHEN 'purchase' THEN 'yes' WHEN 'view' THEN 'meh' ELSE 'no' END AS kind
         FROM {events} WHERE event_type IN ('purchase', 'view', 'error')""",
     "fx_color_names": """
