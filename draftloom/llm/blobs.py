@@ -14,14 +14,19 @@ import pyarrow as pa
 from . import textvec as tv
 
 U64 = np.uint64
-SCHEMA = "bucket int, wide boolean, s binary, d binary, ls binary, ld binary"
-MEMBERS = "sig long, doc long"
-_TYPES = (pa.int32(), pa.bool_(), *[pa.binary()] * 4)
-_NAMES = ["bucket", "wide", "s", "d", "ls", "ld"]
+SCHEMA = "bucket int, wide boolean, s binary, d binary, ls binary, ld binary, nd binary, nv binary"
+MEMBERS = "sig long, doc long, note long"
+_TYPES = (pa.int32(), pa.bool_(), *[pa.binary()] * 6)
+_NAMES = ["bucket", "wide", "s", "d", "ls", "ld", "nd", "nv"]
 
 
-def pack(s: np.ndarray, d: np.ndarray, buckets: int, turn: int) -> pa.RecordBatch:
-    """Pairs of one batch (keys uint64, ids int64; repeats allowed) as rows of SCHEMA."""
+def pack(s: np.ndarray, d: np.ndarray, buckets: int, turn: int, note_doc: np.ndarray | None = None, note: np.ndarray | None = None) -> pa.RecordBatch:
+    """Pairs of one batch (keys uint64, ids int64; repeats allowed) as rows of SCHEMA.
+
+    note_doc, note: further (document, value) pairs that come out unchanged, with a null key.
+    """
+    nd = np.empty(0, np.int64) if note_doc is None else note_doc
+    nv = np.empty(0, np.int64) if note is None else note
     order = np.lexsort((d, s))
     s, d = s[order], d[order]
     if len(s):
@@ -36,19 +41,22 @@ def pack(s: np.ndarray, d: np.ndarray, buckets: int, turn: int) -> pa.RecordBatc
     narrow = np.uint32 if not len(d) or (d.min() >= 0 and d.max() < 2**32) else np.int64
     cuts = np.searchsorted((s >> U64(32)) * U64(buckets) >> U64(32), np.arange(buckets + 1, dtype=U64))
     shares = np.linspace(0, len(ls), buckets + 1).astype(np.int64)
+    notes = np.linspace(0, len(nd), buckets + 1).astype(np.int64)
     rows = []
     for b in range(buckets):
         i, j = cuts[b], cuts[b + 1]
         share = (b + turn) % buckets
         li, lj = shares[share], shares[share + 1]
-        if i < j or li < lj:
-            rows.append((b, narrow is np.int64, tv.planes(s[i:j]), tv.planes(d[i:j].astype(narrow)), tv.planes(ls[li:lj]), tv.planes(ld[li:lj])))
+        ni, nj = notes[share], notes[share + 1]
+        if i < j or li < lj or ni < nj:
+            own = (s[i:j], d[i:j].astype(narrow), ls[li:lj], ld[li:lj], nd[ni:nj], nv[ni:nj])
+            rows.append((b, narrow is np.int64, *map(tv.planes, own)))
     columns = zip(*rows) if rows else [[]] * len(_NAMES)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=_NAMES)
 
 
 def gather(t: pa.Table) -> pa.Table:
-    """MEMBERS of a bucket: every pair whose key several documents have (a pair may repeat)."""
+    """MEMBERS of a bucket: every pair whose key several documents have (a pair may repeat), and the notes."""
     s = np.concatenate([tv.from_planes(x, np.uint64) for x in t["s"].to_pylist()] or [np.empty(0, U64)])
     d = np.concatenate([tv.from_planes(x, np.int64 if w else np.uint32).astype(np.int64) for x, w in zip(t["d"].to_pylist(), t["wide"].to_pylist())] or [np.empty(0, np.int64)])
     order = np.argsort(s)
@@ -59,4 +67,12 @@ def gather(t: pa.Table) -> pa.Table:
     keep[:-1] |= same
     ls = [tv.from_planes(x, np.uint64) for x in t["ls"].to_pylist()]
     ld = [tv.from_planes(x, np.int64) for x in t["ld"].to_pylist()]
-    return pa.table({"sig": np.concatenate([s[keep], *ls]).view(np.int64), "doc": np.concatenate([d[keep], *ld])})
+    nd = [tv.from_planes(x, np.int64) for x in t["nd"].to_pylist()]
+    nv = [tv.from_planes(x, np.int64) for x in t["nv"].to_pylist()]
+    sig, doc, note = np.concatenate([s[keep], *ls]).view(np.int64), np.concatenate([d[keep], *ld]), np.concatenate([np.empty(0, np.int64), *nv])
+    none = lambda n: pa.nulls(n, pa.int64())
+    return pa.table({
+        "sig": pa.concat_arrays([pa.array(sig), none(len(note))]),
+        "doc": pa.concat_arrays([pa.array(doc), pa.array(np.concatenate([np.empty(0, np.int64), *nd]))]),
+        "note": pa.concat_arrays([none(len(sig)), pa.array(note)]),
+    })

@@ -8,21 +8,23 @@ Signatures.  Let t be the threshold.  Sets A, B of sizes a <= b can only link if
 a >= t*b, and then differ in at most D = floor((1-t)/(1+t) * (a+b)) features.
 Sizes are cut into bands that double; band j serves sizes [2^j, 2^(j+1)/t], so two
 sets that may link have a band in common.  In band j the feature domain is
-partitioned into n_j hashed parts, in two zones: features that are frequent in
-the corpus have parts of their own, ordered last.  D differences touch at most
-D parts, so of the first D+1 non-empty parts of the union one is equal in both
-sets; its rank within either set is no larger.  Hence each set enumerates its
-first D+1 non-empty parts, and each part's content (hashed, with the band) is a
-signature.  A set with at most D non-empty parts is *deficient*: a pair can be
-missed by the parts only if both are deficient, and deficient sets add the same
-scheme with one part per feature, which misses nothing.
+partitioned into n_j hashed parts.  D differences touch at most D parts, so all
+but D of the non-empty parts of either set are equal in both.  Each non-empty
+part's content (hashed, with the band) is a signature; a linking pair shares at
+least m - D of A's m signatures.  A set with at most D non-empty parts is
+*deficient*: a pair can share no part at all only if both are deficient, and
+deficient sets add the same scheme with one part per feature, which misses
+nothing.
+
+Filter.  A document that shares fewer than m - D signatures with others cannot
+link at all and is out before any text is fetched; sharing a mere passage with
+other documents does not pass this.
 
 Groups.  Members of one signature are not expanded into pairs.  They are first
 paired with the group's smallest document (each document only with its best
-such partner), verified and closed to components.  Only documents that share a
-signature with a foreign component go on: they list all their parts, those that
-share too few of them with foreign components cannot link and are out, and the
-others are compared through their rarest signatures.
+such partner), verified and closed to components.  Only documents that share
+enough signatures with foreign components go on, and are looked up by their
+rarest signatures.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import blobs, scratch
@@ -49,29 +51,13 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray
 
 
 def _scan(k: int):
-    """Per text its id and set size (kind 0); per batch its locally frequent shingles (kind 1)."""
+    """Per text its id and set size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            ids = b.column(0)
             data, offs = tv.buffers(b.column(1))
-            sizes, parts = [], []
-            for x, y in tv.row_blocks(offs):
-                g, _, n = shingle_sets(data, offs[x : y + 1], k)
-                sizes.append(n)
-                parts.append(g)
-            all_g = np.sort(np.concatenate(parts))
-            at = np.flatnonzero(np.r_[True, all_g[1:] != all_g[:-1]]) if len(all_g) else np.empty(0, np.int64)
-            df = np.diff(np.r_[at, len(all_g)])
-            hot = df >= max(3, b.num_rows // 5000)
-            n = np.concatenate(sizes)
-            m = int(hot.sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.r_[np.zeros(len(n), np.int32), np.ones(m, np.int32)]),
-                 pa.concat_arrays([ids.cast(pa.int64()), pa.array(all_g[at[hot]].view(np.int64))]),
-                 pa.array(np.r_[n, df[hot]])], names=["kind", "id", "n"])
+            sizes = [shingle_sets(data, offs[x : y + 1], k)[2] for x, y in tv.row_blocks(offs)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate([np.empty(0, np.int64), *sizes]))], names=["doc_id", "n_shingles"])
 
     return run
 
@@ -105,23 +91,20 @@ class Scheme:
         return [(own, self.differences(s, self.largest_partner(s))), (below, self.differences(s, low - 1))]
 
 
-INSTANCE = 0x7F  # the low bits of a signature: twice the band, plus one for the scheme of single features
+INSTANCE = 0x7F  # the low bits of a signature: twice the band, plus one for the scheme of single features; all ones for the whole set
+NEED = 0xFFFFFF  # needs above this count as this: still a bound, only a looser one
 
 
 def signatures(
-    g: np.ndarray, d: np.ndarray, sizes: np.ndarray, frequent: np.ndarray, scheme: Scheme, whole: bool = False
+    g: np.ndarray, d: np.ndarray, sizes: np.ndarray, scheme: Scheme
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(signature, text index) of the sets (g, d), and (text, instance, non-empty parts, differences allowed); see the module text.
 
-    whole: all non-empty parts, not only the first ones.
+    All non-empty parts are listed.
     """
     info: list[np.ndarray] = [np.empty((0, 4), np.int64)]
     if not len(g):
         return np.empty(0, U64), np.empty(0, np.int64), info[0]
-    zone = np.zeros(len(g), U64)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, g), len(frequent) - 1)
-        zone = (frequent[at] == g).astype(U64)
     inner = tv.mix64(g ^ U64(0xA5A5A5A55A5A5A5A))
     out_s, out_d = [], []
     tag = ~U64(INSTANCE)
@@ -135,39 +118,33 @@ def signatures(
         if not here.any():
             continue
         sel = slice(None) if here.all() else here[d]
-        gd, gi, gz = d[sel], inner[sel], zone[sel]
+        gd, gi = d[sel], inner[sel]
         n = scheme.parts(np.maximum(band, 0)).astype(U64)[gd]
         part = ((gi >> U64(32)) * n) >> U64(32)
-        key = (gd.astype(U64) << U64(40)) | (gz << U64(39)) | part
+        key = (gd.astype(U64) << U64(40)) | part
         order = np.argsort(key, kind="stable")
         key, gi_s, gd_s = key[order], gi[order], gd[order]
         at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         content = np.add.reduceat(tv.mix64(gi_s), at)
         doc = gd_s[at]
-        first = np.searchsorted(doc, np.arange(len(sizes)))
-        keep = np.ones(len(at), bool) if whole else np.arange(len(at)) - first[doc] <= allowed[doc]
         b = band[doc].astype(U64)
-        out_s.append((tv.mix64(content ^ (b << U64(56))) & tag | b << U64(1))[keep])
-        out_d.append(doc[keep])
+        out_s.append(tv.mix64(content ^ (b << U64(56))) & tag | b << U64(1))
+        out_d.append(doc)
         found = np.bincount(doc, minlength=len(sizes))
         note(found, here, band, allowed, 0)
         lacking = here & (found <= allowed)
         if lacking.any():
             sel = lacking[gd]
-            ld, li, lz = gd[sel], gi[sel], gz[sel]
-            order = np.lexsort((li, lz, ld))
-            ld, li = ld[order], li[order]
-            first = np.searchsorted(ld, np.arange(len(sizes)))
-            keep = np.ones(len(ld), bool) if whole else np.arange(len(ld)) - first[ld] <= allowed[ld]
+            ld, li = gd[sel], gi[sel]
             b = band[ld].astype(U64)
-            out_s.append((tv.mix64(li ^ (b << U64(56)) ^ U64(0x5EED5EED5EED)) & tag | b << U64(1) | U64(1))[keep])
-            out_d.append(ld[keep])
+            out_s.append(tv.mix64(li ^ (b << U64(56)) ^ U64(0x5EED5EED5EED)) & tag | b << U64(1) | U64(1))
+            out_d.append(ld)
             note(np.bincount(ld, minlength=len(sizes)), lacking, band, allowed, 1)
     return np.concatenate(out_s), np.concatenate(out_d), np.concatenate(info)
 
 
-def _emit(k: int, percent: int, frequent: np.ndarray, buckets: int, whole: bool = False):
-    """Signatures of a batch, packed by bucket (see blobs)."""
+def _emit(k: int, percent: int, buckets: int):
+    """Signatures of a batch, packed by bucket (see blobs); notes: size << 32 | instance << 24 | signatures needed."""
     scheme = Scheme(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,44 +154,28 @@ def _emit(k: int, percent: int, frequent: np.ndarray, buckets: int, whole: bool
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offs = tv.buffers(batch.column(1))
-            ss, dd, seen = [np.empty(0, U64)], [np.empty(0, np.int64)], {}
+            ss, dd, nd, nv, seen = [np.empty(0, U64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], set()
             for x, y in tv.row_blocks(offs):
                 g, d, sizes = shingle_sets(data, offs[x : y + 1], k)
                 if not len(g):
                     continue
-                if whole:
-                    s, sd, _ = signatures(g, d, sizes, frequent, scheme, True)
-                    ss.append(s)
-                    dd.append(ids[sd + x])
-                    continue
                 # texts with equal sets share a signature of the whole set; only the first lists the others
                 first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
                 present = d[first]
-                all_of = np.add.reduceat(tv.mix64(g ^ U64(0x77AA77AA)), first) ^ sizes[present].astype(U64)
+                all_of = tv.mix64(np.add.reduceat(tv.mix64(g ^ U64(0x77AA77AA)), first) ^ sizes[present].astype(U64)) | U64(INSTANCE)
                 fresh = np.zeros(len(sizes), bool)
                 for i, w in zip(present.tolist(), all_of.tolist()):
                     if w not in seen:
-                        seen[w] = fresh[i] = True
+                        seen.add(w)
+                        fresh[i] = True
                 keep = fresh[d]
-                s, sd, _ = signatures(g[keep], d[keep], np.where(fresh, sizes, 0), frequent, scheme)
-                ss += [s, tv.mix64(all_of)]
+                s, sd, info = signatures(g[keep], d[keep], np.where(fresh, sizes, 0), scheme)
+                ss += [s, all_of]
                 dd += [ids[sd + x], ids[present + x]]
-            yield blobs.pack(np.concatenate(ss), np.concatenate(dd), buckets, turn)
-
-    return run
-
-
-def _needs(k: int, percent: int, frequent: np.ndarray):
-    """(doc, instance, need): how many of its signatures a document must share to link at all."""
-    scheme = Scheme(percent)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            data, offs = tv.buffers(batch.column(1))
-            for x, y in tv.row_blocks(offs):
-                *_, info = signatures(*shingle_sets(data, offs[x : y + 1], k), frequent, scheme, True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[info[:, 0] + x]), pa.array(info[:, 1]), pa.array(info[:, 2] - info[:, 3])], names=["doc", "inst", "need"])
+                need = np.maximum(info[:, 2] - info[:, 3], 0)
+                nd += [ids[info[:, 0] + x], ids[present + x]]
+                nv += [sizes[info[:, 0]] << 32 | info[:, 1] << 24 | np.minimum(need, NEED), sizes[present] << 32 | INSTANCE << 24]
+            yield blobs.pack(np.concatenate(ss), np.concatenate(dd), buckets, turn, np.concatenate(nd), np.concatenate(nv))
 
     return run
 
@@ -250,8 +211,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 
 
 def similar_documents(
-    docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text",
-    frequent_share: int = 10_000, buckets: int | None = None,
+    docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per input row.
 
@@ -261,36 +221,24 @@ def similar_documents(
     a null component.  Rows that repeat an id are one document with several
     texts: it is linked if any of them is.  Texts of any length are whole.
     An empty table gives an empty result.
-
-    frequent_share: shingles in more than 1/frequent_share of the documents go
-    to the last zone of the domain partition.  There are at most frequent_share x
-    (mean set size) of them, whatever the corpus size, so they are held in memory.
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    scan = scratch.table(src.mapInArrow(_scan(k), "kind int, id long, n long"), "nj-scan")
-    info = scan.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"))
-    total = info.count()
-    counts = scan.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= max(16, total // frequent_share))
-    frequent = np.sort(np.array([r[0] for r in counts.select("id").toLocalIterator()], dtype=np.int64).view(U64))
-
     n_buckets = buckets or 8 * scratch.shuffle_partitions(spark)
-    packed = src.mapInArrow(_emit(k, percent, frequent, n_buckets), blobs.SCHEMA)
-    members = scratch.table(packed.groupBy("bucket").applyInArrow(blobs.gather, blobs.MEMBERS), "nj-members")
+    packed = src.mapInArrow(_emit(k, percent, n_buckets), blobs.SCHEMA)
+    found = scratch.table(packed.groupBy("bucket").applyInArrow(blobs.gather, blobs.MEMBERS), "nj-found")
+    needs = scratch.table(_needs(found), "nj-needs")
+    members = scratch.table(_able(found.where("note is null").select("sig", "doc"), needs), "nj-members")
 
     texts = scratch.table(src.where("doc is not null").join(members.select("doc").distinct(), "doc", "left_semi"), "nj-texts")
+    sizes = needs.groupBy("doc").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     reps = members.groupBy("sig").agg(F.min("doc").alias("rep"))
     stars = members.join(reps, "sig").where("doc <> rep").groupBy("doc", "rep").agg(F.count("*").alias("n"))
     best = stars.groupBy("doc").agg(F.max(F.struct("n", (-F.col("rep")).alias("r"))).alias("m")).select((-F.col("m.r")).alias("a"), F.col("doc").alias("b"))
     links = _verified(best, texts, k, percent)
     comps = connected_components(links)
 
-    unsettled = _labelled(members, comps).select("doc").distinct()
-    open_texts = scratch.table(texts.join(unsettled, "doc", "left_semi"), "nj-open-texts")
-    repacked = open_texts.mapInArrow(_emit(k, percent, frequent, n_buckets, True), blobs.SCHEMA)
-    shared = scratch.table(repacked.groupBy("bucket").applyInArrow(blobs.gather, blobs.MEMBERS), "nj-shared").distinct()
-    needs = open_texts.mapInArrow(_needs(k, percent, frequent), "doc long, inst long, need long")
-    rest = scratch.table(_open_pairs(_labelled(shared, comps), needs, info, percent), "nj-rest")
+    rest = scratch.table(_open_pairs(_labelled(members, comps), needs, sizes, percent), "nj-rest")
     more = _verified(rest, texts, k, percent)
     # components found so far stand for their members: contract, then close once more
     over = more.join(comps.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comps.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
@@ -298,9 +246,28 @@ def similar_documents(
     all_nodes = comps.select("node", "component").unionByName(
         top.join(comps.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))
     final = all_nodes.join(top.select(F.col("node").alias("component"), F.col("component").alias("up")), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+    info = src.mapInArrow(_scan(k), "doc_id long, n_shingles long")
     return info.join(final, info.doc_id == final.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def _needs(found: DataFrame) -> DataFrame:
+    """(doc, inst, need, lo, hi): signatures that a document must share in an instance, and its smallest and largest set."""
+    note = F.col("note")
+    rows = found.where("note is not null").select("doc", F.shiftright(note, 24).bitwiseAND(F.lit(0xFF)).alias("inst"), note.bitwiseAND(F.lit(NEED)).alias("need"), F.shiftright(note, 32).alias("n"))
+    return rows.groupBy("doc", "inst").agg(F.min("need").alias("need"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+
+
+def _instance() -> Column:
+    return F.col("sig").bitwiseAND(F.lit(INSTANCE)).alias("inst")
+
+
+def _able(members: DataFrame, needs: DataFrame) -> DataFrame:
+    """The distinct memberships of documents that share as many signatures as any link takes."""
+    rows = members.distinct().select("sig", "doc", _instance())
+    have = rows.groupBy("doc", "inst").agg(F.count("*").alias("have")).join(needs, ["doc", "inst"]).where("have >= need").select("doc", "inst")
+    return rows.join(have, ["doc", "inst"], "left_semi").select("sig", "doc")
+
+
 def _labelled(members: DataFrame, comps: DataFrame) -> DataFrame:
     """(sig, doc, comp) of the signatures whose members are in different components."""
     lab = members.join(comps, members.doc == comps.node, "left").select("sig", "doc", F.coalesce("component", "doc").alias("comp"))
@@ -308,7 +275,7 @@ def _labelled(members: DataFrame, comps: DataFrame) -> DataFrame:
     return lab.join(mixed, "sig", "left_semi")
 
 
-def _open_pairs(lab: DataFrame, needs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+def _open_pairs(lab: DataFrame, needs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Pairs of documents in different components that may still link.
 
     A linking pair differs in at most D parts, so each side has all but D of its
@@ -318,15 +285,13 @@ def _open_pairs(lab: DataFrame, needs: DataFrame, info: DataFrame, percent: int)
     document needs to be looked up by its D+1 rarest signatures alone, of which
     those that no foreign component has are known to find nothing.
     """
-    inst = F.col("sig").bitwiseAND(F.lit(INSTANCE))
     freq = lab.groupBy("sig").agg(F.count("*").alias("freq"))
-    own = scratch.table(lab.join(freq, "sig").withColumn("inst", inst), "nj-lab")
+    own = scratch.table(lab.join(freq, "sig").withColumn("inst", _instance()), "nj-lab")
     have = own.groupBy("doc", "inst").agg(F.count("*").alias("have"))
-    may = have.join(needs.groupBy("doc", "inst").agg(F.min("need").alias("need")), ["doc", "inst"]).where("have >= need")
+    may = have.join(needs.select("doc", "inst", "need"), ["doc", "inst"]).where("have >= need")
     by_rarity = Window.partitionBy("doc", "inst").orderBy("freq", "sig")
     picked = own.join(may, ["doc", "inst"]).withColumn("rank", F.row_number().over(by_rarity)).where("rank <= have - need + 1").select("sig", "doc", "comp")
-    sized = info.where("doc_id is not null").groupBy("doc_id").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
-    m = scratch.table(picked.join(sized, picked.doc == sized.doc_id).select("sig", "doc", "comp", "lo", "hi"), "nj-picked")
+    m = scratch.table(picked.join(sizes, "doc").select("sig", "doc", "comp", "lo", "hi"), "nj-picked")
     a = m.select("sig", F.col("doc").alias("a"), F.col("comp").alias("ca"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
     b = m.select("sig", F.col("doc").alias("b"), F.col("comp").alias("cb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
     fits = (F.col("ha") * 100 >= F.col("lb") * percent) & (F.col("hb") * 100 >= F.col("la") * percent)

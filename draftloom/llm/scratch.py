@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,8 +32,10 @@ def free_shuffles(spark: SparkSession) -> None:
     It does so when the driver's garbage is collected, which else may come long
     after a written table has cut the lineage that they belong to.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the plan of the last job is let go a moment after its end
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.1)
 
 
 def table(df: DataFrame, name: str) -> DataFrame:

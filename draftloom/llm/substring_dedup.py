@@ -267,7 +267,7 @@ def remove_repeats(
     src = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).cast("string").alias("text"))
     parts = scratch.shuffle_partitions(spark)
     packed = src.select("doc", "text").mapInArrow(_pairs(width, m, 8 * parts), blobs.SCHEMA)
-    members = scratch.table(packed.groupBy("bucket").applyInArrow(blobs.gather, blobs.MEMBERS), "sd-members")
+    members = scratch.table(packed.groupBy("bucket").applyInArrow(blobs.gather, blobs.MEMBERS).select("sig", "doc"), "sd-members")
     held = members.groupBy("sig").agg(F.count("*").alias("c"))
     flagged = members.join(held, "sig").select("doc", "sig", (F.col("c") > hot).alias("hot"))
     lists = flagged.groupBy("doc").agg(F.collect_set(F.struct("sig", "hot")).alias("l")).select("doc", F.col("l.sig").alias("sigs"), F.col("l.hot").alias("hots"))
