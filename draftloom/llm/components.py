@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from . import scratch
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node that has an edge; component is its smallest node.
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, loops: bool = False) -> DataFrame:
+    """(node, component) for every node that has an edge (with loops: also one to itself); component is its smallest node.
 
     Each round hooks every node to the smallest label around it and then follows
     that label's own label (pointer jumping), so chains halve and stars end at
     once.  State is one row per node, written each round; the joins are plain
     equi-joins whose hot keys AQE splits, and the minimum is combined map-side.
     """
+    kept = edges if loops else edges.where(F.col(a) != F.col(b))
     both = scratch.table(
-        edges.where(F.col(a) != F.col(b)).select(F.col(a).alias("src"), F.col(b).alias("dst"))
-        .unionByName(edges.where(F.col(a) != F.col(b)).select(F.col(b).alias("src"), F.col(a).alias("dst"))).distinct(),
+        kept.select(F.col(a).alias("src"), F.col(b).alias("dst")).unionByName(kept.select(F.col(b).alias("src"), F.col(a).alias("dst"))).distinct(),
         "cc-edges",
     )
     labels = scratch.table(both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("component")), "cc-0")

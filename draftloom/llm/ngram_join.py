@@ -24,7 +24,8 @@ Groups.  Members of one signature are not expanded into pairs.  They are first
 paired with the group's smallest document (each document only with its best
 such partner), verified and closed to components.  Only documents that share
 enough signatures with foreign components go on, and are looked up by their
-rarest signatures.
+rarest signatures; where those are common to many documents, blocks of
+documents are compared inside tasks and only links come out.
 """
 
 from __future__ import annotations
@@ -238,8 +239,8 @@ def similar_documents(
     links = _verified(best, texts, k, percent)
     comps = connected_components(links)
 
-    rest = scratch.table(_open_pairs(_labelled(members, comps), needs, sizes, percent), "nj-rest")
-    more = _verified(rest, texts, k, percent)
+    rest, hot = _open_pairs(_labelled(members, comps), needs, sizes, percent)
+    more = _verified(scratch.table(rest, "nj-rest"), texts, k, percent).unionByName(_block_links(scratch.table(hot, "nj-hot"), texts, k, percent))
     # components found so far stand for their members: contract, then close once more
     over = more.join(comps.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comps.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
     top = connected_components(over.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
@@ -275,8 +276,8 @@ def _labelled(members: DataFrame, comps: DataFrame) -> DataFrame:
     return lab.join(mixed, "sig", "left_semi")
 
 
-def _open_pairs(lab: DataFrame, needs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of documents in different components that may still link.
+def _open_pairs(lab: DataFrame, needs: DataFrame, sizes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of documents in different components that may still link, and the documents to compare in blocks.
 
     A linking pair differs in at most D parts, so each side has all but D of its
     signatures shared with a foreign component; a document with fewer is out.
@@ -292,10 +293,104 @@ def _open_pairs(lab: DataFrame, needs: DataFrame, sizes: DataFrame, percent: int
     by_rarity = Window.partitionBy("doc", "inst").orderBy("freq", "sig")
     picked = own.join(may, ["doc", "inst"]).withColumn("rank", F.row_number().over(by_rarity)).where("rank <= have - need + 1").select("sig", "doc", "comp")
     m = scratch.table(picked.join(sizes, "doc").select("sig", "doc", "comp", "lo", "hi"), "nj-picked")
-    a = m.select("sig", F.col("doc").alias("a"), F.col("comp").alias("ca"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
-    b = m.select("sig", F.col("doc").alias("b"), F.col("comp").alias("cb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
+    big = scratch.table(m.groupBy("sig").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where((F.col("n") > MANY) & (F.col("x") != F.col("y"))).select("sig", F.col("x").alias("least")), "nj-big")
+    few = m.join(big, "sig", "left_anti")
+    a = few.select("sig", F.col("doc").alias("a"), F.col("comp").alias("ca"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
+    b = few.select("sig", F.col("doc").alias("b"), F.col("comp").alias("cb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
     fits = (F.col("ha") * 100 >= F.col("lb") * percent) & (F.col("hb") * 100 >= F.col("la") * percent)
-    return a.join(b, "sig").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b").distinct()
+    pairs = a.join(b, "sig").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b").distinct()
+    return pairs, m.join(big, "sig").select("doc", "comp", "least", "lo", "hi").distinct()
+
+
+MANY = 32  # signatures of more documents than this are compared in blocks
+BLOCK = 256
+
+
+def _to_blocks(k: int):
+    """Rows (z, doc, comp, text) in the order of z and comp -> blocks of at most BLOCK documents of one z."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        part, turn = uuid.uuid4().hex, 0
+        for t in batches:
+            z = t["z"].to_numpy()
+            data, offs = tv.buffers(t["text"])
+            edges = np.flatnonzero(np.r_[True, z[1:] != z[:-1]])
+            cuts = sorted({int(c) for e, n in zip(edges, np.r_[edges[1:], len(z)]) for c in range(e, n, BLOCK)}) if len(z) else []
+            for x, y in zip(cuts, [*cuts[1:], len(z)]):
+                g, d, n = shingle_sets(data, offs[x : y + 1], k)
+                comp = t["comp"].to_numpy()[x:y]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([int(z[x])]), pa.array([f"{part}-{turn}"]), pa.array([int(comp.min())]), pa.array([int(comp.max())]), pa.array([int(n.min())]), pa.array([int(n.max())]),
+                     pa.array([t["doc"].to_numpy()[x:y].tobytes()]), pa.array([comp.tobytes()]), pa.array([n.tobytes()]), pa.array([g.tobytes()])],
+                    names=["z", "block", "c0", "c1", "n0", "n1", "docs", "comps", "sizes", "sets"])
+                turn += 1
+
+    return run
+
+
+_BLOCKS = "z long, block string, c0 long, c1 long, n0 long, n1 long, docs binary, comps binary, sizes binary, sets binary"
+
+
+def _between(percent: int):
+    """Links between the documents of two blocks: one for each two components."""
+
+    def side(b: pa.RecordBatch, i: int, s: str) -> tuple[np.ndarray, ...]:
+        get = lambda c, t: np.frombuffer(b[f"{c}{s}"][i].as_py(), t)
+        return get("docs", np.int64), get("comps", np.int64), get("sizes", np.int64), get("sets", np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                da, ca, na, ga = side(b, i, "_a")
+                db, cb, nb, gb = side(b, i, "_b")
+                both = np.intersect1d(ga, gb)
+                inter = np.zeros((len(da), len(db)), np.float32)
+                ra, rb = np.repeat(np.arange(len(da)), na), np.repeat(np.arange(len(db)), nb)
+                for at in range(0, len(both), 4096):
+                    u = both[at : at + 4096]
+                    m = []
+                    for g, r, n in ((ga, ra, len(da)), (gb, rb, len(db))):
+                        j = np.minimum(np.searchsorted(u, g), len(u) - 1)
+                        ok = u[j] == g
+                        x = np.zeros((n, len(u)), np.float32)
+                        x[r[ok], j[ok]] = 1
+                        m.append(x)
+                    inter += m[0] @ m[1].T
+                inter = inter.astype(np.int64)
+                hit = (inter > 0) & (100 * inter >= percent * (na[:, None] + nb[None] - inter)) & (ca[:, None] != cb[None])
+                x, y = np.nonzero(hit)
+                _, one = np.unique(np.column_stack([ca[x], cb[y]]), axis=0, return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(da[x[one]]), pa.array(db[y[one]])], names=["a", "b"])
+
+    return run
+
+
+def _block_links(hot: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between different components of documents that share a signature of many documents.
+
+    Components that such signatures connect form a neighbourhood z.  Its documents
+    are packed in blocks, in the order of their components; blocks are compared
+    two by two inside tasks, unless both hold only one and the same component or
+    their sizes are too far apart.  Pairs are never emitted, only links.
+    """
+    spark = hot.sparkSession
+    joined = connected_components(hot.select(F.col("comp").alias("a"), F.col("least").alias("b")).distinct(), loops=True)
+    docs = hot.select("doc", "comp").distinct().join(joined, hot["comp"] == joined.node).select("doc", "comp", F.col("component").alias("z"))
+    rows = docs.join(texts, "doc").select("z", "comp", "doc", "text")
+    parts = scratch.shuffle_partitions(spark)
+    blocks = scratch.table(rows.repartitionByRange(parts, "z", "comp", "doc").sortWithinPartitions("z", "comp", "doc").mapInArrow(_to_blocks(k), _BLOCKS), "nj-blocks")
+    light = blocks.select("z", "block", "c0", "c1", "n0", "n1")
+    a = light.select("z", *[F.col(c).alias(f"{c}_a") for c in ("block", "c0", "c1", "n0", "n1")])
+    b = light.select("z", *[F.col(c).alias(f"{c}_b") for c in ("block", "c0", "c1", "n0", "n1")])
+    one = (F.col("c0_a") == F.col("c1_a")) & (F.col("c0_b") == F.col("c1_b")) & (F.col("c0_a") == F.col("c0_b"))
+    near = (F.col("n1_a") * 100 >= F.col("n0_b") * percent) & (F.col("n1_b") * 100 >= F.col("n0_a") * percent)
+    pairs = a.join(b, "z").where((F.col("block_a") <= F.col("block_b")) & ~one & near).select("block_a", "block_b")
+    body = ("docs", "comps", "sizes", "sets")
+    left = blocks.select(F.col("block").alias("block_a"), *[F.col(c).alias(f"{c}_a") for c in body])
+    right = blocks.select(F.col("block").alias("block_b"), *[F.col(c).alias(f"{c}_b") for c in body])
+    return scratch.table(pairs.join(left, "block_a").join(right, "block_b").mapInArrow(_between(percent), "a long, b long"), "nj-block-links")
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:
