@@ -145,7 +145,7 @@ def trending_cards(decks: DataFrame, meta: DataFrame, as_of: Column, days: int =
     base = base.withColumn("recent", recent)
     sizes = base.groupBy(*GROUP).agg(F.count(F.when(F.col("recent"), 1)).alias("nr"), F.count(F.when(~F.col("recent"), 1)).alias("no")).where("nr >= 3 and no >= 3")
     cards = base.select(*GROUP, "recent", F.explode(F.map_keys("cardlist")).alias("card_name")).groupBy(*GROUP, "card_name").agg(F.count(F.when(F.col("recent"), 1)).alias("r"), F.count(F.when(~F.col("recent"), 1)).alias("o"))
-    rows = _not_land(cards, meta).join(sizes, GROUP).withColumn("rf", F.col("r") / F.col("nr")).withColumn("of", F.col("o") / F.col("no")).withColumn("delta_raw", F.col("rf") - F.col("of")).where("delta_raw > 0.15 and rf > 0.20")
+    rows = _not_land(cards, meta).join(sizes, GROUP).withColumn("rf", F.try_divide("r", "nr")).withColumn("of", F.try_divide("o", "no")).withColumn("delta_raw", F.col("rf") - F.col("of")).where("delta_raw > 0.15 and rf > 0.20")
     pct = lambda c: F.round(F.col(c) * 100, 1)
     return top_n(rows, GROUP, [F.desc("delta_raw"), "card_name"], n).select(*GROUP, "rank", "card_name", pct("rf").alias("recent_freq"), pct("of").alias("old_freq"), pct("delta_raw").alias("delta"))
 

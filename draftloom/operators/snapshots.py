@@ -11,7 +11,7 @@ from ..sources.tables import last_by_key
 
 def archetype_snapshot(raw: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """A1: one row per (set, format, colours); rows without a name or games are skipped, the last one wins."""
-    rate = F.coalesce(C.safe_rate("win_rate"), F.col("wins") / F.col("games") * 100)
+    rate = F.coalesce(C.safe_rate("win_rate"), F.try_divide("wins", "games") * 100)
     rows = raw.where(~C.blank("color_name") & (F.coalesce("games", F.lit(0)) != 0)).select(
         "set_code", "format", *extra, F.col("color_name").alias("archetype_name"), C.clean_color_code("color_name").alias("colors"),
         F.round(rate, 1).alias("win_rate"), F.col("games").alias("games_count"), "ingest_seq")
