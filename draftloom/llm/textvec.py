@@ -157,11 +157,11 @@ def words(data: np.ndarray, offs: np.ndarray, sep: np.ndarray = SPACE, lower: bo
     next_out[cut[cut >= 0]] = True
     end = np.flatnonzero(inside & next_out) + 1
     first = np.searchsorted(start, rel, side="left").astype(np.int64)
-    h = _hash_spans(raw, start, end, byte_values(lower, seed)) if hashes else np.empty(0, U64)
+    h = hash_spans(raw, start, end, byte_values(lower, seed)) if hashes else np.empty(0, U64)
     return Words(h, start + base, end + base, first)
 
 
-def _hash_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray) -> np.ndarray:
+def hash_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Polynomial hash of each span, in pieces so that the 8-byte temporaries stay small."""
     out = np.empty(len(start), U64)
     i = 0

@@ -1,6 +1,7 @@
 """Toxicity: a word classifier with a counterfactual penalty.
 
-Logistic regression on log(1 + count) of the words that tell the classes apart.
+Logistic regression on log(1 + count) of the words, and beginnings of words, that
+tell the classes apart.
 In labelled texts that name a group of people, the group's term is swapped for
 others of its kind; the square of the change of the logit is added to the loss,
 so the weights of such terms are driven together and a neutral mention of a
@@ -41,12 +42,29 @@ def _word_hash(words: list[str]) -> np.ndarray:
     return tv.words(data, offs, tv.NOT_ALNUM, lower=True).h
 
 
+#: Beside whole words, their beginnings of so many bytes are features (inflected and compounded forms).
+PREFIXES = (5, 6, 8)
+
+
+def _features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text index) of every word and of the beginnings of longer ones."""
+    w = tv.words(data, offs, tv.NOT_ALNUM, lower=True)
+    doc = w.doc_of()
+    raw = data[offs[0] : offs[-1]]
+    hs, ds = [w.h], [doc]
+    for n in PREFIXES:
+        long = np.flatnonzero(w.end - w.start > n)
+        at = w.start[long] - offs[0]
+        hs.append(tv.hash_spans(raw, at, at + n, tv.byte_values(True)))
+        ds.append(doc[long])
+    return np.concatenate(hs), np.concatenate(ds)
+
+
 def _tokens(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """Per block of texts: rows [a, b), and the (word hash, text, count) they hold."""
     data, offs = tv.buffers(col)
     for a, b in tv.row_blocks(offs):
-        w = tv.words(data, offs[a : b + 1], tv.NOT_ALNUM, lower=True)
-        h, d = w.h, w.doc_of()
+        h, d = _features(data, offs[a : b + 1])
         order = np.lexsort((h, d))
         h, d = h[order], d[order]
         at = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]) if len(h) else np.empty(0, np.int64)
@@ -63,12 +81,12 @@ class ToxicModel:
         out = []
         data, offs = tv.buffers(col)
         for a, b in tv.row_blocks(offs):
-            w = tv.words(data, offs[a : b + 1], tv.NOT_ALNUM, lower=True)
+            h, d = _features(data, offs[a : b + 1])
             s = np.full(b - a, self.bias)
-            if len(self.keys) and len(w.h):
-                at = np.minimum(np.searchsorted(self.keys, w.h), len(self.keys) - 1)
-                hit = np.flatnonzero(self.keys[at] == w.h)
-                cell, n = np.unique(w.doc_of()[hit] * len(self.keys) + at[hit], return_counts=True)
+            if len(self.keys) and len(h):
+                at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+                hit = np.flatnonzero(self.keys[at] == h)
+                cell, n = np.unique(d[hit] * len(self.keys) + at[hit], return_counts=True)
                 s = s + np.bincount(cell // len(self.keys), np.log1p(n) * self.weights[cell % len(self.keys)], b - a)
             out.append(1 / (1 + np.exp(-np.clip(s, -30, 30))))
         return np.concatenate(out) if out else np.empty(0)
@@ -76,7 +94,7 @@ class ToxicModel:
 
 def fit_counterfactual(
     row: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray, k: int, swaps: np.ndarray,
-    penalty: float = 5.0, l2: float = 1.0, rounds: int = 300, rate: float = 0.1,
+    penalty: float = 5.0, l2: float = 0.3, rounds: int = 300, rate: float = 0.1,
 ) -> tuple[np.ndarray, float]:
     """Weights and bias of the sparse rows (row, col, val).
 
@@ -122,9 +140,9 @@ def swap_rows(row: np.ndarray, col: np.ndarray, val: np.ndarray, keys: np.ndarra
 
 def fit(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", held_parts: int = 5, held: int = 0, max_rows: int = 20_000,
-    max_words: int = 1000, min_df: int = 3, id_col: str = "doc_id", text_col: str = "text",
+    max_words: int = 1000, min_df: int = 3, min_z: float = 4.0, id_col: str = "doc_id", text_col: str = "text",
 ) -> ToxicModel:
-    """Fits on at most max_rows labelled rows and the max_words words that tell the classes apart best."""
+    """Fits on at most max_rows labelled rows and the max_words words that tell the classes apart best, by min_z deviations or more."""
     train = training_texts(docs, labels, label, held_parts, held, max_rows, id_col, text_col)
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +158,7 @@ def fit(
     share = positive / max(rows, 1)
     by_word = train.mapInArrow(counts, "h long, n long, pos long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where(n >= min_df)
     # how far the word's share of positive texts is from the overall share, in standard deviations
-    chosen = by_word.withColumn("z", F.abs(p - n * share) / F.sqrt(n * share * (1 - share) + 1)).orderBy(F.desc("z"), "h").limit(max_words)
+    chosen = by_word.withColumn("z", F.abs(p - n * share) / F.sqrt(n * share * (1 - share) + 1)).where(F.col("z") >= min_z).orderBy(F.desc("z"), "h").limit(max_words)
     picked = np.array([r[0] for r in chosen.select("h").collect()], dtype=np.int64).view(U64)
     terms = _word_hash([t for kind in IDENTITY_TERMS for t in kind])
     keys = np.unique(np.concatenate([picked, terms]))
