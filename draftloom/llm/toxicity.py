@@ -140,7 +140,7 @@ def swap_rows(row: np.ndarray, col: np.ndarray, val: np.ndarray, keys: np.ndarra
 
 def fit(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", held_parts: int = 5, held: int = 0, max_rows: int = 20_000,
-    max_words: int = 1000, min_df: int = 3, min_z: float = 4.0, id_col: str = "doc_id", text_col: str = "text",
+    max_words: int = 1000, min_df: int = 4, min_z: float = 2.5, id_col: str = "doc_id", text_col: str = "text",
 ) -> ToxicModel:
     """Fits on at most max_rows labelled rows and the max_words words that tell the classes apart best, by min_z deviations or more."""
     train = training_texts(docs, labels, label, held_parts, held, max_rows, id_col, text_col)
