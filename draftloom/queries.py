@@ -749,9 +749,9 @@ _SCORES = f"""{_FREQ}, {_PARTNERS}, pil AS (SELECT set_code, format, archetype,
     sc AS (SELECT fr.*, coalesce(syn, 0) AS syn FROM fr LEFT JOIN ps USING (set_code, format, archetype, card_name))"""
 
 
-@query(f"WITH {_SCORES} SELECT set_code, format, archetype, card_name, round(syn, 6) AS syn, round(0.8 * freq + 0.2 * least(syn / 10, 1), 6) AS score FROM sc")
+@query(f"WITH {_SCORES} SELECT set_code, format, archetype, card_name, round(syn, 9) AS syn, round(0.8 * freq + 0.2 * least(syn / 10, 1), 9) AS score FROM sc")
 def a15_a16_candidate_scores(s, d):
-    return rounded(skeletons.candidate_scores(_freq(s, d), _syn(s, d)).select("set_code", "format", "archetype", "card_name", "syn", "score"))
+    return rounded(skeletons.candidate_scores(_freq(s, d), _syn(s, d)).select("set_code", "format", "archetype", "card_name", "syn", "score"), 9)
 
 
 @query(f"""WITH {_FREQ}, z AS (SELECT nl.*, (alsa - avg_alsa) * freq AS sc, row_number() OVER (PARTITION BY set_code, format, archetype ORDER BY (alsa - avg_alsa) * freq DESC, card_name) AS rank FROM nl JOIN mm USING (set_code, format) WHERE alsa > avg_alsa AND freq >= 0.15)
