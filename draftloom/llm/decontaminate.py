@@ -6,7 +6,8 @@ seeds with its source.  Seeds of the corpus and of the benchmark are joined,
 hits are collected by (text, item, offset), and on each offset the two word
 sequences are compared around the hit: a text is contaminated if some run of
 ``window`` aligned words (or the whole item, if shorter) agrees in at least
-``share`` of them.
+``share`` of them.  The masks for a window leave no gap: however the words that
+may differ lie, one of the masks keeps none of them, so every such run is found.
 
 Texts are told apart by their hash, so exact copies are seeded and compared once.
 """
@@ -14,14 +15,19 @@ Texts are told apart by their hash, so exact copies are seeded and compared once
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
 
-#: 1: the word counts, 0: any word will do.
-MASKS = ("1101100110101", "1110010111001", "1011101001011")
+#: By (words of the window, words that may differ).  1: the word counts, 0: any word will do.
+#: Shifted within the window, one of the masks misses any choice of differing words.
+MASKS = {(13, 3): ("1101111", "1110001011", "10111011", "110010000111", "11100111")}
+#: For other windows: words a mask should keep, and masks at most to reach that.
+KEEP, MOST = 5, 20
 
 
 def word_list(text: Column) -> Column:
@@ -49,10 +55,40 @@ def _seeds(df: DataFrame, masks: tuple[str, ...], *keep: str) -> DataFrame:
     return rows.select(*keep, "pos", F.posexplode(F.array(*[seed(m) for m in masks])).alias("mask", "seed")).where("seed is not null")
 
 
-def masks_for(lengths: list[int]) -> tuple[str, ...]:
-    """The masks, and for items shorter than them all words of the item."""
-    short = min(len(m) for m in MASKS)
-    return MASKS + tuple("1" * n for n in sorted({n for n in lengths if 0 < n < short}))
+def may_differ(n: int, share: float) -> int:
+    """How many of n words may differ."""
+    if not 0 < share <= 1:
+        raise ValueError("share must be above 0 and at most 1")
+    return max(e for e in range(n + 1) if (n - e) / n >= share)
+
+
+def masks_of(n: int, share: float) -> tuple[str, ...]:
+    """Masks that find every run of n aligned words that agrees in at least share of them.
+
+    Where none are tabled, n is cut into e + q blocks, e being the words that may
+    differ: q blocks at least are equal, and there is a mask for each choice of q.
+    """
+    e = may_differ(n, share)
+    if (n, e) in MASKS:
+        return MASKS[n, e]
+    found: dict[str, None] = {}
+    for q in range(1, n - e + 1):
+        if q > 1 and comb(e + q, q) > MOST:
+            break
+        sizes = [n // (e + q) + (i < n % (e + q)) for i in range(e + q)]
+        found = dict.fromkeys("".join(("1" if i in kept else "0") * k for i, k in enumerate(sizes)).strip("0") for kept in combinations(range(e + q), q))
+        if min(m.count("1") for m in found) >= KEEP:
+            break
+    return tuple(found)
+
+
+def masks_for(lengths: list[int], window: int = 13, share: float = 0.75) -> dict[str, list[int]]:
+    """Mask -> the window lengths it serves: whole items that are shorter, and window for all others."""
+    served: dict[str, list[int]] = {}
+    for n in sorted({min(n, window) for n in lengths if n > 0} or {window}):
+        for m in masks_of(n, share):
+            served.setdefault(m, []).append(n)
+    return served
 
 
 def contaminated(
@@ -66,10 +102,11 @@ def contaminated(
     """
     word_hashes = lambda c: F.transform(word_list(c), lambda w: F.xxhash64(w))
     items = scratch.table(benchmark.select(F.col(item_col).cast("long").alias("item_id"), word_hashes(F.coalesce(F.col(item_text).cast("string"), F.lit(""))).alias("h")).where("size(h) > 0"), "dc-items")
-    masks = masks_for([r[0] for r in items.select(F.size("h")).where(F.size("h") < min(map(len, MASKS))).distinct().collect()])
-    # contiguous masks serve only the items of just that length
-    item_seeds = _seeds(items.withColumn("n", F.size("h")), masks, "item_id", "n")
-    ok = reduce(lambda a, b: a | b, [(F.col("mask") == i) & ((F.lit(i) < len(MASKS)) | (F.col("n") == len(m))) for i, m in enumerate(masks)])
+    width = F.least(F.size("h"), F.lit(window))
+    served = masks_for([r[0] for r in items.select(width).distinct().collect()], window, share)
+    masks = tuple(served)
+    item_seeds = _seeds(items.withColumn("n", width), masks, "item_id", "n")
+    ok = reduce(lambda a, b: a | b, [(F.col("mask") == i) & F.col("n").isin(served[m]) for i, m in enumerate(masks)])
     item_seeds = scratch.table(item_seeds.where(ok).select("mask", "seed", "item_id", F.col("pos").alias("item_pos")).distinct(), "dc-seeds")
     probe = F.broadcast(item_seeds) if item_seeds.count() <= broadcast_rows else item_seeds
 

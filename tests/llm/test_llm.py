@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 
@@ -158,6 +159,51 @@ def test_leaks_with_substituted_words(spark, odd, empty):
     assert decontaminate.clean(odd, bench).columns == odd.columns and decontaminate.clean(odd, bench).count() == 11
 
 
+def brute_agreement(item, doc, window=13):
+    """The best share of equal words over all windows of all alignments."""
+    w = min(window, len(item))
+    best = 0
+    for off in range(1 - len(item), len(doc)):
+        a = max(0, -off)
+        same = [x == y for x, y in zip(item[a:], doc[a + off :])]
+        best = max([best, *(sum(same[i : i + w]) for i in range(len(same) - w + 1))])
+    return best / w
+
+
+def substituted(seed=2):
+    """Items of 3 to 59 words, and texts that hold them with words replaced regularly and at random."""
+    r = random.Random(seed)
+    items = {n: [f"i{n}x{j}" for j in range(n)] for n in (3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 15, 18, 25, 38, 59)}
+    docs = []
+    for w in items.values():
+        swaps = [{j for j in range(len(w)) if j % k == s} for k in (4, 5) for s in range(k)]
+        swaps += [{j for j in range(len(w)) if r.random() < p} for p in (0.1, 0.2, 0.25) for _ in range(4)]
+        swaps += [set(r.sample(range(len(w)), len(w) // 4)) for _ in range(6)]
+        for x in swaps:
+            noise = lambda: [f"n{r.randrange(10**6)}" for _ in range(r.randrange(6))]
+            docs.append(noise() + [f"s{r.randrange(10**6)}" if j in x else y for j, y in enumerate(w)] + noise())
+    return items, dict(enumerate(docs))
+
+
+@pytest.mark.parametrize(("window", "share"), [(13, 0.75), (8, 0.6)])
+def test_leaks_match_brute_force(spark, window, share):
+    items, docs = substituted()
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): round(x.agree, 9) for x in decontaminate.leaks(df, bench, window=window, share=share).collect()}
+    agree = {(i, k): brute_agreement(w, d, window) for i, d in docs.items() for k, w in items.items() if set(w) & set(d)}
+    want = {k: round(v, 9) for k, v in agree.items() if v >= share}
+    assert got == want
+
+
+def test_masks_leave_no_gap():
+    for share in (0.5, 0.75, 0.9, 1.0):
+        for n in range(1, 15):
+            e = decontaminate.may_differ(n, share)
+            masks = [{j + at for j, c in enumerate(m) if c == "1"} for m in decontaminate.masks_of(n, share) for at in range(n - len(m) + 1)]
+            assert all(any(not k & set(x) for k in masks) for x in itertools.combinations(range(n), e))
+
+
 # ---- 4: personal data ----
 
 def brute_spans(x):
