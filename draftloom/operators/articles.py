@@ -86,9 +86,9 @@ def _words(col: Column) -> Column:
 def detect_mentions(articles: DataFrame, dictionary: DataFrame, text: str = "summary", max_names: int = 100_000) -> DataFrame:
     """(id, pos, n_words, name): dictionary names in the texts as whole words, the longest at each place.
 
-    Word runs up to the longest name are joined to the names; a match inside a
-    longer one that starts earlier or at the same word is dropped.  The dictionary
-    is broadcast only up to max_names names.
+    Word runs up to the longest name are joined to the names; each text's matches
+    are taken from left to right, and one that starts before the end of the last
+    match taken is dropped.  The dictionary is broadcast only up to max_names names.
     """
     names = dictionary.select("name").distinct().withColumn("w", _words(F.col("name"))).where("size(w) > 0").select(F.array_join("w", " ").alias("gram"), F.size("w").alias("n_words"), "name")
     one = Window.partitionBy("gram").orderBy("name")
@@ -100,10 +100,11 @@ def detect_mentions(articles: DataFrame, dictionary: DataFrame, text: str = "sum
     starts = words.where("size(w) > 0").select("id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("pos"))
     grams = starts.select("id", "pos", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("pos"))), lambda n: F.array_join(F.slice("w", F.col("pos") + 1, n), " "))).alias("gram"))
     hits = grams.join(F.broadcast(names) if count <= max_names else names, "gram").select("id", "pos", "n_words", "name")
-    best = Window.partitionBy("id", "pos").orderBy(F.desc("n_words"))
-    hits = hits.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r")
-    before = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return hits.withColumn("covered", F.max(F.col("pos") + F.col("n_words")).over(before)).where("covered is null or covered <= pos").drop("covered")
+    first = F.array_sort(F.collect_list(F.struct("pos", (-F.col("n_words")).alias("less"), "n_words", "name")))
+    start = F.struct(F.lit(0).alias("end"), F.slice("all", 1, 0).alias("kept"))
+    take = lambda s, x: F.when(x["pos"] >= s["end"], F.struct((x["pos"] + x["n_words"]).alias("end"), F.concat(s["kept"], F.array(x)).alias("kept"))).otherwise(s)
+    kept = hits.groupBy("id").agg(first.alias("all")).select("id", F.explode(F.aggregate("all", start, take, lambda s: s["kept"])).alias("m"))
+    return kept.select("id", "m.pos", "m.n_words", "m.name")
 
 
 def link_mentions(articles: DataFrame, dictionary: DataFrame, text: str = "summary") -> DataFrame:

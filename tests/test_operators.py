@@ -1,5 +1,8 @@
 """Hand-made tables: boundaries, ties, empty inputs and rules that SQL cannot restate."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from draftloom.functions import columns as C
@@ -137,6 +140,19 @@ def test_mentions_longest_first_and_links(spark):
     assert linked[1] == "Play [[Lightning Bolt]], not [[Lightning]] helix or bolts." and linked[2] is None
 
 
+def test_chains_of_overlapping_mentions(spark):
+    r = random.Random(4)
+    names = ["the of", "of the and", "is the", "the", "and is the of", "on"]
+    texts = {0: "is the of the and", 1: "the of the of the and is the of the and"} | {i: " ".join(r.choice(("the", "of", "and", "is", "on")) for _ in range(r.randint(1, 30))) for i in range(2, 80)}
+    arts = spark.createDataFrame(list(texts.items()), "id int, summary string")
+    dictionary = spark.createDataFrame([(n,) for n in names], "name string")
+    # the reference's rule: one alternation, longest name first, over the whole text
+    rule = re.compile(r"\b(%s)\b" % "|".join(sorted(names, key=len, reverse=True)))
+    want = {(i, len(t[: m.start()].split()), m.group()) for i, t in texts.items() for m in rule.finditer(t)}
+    assert {(x.id, x.pos, x.name) for x in articles.detect_mentions(arts, dictionary).collect()} == want
+    assert {x.id: x.linked for x in articles.link_mentions(arts, dictionary).collect()} == {i: rule.sub(r"[[\1]]", t) for i, t in texts.items()}
+
+
 def test_resolve_names_tiers(spark):
     q = spark.createDataFrame([("Forest Elf",), ("Fire // Ice",), ("Foreat Elf",), ("Zzz",)], "query string")
     d = spark.createDataFrame([("Forest Elf",), ("Fire",)], "name string")
