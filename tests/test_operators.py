@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from draftloom import queries
 from draftloom.functions import columns as C
 from draftloom.operators import articles, cards, skeletons, snapshots, stats, synergy
 from draftloom.plans import skeleton_table
@@ -54,6 +55,20 @@ def test_pg_array_and_summary(spark):
     assert col(spark, ["text ---{x}", "a ```code", "b `c` "], "string", C.clean_summary) == ["text", "a", "b c"]
 
 
+def test_clean_summary_keeps_texts_with_back_ticks(spark, sf_dir, tmp_path):
+    texts = {1: "plain --- x {y}", 2: "a `b` c ", 3: "see ```py\nx = 1\n``` after", 4: "``two`` and ```", 5: "{`}", 6: "x ***``` y\n", 7: "", 8: None}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(1).drop("doc_id", "text")
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows.crossJoin(docs).write.parquet(str(tmp_path / "documents.parquet"))
+
+    def plain(t):
+        head = re.sub(r"```.*\Z", "", (t or "").split("{")[0], flags=re.S)
+        return re.sub(r"\s+\Z", "", re.sub("[-_*]{3,}", "", head.replace("`", "")))
+
+    got = {r.id: r.cleaned for r in queries.p18_clean_summary(spark, str(tmp_path)).collect()}
+    assert got == {i: plain(t) for i, t in texts.items()}
+
+
 def test_read_ratings_variants(spark, tmp_path):
     rows = '[{"name": "A", "rarity": "rare", "game_count": 5}]'
     for i, body in enumerate((rows, '{"results": %s}' % rows, '{"n": 1, "cards": %s}' % rows)):
