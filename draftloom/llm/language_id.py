@@ -16,9 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scratch
 from . import textvec as tv
 from .quality import fold
 
@@ -186,13 +187,17 @@ def build(langs: list[str], lang_of: np.ndarray, keys: np.ndarray, counts: np.nd
     return KneserNey(langs, probs, weights, floor, np.full(m, np.inf))
 
 
-def fit(docs: DataFrame, held_parts: int = 4, held: int = 2, max_ngrams: int = 500_000, calibration: int = 4000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> KneserNey:
-    """Counts n-grams of every training row in Spark; the models hold at most max_ngrams 4-grams a language (the commonest).
+def _training(docs: DataFrame, held_parts: int, held: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    train = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.coalesce(fold(id_col, held_parts) != held, F.lit(False)))
+    return train.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+
+
+def counted(train: DataFrame) -> KneserNey:
+    """Model of every n-gram of every training row, still without limits.
 
-    calibration: rows (the smallest by hash of the id) whose cross-entropies set the rejection limits.
+    Counted in Spark; the driver builds the model from all (language, n-gram, count)
+    rows, and its size grows with the n-grams that the languages have.
     """
-    train = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.coalesce(fold(id_col, held_parts) != held, F.lit(False)))
-    train = train.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("long").alias("id"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,42 +214,29 @@ def fit(docs: DataFrame, held_parts: int = 4, held: int = 2, max_ngrams: int = 5
                     u, c = np.unique(k[lang == j], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([words[j]] * len(u), pa.string()), pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], names=["lang", "k", "c"])
 
-    grams = train.select("text", "lang").mapInArrow(count, "lang string, k long, c long").groupBy("lang", "k").agg(F.sum("c").alias("c"))
-    top = Window.partitionBy("lang").orderBy(F.desc("c"), "k")
-    got = grams.withColumn("r", F.row_number().over(top)).where(F.col("r") <= max_ngrams).select("lang", "k", "c").toArrow()
-    names = got["lang"].to_pylist()
-    langs = sorted(set(names))
-    index = {x: i for i, x in enumerate(langs)}
-    model = build(langs, np.array([index[x] for x in names], np.int64), got["k"].to_numpy().view(U64) if names else np.empty(0, U64), got["c"].to_numpy() if names else np.empty(0, np.int64))
-    if langs:
-        pick = train.select("id").orderBy(F.xxhash64("id"), "id").limit(calibration)
-        sample = train.join(F.broadcast(pick), "id").select("text", "lang")  # bounded by calibration
-
-        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                data, offs = tv.buffers(b.column(0))
-                mine = np.array([index[x] for x in b.column(1).to_pylist()], np.int64)
-                h = np.concatenate([model.entropies(data, offs[x : y + 1])[0] for x, y in tv.row_blocks(offs)] or [np.empty((0, len(langs)))])
-                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(h[np.arange(len(mine)), mine])], names=["lang", "h"])
-
-        limits = {r[0]: r[1] for r in sample.mapInArrow(own, "lang string, h double").groupBy("lang").agg(F.percentile("h", F.lit(0.995))).collect()}
-        model.limit = np.array([limits.get(x, np.inf) for x in langs])
-    return model
+    got = train.select("text", "lang").mapInArrow(count, "lang string, k long, c long").groupBy("lang", "k").agg(F.sum("c").alias("c")).toArrow()
+    names = got["lang"].combine_chunks().dictionary_encode()
+    seen = names.dictionary.to_pylist()
+    langs = sorted(seen)
+    place = np.array([langs.index(x) for x in seen], np.int64)
+    return build(langs, place[names.indices.to_numpy()] if len(names) else np.empty(0, np.int64), got["k"].to_numpy().view(U64) if len(names) else np.empty(0, U64), got["c"].to_numpy() if len(names) else np.empty(0, np.int64))
 
 
-def with_languages(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: str = "text", held_parts: int = 4, held: int = 2) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, cross_entropy, rejected), one row per input row."""
+def _scored(rows: DataFrame, model: KneserNey) -> DataFrame:
+    """(doc_id, lang, lang_pred, score, cross_entropy, own) of rows (doc_id, text, lang); own: the cross-entropy under the row's own language."""
+    index = {x: i for i, x in enumerate(model.langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offs = tv.buffers(b.column(1))
-            pred, score, best, rejected = [], [], [], []
+            mine = np.array([index.get(x, -1) for x in b.column(2).to_pylist()], np.int64)
+            pred, score, best, own = [], [], [], []
             for x, y in tv.row_blocks(offs):
                 if not model.langs:
                     pred += [None] * (y - x)
                     score += [0.0] * (y - x)
                     best += [None] * (y - x)
-                    rejected += [True] * (y - x)
+                    own += [None] * (y - x)
                     continue
                 h, letters = model.entropies(data, offs[x : y + 1])
                 j = h.argmin(1)
@@ -255,15 +247,43 @@ def with_languages(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", te
                 pred += [model.langs[i] if s else None for i, s in zip(j.tolist(), some.tolist())]
                 score += np.where(some, 1 / odds, 0.0).tolist()
                 best += [v if s else None for v, s in zip(low.tolist(), some.tolist())]
-                rejected += (~some | (low > model.limit[j])).tolist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(best, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
+                own += [v if i >= 0 else None for v, i in zip(h[np.arange(len(j)), mine[x:y]].tolist(), mine[x:y].tolist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(best, pa.float64()), pa.array(own, pa.float64())], names=["doc_id", "lang", "lang_pred", "score", "cross_entropy", "own"])
+
+    return rows.mapInArrow(run, "doc_id long, lang string, lang_pred string, score double, cross_entropy double, own double")
+
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean").select(
-        "doc_id", F.coalesce(fold("doc_id", held_parts) == held, F.lit(False)).alias("held_out"), F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), "score", "cross_entropy", "rejected")
+def _limits(model: KneserNey, scored: DataFrame) -> np.ndarray:
+    """The cross-entropy that one in 200 training rows of each language exceeds, over all of them."""
+    found = {r[0]: r[1] for r in scored.where("own is not null").groupBy("lang").agg(F.percentile_approx("own", F.lit(0.995), F.lit(100_000))).collect()}
+    return np.array([found.get(x, np.inf) for x in model.langs])
+
+
+def _result(scored: DataFrame, model: KneserNey, held_parts: int, held: int) -> DataFrame:
+    over = F.lit(False)
+    for x, limit in zip(model.langs, model.limit.tolist()):
+        over = over | ((F.col("lang_pred") == x) & (F.col("cross_entropy") > limit))
+    return scored.select(
+        "doc_id", F.coalesce(fold("doc_id", held_parts) == held, F.lit(False)).alias("held_out"), F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), "score", "cross_entropy",
+        F.coalesce(F.col("lang_pred").isNull() | over, F.lit(True)).alias("rejected"))
+
+
+def fit(docs: DataFrame, held_parts: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> KneserNey:
+    """Learns from every training row, with the rejection limits over all of them."""
+    train = _training(docs, held_parts, held, id_col, text_col, lang_col)
+    model = counted(train)
+    if model.langs:
+        model.limit = _limits(model, _scored(train, model))
+    return model
+
+
+def with_languages(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", text_col: str = "text", held_parts: int = 4, held: int = 2) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, cross_entropy, rejected), one row per input row."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("string").alias("lang"))
+    return _result(_scored(rows, model), model, held_parts, held)
 
 
-def identify(docs: DataFrame, **options) -> DataFrame:
+def identify(docs: DataFrame, held_parts: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Learns from the training rows of docs and predicts every row.
 
     A text that is null or has no letter is 'und' with score 0 and rejected; so is
@@ -273,8 +293,12 @@ def identify(docs: DataFrame, **options) -> DataFrame:
     repeated rows get equal results.  Ties go to the first language by name.
     Other columns are ignored.  An empty table gives an empty result.
     """
-    ids = {k: options[k] for k in ("id_col", "text_col", "held_parts", "held") if k in options}
-    return with_languages(docs, fit(docs, **options), **ids)
+    model = counted(_training(docs, held_parts, held, id_col, text_col, lang_col))
+    learned = F.col(text_col).isNotNull() & F.coalesce(fold(id_col, held_parts) != held, F.lit(False))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.when(learned, F.col(lang_col).cast("string")).alias("lang"))
+    scored = scratch.table(_scored(rows, model), "li-scores")  # scored once, for the limits and the result
+    model.limit = _limits(model, scored)
+    return _result(scored, model, held_parts, held)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

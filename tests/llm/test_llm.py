@@ -249,6 +249,22 @@ def test_language_model_sums_to_one_and_holds_out(spark, sf_dir, odd, empty):
     assert language_id.with_languages(empty, model).count() == 0 and language_id.identify(empty).count() == 0
 
 
+def test_language_model_keeps_every_ngram_and_training_row(spark):
+    r = random.Random(6)
+    rows = [(i, "".join(chr(0x4E00 + r.randrange(20_000)) for _ in range(150)), "zh") for i in range(6000)]
+    rows += [(i, "".join(r.choice("abcdefgh ") for _ in range(30)), "xx") for i in range(6000, 6400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    train = language_id._training(docs, 4, 2, "doc_id", "text", "lang").collect()
+    model = language_id.fit(docs)
+    grams = {p[i : i + 4] for x in train for p in ["   " + re.sub(" +", " ", x.text)] for i in range(len(p) - 3)}
+    assert len(grams) > 500_000 and len(model.probs[3].h) >= len(grams) * 0.9999
+    out = {x.doc_id: x for x in language_id.identify(docs).collect()}
+    for k, lang in enumerate(model.langs):
+        h = np.sort([out[x.doc_id].cross_entropy for x in train if x.lang == lang])
+        assert h[int(len(h) * 0.995) - 2] <= model.limit[k] <= h[int(len(h) * 0.995) + 1]
+    assert {i: x.rejected for i, x in out.items()} == {x.doc_id: x.rejected for x in language_id.with_languages(docs, model).collect()}
+
+
 @pytest.mark.parametrize(("module", "label", "query"), [(quality, "quality", "op7_quality_classifier"), (toxicity, "toxic", "op10_toxicity")])
 def test_classifiers(spark, odd, empty, module, label, query):
     sf = "/root/testdata/sf0.01"
