@@ -1,7 +1,7 @@
 """(key, document) pairs packed by hash bucket, so that one shuffled row carries thousands.
 
 ``pack`` reduces the documents of a batch that share a key to the smallest id and
-sends the others along unchanged, spread over all buckets; ``gather`` then only
+sends all of them along unchanged as well, spread over all buckets; ``gather`` then only
 has to find the keys that several batches have.  A key of a third of all rows
 thus brings one entry per batch to its bucket.
 """
@@ -14,65 +14,75 @@ import pyarrow as pa
 from . import textvec as tv
 
 U64 = np.uint64
-SCHEMA = "bucket int, wide boolean, s binary, d binary, ls binary, ld binary, nd binary, nv binary"
-MEMBERS = "sig long, doc long, note long"
-_TYPES = (pa.int32(), pa.bool_(), *[pa.binary()] * 6)
-_NAMES = ["bucket", "wide", "s", "d", "ls", "ld", "nd", "nv"]
+SCHEMA = "bucket int, wide boolean, s binary, d binary, ls binary, ld binary, lr binary, nd binary, nv binary, rd binary, rv binary, rn binary"
+MEMBERS = "sig long, doc long, rep long, note long, row long"
+_TYPES = (pa.int32(), pa.bool_(), *[pa.binary()] * 10)
+_NAMES = ["bucket", "wide", "s", "d", "ls", "ld", "lr", "nd", "nv", "rd", "rv", "rn"]
+_NONE = np.empty(0, np.int64)
 
 
-def pack(s: np.ndarray, d: np.ndarray, buckets: int, turn: int, note_doc: np.ndarray | None = None, note: np.ndarray | None = None) -> pa.RecordBatch:
+def pack(
+    s: np.ndarray, d: np.ndarray, buckets: int, turn: int, notes: tuple[np.ndarray, np.ndarray] = (_NONE, _NONE), rows: tuple[np.ndarray, np.ndarray, np.ndarray] = (_NONE, np.empty(0, bool), _NONE),
+) -> pa.RecordBatch:
     """Pairs of one batch (keys uint64, ids int64; repeats allowed) as rows of SCHEMA.
 
-    note_doc, note: further (document, value) pairs that come out unchanged, with a null key.
+    notes: further (document, value) pairs that come out unchanged, with a null key.
+    rows: (id, whether it is valid, value) of each input row; they come out unchanged too.
     """
-    nd = np.empty(0, np.int64) if note_doc is None else note_doc
-    nv = np.empty(0, np.int64) if note is None else note
-    order = np.lexsort((d, s))
+    order = np.argsort(s)
     s, d = s[order], d[order]
-    if len(s):
-        fresh = np.ones(len(s), bool)
-        fresh[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
-        s, d = s[fresh], d[fresh]
-    at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else np.empty(0, np.int64)
+    at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else _NONE
+    least = np.minimum.reduceat(d, at) if len(at) else _NONE
     runs = np.diff(np.r_[at, len(s)])
     many = np.repeat(runs > 1, runs)
-    ls, ld = s[many], d[many]
-    s, d = s[at], d[at]
+    ls, ld, lr = s[many], d[many], np.repeat(least, runs)[many]
+    s, d = s[at], least
     narrow = np.uint32 if not len(d) or (d.min() >= 0 and d.max() < 2**32) else np.int64
     cuts = np.searchsorted((s >> U64(32)) * U64(buckets) >> U64(32), np.arange(buckets + 1, dtype=U64))
-    shares = np.linspace(0, len(ls), buckets + 1).astype(np.int64)
-    notes = np.linspace(0, len(nd), buckets + 1).astype(np.int64)
-    rows = []
+    spread = [(ls, ld, lr), notes, (rows[0], rows[1].astype(np.uint8), rows[2])]
+    edges = [np.linspace(0, len(c[0]), buckets + 1).astype(np.int64) for c in spread]
+    out = []
     for b in range(buckets):
         i, j = cuts[b], cuts[b + 1]
         share = (b + turn) % buckets
-        li, lj = shares[share], shares[share + 1]
-        ni, nj = notes[share], notes[share + 1]
-        if i < j or li < lj or ni < nj:
-            own = (s[i:j], d[i:j].astype(narrow), ls[li:lj], ld[li:lj], nd[ni:nj], nv[ni:nj])
-            rows.append((b, narrow is np.int64, *map(tv.planes, own)))
-    columns = zip(*rows) if rows else [[]] * len(_NAMES)
+        ends = [(e[share], e[share + 1]) for e in edges]
+        if i < j or any(x < y for x, y in ends):
+            own = [s[i:j], d[i:j].astype(narrow), *(c[x:y] for cols, (x, y) in zip(spread, ends) for c in cols)]
+            out.append((b, narrow is np.int64, *map(tv.planes, own)))
+    columns = zip(*out) if out else [[]] * len(_NAMES)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=_NAMES)
 
 
+def _joined(t: pa.Table, name: str, dtype: type) -> np.ndarray:
+    return np.concatenate([np.empty(0, dtype), *(tv.from_planes(x, dtype) for x in t[name].to_pylist())])
+
+
 def gather(t: pa.Table) -> pa.Table:
-    """MEMBERS of a bucket: every pair whose key several documents have (a pair may repeat), and the notes."""
-    s = np.concatenate([tv.from_planes(x, np.uint64) for x in t["s"].to_pylist()] or [np.empty(0, U64)])
-    d = np.concatenate([tv.from_planes(x, np.int64 if w else np.uint32).astype(np.int64) for x, w in zip(t["d"].to_pylist(), t["wide"].to_pylist())] or [np.empty(0, np.int64)])
+    """MEMBERS of a bucket.
+
+    Every pair whose key several documents have (a pair may repeat), with one of
+    the key's smallest documents as ``rep``: that of the bucket, or of its batch.
+    Then the notes (doc, note) and the rows (doc, row), all without a key.
+    """
+    s = _joined(t, "s", np.uint64)
+    d = np.concatenate([_NONE, *(tv.from_planes(x, np.int64 if w else np.uint32).astype(np.int64) for x, w in zip(t["d"].to_pylist(), t["wide"].to_pylist()))])
     order = np.argsort(s)
     s, d = s[order], d[order]
-    same = s[1:] == s[:-1]
-    keep = np.zeros(len(s), bool)
-    keep[1:] |= same
-    keep[:-1] |= same
-    ls = [tv.from_planes(x, np.uint64) for x in t["ls"].to_pylist()]
-    ld = [tv.from_planes(x, np.int64) for x in t["ld"].to_pylist()]
-    nd = [tv.from_planes(x, np.int64) for x in t["nd"].to_pylist()]
-    nv = [tv.from_planes(x, np.int64) for x in t["nv"].to_pylist()]
-    sig, doc, note = np.concatenate([s[keep], *ls]).view(np.int64), np.concatenate([d[keep], *ld]), np.concatenate([np.empty(0, np.int64), *nv])
+    at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else _NONE
+    runs = np.diff(np.r_[at, len(s)])
+    rep = np.repeat(np.minimum.reduceat(d, at), runs) if len(at) else _NONE
+    keep = np.repeat(runs > 1, runs)
+    ls, ld, lr = _joined(t, "ls", np.uint64), _joined(t, "ld", np.int64), _joined(t, "lr", np.int64)
+    nd, nv = _joined(t, "nd", np.int64), _joined(t, "nv", np.int64)
+    rd, rv, rn = _joined(t, "rd", np.int64), _joined(t, "rv", np.uint8), _joined(t, "rn", np.int64)
+    sig = np.concatenate([s[keep], ls]).view(np.int64)
+    doc, of = np.concatenate([d[keep], ld]), np.concatenate([rep[keep], lr])
     none = lambda n: pa.nulls(n, pa.int64())
+    a, b, c = len(sig), len(nd), len(rd)
     return pa.table({
-        "sig": pa.concat_arrays([pa.array(sig), none(len(note))]),
-        "doc": pa.concat_arrays([pa.array(doc), pa.array(np.concatenate([np.empty(0, np.int64), *nd]))]),
-        "note": pa.concat_arrays([none(len(sig)), pa.array(note)]),
+        "sig": pa.concat_arrays([pa.array(sig), none(b + c)]),
+        "doc": pa.concat_arrays([pa.array(doc), pa.array(nd), pa.array(rd, mask=rv == 0)]),
+        "rep": pa.concat_arrays([pa.array(of), none(b + c)]),
+        "note": pa.concat_arrays([none(a), pa.array(nv), none(c)]),
+        "row": pa.concat_arrays([none(a + b), pa.array(rn)]),
     })

@@ -8,24 +8,28 @@ Signatures.  Let t be the threshold.  Sets A, B of sizes a <= b can only link if
 a >= t*b, and then differ in at most D = floor((1-t)/(1+t) * (a+b)) features.
 Sizes are cut into bands that double; band j serves sizes [2^j, 2^(j+1)/t], so two
 sets that may link have a band in common.  In band j the feature domain is
-partitioned into n_j hashed parts.  D differences touch at most D parts, so all
-but D of the non-empty parts of either set are equal in both.  Each non-empty
-part's content (hashed, with the band) is a signature; a linking pair shares at
-least m - D of A's m signatures.  A set with at most D non-empty parts is
-*deficient*: a pair can share no part at all only if both are deficient, and
-deficient sets add the same scheme with one part per feature, which misses
-nothing.
-
-Filter.  A document that shares fewer than m - D signatures with others cannot
+partitioned into n_j hashed groups, each of PARTS = 3 parts, and the subsets of
+two parts are enumerated: the content of such a subset (hashed, with the band) is
+a signature.  D differences spoil at most D/2 groups with two or more; in every
+other group at most one part differs, and the subset of the other two is equal
+in both sets.  So of the m groups of A with two non-empty parts at least (whose
+subsets are never empty), m - D/2 give a shared signature.  A set with m <= D/2
+is *deficient*: a pair can share none only if both are, and deficient sets add
+one signature per feature, which misses nothing.  (B may have but one non-empty
+part in such a group, so all subsets that are not empty are listed.)
+
+Filter.  A document that shares fewer than m - D/2 signatures with others cannot
 link at all and is out before any text is fetched; sharing a mere passage with
 other documents does not pass this.
 
-Groups.  Members of one signature are not expanded into pairs.  They are first
-paired with the group's smallest document (each document only with its best
-such partner), verified and closed to components.  Only documents that share
-enough signatures with foreign components go on, and are looked up by their
-rarest signatures; where those are common to many documents, blocks of
-documents are compared inside tasks and only links come out.
+Groups.  Members of one signature are not expanded into pairs.  Each document is
+first paired with one of the smallest documents that it shares most signatures
+with; pairs are verified and closed to components.  Only documents that share
+enough signatures with foreign components go on, with their rarest signatures.
+Where those are common to many documents, rounds of the same kind follow, each
+of one verified pair per document with the document that comes first in the
+round's own random order, until a round hardly joins any components; the rest
+is compared in blocks inside tasks, of which only a spanning forest comes out.
 """
 
 from __future__ import annotations
@@ -34,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import blobs, scratch
@@ -51,16 +55,7 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray
     return g, d, np.bincount(d, minlength=len(offs) - 1).astype(np.int64)
 
 
-def _scan(k: int):
-    """Per text its id and set size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offs = tv.buffers(b.column(1))
-            sizes = [shingle_sets(data, offs[x : y + 1], k)[2] for x, y in tv.row_blocks(offs)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate([np.empty(0, np.int64), *sizes]))], names=["doc_id", "n_shingles"])
-
-    return run
+PARTS = 3  # parts of a group; signatures are its subsets of all but one
 
 
 class Scheme:
@@ -78,9 +73,10 @@ class Scheme:
     def largest_partner(self, a: np.ndarray) -> np.ndarray:
         return a * 100 // self.p
 
-    def parts(self, band: np.ndarray) -> np.ndarray:
-        top = self.largest_partner(np.left_shift(np.int64(2), band))
-        return np.maximum(1, (135 * top * (100 - self.p) // (self.p * 100)) + 1)
+    def groups(self, band: np.ndarray) -> np.ndarray:
+        """Groups of a band: enough that most sets of it keep some after its largest number of spoilt ones."""
+        top = np.left_shift(np.int64(2), band)
+        return 64 * self.differences(top, self.largest_partner(top)) // 100 + 1
 
     def bands(self, s: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """[(band, differences allowed)] of each size: its own band, and the one below if reachable (else -1)."""
@@ -99,65 +95,68 @@ NEED = 0xFFFFFF  # needs above this count as this: still a bound, only a looser
 def signatures(
     g: np.ndarray, d: np.ndarray, sizes: np.ndarray, scheme: Scheme
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, text index) of the sets (g, d), and (text, instance, non-empty parts, differences allowed); see the module text.
-
-    All non-empty parts are listed.
-    """
-    info: list[np.ndarray] = [np.empty((0, 4), np.int64)]
+    """(signature, text index) of the sets (g, d), and (text, instance, signatures needed); see the module text."""
+    info: list[np.ndarray] = [np.empty((0, 3), np.int64)]
     if not len(g):
         return np.empty(0, U64), np.empty(0, np.int64), info[0]
     inner = tv.mix64(g ^ U64(0xA5A5A5A55A5A5A5A))
     out_s, out_d = [], []
     tag = ~U64(INSTANCE)
-
-    def note(found: np.ndarray, which: np.ndarray, band: np.ndarray, allowed: np.ndarray, single: int) -> None:
-        i = np.flatnonzero(which)
-        info.append(np.column_stack([i, 2 * band[i] + single, found[i], allowed[i]]))
-
     for band, allowed in scheme.bands(sizes):
         here = (band >= 0) & (sizes > 0)
         if not here.any():
             continue
         sel = slice(None) if here.all() else here[d]
         gd, gi = d[sel], inner[sel]
-        n = scheme.parts(np.maximum(band, 0)).astype(U64)[gd]
-        part = ((gi >> U64(32)) * n) >> U64(32)
-        key = (gd.astype(U64) << U64(40)) | part
-        order = np.argsort(key, kind="stable")
-        key, gi_s, gd_s = key[order], gi[order], gd[order]
-        at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        content = np.add.reduceat(tv.mix64(gi_s), at)
-        doc = gd_s[at]
-        b = band[doc].astype(U64)
-        out_s.append(tv.mix64(content ^ (b << U64(56))) & tag | b << U64(1))
-        out_d.append(doc)
-        found = np.bincount(doc, minlength=len(sizes))
-        note(found, here, band, allowed, 0)
-        lacking = here & (found <= allowed)
+        groups = np.where(here, scheme.groups(np.maximum(band, 0)), 0)
+        first = np.concatenate([[0], np.cumsum(groups)])
+        part = (((gi >> U64(32)) * (PARTS * groups)[gd].astype(U64)) >> U64(32)).astype(np.int64) + PARTS * first[gd]
+        content = np.zeros(PARTS * first[-1], U64)
+        np.add.at(content, part, tv.mix64(gi) | U64(1))
+        filled = np.zeros(len(content), bool)
+        filled[part] = True
+        filled, content = filled.reshape(-1, PARTS), content.reshape(-1, PARTS)
+        owner = np.repeat(np.arange(len(sizes)), groups)
+        found = np.bincount(owner[filled.sum(1) >= 2], minlength=len(sizes))
+        whole = content.sum(1, dtype=U64)
+        of = tv.mix64((np.arange(len(owner)) - first[owner]).astype(U64) ^ (band[owner].astype(U64) << U64(56)))  # tells groups apart
+        for i in range(PARTS):
+            some = np.flatnonzero(np.delete(filled, i, 1).any(1))
+            out_s.append(tv.mix64((whole - content[:, i] + of)[some] + U64(i)) & tag | band[owner[some]].astype(U64) << U64(1))
+            out_d.append(owner[some])
+        i = np.flatnonzero(here)
+        info.append(np.column_stack([i, 2 * band[i], np.maximum(found[i] - allowed[i] // 2, 0)]))
+        lacking = here & (found <= allowed // 2)
         if lacking.any():
             sel = lacking[gd]
             ld, li = gd[sel], gi[sel]
             b = band[ld].astype(U64)
             out_s.append(tv.mix64(li ^ (b << U64(56)) ^ U64(0x5EED5EED5EED)) & tag | b << U64(1) | U64(1))
             out_d.append(ld)
-            note(np.bincount(ld, minlength=len(sizes)), lacking, band, allowed, 1)
+            i = np.flatnonzero(lacking)
+            info.append(np.column_stack([i, 2 * band[i] + 1, np.maximum(np.bincount(ld, minlength=len(sizes))[i] - allowed[i], 0)]))
     return np.concatenate(out_s), np.concatenate(out_d), np.concatenate(info)
 
 
 def _emit(k: int, percent: int, buckets: int):
-    """Signatures of a batch, packed by bucket (see blobs); notes: size << 32 | instance << 24 | signatures needed."""
+    """Signatures of a batch, packed by bucket (see blobs); notes: size << 32 | instance << 24 | signatures needed; rows: set sizes."""
     scheme = Scheme(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for turn, batch in enumerate(batches):
-            batch = batch.filter(batch.column(0).is_valid())
             if not batch.num_rows:
                 continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            valid = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offs = tv.buffers(batch.column(1))
-            ss, dd, nd, nv, seen = [np.empty(0, U64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], set()
+            ss, dd, nd, nv, counts = [np.empty(0, U64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
             for x, y in tv.row_blocks(offs):
                 g, d, sizes = shingle_sets(data, offs[x : y + 1], k)
+                counts.append(sizes)
+                known = valid[x:y]
+                if not known.all():
+                    g, d = g[known[d]], d[known[d]]
                 if not len(g):
                     continue
                 # texts with equal sets share a signature of the whole set; only the first lists the others
@@ -173,14 +172,12 @@ def _emit(k: int, percent: int, buckets: int):
                 s, sd, info = signatures(g[keep], d[keep], np.where(fresh, sizes, 0), scheme)
                 ss += [s, all_of]
                 dd += [ids[sd + x], ids[present + x]]
-                need = np.maximum(info[:, 2] - info[:, 3], 0)
                 nd += [ids[info[:, 0] + x], ids[present + x]]
-                nv += [sizes[info[:, 0]] << 32 | info[:, 1] << 24 | np.minimum(need, NEED), sizes[present] << 32 | INSTANCE << 24]
-            yield blobs.pack(np.concatenate(ss), np.concatenate(dd), buckets, turn, np.concatenate(nd), np.concatenate(nv))
+                nv += [sizes[info[:, 0]] << 32 | info[:, 1] << 24 | np.minimum(info[:, 2], NEED), sizes[present] << 32 | INSTANCE << 24]
+            yield blobs.pack(np.concatenate(ss), np.concatenate(dd), buckets, turn, (np.concatenate(nd), np.concatenate(nv)), (ids, valid, np.concatenate(counts)))
 
     return run
 
-
 def _verify(k: int, percent: int):
     """Keeps pairs (a, b, text_a, text_b) with exact Jaccard similarity over the threshold."""
 
@@ -193,10 +190,8 @@ def _verify(k: int, percent: int):
             for x, y in tv.row_blocks(oa + ob, 8 << 20):
                 ga, ia, na = shingle_sets(da, oa[x : y + 1], k)
                 gb, ib, nb = shingle_sets(db, ob[x : y + 1], k)
-                g, i = np.concatenate([ga, gb]), np.concatenate([ia, ib])
-                order = np.lexsort((g, i))
-                g, i = g[order], i[order]
-                inter = np.bincount(i[1:][(g[1:] == g[:-1]) & (i[1:] == i[:-1])], minlength=y - x)
+                key = np.sort(np.concatenate([ia, ib]).astype(U64) << U64(52) | np.concatenate([ga, gb]))
+                inter = np.bincount((key[1:][key[1:] == key[:-1]] >> U64(52)).astype(np.int64), minlength=y - x)
                 ok.append((inter > 0) & (100 * inter >= percent * (na + nb - inter)))
             m = pa.array(np.concatenate(ok))
             yield pa.RecordBatch.from_arrays([b.column(0).filter(m), b.column(1).filter(m)], names=["a", "b"])
@@ -228,82 +223,119 @@ def similar_documents(
     n_buckets = buckets or 8 * scratch.shuffle_partitions(spark)
     packed = src.mapInArrow(_emit(k, percent, n_buckets), blobs.SCHEMA)
     found = scratch.table(packed.groupBy("bucket").applyInArrow(blobs.gather, blobs.MEMBERS), "nj-found")
-    needs = scratch.table(_needs(found), "nj-needs")
-    members = scratch.table(_able(found.where("note is null").select("sig", "doc"), needs), "nj-members")
-
-    texts = scratch.table(src.where("doc is not null").join(members.select("doc").distinct(), "doc", "left_semi"), "nj-texts")
-    sizes = needs.groupBy("doc").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    reps = members.groupBy("sig").agg(F.min("doc").alias("rep"))
-    stars = members.join(reps, "sig").where("doc <> rep").groupBy("doc", "rep").agg(F.count("*").alias("n"))
-    best = stars.groupBy("doc").agg(F.max(F.struct("n", (-F.col("rep")).alias("r"))).alias("m")).select((-F.col("m.r")).alias("a"), F.col("doc").alias("b"))
-    links = _verified(best, texts, k, percent)
+    able = scratch.table(_able(found.where("row is null")), "nj-able")
+    texts = scratch.table(src.join(able.select("doc").distinct(), "doc", "left_semi"), "nj-texts")
+
+    links = _verified(_best_representative(able), texts, k, percent)
     comps = connected_components(links)
+    picked = scratch.table(_picked(able, comps), "nj-picked")
+    scratch.drop(able, links)
+    groups = picked.groupBy("sig").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
+    groups = scratch.table(groups.select("sig", (F.col("n") > MANY).alias("big")), "nj-groups")
+    hot = scratch.table(picked.join(groups.where("big"), "sig").drop("big"), "nj-hot")
+    pairs = _pairs_of_small(picked.join(groups.where("not big"), "sig"), percent).unionByName(_drawn(hot, 0, percent)).distinct()
+    more = _verified(scratch.table(pairs, "nj-rest"), texts, k, percent)
+    comps = _contracted(comps, more)
+    comps = _close_hot(comps, _relabelled(hot, comps), texts, k, percent)
+    rows = found.where("row is not null").select("doc", "row")
+    return rows.join(comps, rows.doc == comps.node, "left").select(F.col("doc").alias("doc_id"), F.col("row").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+
+
+def _able(rows: DataFrame) -> DataFrame:
+    """(doc, inst, m, need, lo, hi) of the documents that share as many signatures of an instance as any link takes.
+
+    m: the signatures, each with a small document that has it; lo, hi: the document's smallest and largest set.
+    """
+    sig, note = F.col("sig"), F.col("note")
+    parts = rows.select(
+        "doc", F.coalesce(sig.bitwiseAND(F.lit(INSTANCE)), F.shiftright(note, 24).bitwiseAND(F.lit(0xFF))).alias("inst"), F.when(sig.isNotNull(), F.struct("sig", "rep")).alias("m"),
+        note.bitwiseAND(F.lit(NEED)).alias("need"), F.shiftright(note, 32).alias("n"))
+    out = parts.groupBy("doc", "inst").agg(F.collect_set("m").alias("m"), F.min("need").alias("need"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    have = F.size(F.array_distinct("m.sig"))
+    return out.where((have > 0) & (have >= F.col("need")))
+
+
+def _best_representative(able: DataFrame) -> DataFrame:
+    """(a, b): each document b with the small document a that it shares most signatures with."""
+    stars = able.select("doc", F.explode("m.rep").alias("rep")).where("doc <> rep").groupBy("doc", "rep").agg(F.count("*").alias("n"))
+    stars = stars.join(able.select(F.col("doc").alias("rep")).distinct(), "rep", "left_semi")
+    return stars.groupBy("doc").agg(F.max(F.struct("n", (-F.col("rep")).alias("r"))).alias("m")).select((-F.col("m.r")).alias("a"), F.col("doc").alias("b"))
+
+
+def _picked(able: DataFrame, comps: DataFrame) -> DataFrame:
+    """(sig, doc, comp, lo, hi): the rarest signatures of documents that may still link to another component.
+
+    A linking pair shares with a foreign component what it needs, so a document
+    with fewer such signatures is out.  Of the pair's shared signatures take the
+    rarest: before it, in either document's order of rarity, stand only ones that
+    the pair does not share.  So each document needs to be looked up by its
+    have - need + 1 rarest signatures alone.
+    """
+    lab = able.join(comps, able.doc == comps.node, "left").select("doc", "inst", "need", "lo", "hi", F.coalesce("component", "doc").alias("comp"), F.explode(F.array_distinct("m.sig")).alias("sig"))
+    mixed = lab.groupBy("sig").agg(F.count("*").alias("freq"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig", "freq")
+    shared = lab.join(mixed, "sig").groupBy("doc", "inst", "need", "lo", "hi", "comp").agg(F.sort_array(F.collect_list(F.struct("freq", "sig"))).alias("l")).where("size(l) >= need")
+    return shared.select("doc", "comp", "lo", "hi", F.explode(F.expr("slice(l.sig, 1, size(l) - need + 1)")).alias("sig"))
+
+
+MANY = 32  # signatures of more documents than this are not expanded into pairs
+BLOCK = 256
+
 
-    rest, hot = _open_pairs(_labelled(members, comps), needs, sizes, percent)
-    more = _verified(scratch.table(rest, "nj-rest"), texts, k, percent).unionByName(_block_links(scratch.table(hot, "nj-hot"), texts, k, percent))
-    # components found so far stand for their members: contract, then close once more
-    over = more.join(comps.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comps.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    top = connected_components(over.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-    all_nodes = comps.select("node", "component").unionByName(
-        top.join(comps.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))
-    final = all_nodes.join(top.select(F.col("node").alias("component"), F.col("component").alias("up")), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
-    info = src.mapInArrow(_scan(k), "doc_id long, n_shingles long")
-    return info.join(final, info.doc_id == final.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+def _fits(a: str, b: str, percent: int) -> Column:
+    """Whether the set sizes of two documents allow a link."""
+    return (F.col(f"{a}hi") * 100 >= F.col(f"{b}lo") * percent) & (F.col(f"{b}hi") * 100 >= F.col(f"{a}lo") * percent)
 
 
-def _needs(found: DataFrame) -> DataFrame:
-    """(doc, inst, need, lo, hi): signatures that a document must share in an instance, and its smallest and largest set."""
-    note = F.col("note")
-    rows = found.where("note is not null").select("doc", F.shiftright(note, 24).bitwiseAND(F.lit(0xFF)).alias("inst"), note.bitwiseAND(F.lit(NEED)).alias("need"), F.shiftright(note, 32).alias("n"))
-    return rows.groupBy("doc", "inst").agg(F.min("need").alias("need"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+def _pairs_of_small(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of documents of different components that share a signature of at most MANY documents."""
+    lists = members.groupBy("sig").agg(F.collect_list(F.struct("doc", "comp", "lo", "hi")).alias("l"))
+    first = lists.select("l", F.explode("l").alias("x"))
+    pairs = first.select("x", F.explode(F.expr("filter(l, y -> y.doc > x.doc and y.comp <> x.comp)")).alias("y"))
+    return pairs.where(_fits("x.", "y.", percent)).select(F.col("x.doc").alias("a"), F.col("y.doc").alias("b"))
 
 
-def _instance() -> Column:
-    return F.col("sig").bitwiseAND(F.lit(INSTANCE)).alias("inst")
+def _drawn(hot: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(a, b): each document b with the document a that it shares most signatures with, among those that come first in this turn's random order of the documents of a signature."""
+    key = F.xxhash64(F.col("doc"), F.lit(turn))
+    firsts = hot.groupBy("sig").agg(F.min(F.struct(key.alias("key"), F.col("doc").alias("a"), F.col("comp").alias("acomp"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"))).alias("f")).select("sig", "f.*")
+    near = hot.join(firsts, "sig").where((F.col("comp") != F.col("acomp")) & _fits("", "a", percent)).groupBy("doc", "a").agg(F.count("*").alias("n"))
+    return near.groupBy("doc").agg(F.max(F.struct("n", "a")).alias("m")).select(F.col("m.a").alias("a"), F.col("doc").alias("b"))
 
 
-def _able(members: DataFrame, needs: DataFrame) -> DataFrame:
-    """The distinct memberships of documents that share as many signatures as any link takes."""
-    rows = members.distinct().select("sig", "doc", _instance())
-    have = rows.groupBy("doc", "inst").agg(F.count("*").alias("have")).join(needs, ["doc", "inst"]).where("have >= need").select("doc", "inst")
-    return rows.join(have, ["doc", "inst"], "left_semi").select("sig", "doc")
+def _contracted(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """comps with the components that links join made one; they stand for their members."""
+    over = links.join(comps.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comps.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    top = connected_components(over.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b").distinct())
+    every = comps.select("node", "component").unionByName(top.join(comps.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))
+    return scratch.table(every.join(top.select(F.col("node").alias("component"), F.col("component").alias("up")), "component", "left").select("node", F.coalesce("up", "component").alias("component")), "nj-comps")
 
 
-def _labelled(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """(sig, doc, comp) of the signatures whose members are in different components."""
-    lab = members.join(comps, members.doc == comps.node, "left").select("sig", "doc", F.coalesce("component", "doc").alias("comp"))
-    mixed = lab.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig")
-    return lab.join(mixed, "sig", "left_semi")
+def _relabelled(hot: DataFrame, comps: DataFrame) -> DataFrame:
+    """hot with its documents' present components, without signatures of one component alone."""
+    now = hot.drop("comp").join(comps, hot.doc == comps.node, "left").select("sig", "doc", "lo", "hi", F.coalesce("component", "doc").alias("comp"))
+    mixed = now.groupBy("sig").agg(F.min("comp").alias("least"), F.max("comp").alias("y")).where("least <> y").drop("y")
+    return scratch.table(now.join(mixed, "sig"), "nj-hot")
 
 
-def _open_pairs(lab: DataFrame, needs: DataFrame, sizes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of documents in different components that may still link, and the documents to compare in blocks.
+def _close_hot(comps: DataFrame, hot: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """comps with all links between documents that share a signature of many documents.
 
-    A linking pair differs in at most D parts, so each side has all but D of its
-    signatures shared with a foreign component; a document with fewer is out.
-    Of the pair's shared signatures take the rarest: before it, in either
-    document's order of rarity, stand only unshared ones, at most D.  So each
-    document needs to be looked up by its D+1 rarest signatures alone, of which
-    those that no foreign component has are known to find nothing.
+    Each turn verifies one pair per document; turns go on while they join at least
+    one in ten of the components that are left.  What is left then is compared in blocks.
     """
-    freq = lab.groupBy("sig").agg(F.count("*").alias("freq"))
-    own = scratch.table(lab.join(freq, "sig").withColumn("inst", _instance()), "nj-lab")
-    have = own.groupBy("doc", "inst").agg(F.count("*").alias("have"))
-    may = have.join(needs.select("doc", "inst", "need"), ["doc", "inst"]).where("have >= need")
-    by_rarity = Window.partitionBy("doc", "inst").orderBy("freq", "sig")
-    picked = own.join(may, ["doc", "inst"]).withColumn("rank", F.row_number().over(by_rarity)).where("rank <= have - need + 1").select("sig", "doc", "comp")
-    m = scratch.table(picked.join(sizes, "doc").select("sig", "doc", "comp", "lo", "hi"), "nj-picked")
-    big = scratch.table(m.groupBy("sig").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where((F.col("n") > MANY) & (F.col("x") != F.col("y"))).select("sig", F.col("x").alias("least")), "nj-big")
-    few = m.join(big, "sig", "left_anti")
-    a = few.select("sig", F.col("doc").alias("a"), F.col("comp").alias("ca"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
-    b = few.select("sig", F.col("doc").alias("b"), F.col("comp").alias("cb"), F.col("lo").alias("lb"), F.col("hi").alias("hb"))
-    fits = (F.col("ha") * 100 >= F.col("lb") * percent) & (F.col("hb") * 100 >= F.col("la") * percent)
-    pairs = a.join(b, "sig").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits).select("a", "b").distinct()
-    return pairs, m.join(big, "sig").select("doc", "comp", "least", "lo", "hi").distinct()
-
-
-MANY = 32  # signatures of more documents than this are compared in blocks
-BLOCK = 256
+    turn = 1
+    while (left := hot.select("comp").distinct().count()) > 1:
+        links = _verified(_drawn(hot, turn, percent), texts, k, percent)
+        if not links.limit(1).count():
+            break
+        comps = _contracted(comps, links)
+        hot = _relabelled(hot, comps)
+        if 10 * hot.select("comp").distinct().count() > 9 * left:
+            break
+        turn += 1
+    if left <= 1 or not hot.limit(1).count():
+        return comps
+    return _contracted(comps, _block_links(hot, texts, k, percent))
 
 
 def _to_blocks(k: int):
@@ -334,7 +366,7 @@ _BLOCKS = "z long, block string, c0 long, c1 long, n0 long, n1 long, docs binary
 
 
 def _between(percent: int):
-    """Links between the documents of two blocks: one for each two components."""
+    """Links between the documents of two blocks: a spanning forest of the components that they join."""
 
     def side(b: pa.RecordBatch, i: int, s: str) -> tuple[np.ndarray, ...]:
         get = lambda c, t: np.frombuffer(b[f"{c}{s}"][i].as_py(), t)
@@ -361,19 +393,36 @@ def _between(percent: int):
                 inter = inter.astype(np.int64)
                 hit = (inter > 0) & (100 * inter >= percent * (na[:, None] + nb[None] - inter)) & (ca[:, None] != cb[None])
                 x, y = np.nonzero(hit)
-                _, one = np.unique(np.column_stack([ca[x], cb[y]]), axis=0, return_index=True)
+                one = _forest(ca[x], cb[y])
                 yield pa.RecordBatch.from_arrays([pa.array(da[x[one]]), pa.array(db[y[one]])], names=["a", "b"])
 
     return run
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Indices of edges (a, b) that span what all of them join."""
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    up = list(range(len(names)))
+    kept = []
+    for i, (u, v) in enumerate(ends.reshape(2, -1).T.tolist()):
+        while up[u] != u:
+            up[u] = u = up[up[u]]
+        while up[v] != v:
+            up[v] = v = up[up[v]]
+        if u != v:
+            up[u] = v
+            kept.append(i)
+    return np.array(kept, np.int64)
+
+
 def _block_links(hot: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between different components of documents that share a signature of many documents.
 
     Components that such signatures connect form a neighbourhood z.  Its documents
     are packed in blocks, in the order of their components; blocks are compared
     two by two inside tasks, unless both hold only one and the same component or
-    their sizes are too far apart.  Pairs are never emitted, only links.
+    their sizes are too far apart.  Pairs are never emitted, only
+    a spanning forest of the links between two blocks.
     """
     spark = hot.sparkSession
     joined = connected_components(hot.select(F.col("comp").alias("a"), F.col("least").alias("b")).distinct(), loops=True)

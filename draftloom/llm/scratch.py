@@ -1,19 +1,22 @@
 """Intermediate tables in the folder that driver and executors share.
 
-The folder is named by ``spark.checkpoint.dir``; only where that is unset (tests
-on one machine) a temporary folder is used.  A written table cuts the lineage
-and survives the loss of executors.
+The folder is named by ``spark.checkpoint.dir``; only on a local master, where all
+run on one machine, may it be unset.  A written table cuts the lineage and
+survives the loss of executors.  ``drop`` removes tables that nothing reads any more.
 """
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark then drops the shuffle files of a plan at the end of its run.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 _local: list[str] = []
 
 
@@ -21,30 +24,46 @@ def shared_dir(spark: SparkSession) -> str:
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
         return d.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _local:
         _local.append(tempfile.mkdtemp(prefix="spark-scratch-"))
     return f"file://{_local[0]}"
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files that no plan needs any more.
-
-    It does so when the driver's garbage is collected, which else may come long
-    after a written table has cut the lineage that they belong to.
-    """
-    for _ in range(2):  # the plan of the last job is let go a moment after its end
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.1)
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """What runs inside leaves no shuffle files behind: its result is written, so no later plan reads them."""
+    old = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, old)
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write df and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    free_shuffles(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    with freed_shuffles(spark):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes written tables whose readers have all been written themselves."""
+    for t in tables:
+        spark = t.sparkSession
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
