@@ -22,6 +22,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         "cc-edges",
     )
     labels = scratch.table(both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("component")), "cc-0")
+    last = labels
     for k in range(max_rounds):
         near = (
             both.join(labels.select(F.col("node").alias("dst"), "component"), "dst")
@@ -35,7 +36,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         new = joined.join(jump, joined.c1 == jump.via, "left").select("node", "old", F.least("c1", "c2").alias("component"))
         new = scratch.table(new, f"cc-{k + 1}")
         changed = new.where("old <> component").limit(1).count()
-        labels = new.select("node", "component")
+        scratch.drop(last)
+        last, labels = new, new.select("node", "component")
         if not changed:
+            scratch.drop(both)
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -220,24 +220,27 @@ def similar_documents(
     """
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    n_buckets = buckets or 8 * scratch.shuffle_partitions(spark)
-    packed = src.mapInArrow(_emit(k, percent, n_buckets), blobs.SCHEMA)
+    tasks = scratch.tasks_for(src)
+    n_buckets = buckets or 4 * tasks
+    packed = src.mapInArrow(_emit(k, percent, n_buckets), blobs.SCHEMA).repartition(tasks, "bucket")
     found = scratch.table(packed.groupBy("bucket").applyInArrow(blobs.gather, blobs.MEMBERS), "nj-found")
+    rows = scratch.table(found.where("row is not null").select("doc", "row"), "nj-rows")
     able = scratch.table(_able(found.where("row is null")), "nj-able")
+    scratch.drop(found)
     texts = scratch.table(src.join(able.select("doc").distinct(), "doc", "left_semi"), "nj-texts")
 
     links = _verified(_best_representative(able), texts, k, percent)
     comps = connected_components(links)
-    picked = scratch.table(_picked(able, comps), "nj-picked")
+    mixed = scratch.table(_mixed(able, comps), "nj-mixed")
     scratch.drop(able, links)
-    groups = picked.groupBy("sig").agg(F.count("*").alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
-    groups = scratch.table(groups.select("sig", (F.col("n") > MANY).alias("big")), "nj-groups")
-    hot = scratch.table(picked.join(groups.where("big"), "sig").drop("big"), "nj-hot")
-    pairs = _pairs_of_small(picked.join(groups.where("not big"), "sig"), percent).unionByName(_drawn(hot, 0, percent)).distinct()
-    more = _verified(scratch.table(pairs, "nj-rest"), texts, k, percent)
-    comps = _contracted(comps, more)
-    comps = _close_hot(comps, _relabelled(hot, comps), texts, k, percent)
-    rows = found.where("row is not null").select("doc", "row")
+    hot = mixed.where("big").groupBy("doc", "comp", "lo", "hi").agg(F.collect_list("sig").alias("sigs"), F.collect_set("least").alias("leasts"))
+    hot = scratch.table(hot, "nj-hot")
+    pairs = _pairs_of_small(mixed.where("not big"), percent).unionByName(_drawn(hot, 0, percent)).distinct()
+    pairs = scratch.table(pairs, "nj-pairs")
+    scratch.drop(mixed)
+    comps = _contracted(comps, _verified(pairs, texts, k, percent))
+    comps = _close_hot(comps, hot, texts, k, percent)
+    scratch.drop(hot, pairs, texts)
     return rows.join(comps, rows.doc == comps.node, "left").select(F.col("doc").alias("doc_id"), F.col("row").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
 
@@ -262,19 +265,23 @@ def _best_representative(able: DataFrame) -> DataFrame:
     return stars.groupBy("doc").agg(F.max(F.struct("n", (-F.col("rep")).alias("r"))).alias("m")).select((-F.col("m.r")).alias("a"), F.col("doc").alias("b"))
 
 
-def _picked(able: DataFrame, comps: DataFrame) -> DataFrame:
-    """(sig, doc, comp, lo, hi): the rarest signatures of documents that may still link to another component.
+def _mixed(able: DataFrame, comps: DataFrame) -> DataFrame:
+    """(sig, doc, comp, lo, hi, big, least): signatures to look documents up by that may still link to another component.
 
     A linking pair shares with a foreign component what it needs, so a document
     with fewer such signatures is out.  Of the pair's shared signatures take the
     rarest: before it, in either document's order of rarity, stand only ones that
     the pair does not share.  So each document needs to be looked up by its
-    have - need + 1 rarest signatures alone.
+    have - need + 1 rarest signatures alone.  big: more than MANY documents look a
+    signature up; least: the smallest of its components.
     """
     lab = able.join(comps, able.doc == comps.node, "left").select("doc", "inst", "need", "lo", "hi", F.coalesce("component", "doc").alias("comp"), F.explode(F.array_distinct("m.sig")).alias("sig"))
-    mixed = lab.groupBy("sig").agg(F.count("*").alias("freq"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig", "freq")
-    shared = lab.join(mixed, "sig").groupBy("doc", "inst", "need", "lo", "hi", "comp").agg(F.sort_array(F.collect_list(F.struct("freq", "sig"))).alias("l")).where("size(l) >= need")
-    return shared.select("doc", "comp", "lo", "hi", F.explode(F.expr("slice(l.sig, 1, size(l) - need + 1)")).alias("sig"))
+    foreign = lab.groupBy("sig").agg(F.count("*").alias("freq"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig", "freq")
+    shared = lab.join(foreign, "sig").groupBy("doc", "inst", "need", "lo", "hi", "comp").agg(F.sort_array(F.collect_list(F.struct("freq", "sig"))).alias("l")).where("size(l) >= need")
+    picked = scratch.table(shared.select("doc", "comp", "lo", "hi", F.expr("slice(l.sig, 1, size(l) - need + 1)").alias("sigs")), "nj-picked")
+    members = picked.select("doc", "comp", "lo", "hi", F.explode("sigs").alias("sig"))
+    groups = members.groupBy("sig").agg(F.count("*").alias("n"), F.min("comp").alias("least"), F.max("comp").alias("y")).where("least <> y")
+    return members.join(groups.select("sig", "least", (F.col("n") > MANY).alias("big")), "sig")
 
 
 MANY = 32  # signatures of more documents than this are not expanded into pairs
@@ -295,11 +302,17 @@ def _pairs_of_small(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _drawn(hot: DataFrame, turn: int, percent: int) -> DataFrame:
-    """(a, b): each document b with the document a that it shares most signatures with, among those that come first in this turn's random order of the documents of a signature."""
+    """(a, b): a draw of one partner a for each document b of hot.
+
+    In an order of this turn's own, each document takes the first of its
+    signatures, as in min-hashing; of the documents that took the same one the
+    first is the others' partner.
+    """
+    taken = F.array_min(F.transform("sigs", lambda x: F.struct(F.xxhash64(x, F.lit(turn)).alias("key"), x.alias("sig"))))["sig"]
+    draws = hot.select("doc", "comp", "lo", "hi", taken.alias("sig"))
     key = F.xxhash64(F.col("doc"), F.lit(turn))
-    firsts = hot.groupBy("sig").agg(F.min(F.struct(key.alias("key"), F.col("doc").alias("a"), F.col("comp").alias("acomp"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"))).alias("f")).select("sig", "f.*")
-    near = hot.join(firsts, "sig").where((F.col("comp") != F.col("acomp")) & _fits("", "a", percent)).groupBy("doc", "a").agg(F.count("*").alias("n"))
-    return near.groupBy("doc").agg(F.max(F.struct("n", "a")).alias("m")).select(F.col("m.a").alias("a"), F.col("doc").alias("b"))
+    firsts = draws.groupBy("sig").agg(F.min(F.struct(key.alias("key"), F.col("doc").alias("a"), F.col("comp").alias("acomp"), F.col("lo").alias("alo"), F.col("hi").alias("ahi"))).alias("f")).select("sig", "f.*")
+    return draws.join(firsts, "sig").where((F.col("comp") != F.col("acomp")) & _fits("", "a", percent)).select("a", F.col("doc").alias("b"))
 
 
 def _contracted(comps: DataFrame, links: DataFrame) -> DataFrame:
@@ -310,36 +323,34 @@ def _contracted(comps: DataFrame, links: DataFrame) -> DataFrame:
     return scratch.table(every.join(top.select(F.col("node").alias("component"), F.col("component").alias("up")), "component", "left").select("node", F.coalesce("up", "component").alias("component")), "nj-comps")
 
 
-def _relabelled(hot: DataFrame, comps: DataFrame) -> DataFrame:
-    """hot with its documents' present components, without signatures of one component alone."""
-    now = hot.drop("comp").join(comps, hot.doc == comps.node, "left").select("sig", "doc", "lo", "hi", F.coalesce("component", "doc").alias("comp"))
-    mixed = now.groupBy("sig").agg(F.min("comp").alias("least"), F.max("comp").alias("y")).where("least <> y").drop("y")
-    return scratch.table(now.join(mixed, "sig"), "nj-hot")
-
-
 def _close_hot(comps: DataFrame, hot: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """comps with all links between documents that share a signature of many documents.
 
-    Each turn verifies one pair per document; turns go on while they join at least
-    one in ten of the components that are left.  What is left then is compared in blocks.
+    Each turn verifies one drawn pair per document; turns go on while they join
+    one in FEW of the components that are left.  What is left then is compared in blocks.
     """
-    turn = 1
-    while (left := hot.select("comp").distinct().count()) > 1:
-        links = _verified(_drawn(hot, turn, percent), texts, k, percent)
-        if not links.limit(1).count():
+    left, turn = None, 1
+    while True:
+        now = hot.drop("comp").join(comps, hot.doc == comps.node, "left").select("doc", "lo", "hi", "sigs", "leasts", F.coalesce("component", "doc").alias("comp"))
+        now = scratch.table(now, "nj-hot-now")
+        before, left = left, now.select("comp").distinct().count()
+        if left < 2 or (before is not None and (before - left) * FEW < before):
             break
+        links = _verified(_drawn(now, turn, percent), texts, k, percent)
         comps = _contracted(comps, links)
-        hot = _relabelled(hot, comps)
-        if 10 * hot.select("comp").distinct().count() > 9 * left:
-            break
+        scratch.drop(now, links)
         turn += 1
-    if left <= 1 or not hot.limit(1).count():
-        return comps
-    return _contracted(comps, _block_links(hot, texts, k, percent))
+    if left > 1:
+        comps = _contracted(comps, _block_links(now, comps, texts, k, percent))
+    scratch.drop(now)
+    return comps
+
+
+FEW = 20
 
 
 def _to_blocks(k: int):
-    """Rows (z, doc, comp, text) in the order of z and comp -> blocks of at most BLOCK documents of one z."""
+    """Rows (z, comp, doc, text), sorted by z -> blocks of at most BLOCK documents of one z."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -415,21 +426,26 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def _block_links(hot: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+def _block_links(hot: DataFrame, comps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between different components of documents that share a signature of many documents.
 
     Components that such signatures connect form a neighbourhood z.  Its documents
-    are packed in blocks, in the order of their components; blocks are compared
-    two by two inside tasks, unless both hold only one and the same component or
-    their sizes are too far apart.  Pairs are never emitted, only
-    a spanning forest of the links between two blocks.
+    are packed in blocks, in the order of their sizes' band and their components;
+    blocks are compared two by two inside tasks, unless both hold only one and the
+    same component or their sizes are too far apart.  Pairs are never emitted,
+    only a spanning forest of the links between two blocks.
     """
     spark = hot.sparkSession
-    joined = connected_components(hot.select(F.col("comp").alias("a"), F.col("least").alias("b")).distinct(), loops=True)
-    docs = hot.select("doc", "comp").distinct().join(joined, hot["comp"] == joined.node).select("doc", "comp", F.col("component").alias("z"))
-    rows = docs.join(texts, "doc").select("z", "comp", "doc", "text")
+    edges = hot.select("comp", F.explode("leasts").alias("least")).distinct()
+    edges = edges.join(comps, edges.least == comps.node, "left").select(F.col("comp").alias("a"), F.coalesce("component", "least").alias("b")).distinct()
+    near = connected_components(edges, loops=True)
+    open_ = near.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    near = near.join(open_, "component").select("node", F.col("component").alias("z"))
+    docs = hot.join(near, hot["comp"] == near.node).select("doc", "comp", "lo", "z")
+    band = F.floor(F.log(F.col("lo").cast("double")) / F.lit(float(np.log(100 / percent)) if percent < 100 else 1.0))
+    rows = docs.join(texts, "doc").select("z", band.alias("band"), "comp", "doc", "text")
     parts = scratch.shuffle_partitions(spark)
-    blocks = scratch.table(rows.repartitionByRange(parts, "z", "comp", "doc").sortWithinPartitions("z", "comp", "doc").mapInArrow(_to_blocks(k), _BLOCKS), "nj-blocks")
+    blocks = scratch.table(rows.repartitionByRange(parts, "z", "band", "comp", "doc").sortWithinPartitions("z", "band", "comp", "doc").drop("band").mapInArrow(_to_blocks(k), _BLOCKS), "nj-blocks")
     light = blocks.select("z", "block", "c0", "c1", "n0", "n1")
     a = light.select("z", *[F.col(c).alias(f"{c}_a") for c in ("block", "c0", "c1", "n0", "n1")])
     b = light.select("z", *[F.col(c).alias(f"{c}_b") for c in ("block", "c0", "c1", "n0", "n1")])
@@ -439,7 +455,9 @@ def _block_links(hot: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
     body = ("docs", "comps", "sizes", "sets")
     left = blocks.select(F.col("block").alias("block_a"), *[F.col(c).alias(f"{c}_a") for c in body])
     right = blocks.select(F.col("block").alias("block_b"), *[F.col(c).alias(f"{c}_b") for c in body])
-    return scratch.table(pairs.join(left, "block_a").join(right, "block_b").mapInArrow(_between(percent), "a long, b long"), "nj-block-links")
+    links = scratch.table(pairs.join(left, "block_a").join(right, "block_b").mapInArrow(_between(percent), "a long, b long"), "nj-block-links")
+    scratch.drop(blocks)
+    return links
 
 
 def representatives(docs: DataFrame, **options) -> DataFrame:

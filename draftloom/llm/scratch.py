@@ -68,3 +68,8 @@ def drop(*tables: DataFrame) -> None:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def tasks_for(df: DataFrame) -> int:
+    """How many tasks to deal df's rows out to: no fewer than it is read in, so that a task's share does not grow with the table."""
+    return max(shuffle_partitions(df.sparkSession), df.rdd.getNumPartitions())
