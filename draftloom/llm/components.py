@@ -2,43 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, loops: bool = False) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100, loops: bool = False) -> DataFrame:
     """(node, component) for every node that has an edge (with loops: also one to itself); component is its smallest node.
 
-    Each round hooks every node to the smallest label around it and then follows
-    that label's own label (pointer jumping), so chains halve and stars end at
-    once.  State is one row per node, written each round; the joins are plain
-    equi-joins whose hot keys AQE splits, and the minimum is combined map-side.
+    The graph is contracted: each round every node goes to the first node around
+    it, and edges are drawn between what their ends went to; edges within one
+    node are gone.  In the first round the order is that of the ids, so stars
+    around a smallest node end at once; later it is a random one of the round's
+    own, so that long chains shrink by a constant share.  Where a node went is then
+    followed through all rounds.  The joins are plain equi-joins whose hot keys
+    AQE splits, and the minimum is combined map-side.
     """
-    kept = edges if loops else edges.where(F.col(a) != F.col(b))
-    both = scratch.table(
-        kept.select(F.col(a).alias("src"), F.col(b).alias("dst")).unionByName(kept.select(F.col(b).alias("src"), F.col(a).alias("dst"))).distinct(),
-        "cc-edges",
-    )
-    labels = scratch.table(both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("component")), "cc-0")
-    last = labels
-    for k in range(max_rounds):
-        near = (
-            both.join(labels.select(F.col("node").alias("dst"), "component"), "dst")
-            .groupBy("src").agg(F.min("component").alias("near"))
-        )
-        hooked = labels.join(near, labels.node == near.src, "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("mid"))
-        # what a label's own node has learnt is passed to all who carry that label
-        roots = hooked.groupBy("old").agg(F.min("mid").alias("best")).select(F.col("old").alias("root"), "best")
-        joined = hooked.join(roots, hooked.old == roots.root, "left").select("node", "old", F.least("mid", "best").alias("c1"))
-        jump = labels.select(F.col("node").alias("via"), F.col("component").alias("c2"))
-        new = joined.join(jump, joined.c1 == jump.via, "left").select("node", "old", F.least("c1", "c2").alias("component"))
-        new = scratch.table(new, f"cc-{k + 1}")
-        changed = new.where("old <> component").limit(1).count()
-        scratch.drop(last)
-        last, labels = new, new.select("node", "component")
-        if not changed:
-            scratch.drop(both)
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    both = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
+    left = scratch.table(both.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges")
+    alone = both.where("a = b").select(F.col("a").alias("node")).distinct() if loops else None
+    went: list[DataFrame] = []
+    while left.limit(1).count():
+        if len(went) == max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        turn = len(went)
+
+        def place(c: str, turn: int = turn) -> Column:
+            return F.struct((F.xxhash64(F.col(c), F.lit(turn)) if turn else F.col(c)).alias("key"), F.col(c).alias("node"))
+
+        ends = left.select(F.col("a").alias("node"), place("b").alias("near")).unionByName(left.select(F.col("b").alias("node"), place("a").alias("near")))
+        to = scratch.table(ends.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("near", place("node"))["node"].alias("to")), f"cc-{turn}")
+        drawn = left.join(to.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a").join(to.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b").where("ta <> tb")
+        less = scratch.table(drawn.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "cc-edges")
+        scratch.drop(left)
+        went.append(to)
+        left = less
+    if not went:
+        found = left.select(F.col("a").alias("node"), F.col("a").alias("component"))
+    else:
+        at = went[0].select("node", F.col("to").alias("root"))
+        for to in went[1:]:
+            at = at.join(to.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        at = scratch.table(at, "cc-roots")
+        least = at.groupBy("root").agg(F.min("node").alias("component"))
+        found = scratch.table(at.join(least, "root").select("node", "component"), "cc-found")
+        scratch.drop(at, *went)
+    if loops:
+        found = found.unionByName(alone.join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))
+    return found
