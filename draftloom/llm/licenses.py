@@ -1,27 +1,23 @@
 """License scan by diagonal voting.
 
-Every rolling word k-gram of a text that also occurs in a template is joined in
-Spark to its template positions.  A copy of the template puts its hits on one
-diagonal (text position minus template position); inserted or missing words
-shift the rest to a neighbouring one.  Hits are aggregated by diagonal,
-neighbouring diagonals are merged, and a span counts if enough of the
-template's k-grams are hit.  A phrase is a template whose k-grams must all be
-hit on a single diagonal.
+The hash of every rolling word k-gram of a text is joined in Spark to the
+positions that it has in the templates, a fixed table.  A copy of a template
+puts its hits on one diagonal (text position minus template position); inserted
+or missing words shift the rest to a neighbouring one.  Hits are aggregated by
+diagonal, neighbouring diagonals are merged, and a merged span counts if enough
+of the template's k-grams vote for it, each once.  Then the span is verified:
+its words and the template's are aligned, and enough of the template's words
+must stand in it in their order.  A phrase is a template whose k-grams must all
+vote on a single diagonal.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import scratch
-from . import textvec as tv
-
-U64 = np.uint64
 
 #: Fixed phrases and their labels.
 PHRASES: tuple[tuple[str, str], ...] = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -44,83 +40,96 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 )
 
 
-def _grams_of(text: str, k: int) -> np.ndarray:
-    data = np.frombuffer(text.encode(), np.uint8)
-    return tv.kgrams(tv.words(data, np.array([0, len(data)], np.int64), tv.NOT_ALNUM, lower=True).h, k)
+def words_of(text: Column) -> Column:
+    """A-Z lower-cased, then words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``."""
+    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.array_remove(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
+
+
+def word_hashes(text: Column) -> Column:
+    return F.transform(words_of(text), lambda w: F.xxhash64(w))
 
 
-def template_rows(phrases: tuple = PHRASES, templates: tuple = TEMPLATES, k: int = 3) -> list[tuple]:
-    """(seed, template, label, whole, grams, words, template position)."""
-    rows = []
-    for i, (text, label) in enumerate((*phrases, *templates)):
-        n = len(text.split())
-        size = min(k, n)
-        g = _grams_of(text, size).view(np.int64).tolist()
-        rows += [(h, i, label, i < len(phrases), len(g), n, pos) for pos, h in enumerate(g)]
-    return rows
+def _gram(k: int) -> Column:
+    """Hash of the k words of h from pos on; null beyond the end."""
+    return F.when(F.col("pos") + k <= F.size("h"), F.xxhash64(*[F.get("h", F.col("pos") + i) for i in range(k)]))
 
 
-_TEMPLATE_SCHEMA = "seed long, template int, label string, phrase boolean, grams int, words int, tpos int"
+def _grams(rows: DataFrame, sizes: tuple[int, ...], *keep: str) -> DataFrame:
+    """(keep..., h, pos, k, seed): every rolling k-gram of h, made by generators that do not copy h."""
+    spread = rows.where(F.size("h") >= min(sizes)).select(*keep, "h", F.explode(F.sequence(F.lit(0), F.size("h") - min(sizes))).alias("pos"))
+    both = F.array(*[F.struct(F.lit(k).alias("k"), _gram(k).alias("seed")) for k in sizes])
+    return spread.select(*keep, "h", "pos", F.inline(both)).where("seed is not null")
 
 
-def _hits(sizes: tuple[int, ...], seeds: np.ndarray):
-    """Per text its word count and the k-grams that some template has."""
+_TEMPLATE = "template int, label string, phrase boolean, text string"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offs = tv.buffers(b.column(1))
-            for x, y in tv.row_blocks(offs):
-                w = tv.words(data, offs[x : y + 1], tv.NOT_ALNUM, lower=True)
-                doc = w.doc_of()
-                hh, dd, pp = [], [], []
-                for k in sizes:
-                    g = tv.kgrams(w.h, k)
-                    at = np.minimum(np.searchsorted(seeds, g), len(seeds) - 1)
-                    i = np.flatnonzero(seeds[at] == g)
-                    i = i[doc[i] == doc[i + k - 1]]
-                    hh.append(g[i])
-                    dd.append(doc[i])
-                    pp.append(i - w.first[doc[i]])
-                h, d, p = (np.concatenate(v) for v in (hh, dd, pp))
-                order = np.lexsort((p, d))
-                h, d, p = h[order], d[order], p[order]
-                cut = np.searchsorted(d, np.arange(y - x + 1)).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(cut), pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(p)], names=["seed", "pos"]))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), pa.array(w.counts), lists], names=["doc_id", "n_words", "hits"])
 
-    return run
+def template_table(spark: SparkSession, phrases: tuple = PHRASES, templates: tuple = TEMPLATES, k: int = 3) -> DataFrame:
+    """(template, label, phrase, words, grams, th, k, seed, tpos): a row per k-gram of each template; th: its words' hashes."""
+    rows = [(i, label, i < len(phrases), text) for i, (text, label) in enumerate((*phrases, *templates))]
+    t = spark.createDataFrame(rows, _TEMPLATE).withColumn("h", word_hashes(F.col("text"))).withColumn("words", F.size("h")).withColumn("own", F.least(F.lit(k), F.col("words")))
+    sizes = tuple(sorted({min(k, len(r[3].split())) for r in rows}))
+    grams = _grams(t, sizes, "template", "label", "phrase", "words", "own").where("k = own")
+    return grams.select("template", "label", "phrase", "words", (F.col("words") - F.col("own") + 1).alias("grams"), F.col("h").alias("th"), "k", "seed", F.col("pos").alias("tpos"))
+
+
+def in_order(a: list[int], b: list[int]) -> int:
+    """How many words of a stand in b in their order (longest common subsequence)."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
 
 
 def scan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: tuple = PHRASES, templates: tuple = TEMPLATES,
     k: int = 3, drift: int = 3, share: float = 0.6,
 ) -> tuple[DataFrame, DataFrame]:
-    """(texts, spans): texts has (row, doc_id, n_words), spans one row per place found:
-    (row, template, label, phrase, first, last, coverage), words counted from 0.
+    """(texts, spans): texts has (k1, k2, doc_id, n_words), a row per row of docs, and spans one per place found in
+    a text: (k1, k2, template, label, phrase, first, last, coverage), words counted from 0.  (k1, k2) is the text's hash.
 
     drift: diagonals this far apart, at most, may belong to one copy.
-    share: part of a template's k-grams that a span must have.
+    share: part of a template's k-grams that must vote for a span, and part of its
+    words that must stand in it in order; coverage is the latter.
+    The templates are few and fixed, whatever the corpus; their table is broadcast.
     """
     spark = docs.sparkSession
-    rows = template_rows(phrases, templates, k)
-    table = spark.createDataFrame(rows, _TEMPLATE_SCHEMA)
-    seeds = np.unique(np.array([r[0] for r in rows], np.int64).view(U64))
-    sizes = tuple(sorted({min(k, r[5]) for r in rows}))
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    found = src.mapInArrow(_hits(sizes, seeds), "doc_id long, n_words long, hits array<struct<seed: long, pos: long>>")
-    found = scratch.table(found.withColumn("row", F.monotonically_increasing_id()), "license-hits")
-    hits = found.select("row", F.inline("hits")).join(F.broadcast(table), "seed")  # a fixed list of templates
-    diag = hits.withColumn("diag", F.col("pos") - F.col("tpos")).groupBy("row", "template", "label", "phrase", "grams", "words", "diag").agg(
-        F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.count_distinct("tpos").alias("n"))
-    whole = diag.where("phrase and n = grams").select("row", "template", "label", "phrase", F.col("diag").alias("first"), (F.col("diag") + F.col("words") - 1).alias("last"), F.lit(1.0).alias("coverage"))
+    table = scratch.table(template_table(spark, phrases, templates, k), "license-templates")
+    sizes = tuple(r[0] for r in table.select("k").distinct().orderBy("k").collect())
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keys = [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(2), text).alias("k2")]
+    # hits take the words around their diagonal along, for the verification
+    hits = _grams(docs.select(*keys, word_hashes(text).alias("h")), sizes, "k1", "k2").join(F.broadcast(table), ["k", "seed"])
+    lo = F.greatest(F.col("pos") - F.col("tpos") - F.col("words"), F.lit(0))
+    hits = hits.select(
+        "k1", "k2", "template", "label", "phrase", "grams", "words", "th", "pos", "tpos", (F.col("pos") - F.col("tpos")).alias("diag"), lo.alias("near_at"),
+        F.when(~F.col("phrase"), F.slice("h", lo + 1, 3 * F.col("words"))).alias("near"))
+    diag = hits.groupBy("k1", "k2", "template", "label", "phrase", "grams", "words", "th", "diag", "near_at").agg(
+        F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_set("tpos").alias("votes"), F.first("near").alias("near"))
+    texts = docs.select(*keys, F.col(id_col).cast("long").alias("doc_id"), F.size(words_of(text)).cast("long").alias("n_words"))
+    diag = scratch.table(diag, "license-diagonals")
+    whole = diag.where(F.col("phrase") & (F.size("votes") == F.col("grams"))).select(
+        "k1", "k2", "template", "label", "phrase", F.col("diag").cast("long").alias("first"), (F.col("diag") + F.col("words") - 1).cast("long").alias("last"), F.lit(1.0).alias("coverage"))
     # one copy's pieces follow each other closely in the text
-    order = Window.partitionBy("row", "template").orderBy("lo", "diag")
-    cut = (F.col("diag") - F.lag("diag").over(order) > drift) | (F.col("diag") - F.lag("diag").over(order) < -drift) | (F.col("lo") - F.lag("hi").over(order) > F.col("words"))
+    order = Window.partitionBy("k1", "k2", "template").orderBy("lo", "diag")
+    cut = (F.abs(F.col("diag") - F.lag("diag").over(order)) > drift) | (F.col("lo") - F.lag("hi").over(order) > F.col("words"))
     parts = diag.where("not phrase").withColumn("new", F.coalesce(cut.cast("int"), F.lit(1))).withColumn("piece", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = parts.groupBy("row", "template", "label", "phrase", "piece").agg(
-        F.min("lo").alias("first"), F.max("hi").alias("hi"), (F.least(F.sum("n"), F.first("grams")) / F.first("grams")).alias("coverage"))
-    long = merged.where(F.col("coverage") >= share).select("row", "template", "label", "phrase", "first", (F.col("hi") + k - 1).alias("last"), "coverage")
-    return found.select("row", "doc_id", "n_words"), whole.unionByName(long)
+    merged = parts.groupBy("k1", "k2", "template", "label", "phrase", "piece", "grams", "words", "th").agg(
+        F.min("lo").alias("first"), (F.max("hi") + k - 1).alias("last"), F.size(F.array_distinct(F.flatten(F.collect_list("votes")))).alias("votes"),
+        F.min_by(F.struct("near_at", "near"), "lo").alias("n"))
+    voted = merged.where(F.col("votes") >= F.col("grams") * share)
+
+    @F.pandas_udf("double")
+    def verified(template: pd.Series, span: pd.Series) -> pd.Series:
+        return pd.Series([in_order(list(a), list(b)) / len(a) for a, b in zip(template, span)])
+
+    span = F.slice("n.near", F.col("first") - F.col("n.near_at") + 1, F.least(F.col("last") - F.col("first") + 1, 2 * F.col("words")))
+    checked = voted.withColumn("coverage", verified("th", span)).where(F.col("coverage") >= share)
+    long = checked.select("k1", "k2", "template", "label", "phrase", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "coverage")
+    return texts, whole.unionByName(long)
 
 
 def license_labels(docs: DataFrame, **options) -> DataFrame:
@@ -135,10 +144,10 @@ def license_labels(docs: DataFrame, **options) -> DataFrame:
     """
     texts, spans = scan(docs, **options)
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    per = spans.groupBy("row").agg(
+    per = spans.groupBy("k1", "k2").agg(
         F.count_if("phrase").alias("n_base"), F.min(F.when(F.col("phrase"), F.col("first"))).alias("first_word"), F.max(F.when(F.col("phrase"), F.col("first"))).alias("last_word"),
         joined(F.when(F.col("phrase"), F.col("label"))).alias("base_labels"), joined("label").alias("labels"), F.max("coverage").alias("score"))
-    return texts.join(per, "row", "left").select(
+    return texts.join(per, ["k1", "k2"], "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
