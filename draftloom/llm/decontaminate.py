@@ -35,8 +35,9 @@ def word_list(text: Column) -> Column:
 
 
 def _texts(df: DataFrame, text_col: str) -> DataFrame:
+    """df's text as __t and its hash (__k1, __k2), beside its other columns, of which those of these names go."""
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return df.withColumn("__k1", F.xxhash64(t)).withColumn("__k2", F.xxhash64(F.lit(2), t)).withColumn("__t", t)
+    return df.withColumns({"__k1": F.xxhash64(t), "__k2": F.xxhash64(F.lit(2), t), "__t": t})
 
 
 def _seeds(df: DataFrame, masks: tuple[str, ...], *keep: str) -> DataFrame:
@@ -91,16 +92,46 @@ def masks_for(lengths: list[int], window: int = 13, share: float = 0.75) -> dict
     return served
 
 
+def word_hashes(text: Column) -> Column:
+    return F.transform(word_list(text), lambda w: F.xxhash64(w))
+
+
+def _window_at(offset: Column, item: str = "ih", doc: str = "h") -> tuple[Column, Column, Column]:
+    """(first aligned word of the item, the item's aligned words, the text's) of an alignment; texts cut at their edges."""
+    start = F.greatest(F.lit(0), -offset)
+    length = F.greatest(F.least(F.size(item), F.size(doc) - offset) - start, F.lit(0))
+    return start, F.slice(item, start + 1, length), F.slice(doc, start + offset + 1, length)
+
+
+def _alignments(rows: DataFrame, items: DataFrame, seeds: DataFrame, masks: tuple[str, ...], broadcast_rows: int) -> DataFrame:
+    """(__k1, __k2, item_id, offset, own, other): the aligned words of every text and item that share a seed, once per offset.
+
+    A benchmark of few seeds is broadcast, and the words around a hit are cut out
+    right there.  For a larger one the seeds are joined by shuffle, without the
+    words; then each text, once, meets the list of its hits and is cut.
+    """
+    key = ["__k1", "__k2"]
+    own = items.select("item_id", F.col("h").alias("ih"))
+    cut = lambda df: df.select(*key, "item_id", "offset", *[c.alias(n) for c, n in zip(_window_at(F.col("offset"))[1:], ("own", "other"))])
+    found = _seeds(rows, masks, *key, "h")
+    if seeds.count() <= broadcast_rows:
+        hits = found.join(F.broadcast(seeds.join(own, "item_id")), ["mask", "seed"]).withColumn("offset", F.col("pos") - F.col("item_pos"))
+        return cut(hits).groupBy(*key, "item_id", "offset").agg(F.first("own").alias("own"), F.first("other").alias("other"))
+    hits = found.drop("h").join(seeds, ["mask", "seed"]).select(*key, "item_id", (F.col("pos") - F.col("item_pos")).alias("offset")).distinct()
+    listed = hits.groupBy(*key).agg(F.collect_list(F.struct("item_id", "offset")).alias("l"))
+    texts = rows.join(listed, key).groupBy(*key).agg(F.first("h").alias("h"), F.first("l").alias("l"))
+    return cut(texts.select(*key, "h", F.inline("l")).join(own, "item_id"))
+
+
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    window: int = 13, share: float = 0.75, broadcast_rows: int = 500_000,
+    window: int = 13, share: float = 0.75, broadcast_rows: int = 100_000,
 ) -> DataFrame:
     """(__k1, __k2, item_id, offset, agree): texts of docs, by hash, and the items they hold.
 
     agree is the largest share of equal words over the windows of the alignment.
     The benchmark's seeds are broadcast only if they are at most broadcast_rows.
     """
-    word_hashes = lambda c: F.transform(word_list(c), lambda w: F.xxhash64(w))
     items = scratch.table(benchmark.select(F.col(item_col).cast("long").alias("item_id"), word_hashes(F.coalesce(F.col(item_text).cast("string"), F.lit(""))).alias("h")).where("size(h) > 0"), "dc-items")
     width = F.least(F.size("h"), F.lit(window))
     served = masks_for([r[0] for r in items.select(width).distinct().collect()], window, share)
@@ -108,21 +139,11 @@ def contaminated(
     item_seeds = _seeds(items.withColumn("n", width), masks, "item_id", "n")
     ok = reduce(lambda a, b: a | b, [(F.col("mask") == i) & F.col("n").isin(served[m]) for i, m in enumerate(masks)])
     item_seeds = scratch.table(item_seeds.where(ok).select("mask", "seed", "item_id", F.col("pos").alias("item_pos")).distinct(), "dc-seeds")
-    probe = F.broadcast(item_seeds) if item_seeds.count() <= broadcast_rows else item_seeds
-
-    texts = _texts(docs, text_col).select("__k1", "__k2", "__t")
-    seeds = _seeds(texts.select("__k1", "__k2", word_hashes(F.col("__t")).alias("h")), masks, "__k1", "__k2")
-    hits = seeds.join(probe, ["mask", "seed"]).select("__k1", "__k2", "item_id", (F.col("pos") - F.col("item_pos")).alias("offset")).distinct()
-    hits = scratch.table(hits, "dc-hits")
-
-    hit_texts = texts.join(hits.select("__k1", "__k2").distinct(), ["__k1", "__k2"], "left_semi").groupBy("__k1", "__k2").agg(F.first("__t").alias("__t"))
-    pairs = hits.join(hit_texts.select("__k1", "__k2", word_hashes(F.col("__t")).alias("dh")), ["__k1", "__k2"]).join(items, "item_id")
-    start = F.greatest(F.lit(0), -F.col("offset"))
-    length = F.least(F.size("h"), F.size("dh") - F.col("offset")) - start
-    pairs = pairs.withColumn("same", F.zip_with(F.slice("h", start + 1, length), F.slice("dh", start + F.col("offset") + 1, length), lambda a, b: (a == b).cast("int")))
-    w = F.least(F.lit(window), F.size("h"))
+
+    rows = _texts(docs, text_col).select("__k1", "__k2", word_hashes(F.col("__t")).alias("h"))
+    pairs = _alignments(rows, items, item_seeds, masks, broadcast_rows).join(items.select("item_id", F.least(F.lit(window), F.size("h")).alias("w")), "item_id")
     # a passage cut off by the text's edge must still fill the window
-    enough = pairs.withColumn("w", w).where(F.size("same") >= F.col("w"))
+    enough = pairs.withColumn("same", F.zip_with("own", "other", lambda a, b: (a == b).cast("int"))).where(F.size("same") >= F.col("w"))
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("same") - F.col("w") + 1), lambda i: F.aggregate(F.slice("same", i, F.col("w")), F.lit(0), lambda s, x: s + x))) / F.col("w")
     return enough.withColumn("agree", best).where(F.col("agree") >= share).select("__k1", "__k2", "item_id", "offset", "agree")
 
@@ -139,11 +160,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     return ids.join(found, ["__k1", "__k2"]).groupBy("doc_id", "item_id").agg(F.max("agree").alias("agree"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no item of the benchmark."""
-    found = contaminated(docs, benchmark, text_col=text_col, **options).select("__k1", "__k2").distinct()
-    return _texts(docs, text_col).join(found, ["__k1", "__k2"], "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", broadcast_texts: int = 500_000, **options) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no item of the benchmark.
+
+    Null and empty texts, and rows with a null id, stay unless their text holds an
+    item; all rows of a text that does go, repeated ones too.  Columns of any name
+    are kept as they are.  Without items all rows stay; an empty table stays empty.
+    The hashes of contaminated texts are broadcast up to broadcast_texts of them, so
+    that texts are not shuffled; beyond that they are joined by shuffle.
+    """
+    found = scratch.table(contaminated(docs, benchmark, text_col=text_col, **options).select("__k1", "__k2").distinct(), "dc-found")
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    found = F.broadcast(found) if found.count() <= broadcast_texts else found
+    return docs.join(found, (F.xxhash64(text) == found["__k1"]) & (F.xxhash64(F.lit(2), text) == found["__k2"]), "left_anti")
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+#: All words that a text and an item have in common vote for an offset; windows that hold most of them
+#: begin or end with one, and the rule is applied to each.  No seeds.
+OP3_SQL = """
+WITH dw AS (SELECT doc_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS p FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents)),
+iw AS (SELECT item_id, len(w) AS m, unnest(w) AS word, unnest(range(len(w))) AS q FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM benchmark)),
+hit AS (SELECT doc_id, item_id, p - q AS o, q, least(13, m) AS w, least(m, n - (p - q)) - greatest(0, q - p) AS aligned FROM dw JOIN iw USING (word)),
+likely AS (SELECT doc_id, item_id, o FROM hit WHERE aligned >= w GROUP BY doc_id, item_id, o HAVING count(*) >= 0.75 * max(w)),
+win AS (SELECT doc_id, item_id, w, count(*) OVER (PARTITION BY doc_id, item_id, o ORDER BY q RANGE BETWEEN CURRENT ROW AND w - 1 FOLLOWING) AS a,
+        count(*) OVER (PARTITION BY doc_id, item_id, o ORDER BY q RANGE BETWEEN w - 1 PRECEDING AND CURRENT ROW) AS b FROM hit JOIN likely USING (doc_id, item_id, o))
+SELECT doc_id, item_id, max(greatest(a, b) / w) AS agree FROM win GROUP BY doc_id, item_id HAVING max(greatest(a, b) / w) >= 0.75
+"""
