@@ -1,14 +1,17 @@
 """Exact dedup with a persistent digest index, bucketed and sorted by hash.
 
-The index is a Spark table with one row per distinct text (32-byte SHA-256).  New
-data is reduced to one row per digest (combined map-side), sort-merge anti-joined
-with the index on the digest and appended.  The index is bucketed and sorted by
-the digest, so its side of the join is neither shuffled nor sorted again.
+The index is a Spark table with one row per distinct text (32-byte SHA-256) and
+the id of the row that stays.  New data is reduced to one row per digest (combined
+map-side), sort-merge anti-joined with the index on the digest and appended.
+The index is bucketed and sorted by the digest, so its side of the join is
+neither shuffled nor sorted again.  A single table is fed to its index in
+batches of falling ids, so the first row of a text that comes is the one to stay.
 """
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,16 +19,17 @@ from pyspark.sql import functions as F
 from . import scratch
 
 
+def _digest(text_col: str):
+    return F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+
+
 def with_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, uid, digest): uid tells repeated rows apart; null text counts as empty."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("uid"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    """(id, uid, digest): uid tells repeated rows of one written table apart; null text counts as empty."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("uid"), _digest(text_col).alias("digest"))
 
 
 class DigestIndex:
-    """Digests seen so far: (digest, keep_id, keep_uid, group_size)."""
-
-    COLUMNS = ("digest", "keep_id", "keep_uid", "group_size")
+    """Digests seen so far: (digest, keep_id)."""
 
     def __init__(self, spark: SparkSession, name: str, buckets: int | None = None, path: str | None = None) -> None:
         """Opens the table ``name``; a first append creates it (at ``path`` if given)."""
@@ -40,7 +44,7 @@ class DigestIndex:
 
     @staticmethod
     def groups(digests: DataFrame) -> DataFrame:
-        """One row per digest: of equal texts the row with the largest id stays (null ids last)."""
+        """(digest, keep_id, keep_uid, group_size): of equal texts the row with the largest id stays (null ids last)."""
         best = F.max(F.struct(F.col("id").isNotNull().alias("has"), "id", "uid"))
         return digests.groupBy("digest").agg(best.alias("m"), F.count("*").alias("group_size")).select(
             "digest", F.col("m.id").alias("keep_id"), F.col("m.uid").alias("keep_uid"), "group_size")
@@ -51,32 +55,35 @@ class DigestIndex:
             return groups
         return groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
 
-    def append(self, digests: DataFrame) -> None:
-        """Adds the digests that are new.  A digest already there keeps its row."""
-        fresh = self.unseen(self.groups(digests))
-        if self.exists():
-            fresh = scratch.table(fresh, "digest-new")  # the anti-join must end before the table grows
-        self._write(fresh, "append")
-
-    def _write(self, rows: DataFrame, mode: str) -> None:
-        w = rows.repartition(self.buckets, "digest").write.mode(mode).format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
+    def append(self, groups: DataFrame) -> DataFrame:
+        """Adds the groups whose digest is new, and gives them.  A digest already there keeps its row."""
+        fresh = scratch.table(self.unseen(groups), "digest-fresh")  # the anti-join must end before the table grows
+        rows = fresh.select("digest", "keep_id")
+        w = rows.repartition(self.buckets, "digest").write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest")
         if self.path:
             w = w.option("path", self.path)
-        w.saveAsTable(self.name)
+        with scratch.freed_shuffles(self.spark):
+            w.saveAsTable(self.name)
+        return fresh
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-def deduplicate_new(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of docs whose text neither the index nor a larger-id row of docs has; the index then grows by them."""
-    tagged = docs.withColumn("__text", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    tagged = scratch.table(tagged.withColumn("__uid", F.monotonically_increasing_id()).withColumn("__digest", F.unhex(F.sha2("__text", 256))).drop("__text"), "digest-rows")
-    digests = tagged.select(F.col(id_col).cast("long").alias("id"), F.col("__uid").alias("uid"), F.col("__digest").alias("digest"))
-    fresh = scratch.table(index.unseen(index.groups(digests)), "digest-fresh")
-    index._write(fresh, "append")
-    keep = fresh.select(F.col("digest").alias("__digest"), F.col("keep_uid").alias("__uid"))
-    return tagged.join(keep, ["__digest", "__uid"], "left_semi").select(*docs.columns)
+def _fed(digests: DataFrame, index: DigestIndex, batches: int = 2) -> DataFrame:
+    """Feeds digests to the index in batches of falling ids: the groups that were new.
+
+    The batches are cut at quantiles of the ids; null ids come last.
+    """
+    cuts = digests.agg(F.percentile_approx("id", [k / batches for k in range(batches - 1, 0, -1)], 1000)).first()[0] if batches > 1 else []
+    cuts = sorted(set(cuts or []), reverse=True)
+    ident = F.col("id")
+    parts, above = [], F.lit(False)
+    for c in cuts:
+        parts.append(digests.where((ident >= c) & ~above))
+        above = above | (ident >= c)
+    parts.append(digests.where(~F.coalesce(above, F.lit(False))))
+    return reduce(DataFrame.unionByName, [index.append(index.groups(p)) for p in parts])
 
 
 def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 1000, index: DigestIndex | None = None) -> DataFrame:
@@ -85,36 +92,73 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts are equal when identical; null counts as empty.  The row with the largest
     id stays; a null id is smaller than any, and among rows that repeat the same
     id and text exactly one is kept.  Other columns are ignored.  An empty table
-    gives an empty result.
+    gives an empty result.  With an index that is kept between runs, texts that it
+    had before have its keep_id and no row is kept; group_size counts docs alone.
 
     Digests of more than 1/share of all rows are at most ``share`` many, so these
     rows are matched by broadcast and never shuffled; all others by sort-merge.
     """
     spark = docs.sparkSession
+    own = index is None
     index = index or DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
     digests = scratch.table(with_digest(docs, id_col, text_col), "digests")
-    index.append(digests)
-    groups = index.read()
+    fresh = _fed(digests, index).select("digest", F.col("keep_uid").alias("new_uid"))
+    sizes = digests.groupBy("digest").agg(F.count("*").alias("group_size"))
+    groups = sizes.join(index.read().hint("merge"), "digest").join(fresh, "digest", "left")
+    groups = scratch.table(groups.select("digest", "keep_id", "group_size", "new_uid"), "digest-groups")
+    if own:
+        index.drop()
     total = digests.count()
     large = groups.where(F.col("group_size") > max(1, total // share))
-    hot = large.select(F.col("digest").alias("hd"), F.col("keep_id").alias("hk"), F.col("keep_uid").alias("hu"), F.col("group_size").alias("hs"))
+    hot = large.select(F.col("digest").alias("hd"), F.col("keep_id").alias("hk"), F.col("new_uid").alias("hu"), F.col("group_size").alias("hs"))
     marked = digests.join(F.broadcast(hot), digests.digest == hot.hd, "left")
-    done = marked.where("hd is not null").select("id", "uid", "digest", F.col("hk").alias("keep_id"), F.col("hu").alias("keep_uid"), F.col("hs").alias("group_size"))
-    rest = marked.where("hd is null").select("id", "uid", "digest").join(groups.hint("merge"), "digest").select("id", "uid", "digest", "keep_id", "keep_uid", "group_size")
+    done = marked.where("hd is not null").select("id", "uid", "digest", F.col("hk").alias("keep_id"), F.col("hu").alias("new_uid"), F.col("hs").alias("group_size"))
+    rest = marked.where("hd is null").select("id", "uid", "digest").join(groups.hint("merge"), "digest").select("id", "uid", "digest", "keep_id", "new_uid", "group_size")
     return done.unionByName(rest).select(
-        F.col("id").alias("doc_id"), "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"),
+        F.col("id").alias("doc_id"), "keep_id", "group_size", F.coalesce(F.col("uid") == F.col("new_uid"), F.lit(False)).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, with all its columns, without repeated texts: the row with the largest id stays.
+def deduplicate_new(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text", broadcast_digests: int = 500_000) -> DataFrame:
+    """Rows of docs, with all their columns, whose text neither the index nor a better row of docs has; the index grows by them.
+
+    Of equal texts in docs the row with the largest id stays, a null id only if
+    there is no other; null texts count as empty; of rows that repeat both id and
+    text exactly one stays.  Columns of any name are kept as they are.  An empty
+    table gives an empty result.
 
-    The digests alone decide; texts are not shuffled where ids are unique.  Among
-    rows that repeat both id and text exactly one stays.
+    Only digests that are repeated or seen before are joined back to the texts;
+    up to broadcast_digests of them are broadcast, so that texts are not
+    shuffled.  Beyond that both sides are dealt out by the digest.
     """
-    spark = docs.sparkSession
-    index = DigestIndex(spark, f"digest_index_{uuid.uuid4().hex}")
-    return deduplicate_new(docs, index, id_col, text_col)
+    groups = scratch.table(index.groups(with_digest(docs, id_col, text_col)), "digest-groups")
+    fresh = index.append(groups)
+    new = fresh.select(F.col("digest").alias("new_digest"))
+    judged = groups.join(new, groups.digest == new.new_digest, "left").where("group_size > 1 or new_digest is null")
+    ident = F.col(id_col).cast("long")
+    same = with_digest(docs, id_col, text_col).groupBy("digest", "id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("digest").alias("d2"), F.col("id").alias("i2"), F.lit(True).alias("again"))
+    judged = judged.join(same, (judged.digest == same.d2) & judged.keep_id.eqNullSafe(same.i2), "left")
+    judged = scratch.table(judged.select(F.col("digest").alias("__judged"), F.col("keep_id").alias("__keep"), F.col("new_digest").isNull().alias("__seen"), F.coalesce("again", F.lit(False)).alias("__again")), "digest-judged")
+    side = F.broadcast(judged) if judged.count() <= broadcast_digests else judged
+    names = docs.columns
+    rows = docs.select(F.struct(*[docs[c] for c in names]).alias("__row"), ident.alias("__id"), _digest(text_col).alias("__digest"))
+    rows = rows.join(side, rows["__digest"] == side["__judged"], "left")
+    stays = F.col("__judged").isNull() | (~F.col("__seen") & F.col("__keep").eqNullSafe(F.col("__id")))
+    kept = rows.where(stays)
+    once = kept.where(~F.coalesce("__again", F.lit(False))).select("__row.*")
+    if not judged.where("__again").limit(1).count():
+        return once
+    # rows that repeat both: one of each stays
+    repeated = kept.where("__again").groupBy("__digest").agg(F.first("__row").alias("__row")).select("__row.*")
+    return once.unionByName(repeated)
+
+
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without repeated texts, by deduplicate_new with an index of its own: the row with the largest id stays."""
+    index = DigestIndex(docs.sparkSession, f"digest_index_{uuid.uuid4().hex}")
+    out = deduplicate_new(docs, index, id_col, text_col)
+    index.drop()
+    return out
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
