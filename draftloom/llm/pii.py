@@ -1,7 +1,7 @@
 """Personal data by fixed patterns and a linear-chain conditional random field.
 
 The patterns find what has a fixed form.  The field adds credentials (tokens,
-keys, passwords), which have none: it tags the words around any unusual word by
+keys, passwords), which have none: it tags the words around any word that may be one, or name one, by
 word-shape features, trained on a small labelled table and decoded by Viterbi
 for many word runs at once.  A span of the field that touches a pattern's span
 is dropped, so the patterns' results stay as they are.
@@ -14,6 +14,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -82,14 +83,21 @@ def pattern_spans(text: str) -> list[tuple[str, int, int]]:
 
 TAGS = ("O", "SECRET", "KEY", "EMAIL", "IP", "NUMBER")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_ODD = re.compile(r"[^\x20\x09-\x0D]*[0-9@=][^\x20\x09-\x0D]*")
+_BLANKS = " \t\n\v\f\r"
+_CUE_WORDS = ("token", "key", "secret", "password", "passwd", "passphrase", "pwd", "apikey", "api_key", "auth", "bearer", "credential", "access_key")
+#: What words that may be, or stand by, a credential hold: a digit, '@', '=' or a cue.
+_MAY = re.compile(r"[0-9@=]|(?i:%s)" % "|".join(_CUE_WORDS))
 _CORE = re.compile(r"[A-Za-z0-9_+/=-]+")
 _TRIM = "\"'`.,;:!?()[]{}<>*#$%&"
-_CUES = frozenset(("token", "key", "secret", "password", "passwd", "pwd", "apikey", "api_key", "auth", "bearer", "credential", "access_key"))
+_CUES = frozenset(_CUE_WORDS)
 
 
 def word_features(word: str) -> tuple[str, ...]:
     """Names of the shape features of one word."""
+    return _remembered(word) if len(word) <= 64 else _shape(word)
+
+
+def _shape(word: str) -> tuple[str, ...]:
     core = word.strip(_TRIM)
     low = core.lower()
     digits = sum(c.isdigit() for c in core)
@@ -99,8 +107,12 @@ def word_features(word: str) -> tuple[str, ...]:
     out = ["bias", f"len{min(n, 40) // 4}", f"digits{0 if not digits else 1 + 4 * digits // max(n, 1)}", f"runs{min(len(shape), 12) // 2}"]
     if low.rstrip("=") in _CUES:
         out.append("cue")
-    if word in ("=", ":", "=>"):
+    if word in ("=", ":", "=>") or word[-1:] in "=:" and low.rstrip("=") in _CUES:
         out.append("assign")
+    if any(c in "-_+/" for c in core):
+        out.append("joined")
+    if any(c.isupper() for c in core[1:]) and any(c.islower() for c in core):
+        out.append("inner capital")
     if word[:1] in "\"'" and word[-1:] in "\"'" or word[:1] in "\"'" and word.rstrip("*#$%&!")[-1:] in "\"'":
         out.append("quoted")
     if digits and letters and n >= 16 and re.fullmatch(r"[0-9a-fA-F]+", core):
@@ -118,6 +130,9 @@ def word_features(word: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+_remembered = lru_cache(100_000)(_shape)
+
+
 def labelled_rows(seed: int = 7, copies: int = 12) -> list[tuple[list[str], list[str]]]:
     """The small labelled table: (words, tags) of sentences made from a few patterns by rule."""
     r = random.Random(seed)
@@ -126,23 +141,38 @@ def labelled_rows(seed: int = 7, copies: int = 12) -> list[tuple[list[str], list
     hexa = lambda n: "".join(r.choice("0123456789abcdef") for _ in range(n))
     mix = lambda n: "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghkmnpqrstuvwxyz23456789") for _ in range(n))
     digit = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    letters = lambda n: "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghkmnpqrstuvwxyz") for _ in range(n))
     rows = []
+
+    def put(*parts: tuple[list[str], list[str]]) -> None:
+        rows.append(([w for words, _ in parts for w in words], [t for _, tags in parts for t in tags]))
+
+    def plain(lo: int = 2, hi: int = 6) -> tuple[list[str], list[str]]:
+        words = text(lo, hi)
+        return words, ["O"] * len(words)
+
     for _ in range(copies):
         for cue in ("token", "key", "secret", "password", "api_key"):
             q, tail = r.choice(("\"", "'", "")), r.choice(("", "", "###", "!!", "."))
             value = r.choice((hexa(r.choice((32, 40, 64))), hexa(40).upper(), mix(r.randint(20, 44))))
-            a, b = text(), text()
-            sign = r.choice(("=", ":", "="))
-            rows.append((a + [cue, sign, q + value + q + tail] + b, ["O"] * len(a) + ["KEY", "O", "SECRET"] + ["O"] * len(b)))
+            # short and letter-only ones, and pass phrases, are given away by the assignment before them
+            short = r.choice((mix(r.randint(6, 12)), letters(r.randint(8, 14)), f"{word()}-{word()}", word() + digit(r.randint(1, 4))))
+            for v in (value, short):
+                sign = r.choice(("=", ":", "="))
+                put(plain(), ([cue, sign, q + v + q + tail], ["KEY", "O", "SECRET"]), plain())
+                put(plain(), ([cue + sign, q + v + q + tail], ["KEY", "SECRET"]), plain())
+        # cues in plain sentences
+        put(plain(), ([r.choice(("key", "secret", "token", "password"))], ["O"]), plain())
+        put(plain(), (["the", r.choice(("secret", "key", "token", "password")), r.choice(("of", "to", "was", "is"))], ["O"] * 3), plain())
+        put(plain(), ([word() + "=" + digit(2)], ["O"]), plain())
+        put(plain(), ([word(), "=", word()], ["O"] * 3), plain())
         for item, tag in (
             ([word() + "." + digit(2) + "@mail" + digit(1) + ".example.com"], "EMAIL"), ([".".join(str(r.randint(1, 255)) for _ in range(4))], "IP"),
             ([digit(16)], "NUMBER"), ([digit(4) for _ in range(4)], "NUMBER"), (["+1", "(" + digit(3) + ")", digit(3) + "-" + digit(4)], "NUMBER"),
             (["version", digit(1) + "." + digit(1)], "O"), ([digit(4)], "NUMBER"), (["key"], "O"), (["the", "secret", "of"], "O"), (["token", "ring"], "O"), (["b2b", "h" + digit(1) + "o"], "O"),
         ):
-            a, b = text(), text()
-            rows.append((a + item + b, ["O"] * len(a) + ([tag] * len(item)) + ["O"] * len(b)))
-        a = text(6, 10)
-        rows.append((a, ["O"] * len(a)))
+            put(plain(), (item, [tag] * len(item)), plain())
+        put(plain(6, 10))
     return rows
 
 
@@ -155,26 +185,29 @@ class Field:
     move: np.ndarray  # (tags, tags)
     start: np.ndarray
 
-    def columns(self, runs: list[list[tuple[str, ...]]], width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(word x feature) indicator columns of each run padded to width, and the runs' lengths."""
-        f = len(self.names)
-        x = np.zeros((len(runs), width, 3 * f), np.float32)
-        for i, run in enumerate(runs):
-            for t, feats in enumerate(run):
-                for name in feats:
-                    j = self.names.get(name)
-                    if j is None:
-                        continue
-                    x[i, t, j] = 1
-                    if t:
-                        x[i, t - 1, 2 * f + j] = 1
-                    if t + 1 < len(run):
-                        x[i, t + 1, f + j] = 1
-        return x, np.array([len(r) for r in runs])
+    def scores(self, runs: list[list[tuple[str, ...]]]) -> np.ndarray:
+        """Tag scores of the words of all runs, one after another: from a word's own features and its two neighbours'."""
+        f, k = len(self.names), self.emit.shape[1]
+        kinds: dict[tuple[str, ...], int] = {}
+        which = np.array([kinds.setdefault(w, len(kinds)) for run in runs for w in run], np.int64)
+        own, left, right = (np.zeros((len(kinds), k), np.float32) for _ in range(3))
+        for feats, i in kinds.items():
+            ids = [self.names[x] for x in feats if x in self.names]
+            own[i], left[i], right[i] = (self.emit[[at + x for x in ids]].sum(0) for at in (0, f, 2 * f))
+        out = own[which]
+        n = np.array([len(r) for r in runs], np.int64)
+        edge = np.zeros(len(which) + 1, bool)
+        edge[np.concatenate([[0], np.cumsum(n)])] = True
+        inner = np.flatnonzero(~edge[1:-1]) + 1 if len(which) > 1 else np.empty(0, np.int64)  # words with one before them in their run
+        out[inner] += left[which[inner - 1]]
+        out[inner - 1] += right[which[inner]]
+        return out
 
     def viterbi(self, runs: list[list[tuple[str, ...]]]) -> list[np.ndarray]:
-        """Best tag sequence of each run; runs of like length are decoded together."""
+        """Best tag sequence of each run; runs of like length are decoded together, however long."""
         out: list[np.ndarray] = [np.empty(0, int)] * len(runs)
+        every = self.scores(runs)
+        first = np.concatenate([[0], np.cumsum([len(r) for r in runs])]).astype(np.int64)
         order = sorted(range(len(runs)), key=lambda i: len(runs[i]))
         at = 0
         while at < len(order):
@@ -184,10 +217,12 @@ class Field:
                 end += 1
             end = max(end, at + 1)
             batch = order[at:end]
-            x, n = self.columns([runs[i] for i in batch], max(len(runs[i]) for i in batch))
-            s = x @ self.emit
+            n = np.array([len(runs[i]) for i in batch])
+            s = np.zeros((len(batch), int(n.max()), len(TAGS)), np.float32)
+            for j, i in enumerate(batch):
+                s[j, : n[j]] = every[first[i] : first[i + 1]]
             best = s[:, 0] + self.start
-            back = np.zeros((*s.shape[:2], len(TAGS)), np.int64)
+            back = np.zeros((*s.shape[:2], len(TAGS)), np.int8)
             for t in range(1, s.shape[1]):
                 via = best[:, :, None] + self.move[None]
                 back[:, t] = via.argmax(1)
@@ -200,12 +235,27 @@ class Field:
                 paths[live, t] = tag[live]
                 if t:
                     tag = np.where(live, back[np.arange(len(batch)), t, tag], tag)
-            for i, p, k in zip(batch, paths, n.tolist()):
-                out[i] = p[:k]
+            for i, path, k in zip(batch, paths, n.tolist()):
+                out[i] = path[:k]
             at = end
         return out
 
 
+def _indicators(names: dict[str, int], runs: list[list[tuple[str, ...]]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word x feature) columns of the small labelled table's runs, padded to width, and the runs' lengths."""
+    f = len(names)
+    x = np.zeros((len(runs), width, 3 * f), np.float32)
+    for i, run in enumerate(runs):
+        for t, feats in enumerate(run):
+            for j in (names[name] for name in feats):
+                x[i, t, j] = 1
+                if t:
+                    x[i, t - 1, 2 * f + j] = 1
+                if t + 1 < len(run):
+                    x[i, t + 1, f + j] = 1
+    return x, np.array([len(r) for r in runs])
+
+
 def _logsum(a: np.ndarray, axis: int) -> np.ndarray:
     m = a.max(axis, keepdims=True)
     return (m + np.log(np.exp(a - m).sum(axis, keepdims=True))).squeeze(axis)
@@ -218,7 +268,7 @@ def train(rows: list[tuple[list[str], list[str]]], rounds: int = 150, rate: floa
     k = len(TAGS)
     field = Field(names, np.zeros((3 * len(names), k)), np.zeros((k, k)), np.zeros(k))
     width = max((len(r) for r in runs), default=1)
-    x, n = field.columns(runs, width)
+    x, n = _indicators(names, runs, width)
     y = np.zeros((len(runs), width), int)
     for i, (_, tags) in enumerate(rows):
         y[i, : len(tags)] = [TAGS.index(t) for t in tags]
@@ -258,50 +308,46 @@ def train(rows: list[tuple[list[str], list[str]]], rounds: int = 150, rate: floa
     return field
 
 
-def runs_around(text: str, reach: int = 3, longest: int = 400) -> list[list[tuple[int, int]]]:
-    """Word spans within ``reach`` words of a word with a digit, '@' or '='.
-
-    Longer runs are cut after ``longest`` words, so that decoding is bounded.
-    """
-    hits = [m.span() for m in _ODD.finditer(text)]
-    if not hits:
-        return []
+def runs_around(text: str, reach: int = 3) -> list[list[tuple[int, int]]]:
+    """Runs of word spans within ``reach`` words of a word that may be, or stand by, a credential; runs are whole, however long."""
     out: list[list[tuple[int, int]]] = []
-    for lo, hi in hits:
-        if out and lo < out[-1][-1][1]:
+    for m in _MAY.finditer(text):
+        floor = out[-1][-1][1] if out else 0
+        if m.start() < floor:
             continue  # inside the words taken to the right of the last one
+        lo = max(floor, *(text.rfind(c, floor, m.start()) + 1 for c in _BLANKS))
+        hi = _WORD.match(text, lo).end()
         before = []
-        floor = out[-1][-1][1] if out else 0
         at = lo
         for _ in range(reach):
-            m = _last_word(text, floor, at)
-            if not m:
+            w = _last_word(text, floor, at)
+            if not w:
                 break
-            before.append(m)
-            at = m[0]
-        touching = out and at <= floor or (out and not text[floor:at].strip())
-        run = out[-1] if touching and len(out[-1]) < longest else []
+            before.append(w)
+            at = w[0]
+        touching = out and (at <= floor or not text[floor:at].strip())
+        run = out[-1] if touching else []
         if not run:
             out.append(run)
         run += before[::-1] + [(lo, hi)]
         extra = 0
         pos = hi
         while extra < reach:
-            m = _WORD.search(text, pos)
-            if not m:
+            w = _WORD.search(text, pos)
+            if not w:
                 break
-            run.append(m.span())
-            pos = m.end()
-            extra = 0 if _ODD.fullmatch(m.group()) and len(run) < longest else extra + 1
+            run.append(w.span())
+            pos = w.end()
+            extra = 0 if _MAY.search(w.group()) else extra + 1
     return out
 
 
 def _last_word(text: str, lo: int, hi: int) -> tuple[int, int] | None:
     end = hi
-    while end > lo and text[end - 1] in " \t\n\v\f\r":
+    while end > lo and text[end - 1] in _BLANKS:
         end -= 1
     start = end
-    while start > lo and text[start - 1] not in " \t\n\v\f\r":
+    while start > lo and text[start - 1] not in _BLANKS:
         start -= 1
     return (start, end) if start < end else None
 
@@ -321,20 +367,32 @@ def field_spans(field: Field, texts: list[str]) -> list[list[tuple[str, int, int
                 word = texts[i][a:b]
                 lead = len(word) - len(word.lstrip(_TRIM))
                 core = word.strip(_TRIM)
-                # a check of the decoded word: a credential has letters and digits and some length
-                if len(core) >= 16 and any(c.isdigit() for c in core) and any(c.isalpha() for c in core):
+                if core:
                     out[i].append(("secret", a + lead, a + lead + len(core)))
     return out
 
 
+def _apart(extra: list[tuple[str, int, int]], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Spans of extra, in order, that touch none of base."""
+    if not extra or not base:
+        return extra
+    lo = np.array(sorted(x[1] for x in base))
+    top = np.maximum.accumulate([x[2] for x in sorted(base, key=lambda x: x[1])])
+    out = []
+    for e in extra:
+        i = int(np.searchsorted(lo, e[2], side="left")) - 1  # the last that starts before e ends
+        if i < 0 or top[i] <= e[1]:
+            out.append(e)
+    return out
+
+
 def all_spans(field: Field, texts: list[str]) -> tuple[list[list[tuple[str, int, int]]], list[list[tuple[str, int, int]]]]:
     """(pattern spans, all spans) of each text, by start and then kind."""
     key = lambda s: (s[1], KINDS.index(s[0]), s[2])
     base = [sorted(pattern_spans(t), key=key) for t in texts]
     every = []
     for b, extra in zip(base, field_spans(field, texts)):
-        free = [e for e in extra if not any(e[1] < x[2] and x[1] < e[2] for x in b)]
-        every.append(sorted(b + free, key=key))
+        every.append(sorted(b + _apart(extra, b), key=key))
     return base, every
 
 
