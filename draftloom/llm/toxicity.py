@@ -4,8 +4,8 @@ Logistic regression on log(1 + count) of the words, and beginnings of words, tha
 tell the classes apart.
 In labelled texts that name a group of people, the group's term is swapped for
 others of its kind; the square of the change of the logit is added to the loss,
-so the weights of such terms are driven together and a neutral mention of a
-group does not raise the score.
+so the weights of such terms, with all features that they bring, are driven
+together and a neutral mention of a group does not raise the score.
 """
 
 from __future__ import annotations
@@ -18,28 +18,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scratch
 from . import textvec as tv
 from .quality import fold, training_texts
 
 U64 = np.uint64
 
-#: Terms for groups of people, by kind; terms of one kind are swapped for each other.
-IDENTITY_TERMS: tuple[tuple[str, ...], ...] = (
-    ("women", "men", "girls", "boys", "transgender", "nonbinary"),
-    ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "catholic", "sikh"),
-    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists", "catholics", "sikhs"),
-    ("black", "white", "asian", "african", "european", "latino", "arab", "indigenous"),
-    ("gay", "lesbian", "bisexual", "heterosexual", "queer", "straight"),
-    ("mexican", "chinese", "american", "indian", "german", "french", "russian", "turkish"),
-    ("immigrants", "refugees", "foreigners", "locals", "citizens"),
-    ("disabled", "blind", "deaf", "elderly", "young", "old"),
-)
-
-
-def _word_hash(words: list[str]) -> np.ndarray:
-    data = np.frombuffer("".join(words).encode(), np.uint8)
-    offs = np.concatenate([[0], np.cumsum([len(w.encode()) for w in words])]).astype(np.int64)
-    return tv.words(data, offs, tv.NOT_ALNUM, lower=True).h
+#: Terms for groups of people, by language and kind; terms of one kind are swapped for each other.
+IDENTITY_TERMS: dict[str, tuple[tuple[str, ...], ...]] = {
+    "en": (
+        ("women", "men", "girls", "boys", "transgender", "nonbinary"),
+        ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "catholic", "sikh"),
+        ("muslims", "christians", "jews", "hindus", "buddhists", "atheists", "catholics", "sikhs"),
+        ("black", "white", "asian", "african", "european", "latino", "arab", "indigenous"),
+        ("gay", "lesbian", "bisexual", "heterosexual", "queer", "straight"),
+        ("mexican", "chinese", "american", "indian", "german", "french", "russian", "turkish"),
+        ("immigrants", "refugees", "foreigners", "locals", "citizens"),
+        ("disabled", "blind", "deaf", "elderly", "young", "old"),
+    ),
+    "de": (
+        ("frauen", "männer", "mädchen", "jungen"),
+        ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten", "katholiken"),
+        ("schwarze", "weiße", "asiaten", "afrikaner", "europäer", "araber"),
+        ("schwule", "lesben", "bisexuelle", "heterosexuelle"),
+        ("mexikaner", "chinesen", "amerikaner", "inder", "deutsche", "franzosen", "russen", "türken"),
+        ("einwanderer", "flüchtlinge", "ausländer", "einheimische", "bürger"),
+    ),
+    "fr": (
+        ("femmes", "hommes", "filles", "garçons"),
+        ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées", "catholiques"),
+        ("noirs", "blancs", "asiatiques", "africains", "européens", "arabes"),
+        ("homosexuels", "lesbiennes", "bisexuels", "hétérosexuels"),
+        ("mexicains", "chinois", "américains", "indiens", "allemands", "français", "russes", "turcs"),
+        ("immigrés", "réfugiés", "étrangers", "habitants", "citoyens"),
+    ),
+    "es": (
+        ("mujeres", "hombres", "chicas", "chicos"),
+        ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos", "católicos"),
+        ("negros", "blancos", "asiáticos", "africanos", "europeos", "árabes"),
+        ("homosexuales", "lesbianas", "bisexuales", "heterosexuales"),
+        ("mexicanos", "chinos", "americanos", "indios", "alemanes", "franceses", "rusos", "turcos"),
+        ("inmigrantes", "refugiados", "extranjeros", "vecinos", "ciudadanos"),
+    ),
+}
+
+
+def kinds() -> list[tuple[str, ...]]:
+    return [k for of in IDENTITY_TERMS.values() for k in of]
 
 
 #: Beside whole words, their beginnings of so many bytes are features (inflected and compounded forms).
@@ -47,7 +72,10 @@ PREFIXES = (5, 6, 8)
 
 
 def _features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text index) of every word and of the beginnings of longer ones."""
+    """(hash, text index) of every word and of the beginnings of longer ones.
+
+    A beginning's hash depends on its length, so it is never that of a whole word.
+    """
     w = tv.words(data, offs, tv.NOT_ALNUM, lower=True)
     doc = w.doc_of()
     raw = data[offs[0] : offs[-1]]
@@ -55,13 +83,20 @@ def _features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     for n in PREFIXES:
         long = np.flatnonzero(w.end - w.start > n)
         at = w.start[long] - offs[0]
-        hs.append(tv.hash_spans(raw, at, at + n, tv.byte_values(True)))
+        hs.append(tv.hash_spans(raw, at, at + n, tv.byte_values(True, 100 + n)))
         ds.append(doc[long])
     return np.concatenate(hs), np.concatenate(ds)
 
 
+def features_of(terms: list[str]) -> list[np.ndarray]:
+    """The feature hashes of each term: the word and its beginnings."""
+    col = pa.array(terms, pa.string())
+    h, d = _features(*tv.buffers(col))
+    return [h[d == i] for i in range(len(terms))]
+
+
 def _tokens(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per block of texts: rows [a, b), and the (word hash, text, count) they hold."""
+    """Per block of texts: rows [a, b), and the (feature hash, text, count) they hold."""
     data, offs = tv.buffers(col)
     for a, b in tv.row_blocks(offs):
         h, d = _features(data, offs[a : b + 1])
@@ -92,30 +127,30 @@ class ToxicModel:
         return np.concatenate(out) if out else np.empty(0)
 
 
+Swaps = tuple[np.ndarray, np.ndarray, np.ndarray]  # (counterfactual, column, value taken away or, negative, added)
+
+
 def fit_counterfactual(
-    row: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray, k: int, swaps: np.ndarray,
+    row: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray, k: int, swaps: Swaps,
     penalty: float = 5.0, l2: float = 0.3, rounds: int = 300, rate: float = 0.1,
 ) -> tuple[np.ndarray, float]:
-    """Weights and bias of the sparse rows (row, col, val).
-
-    swaps: (m, 3) of column before, column after and value moved: one counterfactual each.
-    """
+    """Weights and bias of the sparse rows (row, col, val); the mean square of the swaps' changes of the logit is penalised."""
     n = max(len(y), 1)
     w, b = np.zeros(k), 0.0
     if len(y):
         p0 = min(max(float(y.mean()), 1e-4), 1 - 1e-4)
         b = float(np.log(p0 / (1 - p0)))
     m1, m2, mb, vb = np.zeros(k), np.zeros(k), 0.0, 0.0
-    f, t, v = (swaps[:, 0].astype(int), swaps[:, 1].astype(int), swaps[:, 2]) if len(swaps) else (np.empty(0, int), np.empty(0, int), np.empty(0))
+    which, sc, sv = swaps
+    m = int(which.max()) + 1 if len(which) else 0
     for i in range(1, rounds + 1):
         z = np.bincount(row, val * w[col], n) + b
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         e = p[: len(y)] - y
         g = np.bincount(col, val * e[row], k) / n + l2 * w / n
-        if len(v):
-            change = v * (w[f] - w[t])
-            step = 2 * penalty * v * change / len(v)
-            g += np.bincount(f, step, k) - np.bincount(t, step, k)
+        if m:
+            change = np.bincount(which, sv * w[sc], m)
+            g += np.bincount(sc, 2 * penalty / m * sv * change[which], k)
         gb = float(e.mean()) if len(e) else 0.0
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
@@ -126,24 +161,31 @@ def fit_counterfactual(
     return w, b
 
 
-def swap_rows(row: np.ndarray, col: np.ndarray, val: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """(m, 3) counterfactuals: every identity term of a text changed into every other of its kind."""
-    out = []
-    for kind in IDENTITY_TERMS:
-        ids = np.searchsorted(keys, _word_hash(list(kind)))
-        out += [(a, b, 1.0) for a in ids for b in ids if a < b]  # also where no labelled text has them
-        for a in ids:
-            for v in val[col == a]:
-                out += [(a, b, v) for b in ids if b != a]
-    return np.array(out, float)
+def swap_rows(col: np.ndarray, val: np.ndarray, keys: np.ndarray) -> Swaps:
+    """Counterfactuals: every identity term of a text changed into every other of its kind, with all features of both.
+
+    Each pair of a kind counts once even where no labelled text has it.
+    """
+    which, cols, vals, n = [], [], [], 0
+    for kind in kinds():
+        ids = [np.searchsorted(keys, f) for f in features_of(list(kind))]
+        for i, a in enumerate(ids):
+            seen = np.unique(val[col == a[0]])  # a text holds a term if it has its word
+            for j, b in enumerate(ids):
+                for v in ([1.0] if i < j else []) + (seen.tolist() if i != j else []):
+                    which += [n] * (len(a) + len(b))
+                    cols += [*a, *b]
+                    vals += [v] * len(a) + [-v] * len(b)
+                    n += 1
+    return np.array(which, np.int64), np.array(cols, np.int64), np.array(vals, float)
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", held_parts: int = 5, held: int = 0, max_rows: int = 20_000,
-    max_words: int = 1000, min_df: int = 4, min_z: float = 2.5, id_col: str = "doc_id", text_col: str = "text",
+    min_df: int = 4, min_z: float = 2.5, id_col: str = "doc_id", text_col: str = "text", penalty: float = 5.0,
 ) -> ToxicModel:
-    """Fits on at most max_rows labelled rows and the max_words words that tell the classes apart best, by min_z deviations or more."""
-    train = training_texts(docs, labels, label, held_parts, held, max_rows, id_col, text_col)
+    """Fits on at most max_rows labelled rows and on all words, or beginnings, of min_df texts that tell the classes apart by min_z deviations."""
+    train = scratch.table(training_texts(docs, labels, label, held_parts, held, max_rows, id_col, text_col), "toxic-training")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -158,10 +200,9 @@ def fit(
     share = positive / max(rows, 1)
     by_word = train.mapInArrow(counts, "h long, n long, pos long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).where(n >= min_df)
     # how far the word's share of positive texts is from the overall share, in standard deviations
-    chosen = by_word.withColumn("z", F.abs(p - n * share) / F.sqrt(n * share * (1 - share) + 1)).where(F.col("z") >= min_z).orderBy(F.desc("z"), "h").limit(max_words)
+    chosen = by_word.withColumn("z", F.abs(p - n * share) / F.sqrt(n * share * (1 - share) + 1)).where(F.col("z") >= min_z)
     picked = np.array([r[0] for r in chosen.select("h").collect()], dtype=np.int64).view(U64)
-    terms = _word_hash([t for kind in IDENTITY_TERMS for t in kind])
-    keys = np.unique(np.concatenate([picked, terms]))
+    keys = np.unique(np.concatenate([picked, *features_of([t for kind in kinds() for t in kind])]))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -174,12 +215,13 @@ def fit(
                 yield pa.RecordBatch.from_arrays([lists(at[ok], pa.int32()), lists(c[ok], pa.int32()), pa.array(y[a:b], pa.int32())], names=["k", "c", "y"])
 
     got = train.mapInArrow(sparse, "k array<int>, c array<int>, y int").toArrow()
+    scratch.drop(train)
     if not got.num_rows:
         return ToxicModel(keys, np.zeros(len(keys)), 0.0)
     k = got["k"].combine_chunks()
     row = np.repeat(np.arange(got.num_rows), np.diff(k.offsets.to_numpy()))
     col, val, y = k.flatten().to_numpy(), np.log1p(got["c"].combine_chunks().flatten().to_numpy()), got["y"].to_numpy().astype(float)
-    w, b = fit_counterfactual(row, col, val, y, len(keys), swap_rows(row, col, val, keys))
+    w, b = fit_counterfactual(row, col, val, y, len(keys), swap_rows(col, val, keys), penalty)
     return ToxicModel(keys, w, b)
 
 
