@@ -11,6 +11,7 @@ own texts have decides on rejection.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,16 +31,14 @@ _table: list[np.ndarray] = []
 
 
 def _letters() -> np.ndarray:
-    """Code point -> lower-cased letter (16 bits), or a space for anything else."""
+    """Code point -> lower-cased letter, or a space for anything else."""
     if not _table:
-        t = np.full(0x30000, SPACE, np.uint32)
-        for i in range(0x30000):
+        t = np.full(sys.maxunicode + 1, SPACE, np.uint32)
+        for i in range(sys.maxunicode + 1):
             c = chr(i)
             if c.isalpha():
                 low = c.lower()
-                t[i] = (ord(low) if len(low) == 1 else i) & 0xFFFF
-        t[t == 0] = 0xFFFF
-        t[SPACE] = SPACE
+                t[i] = ord(low) if len(low) == 1 else i
         _table.append(t)
     return _table[0]
 
@@ -48,6 +47,7 @@ def symbols(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """(symbols, first symbol of each text, letters of each text).
 
     Each text starts with ORDER-1 spaces; runs of other characters are one space.
+    Symbols have 16 bits: a letter beyond that is its two UTF-16 units, so letters never collide.
     """
     raw = data[offs[0] : offs[-1]]
     rel = offs - offs[0]
@@ -55,7 +55,7 @@ def symbols(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     cp = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     lead = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[rel]
     table = _letters()
-    c = np.where(cp < len(table), table[np.minimum(cp, len(table) - 1)], SPACE)
+    c = table[cp]
     doc = np.repeat(np.arange(n), np.diff(lead))
     blank = c == SPACE
     keep = ~blank
@@ -63,6 +63,13 @@ def symbols(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         keep[1:] |= ~blank[:-1] & (doc[1:] == doc[:-1])
     c, doc = c[keep], doc[keep]
     letters = np.bincount(doc[c != SPACE], minlength=n)
+    if len(c) and c.max() > 0xFFFF:
+        high = c > 0xFFFF
+        at = np.repeat(np.arange(len(c)), 1 + high)
+        second = np.r_[False, at[1:] == at[:-1]]
+        rest = c[at] - np.uint32(0x10000)
+        c = np.where(~high[at], c[at], np.where(second, 0xDC00 + (rest & 0x3FF), 0xD800 + (rest >> 10))).astype(np.uint32)
+        doc = doc[at]
     sizes = np.bincount(doc, minlength=n)
     first = np.concatenate([[0], np.cumsum(sizes + ORDER - 1)])
     out = np.full(first[-1], SPACE, U64)
@@ -241,7 +248,8 @@ def _scored(rows: DataFrame, model: KneserNey) -> DataFrame:
                 h, letters = model.entropies(data, offs[x : y + 1])
                 j = h.argmin(1)
                 low = h[np.arange(len(j)), j]
-                # posterior of the winner as if it had read no more than 20 symbols
+                # posterior of the winner for the text's mean symbol read min(letters, 20) times: symbols are not
+                # independent, so the plain product over a long text would be 1 throughout
                 odds = np.exp(-(h - low[:, None]) * np.minimum(letters, 20)[:, None]).sum(1)
                 some = letters > 0
                 pred += [model.langs[i] if s else None for i, s in zip(j.tolist(), some.tolist())]
@@ -286,7 +294,8 @@ def with_languages(docs: DataFrame, model: KneserNey, id_col: str = "doc_id", te
 def identify(docs: DataFrame, held_parts: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Learns from the training rows of docs and predicts every row.
 
-    A text that is null or has no letter is 'und' with score 0 and rejected; so is
+    score is the winner's posterior among the languages, from the mean over the whole
+    text, as if at most 20 such symbols had been read.  A text that is null or has no letter is 'und' with score 0 and rejected; so is
     every row if there is nothing to learn from.  ``rejected`` marks texts unlike
     any learned language, which still get the nearest one.  Rows with a null id
     are predicted and never learned; rows with a null language are not learned;
