@@ -8,8 +8,8 @@ are sorted and counted exactly, by 128-bit fingerprints of their words.
 
 Only minimisers that several documents have can hold a repeated window.  They
 are found first, from (minimiser, document) pairs alone, so that texts without
-any are never sent.  A minimiser of very many documents (``hot``) is not brought
-to one bucket: its windows become rows, their smallest document is taken by an
+any are never sent.  A minimiser of very many windows (of many documents, ``hot``,
+or of many windows in one, ``dense``) is not brought to one bucket: its windows become rows, their smallest document is taken by an
 aggregate that combines map-side, and an equi-join (whose hot keys AQE splits)
 brings it back.
 """
@@ -73,7 +73,9 @@ class SuperKmers:
         self.n = np.diff(np.r_[first, len(at)])
 
 
-def _pairs(width: int, m: int, buckets: int):
+def _pairs(width: int, m: int, buckets: int, dense: int):
+    """(minimiser, document) pairs packed by bucket; notes: (minimiser, windows) where a text has more than ``dense`` of it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for turn, b in enumerate(batches):
             b = b.filter(b.column(0).is_valid())
@@ -81,12 +83,19 @@ def _pairs(width: int, m: int, buckets: int):
                 continue
             ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offs = tv.buffers(b.column(1))
-            s, d = [], []
+            s, d, nd, nv = [], [], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for x, y in tv.row_blocks(offs):
                 k = SuperKmers(tv.words(data, offs[x : y + 1]), width, m)
-                s.append(k.key)
-                d.append(ids[k.doc + x])
-            yield blobs.pack(np.concatenate(s), np.concatenate(d), buckets, turn)
+                order = np.lexsort((k.key, k.doc))
+                key, doc, n = k.key[order], k.doc[order], k.n[order]
+                at = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]) if len(key) else np.empty(0, np.int64)
+                total = np.add.reduceat(n, at) if len(at) else n
+                s.append(key[at])
+                d.append(ids[doc[at] + x])
+                many = total > dense
+                nd.append(key[at][many].view(np.int64))
+                nv.append(total[many])
+            yield blobs.pack(np.concatenate(s), np.concatenate(d), buckets, turn, (np.concatenate(nd), np.concatenate(nv)))
 
     return run
 
@@ -248,7 +257,7 @@ def _digest(with_ranges: bool, with_text: bool):
 
 def remove_repeats(
     docs: DataFrame, width: int = 50, m: int = 8, id_col: str = "doc_id", text_col: str = "text",
-    hot: int = 2000, with_text: bool = False,
+    hot: int = 500, dense: int = 500, with_text: bool = False,
 ) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept_text]), one row per input row.
 
@@ -259,23 +268,26 @@ def remove_repeats(
     other.  Texts shorter than a window stay whole.  Other columns are ignored.
     An empty table gives an empty result.
 
-    hot: minimisers of more documents than this take the row-wise way.
+    hot, dense: minimisers of more documents, or of more windows in one text, take
+    the row-wise way, so a bucket's minimiser has at most hot * dense windows.
     """
     spark = docs.sparkSession
     if not 1 <= m <= width:
         raise ValueError("m must be from 1 to width")
     src = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).cast("string").alias("text"))
-    parts = scratch.shuffle_partitions(spark)
-    packed = src.select("doc", "text").mapInArrow(_pairs(width, m, 8 * parts), blobs.SCHEMA)
-    members = scratch.table(packed.groupBy("bucket").applyInArrow(blobs.gather, blobs.MEMBERS).select("sig", "doc"), "sd-members")
-    held = members.groupBy("sig").agg(F.count("*").alias("c"))
-    flagged = members.join(held, "sig").select("doc", "sig", (F.col("c") > hot).alias("hot"))
+    tasks = scratch.tasks_for(src)
+    packed = src.select("doc", "text").mapInArrow(_pairs(width, m, 4 * tasks, dense), blobs.SCHEMA).repartition(tasks, "bucket")
+    found = scratch.table(packed.groupBy("bucket").applyInArrow(blobs.gather, blobs.MEMBERS).select("sig", "doc", "note"), "sd-members")
+    members = found.where("note is null").select("sig", "doc")
+    heavy = found.where("note is not null").select(F.col("doc").alias("sig")).distinct().withColumn("heavy", F.lit(True))
+    held = members.groupBy("sig").agg(F.count("*").alias("c")).join(heavy, "sig", "left")
+    flagged = members.join(held, "sig").select("doc", "sig", F.coalesce(F.col("heavy"), F.col("c") > hot).alias("hot"))
     lists = flagged.groupBy("doc").agg(F.collect_set(F.struct("sig", "hot")).alias("l")).select("doc", F.col("l.sig").alias("sigs"), F.col("l.hot").alias("hots"))
     cand = scratch.table(src.where("doc is not null").join(lists, "doc").select("doc", "th", "text", "sigs", "hots"), "sd-cand")
     supers = scratch.table(cand.mapInArrow(_packed(width, m), "key long, hot boolean, doc long, th long, start long, body binary"), "sd-super")
     rows = supers.where("not hot").count()
-    buckets = max(8 * parts, rows // 10_000 + 1)
-    cold = supers.where("not hot").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("bucket").applyInArrow(_count_bucket(width), _RANGES)
+    buckets = max(4 * tasks, rows // 10_000 + 1)
+    cold = supers.where("not hot").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).repartition(max(tasks, buckets // 8), "bucket").groupBy("bucket").applyInArrow(_count_bucket(width), _RANGES)
     occ = supers.where("hot").mapInArrow(_expand(width), "f1 long, f2 long, doc long, th long, pos long")
     least = occ.groupBy("f1", "f2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").drop("hi")
     warm = occ.join(least, ["f1", "f2"]).where("doc > lo").select("doc", "th", F.col("pos").alias("start"), F.lit(width).cast("long").alias("n"))
@@ -283,6 +295,7 @@ def remove_repeats(
     tail = ", kept_text string" if with_text else ""
     out = f"doc long, th long, n_words long, n_removed long, kept_sha256 string{tail}"
     changed = scratch.table(cand.select("doc", "th", "text").distinct().join(ranges, ["doc", "th"]).mapInArrow(_digest(True, with_text), out), "sd-changed")
+    scratch.drop(found, cand, supers)
     whole = src.mapInArrow(_digest(False, with_text), out)
     names = ["n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
     new = changed.select(F.col("doc").alias("d2"), F.col("th").alias("t2"), *[F.col(c).alias(f"_{c}") for c in names])
@@ -292,3 +305,14 @@ def remove_repeats(
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+least AS (SELECT s, min(doc_id) AS lo FROM win GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN least USING (s) WHERE doc_id > lo),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
