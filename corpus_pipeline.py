@@ -2,6 +2,12 @@
 
 run(spark, sf_dir) applies them to ``documents``; each stage's result is written
 as Parquet in the folder that the cluster shares and read again by the next.
+
+Null and empty texts are judged as texts without words and count as equal to each
+other; rows with a null id go only for their text; repeated rows count as copies;
+columns beside doc_id and text, of whatever names, pass through the first four
+stages; without labels or benchmark items nothing goes for them; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations

@@ -209,8 +209,14 @@ def codec(path: str) -> Codec:
 
 
 def encoded(docs: DataFrame, path: str | None = None, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs with a column of token ids.  A null text counts as empty."""
+    """docs with a column of token ids, one row per input row.
+
+    A null text counts as empty and, like an empty one, has no ids; texts of any
+    length are whole; repeated rows get equal ids.  A column that has the new one's
+    name already is replaced.  An empty table gives an empty result.
+    """
     path = path or default_path()
+    docs = docs.drop(ids_col) if ids_col != text_col else docs
     names = docs.columns
     at = names.index(text_col)
 
@@ -220,7 +226,7 @@ def encoded(docs: DataFrame, path: str | None = None, text_col: str = "text", id
             data, offs = tv.buffers(b.column(at))
             for x, y in tv.row_blocks(offs, 2 << 20):
                 rows = c.encode_rows(data, offs[x : y + 1])
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)), pa.array(np.concatenate(rows).astype(np.int32)))
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)), pa.array(np.concatenate([np.empty(0, np.int32), *rows]).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(col.slice(x, y - x) for col in b.columns), ids], names=[*names, ids_col])
 
     from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
@@ -229,15 +235,21 @@ def encoded(docs: DataFrame, path: str | None = None, text_col: str = "text", id
 
 
 def decoded(docs: DataFrame, path: str | None = None, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """docs with the text that the token ids stand for.  Null ids give an empty text."""
+    """docs with the text that the token ids stand for, one row per input row.
+
+    Null and empty ids give an empty text.  A column that has the new one's name
+    already is replaced.  An empty table gives an empty result.
+    """
     path = path or default_path()
+    docs = docs.drop(text_col) if text_col != ids_col else docs
     names = docs.columns
     at = names.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            out = [c.decode(np.array(x or [], np.int64)) for x in b.column(at).to_pylist()]
+            lists = b.column(at)
+            out = [c.decode(x.values.to_numpy().astype(np.int64) if x.is_valid else np.empty(0, np.int64)) for x in lists]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*names, text_col])
 
     from pyspark.sql.types import StringType, StructField, StructType

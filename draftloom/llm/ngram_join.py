@@ -460,18 +460,30 @@ def _block_links(hot: DataFrame, comps: DataFrame, texts: DataFrame, k: int, per
     return links
 
 
-def representatives(docs: DataFrame, **options) -> DataFrame:
+def representatives(docs: DataFrame, broadcast_ids: int = 500_000, **options) -> DataFrame:
     """docs without the near copies: of each component the document with the smallest id stays.
 
-    Rows with a null id stay.  All columns of docs are kept.
+    Rows with a null id stay, and so do null and empty texts; all rows that repeat
+    the id of a document that goes do.  Columns of any name are kept as they are.
+    An empty table stays empty.  The ids that go are broadcast up to broadcast_ids
+    of them, so that texts are not shuffled once more; beyond that by shuffle.
     """
     id_col = options.get("id_col", "doc_id")
     found = similar_documents(docs, **options)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    gone = scratch.table(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "nj-gone")
+    side = F.broadcast(gone) if gone.count() <= broadcast_ids else gone
+    return docs.join(side, docs[id_col].cast("long") == side["__gone"], "left_anti")
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+OP1_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+link AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2) JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM reach WHERE a = d.doc_id), doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id)
+"""

@@ -37,14 +37,14 @@ def _per_doc(flags: np.ndarray, rel: np.ndarray) -> np.ndarray:
 
 def _repeats(h: np.ndarray, d: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(distinct values, occurrences of the commonest) of each text."""
-    u, c, du = np.zeros(n), np.zeros(n), d
+    u, c = np.zeros(n), np.zeros(n)
     if len(h):
-        order = np.lexsort((h, d))
-        h, du = h[order], d[order]
-        at = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (du[1:] != du[:-1])])
+        key = tv.per_text(h, d)
+        at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         runs = np.diff(np.r_[at, len(h)])
-        u = np.bincount(du[at], minlength=n).astype(np.float64)
-        np.maximum.at(c, du[at], runs)
+        du = tv.split_keys(key[at])[1]
+        u = np.bincount(du, minlength=n).astype(np.float64)
+        np.maximum.at(c, du, runs)
     return u, c
 
 
@@ -201,7 +201,13 @@ def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, with all their columns, that the classifier does not reject."""
+    """The rows of docs, with all their columns, that the classifier does not reject.
+
+    Each row is judged by its own text, null and empty ones as texts without words,
+    also where rows repeat an id or it is null.  Columns of any name are kept as
+    they are.  Without labels of both kinds nothing is rejected; an empty table stays
+    empty.
+    """
     model = fit(docs, labels, id_col=id_col, text_col=text_col, **options)
     names = docs.columns
     at = names.index(text_col)

@@ -7,14 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op8_bpe_round_trip
-from .decontaminate import op3_benchmark_decontamination
+from .decontaminate import OP3_SQL, op3_benchmark_decontamination
 from .exact_dedup import OP6_SQL, op6_exact_dedup
 from .language_id import op5_language_id
 from .licenses import op2_license_scan
-from .ngram_join import op1_ngram_jaccard_join
+from .ngram_join import OP1_SQL, op1_ngram_jaccard_join
 from .pii import op4_pii
 from .quality import op7_quality_classifier
-from .substring_dedup import op9_substring_dedup
+from .substring_dedup import OP9_SQL, op9_substring_dedup
 from .toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,6 +30,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
+#: Of op2 and op4 SQL can state the base columns only, of op5, op7, op8 and op10 none: they are held against brute force in the tests.
 SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": OP1_SQL,
+    "op3_benchmark_decontamination": OP3_SQL,
     "op6_exact_dedup": OP6_SQL,
+    "op9_substring_dedup": OP9_SQL,
 }
