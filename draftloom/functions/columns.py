@@ -173,23 +173,32 @@ def parse_pg_array(col: Column | str) -> Column:
     return F.when(F.coalesce(body, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.filter(items, lambda x: x != ""))
 
 
+#: White space, also beyond ASCII.
+BLANK = r"[\s\x0B\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
 def clean_summary(col: Column | str) -> Column:
-    """Text before the first '{', without fences, back-ticks and rules."""
+    """Text before the first '{', without fences, back-ticks and rules, and without white space at both ends."""
     head = F.split_part(F.coalesce(_c(col), F.lit("")), F.lit("{"), F.lit(1))
-    for pattern in (r"(?s)```.*$", "`", r"[-_*]{3,}", r"\s+$"):
+    for pattern in (r"(?s)```.*\z", "`", r"[-_*]{3,}", rf"\A{BLANK}+|{BLANK}+\z"):
         head = F.regexp_replace(head, pattern, "")
     return head
 
 
 def video_id(url: Column | str) -> Column:
-    """The 11-character id in the known forms of a video URL, else null."""
-    found = F.regexp_extract(F.coalesce(_c(url), F.lit("")), r"^.*(?:youtu\.be/|v/|u/\w/|embed/|watch\?v=|&v=)([^#&?]*).*", 1)
+    """The 11-character id in the known forms of a video URL (short link, v, embed and u paths, watch page), else null."""
+    u = _c(url)
+    full = F.when(u.contains("://"), u).otherwise(F.concat(F.lit("https://"), u))
+    part = lambda name, *key: F.try_parse_url(full, F.lit(name), *map(F.lit, key))
+    path = F.split(F.coalesce(part("PATH"), F.lit("")), "/")
+    step = lambda i: F.get(path, i)
+    found = F.when(F.endswith(part("HOST"), F.lit("youtu.be")), step(1)).when(step(1).isin("v", "embed"), step(2)).when(step(1) == "u", step(3)).otherwise(part("QUERY", "v"))
     return F.when(F.length(found) == 11, found)
 
 
 def video_thumbnail(url: Column | str, thumb: Column | str) -> Column:
     """The video's own picture, else the stored one."""
-    return F.coalesce(F.concat(F.lit("https://img.youtube.com/vi/"), video_id(url), F.lit("/mqdefault.jpg")), _c(thumb))
+    return F.coalesce(F.concat(F.lit("https://img.youtube.com/vi/"), video_id(url), F.lit("/maxresdefault.jpg")), _c(thumb))
 
 
 def delta_tier(wr: Column | str, avg: Column | str) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,63 +79,79 @@ def filter_articles(df: DataFrame, tags: list[str] | None = None, top: bool = Fa
     return out
 
 
-_WORD = r"[^\p{L}\p{N}']+"
+#: A word, or one other character: what a text has at a word boundary.
+_FIRST = re.compile(r"[A-Za-z0-9_]+|[^A-Za-z0-9_]")
+_EDGE = re.compile(r"\b", re.ASCII)
+_WORD_CHAR = "[A-Za-z0-9_]"
 
 
-def _words(col: Column) -> Column:
-    return F.array_remove(F.split(F.lower(F.coalesce(col, F.lit(""))), _WORD), "")
+def _starts(firsts: frozenset[str] | None, reach: int):
+    """Places where a name may start: (id, start, first, piece); piece is long enough for any name and one character more."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for i, text in zip(b["id"], b["text"]):
+                for m in _EDGE.finditer(text or ""):
+                    word = _FIRST.match(text, m.start())
+                    if word and (firsts is None or word.group().lower() in firsts):
+                        out.append((i, m.start(), word.group().lower(), text[m.start() : m.start() + reach].lower()))
+            for k in range(0, len(out), 10_000):
+                yield pd.DataFrame(out[k : k + 10_000], columns=["id", "start", "first", "piece"])
+
+    return run
 
-def detect_mentions(articles: DataFrame, dictionary: DataFrame, text: str = "summary", max_names: int = 100_000) -> DataFrame:
-    """(id, pos, n_words, name): dictionary names in the texts as whole words, the longest at each place.
 
-    Word runs up to the longest name are joined to the names; each text's matches
-    are taken from left to right, and one that starts before the end of the last
-    match taken is dropped.  The dictionary is broadcast only up to max_names names.
+def detect_mentions(articles: DataFrame, dictionary: DataFrame, text: str = "summary", max_names: int = 100_000) -> DataFrame:
+    """(id, start, length, name, official): dictionary names in the texts, whole words, of any case.
+
+    start and length count characters.  dictionary: name, as texts have it, and
+    official (else the name itself).  Each place where the first word of a name
+    stands is joined to the names with that first word; a text's matches are
+    taken from left to right, the longest at each place, and one that starts before
+    the end of the last one taken is dropped.  Up to max_names names are
+    broadcast; beyond that all words are joined by shuffle.
     """
-    names = dictionary.select("name").distinct().withColumn("w", _words(F.col("name"))).where("size(w) > 0").select(F.array_join("w", " ").alias("gram"), F.size("w").alias("n_words"), "name")
-    one = Window.partitionBy("gram").orderBy("name")
-    names = names.withColumn("r", F.row_number().over(one)).where("r = 1").drop("r")
-    longest, count = names.agg(F.max("n_words"), F.count("*")).first()
-    if not count:
-        return articles.select("id").limit(0).select("id", F.lit(0).alias("pos"), F.lit(0).alias("n_words"), F.lit("").alias("name"))
-    words = articles.select("id", _words(F.col(text)).alias("w"))
-    starts = words.where("size(w) > 0").select("id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("pos"))
-    grams = starts.select("id", "pos", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("w") - F.col("pos"))), lambda n: F.array_join(F.slice("w", F.col("pos") + 1, n), " "))).alias("gram"))
-    hits = grams.join(F.broadcast(names) if count <= max_names else names, "gram").select("id", "pos", "n_words", "name")
-    first = F.array_sort(F.collect_list(F.struct("pos", (-F.col("n_words")).alias("less"), "n_words", "name")))
-    start = F.struct(F.lit(0).alias("end"), F.slice("all", 1, 0).alias("kept"))
-    take = lambda s, x: F.when(x["pos"] >= s["end"], F.struct((x["pos"] + x["n_words"]).alias("end"), F.concat(s["kept"], F.array(x)).alias("kept"))).otherwise(s)
-    kept = hits.groupBy("id").agg(first.alias("all")).select("id", F.explode(F.aggregate("all", start, take, lambda s: s["kept"])).alias("m"))
-    return kept.select("id", "m.pos", "m.n_words", "m.name")
+    official = F.coalesce("official", "name") if "official" in dictionary.columns else F.col("name")
+    names = dictionary.where("name <> ''").select(F.lower("name").alias("name"), official.alias("official")).groupBy("name").agg(F.min("official").alias("official"))
+    names = names.withColumn("first", F.lower(F.regexp_extract("name", _FIRST.pattern, 0))).withColumn("length", F.length("name"))
+    longest, count = names.agg(F.max("length"), F.count("*")).first()
+    few = count <= max_names
+    firsts = frozenset(r[0] for r in names.select("first").distinct().collect()) if few else None
+    rows = articles.select("id", F.col(text).alias("text"))
+    places = rows.mapInPandas(_starts(firsts, (longest or 0) + 1), f"id {dict(rows.dtypes)['id']}, start int, first string, piece string")
+    ends = F.substring("piece", F.col("length") + 1, F.lit(1)).rlike(_WORD_CHAR) != F.substring("name", F.col("length"), F.lit(1)).rlike(_WORD_CHAR)
+    hits = places.join(F.broadcast(names) if few else names, "first").where(F.startswith("piece", "name") & ends)
+    best = hits.groupBy("id", "start").agg(F.max(F.struct("length", "name", "official")).alias("m")).select("id", F.struct("start", "m.*").alias("m"))
+
+    @F.pandas_udf("array<struct<start:int,length:int,name:string,official:string>>")
+    def taken(all_hits: pd.Series) -> pd.Series:
+        out = []
+        for hits in all_hits:
+            kept, end = [], 0
+            for m in hits:
+                if m["start"] >= end:
+                    kept.append(m)
+                    end = m["start"] + m["length"]
+            out.append(kept)
+        return pd.Series(out)
 
+    return best.groupBy("id").agg(F.array_sort(F.collect_list("m")).alias("all")).select("id", F.explode(taken("all")).alias("m")).select("id", "m.*")
 
-def link_mentions(articles: DataFrame, dictionary: DataFrame, text: str = "summary") -> DataFrame:
-    """Articles with each mention in the text written as a link [[name]]."""
-    found = detect_mentions(articles, dictionary, text).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "n_words", "name"))).alias("m"))
-    rows = articles.join(found, "id", "left")
-    import re
 
-    word = re.compile(r"[^\W_]+(?:'[^\W_]+)*|'+[^\W_]*|[^\W_]+'*")
+def link_mentions(articles: DataFrame, dictionary: DataFrame, text: str = "summary") -> DataFrame:
+    """Articles with each mention in the text written as a link [[official name]]."""
+    found = detect_mentions(articles, dictionary, text).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "length", "official"))).alias("m"))
 
     @F.pandas_udf("string")
     def rewrite(texts: pd.Series, mentions: pd.Series) -> pd.Series:
         out = []
-        for t, m in zip(texts, mentions):
-            if t is None or m is None or not len(m):
-                out.append(t)
-                continue
-            spans = [x.span() for x in word.finditer(t)]
+        for t, found in zip(texts, mentions):
             parts, at = [], 0
-            for x in m:
-                if x["pos"] + x["n_words"] > len(spans):
-                    continue
-                a, b = spans[x["pos"]][0], spans[x["pos"] + x["n_words"] - 1][1]
-                parts += [t[at:a], f"[[{x['name']}]]"]
-                at = b
-            out.append("".join([*parts, t[at:]]))
+            for m in found if found is not None else ():
+                parts += [t[at : m["start"]], f"[[{m['official']}]]"]
+                at = m["start"] + m["length"]
+            out.append("".join([*parts, t[at:]]) if parts else t)
         return pd.Series(out)
 
-    return rows.withColumn("linked", rewrite(F.col(text), F.col("m"))).drop("m")
-
-
+    return articles.join(found, "id", "left").withColumn("linked", rewrite(F.col(text), F.col("m"))).drop("m")

@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from .snapshots import top_n
-from .stats import GROUP, format_averages, format_mean_wr, real_archetypes
+from .stats import GROUP, format_mean_wr, real_archetypes
 
 _num = lambda c: F.coalesce(F.col(c), F.lit(0.0))  # noqa: E731  zero counts as missing
 sealed = lambda c="format": F.lower(F.col(c)).contains("sealed")
@@ -188,30 +187,34 @@ def sort_cards(df: DataFrame, key: str = "gih_wr", descending: bool = True, page
 
 
 def archetype_dashboard(card_stats: DataFrame, archetype_stats: DataFrame, kinds: tuple[str, ...] = ("Two colors", "Three colors", "Mono-color")) -> DataFrame:
-    """(section, rank, card) of every archetype: best commons and uncommons, best card, gems and traps."""
+    """(section, rank, card) of every archetype: best commons and uncommons, best card, gems and traps.
+
+    All ranks are window columns over the archetype's cards, dealt out once; the sections are unfolded from them.
+    """
     decks = real_archetypes(archetype_stats).where(C.deck_type("colors").isin(*kinds)).select(*GROUP, "archetype_name", C.colors_key("colors").alias("colors_key"), F.col("win_rate").alias("deck_wr"))
     cards = archetype_cards(card_stats).drop("rank")
-    limit = top_quarter_threshold(cards, [*GROUP, "colors_key"])
-    means = format_mean_wr(archetype_stats)
-    rows = decks.join(cards, [*GROUP, "colors_key"]).join(limit, [*GROUP, "colors_key"]).join(means, GROUP).withColumn("rarity_code", C.normalize_rarity("rarity"))
+    quarter = Window.partitionBy(*GROUP, "colors_key")
+    cards = cards.withColumn("r", F.row_number().over(quarter.orderBy(F.desc_nulls_last("gih_wr"), "card_name"))).withColumn("n", F.count("gih_wr").over(quarter))
+    cards = cards.withColumn("threshold", F.coalesce(F.max(F.when(F.col("r") == F.floor(F.col("n") * 0.25) + 1, F.col("gih_wr"))).over(quarter), F.lit(100.0)))
+    rows = decks.join(cards, [*GROUP, "colors_key"]).join(format_mean_wr(archetype_stats), GROUP).withColumn("rarity_code", C.normalize_rarity("rarity"))
     part = [*GROUP, "archetype_name"]
     wr, world, deck, mean = F.col("gih_wr"), F.col("global_wr"), F.col("deck_wr"), F.col("mean_wr")
     has = _num("gih_wr") != 0
-    tops = {code: top_n(rows.where(has & (F.col("rarity_code") == code)), part, [F.desc("gih_wr"), "card_name"], 5) for code in "CU"}
-    show = lambda df, section: df.select(*part, F.lit(section).alias("section"), "rank", "card_name", "gih_wr")
-    both = tops["C"].unionByName(tops["U"])
-    best = top_n(both.drop("rank").where(has), part, [F.when(F.col("rarity_code") == "C", 0).otherwise(1), F.desc("gih_wr"), "card_name"], 1)
-    rated = rows.where(has & (_num("global_wr") != 0))
-    gems = rated.where((wr >= mean) & (sealed() | (_num("alsa") > 4)) & (wr > world + 1) & F.when(sealed(), wr > deck).otherwise(wr > deck - 1))
-    gems = gems.join(both.select(*part, "card_name"), [*part, "card_name"], "left_anti")
-    gems = top_n(gems, part, [(wr - world).desc(), "card_name"], 5)
+    rank = lambda flag, *order: F.when(flag, F.row_number().over(Window.partitionBy(*part, flag).orderBy(*order, "card_name")))
+    rows = rows.repartition(*part)
+    for code in "CU":
+        rows = rows.withColumn(f"top{code}", rank(has & (F.col("rarity_code") == code), F.desc("gih_wr")))
+    top = F.coalesce((F.col("topC") <= 5) | (F.col("topU") <= 5), F.col("topC") <= 5, F.col("topU") <= 5, F.lit(False))
+    rated = has & (_num("global_wr") != 0)
+    gem = rated & (wr >= mean) & (sealed() | (_num("alsa") > 4)) & (wr > world + 1) & F.when(sealed(), wr > deck).otherwise(wr > deck - 1) & ~top
     own = F.forall(C.letters_of("colors"), lambda c: F.col("colors_key").contains(c))
-    traps = rated.where(own & (wr < F.col("threshold")) & (wr <= mean + 4) & (sealed() | ((_num("alsa") != 0) & (F.col("alsa") <= 4))) & (wr < world - 1) & F.when(sealed(), wr < deck).otherwise(wr < deck + 0.5))
-    traps = top_n(traps, part, ["gih_wr", "card_name"], 5)
-    out = show(tops["C"], "commons")
-    for df, section in ((tops["U"], "uncommons"), (best, "best"), (gems, "gems"), (traps, "traps")):
-        out = out.unionByName(show(df, section))
-    return out
+    trap = rated & own & (wr < F.col("threshold")) & (wr <= mean + 4) & (sealed() | ((_num("alsa") != 0) & (F.col("alsa") <= 4))) & (wr < world - 1) & F.when(sealed(), wr < deck).otherwise(wr < deck + 0.5)
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    rows = rows.withColumn("best", rank(top, F.when(F.col("rarity_code") == "C", 0).otherwise(1), F.desc("gih_wr")))
+    rows = rows.withColumn("gem", rank(sure(gem), (wr - world).desc())).withColumn("trap", rank(sure(trap), "gih_wr"))
+    sections = (("commons", "topC", 5), ("uncommons", "topU", 5), ("best", "best", 1), ("gems", "gem", 5), ("traps", "trap", 5))
+    found = F.array(*[F.when(F.col(c) <= n, F.struct(F.lit(name).alias("section"), F.col(c).alias("rank"))) for name, c, n in sections])
+    return rows.select(*part, F.explode(F.array_compact(found)).alias("s"), "card_name", "gih_wr").select(*part, "s.section", "s.rank", "card_name", "gih_wr")
 
 
 # fixed values: labels by rate row and ALSA column
@@ -225,10 +228,15 @@ _GRID = (
 _TIERS = ((9, "Bomb"), (7, "Top Tier"), (5, "Very Good"), (3, "Good"), (1, "Solid Playable"), (-1, "Playable"), (-3, "Filler"), (-5, "Bad"))
 
 
-def evaluate_cards(card_stats: DataFrame) -> DataFrame:
-    """The status of each Global card by its rate and, where it has one, its ALSA."""
+def evaluate_cards(card_stats: DataFrame, archetype_stats: DataFrame) -> DataFrame:
+    """The status of each Global card by its rate and, where it has one, its ALSA.
+
+    The centre is the format's rate of all decks, not the mean of its cards.
+    """
     g = card_stats.where("filter_context = 'Global'")
-    rows = g.where(_num("gih_wr") != 0).join(format_averages(g), GROUP)
+    bounds = g.where("gih_wr is not null or alsa is not null").groupBy(*GROUP).agg(
+        F.coalesce(F.min("gih_wr"), F.lit(45.0)).alias("min_wr"), F.coalesce(F.max("gih_wr"), F.lit(70.0)).alias("max_wr"), F.coalesce(F.avg("alsa"), F.lit(4.5)).alias("avg_alsa"))
+    rows = g.where(_num("gih_wr") != 0).join(bounds, GROUP).join(format_mean_wr(archetype_stats), GROUP, "left").withColumn("avg_wr", F.coalesce("mean_wr", F.lit(55.0)))
     wr, avg, alsa, a = F.col("gih_wr"), F.col("avg_wr"), F.col("alsa"), F.col("avg_alsa")
     lo, hi = F.floor(F.col("min_wr") - 1), F.ceil(F.col("max_wr") + 1)
     col = F.when(alsa < (1.25 + a) / 2, 0).when(alsa < a, 1).when(alsa < (a + 8.75) / 2, 2).otherwise(3)
@@ -243,12 +251,16 @@ def evaluate_cards(card_stats: DataFrame) -> DataFrame:
 
 
 def matrix_quadrants(card_stats: DataFrame, archetype_stats: DataFrame) -> DataFrame:
-    """T4: quadrant of each card in each context, around the archetype's rate (format mean for Global) and the mean ALSA."""
+    """T4: quadrant of each card in each context, around the archetype's rate and the mean ALSA.
+
+    Contexts without a matching archetype, Global among them, have the format's rate as centre.
+    """
     best = Window.partitionBy(*GROUP, "key").orderBy(F.desc("win_rate"), "archetype_name")
     decks = real_archetypes(archetype_stats).withColumn("key", C.colors_key("colors")).where("key is not null").withColumn("r", F.row_number().over(best)).where("r = 1").select(*GROUP, "key", F.col("win_rate").alias("deck_wr"))
-    rows = card_stats.where((_num("gih_wr") != 0) & (_num("alsa") != 0)).withColumn("key", F.when(F.col("filter_context") != "Global", C.colors_key("filter_context")))
-    means = rows.groupBy(*GROUP, "filter_context").agg(F.avg("gih_wr").alias("mean_wr"), F.avg("alsa").alias("mean_alsa"))
-    rows = rows.join(means, [*GROUP, "filter_context"]).join(decks, [*GROUP, "key"], "left")
-    good, late = F.col("gih_wr") >= F.coalesce("deck_wr", "mean_wr"), F.col("alsa") >= F.col("mean_alsa")
+    rated = card_stats.where("gih_wr is not null").withColumn("key", F.when(F.col("filter_context") != "Global", C.colors_key("filter_context")))
+    alsa = F.coalesce(F.avg("alsa").over(Window.partitionBy(*GROUP, "filter_context")), F.lit(4.5))
+    rows = rated.withColumn("mean_alsa", alsa).where((_num("gih_wr") != 0) & (_num("alsa") != 0))
+    rows = rows.join(decks, [*GROUP, "key"], "left").join(format_mean_wr(archetype_stats), GROUP, "left")
+    good, late = F.col("gih_wr") >= F.coalesce("deck_wr", "mean_wr", F.lit(55.0)), F.col("alsa") >= F.col("mean_alsa")
     kind = F.when(good & ~late, "Top tier").when(good, "Gem").when(~late, "Overrated").otherwise("Chaff")
     return rows.select(*GROUP, "filter_context", "card_name", kind.alias("quadrant"))

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .cards import filter_cards
 from .stats import GROUP, format_mean_wr, meta_share
 
 SHORT = {"PremierDraft": "premier", "TradDraft": "trad", "Sealed": "sealed", "ArenaDirect_Sealed": "direct"}
@@ -27,12 +28,14 @@ def filter_archetypes(df: DataFrame, mode: str = "All") -> DataFrame:
     return df.where(keep)
 
 
-def blueprint_stats(card_stats: DataFrame, archetype_stats: DataFrame, mode: str = "all") -> DataFrame:
+def blueprint_stats(card_stats: DataFrame, archetype_stats: DataFrame, mode: str = "all", rarities: list[str] | None = None, colors: list[str] | None = None) -> DataFrame:
     """Per rarity and per colour class the mean rate, its distance to the format mean and the spread.
 
-    mode: all cards, the ten best or the ten worst of each class.  Both groupings
-    are made in one pass over the ranked cards.
+    mode: all cards, the ten best or the ten worst of each class; rarities and
+    colors restrict the cards.  Both groupings are made in one pass over the
+    ranked cards.  ``place`` orders the colour classes of a format by delta.
     """
+    card_stats = filter_cards(card_stats, rarities=rarities, colors=colors, mono_only=True)
     g = global_cards(card_stats).select(*GROUP, "card_name", "gih_wr", F.explode(F.array(F.struct(F.lit("rarity").alias("axis"), F.col("rarity_code").alias("value")), F.struct(F.lit("color").alias("axis"), F.col("color_class").alias("value")))).alias("k")).select(*GROUP, "card_name", "gih_wr", "k.*")
     part = Window.partitionBy(*GROUP, "axis", "value")
     g = g.withColumn("best", F.row_number().over(part.orderBy(F.desc("gih_wr"), "card_name"))).withColumn("worst", F.row_number().over(part.orderBy("gih_wr", "card_name")))
@@ -42,7 +45,20 @@ def blueprint_stats(card_stats: DataFrame, archetype_stats: DataFrame, mode: str
     out = g.groupBy(*GROUP, "axis", "value").agg(F.avg(wr).alias("mean_wr"), sd.alias("sigma"), F.count(wr).alias("cards")).join(format_mean_wr(archetype_stats).withColumnRenamed("mean_wr", "format_wr"), GROUP, "left")
     delta = F.col("mean_wr") - F.coalesce("format_wr", F.lit(55.0))
     label = F.when(F.col("sigma") < 2, "Very consistent").when(F.col("sigma") < 4, "Moderate spread").otherwise("High variance")
-    return out.select(*GROUP, "axis", "value", "cards", "mean_wr", "sigma", delta.alias("delta"), label.alias("consistency"))
+    out = out.select(*GROUP, "axis", "value", "cards", "mean_wr", "sigma", delta.alias("delta"), label.alias("consistency"))
+    place = F.row_number().over(Window.partitionBy(*GROUP, "axis").orderBy(F.desc("delta"), "value"))
+    return out.withColumn("place", F.when(F.col("axis") == "color", place))
+
+
+def blueprint_lists(card_stats: DataFrame, n: int = 10) -> DataFrame:
+    """The n best and the n worst cards of each rarity and of each colour class."""
+    g = global_cards(card_stats)
+    axes = F.array(*[F.struct(F.lit(axis).alias("axis"), F.col(c).alias("value")) for axis, c in (("rarity", "rarity_code"), ("color", "color_class"))])
+    g = g.select(*GROUP, "card_name", "gih_wr", F.explode(axes).alias("k")).select(*GROUP, "card_name", "gih_wr", "k.*")
+    part = Window.partitionBy(*GROUP, "axis", "value")
+    g = g.withColumn("best", F.row_number().over(part.orderBy(F.desc("gih_wr"), "card_name"))).withColumn("worst", F.row_number().over(part.orderBy("gih_wr", "card_name")))
+    lists = F.array_compact(F.array(*[F.when(F.col(k) <= n, F.struct(F.lit(k).alias("list"), F.col(k).alias("rank"))) for k in ("best", "worst")]))
+    return g.select(*GROUP, "axis", "value", F.explode(lists).alias("l"), "card_name", "gih_wr").select(*GROUP, "axis", "value", "l.list", "l.rank", "card_name", "gih_wr")
 
 
 def format_spread(card_stats: DataFrame, archetype_stats: DataFrame) -> DataFrame:

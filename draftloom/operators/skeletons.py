@@ -36,7 +36,7 @@ def cluster_decks(
     """M2: (by..., aggregate_id, is_alternative): two clusters per group where they differ enough.
 
     All groups are clustered together.  Seeds are the most distant pair of a sample
-    per group (the ``sample`` smallest by hash of the id; ties to the smaller ids);
+    per group (the ``sample`` smallest by MD5 of the id; ties to the smaller ids);
     then each round assigns decks to the nearer centroid and takes as centroid the
     cards of at least half of a cluster's decks.  Centroids are small (two card
     sets a group); the decks are never collected by group.
@@ -48,7 +48,7 @@ def cluster_decks(
     base = keep(_sets(decks).select(*by_, "aggregate_id", "cards"), "cluster-base")
     sizes = base.groupBy(*by_).agg(F.count("*").alias("n")).where(F.col("n") >= min_decks)
     big = base.join(sizes.select(*by_), by_, "left_semi")
-    w = Window.partitionBy(*by_).orderBy(F.xxhash64("aggregate_id"), "aggregate_id")
+    w = Window.partitionBy(*by_).orderBy(F.md5(F.col("aggregate_id").cast("string")), "aggregate_id")
     pick = keep(big.withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample).drop("r"), "cluster-sample")
     a, b = pick.select(*by_, F.col("aggregate_id").alias("ia"), F.col("cards").alias("ca")), pick.select(*by_, F.col("aggregate_id").alias("ib"), F.col("cards").alias("cb"))
     far = a.join(b, by_).where("ia < ib").withColumn("d", 1 - jaccard("ca", "cb"))
@@ -181,7 +181,7 @@ def dictionary_coverage(decks: DataFrame, meta: DataFrame) -> DataFrame:
 def greedy_deck(cards: list[dict], avg_lands: float, avg_creatures: float, curve: dict[str, float], size: int = 40) -> list[dict]:
     """M3 for one group: candidates in score order -> the deck list in append order."""
     lands_goal = round(avg_lands)
-    deck = [c for c in cards if "Land" in c["type"] and "Basic" not in c["type"] and c["freq"] > 0.2][:max(lands_goal, 0)]
+    deck = [{**c, "cmc": 0.0, "cost": ""} for c in cards if "Land" in c["type"] and "Basic" not in c["type"] and c["freq"] > 0.2][:max(lands_goal, 0)]
     lands = len(deck)
     spells = size - lands_goal
     creatures = round(spells * avg_creatures / max(1, size - avg_lands))
@@ -202,7 +202,7 @@ def greedy_deck(cards: list[dict], avg_lands: float, avg_creatures: float, curve
         slot = min(int(c["cmc"] or 0), 7)
         if qty <= 0 or filled[slot] >= round(curve.get(str(slot), 0.0)) + 2:
             continue
-        deck += [c] * qty
+        deck += [{**c, "cmc": float(slot)}] * qty
         added, taken[kind], filled[slot] = added + qty, taken[kind] + qty, filled[slot] + qty
         pairs += qty == 2
         for x in C.WUBRG:
@@ -232,7 +232,7 @@ def build_skeleton(candidates: DataFrame, profile: DataFrame, meta: DataFrame) -
     def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values(["score", "card_name"], ascending=[False, True])
         cards = [
-            {"name": r.card_name, "cmc": float(r.card_cmc or 0), "type": r.card_type or "", "cost": r.card_cost or "", "rarity": r.rarity or "", "freq": r.freq, "common": (r.rarity or "common")[:1].upper() not in ("M", "R", "U")}
+            {"name": r.card_name, "cmc": float(r.card_cmc or 0), "type": r.card_type or "", "cost": r.card_cost or "", "rarity": r.rarity or "", "freq": r.freq, "common": r.rarity == "common"}
             for r in df.itertuples()
         ]
         first = df.iloc[0]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import BASIC_LANDS
@@ -59,9 +59,9 @@ def synergy_scores(decks: DataFrame, by: tuple[str, ...] = GROUP, min_lift: floa
 
 def card_partners(synergy: DataFrame, by: tuple[str, ...] = GROUP) -> DataFrame:
     """Each pair seen from both of its cards."""
-    one = synergy.select(*by, F.col("card_a").alias("card_name"), F.col("card_b").alias("partner"), F.col("confidence_a_to_b").alias("confidence"), "synergy_score", "co_occurrence_count")
-    two = synergy.select(*by, F.col("card_b").alias("card_name"), F.col("card_a").alias("partner"), F.col("confidence_b_to_a").alias("confidence"), "synergy_score", "co_occurrence_count")
-    return one.unionByName(two)
+    seen = lambda a, b: F.struct(F.col(f"card_{a}").alias("card_name"), F.col(f"card_{b}").alias("partner"), F.col(f"confidence_{a}_to_{b}").alias("confidence"))
+    both = synergy.select(*by, F.explode(F.array(seen("a", "b"), seen("b", "a"))).alias("s"), "synergy_score", "co_occurrence_count")
+    return both.select(*by, "s.card_name", "s.partner", "s.confidence", "synergy_score", "co_occurrence_count")
 
 
 def top_synergies(synergy: DataFrame, by: str = "lift_score", n: int = 10, group: tuple[str, ...] = GROUP) -> DataFrame:
@@ -73,5 +73,7 @@ def top_partners(synergy: DataFrame, n: int = 3, group: tuple[str, ...] = GROUP)
     """T5: each card's best partners by confidence and by synergy."""
     rows = card_partners(synergy, group)
     key = [*group, "card_name"]
-    best = lambda c, kind: top_n(rows, key, [F.desc(c), F.asc("partner")], n).withColumn("kind", F.lit(kind))
-    return best("confidence", "confidence").unionByName(best("synergy_score", "synergy"))
+    rank = lambda c: F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(c), F.asc("partner")))
+    ranked = rows.withColumn("by_confidence", rank("confidence")).withColumn("by_synergy", rank("synergy_score"))
+    kinds = F.array_compact(F.array(*[F.when(F.col(f"by_{k}") <= n, F.struct(F.col(f"by_{k}").alias("rank"), F.lit(k).alias("kind"))) for k in ("confidence", "synergy")]))
+    return ranked.select(*rows.columns, F.explode(kinds).alias("s")).select(*rows.columns, "s.rank", "s.kind")

@@ -29,16 +29,15 @@ SQL: dict[str, str] = {
         SELECT aggregate_id, set_code, format, archetype, trophy_time, card_name,
                CAST(sum(CASE WHEN floor(l_quantity * 0.4) < 1 THEN 1 ELSE floor(l_quantity * 0.4) END) AS INT) AS qty
         FROM {fx_lines} GROUP BY aggregate_id, set_code, format, archetype, trophy_time, card_name""",
-    "fx_brands": """
-        SELECT p_brand AS card_name, CAST(replace(p_brand, 'Brand#', '') AS INT) AS n FROM (SELECT DISTINCT p_brand FROM {part}) b""",
     "fx_card_list": """
-        SELECT card_name, s.set_code,
+        SELECT card_name, set_code,
                CASE WHEN n % 11 = 0 THEN '' ELSE substr('WUBRG', n % 5 + 1, 1) || CASE WHEN n % 7 = 0 THEN substr('WUBRG', (n + 2) % 5 + 1, 1) ELSE '' END END AS colors,
                CAST(n % 9 AS DOUBLE) AS card_cmc, '{{' || CAST(n % 4 AS VARCHAR(9)) || '}}{{' || substr('WUBRG', n % 5 + 1, 1) || '}}' AS card_cost,
                CASE n % 4 WHEN 0 THEN 'common' WHEN 1 THEN 'uncommon' WHEN 2 THEN 'rare' ELSE 'mythic' END AS rarity,
                CASE WHEN n % 6 = 0 THEN 'Basic Land - Forest' WHEN n % 3 = 0 THEN 'Land' WHEN n % 3 = 1 THEN 'Creature - Elf' ELSE 'Instant' END AS card_type,
                CAST(n AS BIGINT) AS arena_id
-        FROM {fx_brands} CROSS JOIN (SELECT DISTINCT set_code FROM {fx_decks}) s""",
+        FROM (SELECT DISTINCT p_brand AS card_name, CAST(replace(p_brand, 'Brand#', '') AS INT) AS n, o_orderstatus AS set_code
+              FROM {lineitem} JOIN {part} ON p_partkey = l_partkey JOIN {orders} ON o_orderkey = l_orderkey) s""",
     "fx_card_stats": """
         SELECT x.set_code, x.format, x.filter_context, x.card_name, l.rarity, l.colors, x.img_count, x.gih_wr, x.alsa
         FROM (SELECT set_code, format, CASE WHEN grouping(archetype) = 1 THEN 'Global' ELSE archetype END AS filter_context, card_name, count(*) AS img_count,

@@ -8,6 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from .functions import columns as C
 from .operators import articles, cards, formats, skeletons, snapshots, stats, synergy
@@ -42,8 +43,11 @@ def as_of() -> Column:
 
 
 def shared(spark: SparkSession) -> str:
-    """A fresh folder that all executors see; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-draft-")
+    """A fresh folder that all executors see; a temporary one only on a local master where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = root or "file://" + tempfile.mkdtemp(prefix="spark-draft-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -226,13 +230,12 @@ def p17_parse_pg_array(s, d):
     return fx.articles(s, d).select("id", F.array_join(C.parse_pg_array("mentioned_cards"), "|").alias("names"))
 
 
-@query(r"SELECT id, regexp_replace(regexp_replace(split_part(summary, '{', 1), '[-_*]{3,}', '', 'g'), '\s+$', '') AS cleaned FROM fx_articles WHERE NOT contains(summary, '`')")
+@query(rf"SELECT id, regexp_replace(regexp_replace(replace(regexp_replace(split_part(coalesce(summary, ''), '{{', 1), '(?s)```.*$', ''), '`', ''), '[-_*]{{3,}}', '', 'g'), '^{C.BLANK}+|{C.BLANK}+$', '', 'g') AS cleaned FROM fx_articles")
 def p18_clean_summary(s, d):
-    """The SQL leaves out texts with a back-tick; those are checked by brute force in the tests."""
     return fx.articles(s, d).select("id", C.clean_summary("summary").alias("cleaned"))
 
 
-@query("SELECT id, CASE WHEN video_url IS NULL THEN 'none.jpg' ELSE 'https://img.youtube.com/vi/' || substr(video_url, 18) || '/mqdefault.jpg' END AS thumb FROM fx_articles")
+@query("SELECT id, CASE WHEN video_url IS NULL THEN 'none.jpg' ELSE 'https://img.youtube.com/vi/' || substr(video_url, 18) || '/maxresdefault.jpg' END AS thumb FROM fx_articles")
 def p19_video_thumbnail(s, d):
     return fx.articles(s, d).select("id", C.video_thumbnail("video_url", F.lit("none.jpg")).alias("thumb"))
 
@@ -346,6 +349,25 @@ def s6_select_sets(s, d):
     return tables.select_sets(sets, embargoed=["F5"]).select("code", "start_date")
 
 
+@query(f"WITH {_SETS} SELECT DISTINCT p_brand AS code FROM part WHERE p_brand NOT IN (SELECT code FROM sets WHERE active) UNION SELECT code FROM sets WHERE NOT active")
+def s6_missing_targets(s, d):
+    sets = fx.frame(s, d, "orders").groupBy(F.concat("o_orderstatus", F.substring("o_orderpriority", 1, 1)).alias("code")).agg((F.count("*") % 4 != 0).alias("active"))
+    return tables.missing_targets(sets, sets.select("code").unionByName(fx.frame(s, d, "part").select(F.col("p_brand").alias("code"))))
+
+
+@query("SELECT set_code, format, filter_context, card_name AS name, rarity, colors AS color, gih_wr AS ever_drawn_win_rate, img_count AS game_count FROM fx_card_stats")
+def s1_read_ratings(s, d):
+    """The card statistics written as feed files of all three layouts, and read."""
+    root = shared(s)
+    c = _card_stats(s, d)
+    row = F.struct(F.col("card_name").alias("name"), "rarity", F.col("colors").alias("color"), F.col("gih_wr").alias("ever_drawn_win_rate"), F.col("alsa").alias("avg_seen"), F.col("img_count").alias("game_count"))
+    files = c.groupBy("set_code", "format", "filter_context").agg(F.collect_list(row).alias("rows"))
+    layout = F.pmod(F.hash("set_code", "format", "filter_context"), F.lit(3))
+    body = F.when(layout == 0, F.to_json("rows")).when(layout == 1, F.to_json(F.struct(F.col("rows").alias("results")))).otherwise(F.to_json(F.struct(F.lit(1).alias("n"), F.col("rows").alias("cards"))))
+    files.select("set_code", "format", "filter_context", body.alias("value")).write.partitionBy("set_code", "format", "filter_context").text(root)
+    return tables.read_ratings(s, root).select("set_code", "format", "filter_context", "name", "rarity", "color", "ever_drawn_win_rate", "game_count")
+
+
 # ---- statistics ----
 
 @query(f"WITH t AS (SELECT * FROM fx_archetype_stats WHERE {REAL}) SELECT set_code, format, archetype_name, games_count, round(games_count / sum(games_count) OVER (PARTITION BY set_code, format), 6) AS meta_share FROM t")
@@ -423,18 +445,23 @@ def _syn_cte(keys: str) -> str:
         WHERE co >= greatest(10, floor(0.02 * n)) AND ka.k >= greatest(20, floor(0.03 * n)) AND kb.k >= greatest(20, floor(0.03 * n)) AND (co / n) / ((ka.k / n) * (kb.k / n)) >= 1.2)"""
 
 
+def _deck_table(s: SparkSession, d: str) -> DataFrame:
+    """The decks, written once where several passes read them."""
+    return saved(fx.decks_with_cards(s, d), "decks")
+
+
 @query(f"WITH {_syn_cte('set_code, format')} SELECT * FROM syn")
 def a10_synergy_scores(s, d):
-    return synergy.synergy_scores(fx.decks_with_cards(s, d))
+    return synergy.synergy_scores(_deck_table(s, d))
 
 
 @query(f"WITH {_syn_cte('set_code')} SELECT * FROM syn")
 def a10_synergy_by_set(s, d):
-    return synergy.synergy_scores(fx.decks_with_cards(s, d), ("set_code",))
+    return synergy.synergy_scores(_deck_table(s, d), ("set_code",))
 
 
 def _syn(s: SparkSession, d: str) -> DataFrame:
-    return synergy.synergy_scores(fx.decks_with_cards(s, d), min_lift=1.0)
+    return synergy.synergy_scores(_deck_table(s, d), min_lift=1.0)
 
 
 _SYN = _syn_cte("set_code, format").replace(">= 1.2)", ">= 1.0)")
@@ -451,6 +478,13 @@ def w3_w4_top_synergies(s, d):
     return synergy.top_synergies(_syn(s, d)).select("set_code", "format", "card_a", "card_b", "lift_score", "rank")
 
 
+@query(f"WITH {_SYN} " + " UNION ALL ".join(f"SELECT set_code, format, card_a, card_b, {c} AS confidence, rank, '{c}' AS ranking FROM (SELECT *, row_number() OVER (PARTITION BY set_code, format ORDER BY {c} DESC, card_a, card_b) AS rank FROM syn) WHERE rank <= 10" for c in ("confidence_a_to_b", "confidence_b_to_a")))
+def w4_top_by_confidence(s, d):
+    syn = saved(_syn(s, d), "synergy")
+    best = lambda c: synergy.top_synergies(syn, c).select("set_code", "format", "card_a", "card_b", F.col(c).alias("confidence"), "rank", F.lit(c).alias("ranking"))
+    return best("confidence_a_to_b").unionByName(best("confidence_b_to_a"))
+
+
 @query(f"""WITH {_PARTNERS} SELECT set_code, format, card_name, partner, rank, 'confidence' AS kind FROM (SELECT *, row_number() OVER (PARTITION BY set_code, format, card_name ORDER BY confidence DESC, partner) AS rank FROM both_ways) WHERE rank <= 3
     UNION ALL SELECT set_code, format, card_name, partner, rank, 'synergy' FROM (SELECT *, row_number() OVER (PARTITION BY set_code, format, card_name ORDER BY synergy_score DESC, partner) AS rank FROM both_ways) WHERE rank <= 3""")
 def t5_top_partners(s, d):
@@ -507,6 +541,15 @@ def j5_archetype_grid(s, d):
     return cards.archetype_grid(_arch(s, d))
 
 
+_TRIOS_SQL = "(VALUES " + ", ".join(f"('{''.join(sorted(p))}', '{p}')" for p in C.TRIOS) + ") AS p(k, trio)"
+
+
+@query(f"""WITH t AS (SELECT DISTINCT set_code, format, trio, k FROM fx_archetype_stats CROSS JOIN {_TRIOS_SQL}), o AS (SELECT *, {q_key('colors')} AS k2 FROM fx_archetype_stats WHERE {REAL} AND {q_type('colors')} = 'Three colors')
+    SELECT t.set_code, t.format, trio AS code, coalesce(archetype_name, trio) AS archetype_name, coalesce(win_rate, 0.0) AS win_rate, coalesce(games_count, 0) AS games_count FROM t LEFT JOIN o ON o.set_code = t.set_code AND o.format = t.format AND o.k2 = t.k""")
+def j5_archetype_grid_trios(s, d):
+    return cards.archetype_grid(_arch(s, d), "Three colors")
+
+
 def _half_dictionary(s: SparkSession, d: str) -> DataFrame:
     return fx.frame(s, d, "fx_card_list").where("arena_id % 2 = 0").select(F.col("card_name").alias("name"), "card_cmc", "card_cost", "card_type").distinct()
 
@@ -597,19 +640,27 @@ def t2_archetype_dashboard(s, d):
 _GRID = [("Bomb", "Underrated Bomb", "Absolute Gem", "Absolute Gem"), ("Top Tier", "Underrated Top Tier", "Underrated Gem", "Underrated Gem"), ("Overrated Top Tier", "Good Pick", "Gem", "Good Filler"), ("Overhyped Trap", "Bait", "Mediocre", "Filler"), ("Overhyped Trap", "Bait", "Chaff", "Unplayable")]
 
 
-@query(f"""WITH a AS (SELECT set_code, format, avg(gih_wr) FILTER (gih_wr <> 0) AS avg_wr, avg(alsa) AS avg_alsa, min(gih_wr) FILTER (gih_wr <> 0) AS mn, max(gih_wr) FILTER (gih_wr <> 0) AS mx FROM fx_card_stats WHERE filter_context = 'Global' GROUP BY 1, 2),
+@query(f"""WITH {MEAN_WR}, a AS (SELECT set_code, format, mean_wr AS avg_wr, avg_alsa, mn, mx FROM (SELECT set_code, format, avg(alsa) AS avg_alsa, min(gih_wr) AS mn, max(gih_wr) AS mx FROM fx_card_stats WHERE filter_context = 'Global' GROUP BY 1, 2) JOIN mean_wr USING (set_code, format)),
     x AS (SELECT c.set_code, c.format, card_name, gih_wr AS w, alsa, avg_wr, mx, CASE WHEN alsa < (1.25 + avg_alsa) / 2 THEN 1 WHEN alsa < avg_alsa THEN 2 WHEN alsa < (avg_alsa + 8.75) / 2 THEN 3 ELSE 4 END AS col,
       CASE WHEN gih_wr >= avg_wr + (ceil(mx + 1) - avg_wr) * 2 / 3 THEN 1 WHEN gih_wr >= avg_wr + (ceil(mx + 1) - avg_wr) / 3 THEN 2 WHEN gih_wr >= avg_wr THEN 3 WHEN gih_wr >= avg_wr - (avg_wr - floor(mn - 1)) / 2 THEN 4 ELSE 5 END AS rw
       FROM fx_card_stats c JOIN a USING (set_code, format) WHERE filter_context = 'Global' AND gih_wr <> 0)
     SELECT set_code, format, card_name, CASE WHEN w >= mx - 4 THEN 'Bomb' WHEN abs(w - avg_wr) <= 0.5 AND col IN (2, 3) THEN 'Playable' WHEN rw = 3 AND col = 1 AND alsa >= 2 THEN 'Top Tier'
       ELSE ([{', '.join('[' + ', '.join(f"'{v}'" for v in r) + ']' for r in _GRID)}])[rw][col] END AS status FROM x""")
 def t3_evaluate_cards(s, d):
-    return cards.evaluate_cards(_card_stats(s, d)).select("set_code", "format", "card_name", "status")
+    return cards.evaluate_cards(_card_stats(s, d), _arch(s, d)).select("set_code", "format", "card_name", "status")
+
 
+_PLAIN_TIERS = "CASE " + " ".join(f"WHEN gih_wr - mean_wr >= {e} THEN '{n}'" for e, n in ((9, "Bomb"), (7, "Top Tier"), (5, "Very Good"), (3, "Good"), (1, "Solid Playable"), (-1, "Playable"), (-3, "Filler"), (-5, "Bad"))) + " ELSE 'Chaff' END"
 
-@query(f"""WITH {_BEST_DECK}, r AS (SELECT *, CASE WHEN filter_context <> 'Global' THEN {q_key('filter_context')} END AS k FROM fx_card_stats WHERE gih_wr <> 0 AND alsa <> 0),
-    m AS (SELECT set_code, format, filter_context, avg(gih_wr) AS mw, avg(alsa) AS ma FROM r GROUP BY 1, 2, 3)
-    SELECT r.set_code, r.format, r.filter_context, card_name, CASE WHEN gih_wr >= coalesce(win_rate, mw) AND NOT alsa >= ma THEN 'Top tier' WHEN gih_wr >= coalesce(win_rate, mw) THEN 'Gem' WHEN NOT alsa >= ma THEN 'Overrated' ELSE 'Chaff' END AS quadrant
+
+@query(f"WITH {MEAN_WR} SELECT set_code, format, card_name, {_PLAIN_TIERS} AS status FROM fx_card_stats JOIN mean_wr USING (set_code, format) WHERE filter_context = 'Global' AND gih_wr <> 0")
+def t3_evaluate_without_alsa(s, d):
+    return cards.evaluate_cards(_card_stats(s, d).withColumn("alsa", F.lit(None).cast("double")), _arch(s, d)).select("set_code", "format", "card_name", "status")
+
+
+@query(f"""WITH {_BEST_DECK}, {MEAN_WR}, m AS (SELECT set_code, format, filter_context, avg(alsa) AS ma FROM fx_card_stats WHERE gih_wr IS NOT NULL GROUP BY 1, 2, 3),
+    r AS (SELECT *, CASE WHEN filter_context <> 'Global' THEN {q_key('filter_context')} END AS k FROM fx_card_stats JOIN mean_wr USING (set_code, format) WHERE gih_wr <> 0 AND alsa <> 0)
+    SELECT r.set_code, r.format, r.filter_context, card_name, CASE WHEN gih_wr >= coalesce(win_rate, mean_wr) AND NOT alsa >= ma THEN 'Top tier' WHEN gih_wr >= coalesce(win_rate, mean_wr) THEN 'Gem' WHEN NOT alsa >= ma THEN 'Overrated' ELSE 'Chaff' END AS quadrant
     FROM r JOIN m USING (set_code, format, filter_context) LEFT JOIN bd ON bd.set_code = r.set_code AND bd.format = r.format AND bd.k = r.k""")
 def t4_matrix_quadrants(s, d):
     return cards.matrix_quadrants(_card_stats(s, d), _arch(s, d))
@@ -622,13 +673,21 @@ def f4_filter_archetypes(s, d):
     return formats.filter_archetypes(_arch(s, d)).select("set_code", "format", "archetype_name")
 
 
-def _blueprint(mode: str) -> str:
+@query("SELECT set_code, format, archetype_name, mode FROM (" + " UNION ALL ".join(f"SELECT *, '{m}' AS mode FROM fx_archetype_stats WHERE {w}" for m, w in (
+    ("2color", f"length({q_extract('colors')}) = 2 AND NOT contains(colors, 'Splash')"), ("splash", f"length({q_extract('colors')}) = 2 AND contains(colors, 'Splash')"), ("3color", f"length({q_extract('colors')}) = 3"))) + ")")
+def f4_filter_archetypes_modes(s, d):
+    one = lambda m: formats.filter_archetypes(_arch(s, d), m).select("set_code", "format", "archetype_name", F.lit(m).alias("mode"))
+    return one("2color").unionByName(one("splash")).unionByName(one("3color"))
+
+
+def _blueprint(mode: str, where: str = "true") -> str:
     used = {"all": "true", "top10": "b <= 10", "bottom10": "w <= 10"}[mode]
-    return f"""WITH {MEAN_WR}, {GLOBAL_CARDS}, k AS (SELECT set_code, format, card_name, gih_wr, 'rarity' AS axis, rarity_code AS value FROM g UNION ALL SELECT set_code, format, card_name, gih_wr, 'color', color_class FROM g),
+    return f"""WITH {MEAN_WR}, {GLOBAL_CARDS}, f AS (SELECT * FROM g WHERE {where}), k AS (SELECT set_code, format, card_name, gih_wr, 'rarity' AS axis, rarity_code AS value FROM f UNION ALL SELECT set_code, format, card_name, gih_wr, 'color', color_class FROM f),
     r AS (SELECT *, row_number() OVER (PARTITION BY set_code, format, axis, value ORDER BY gih_wr DESC, card_name) AS b, row_number() OVER (PARTITION BY set_code, format, axis, value ORDER BY gih_wr, card_name) AS w FROM k)
+    SELECT *, CASE WHEN axis = 'color' THEN row_number() OVER (PARTITION BY set_code, format, axis ORDER BY delta DESC, value) END AS place FROM (
     SELECT set_code, format, axis, value, count(*) AS cards, round(avg(gih_wr), 6) AS mean_wr, round(CASE WHEN count(*) < 2 THEN 0 ELSE stddev_pop(gih_wr) END, 6) AS sigma, round(avg(gih_wr) - max(mean_wr), 6) AS delta,
       CASE WHEN CASE WHEN count(*) < 2 THEN 0 ELSE stddev_pop(gih_wr) END < 2 THEN 'Very consistent' WHEN stddev_pop(gih_wr) < 4 THEN 'Moderate spread' ELSE 'High variance' END AS consistency
-    FROM r JOIN mean_wr USING (set_code, format) WHERE {used} GROUP BY 1, 2, 3, 4"""
+    FROM r JOIN mean_wr USING (set_code, format) WHERE {used} GROUP BY 1, 2, 3, 4)"""
 
 
 @query(_blueprint("all"))
@@ -641,6 +700,18 @@ def a21_blueprint_top10(s, d):
     return rounded(formats.blueprint_stats(_card_stats(s, d), _arch(s, d), "top10"))
 
 
+@query(_blueprint("bottom10", "rarity_code IN ('C', 'U') AND (length(color_class) = 1 AND color_class IN ('W', 'U', 'M'))"))
+def a21_blueprint_bottom10(s, d):
+    return rounded(formats.blueprint_stats(_card_stats(s, d), _arch(s, d), "bottom10", ["C", "U"], ["W", "U", "M"]))
+
+
+@query(f"""WITH {GLOBAL_CARDS}, k AS (SELECT set_code, format, card_name, gih_wr, 'rarity' AS axis, rarity_code AS value FROM g UNION ALL SELECT set_code, format, card_name, gih_wr, 'color', color_class FROM g),
+    r AS (SELECT *, row_number() OVER (PARTITION BY set_code, format, axis, value ORDER BY gih_wr DESC, card_name) AS b, row_number() OVER (PARTITION BY set_code, format, axis, value ORDER BY gih_wr, card_name) AS w FROM k)
+    SELECT set_code, format, axis, value, 'best' AS list, b AS rank, card_name, gih_wr FROM r WHERE b <= 10 UNION ALL SELECT set_code, format, axis, value, 'worst', w, card_name, gih_wr FROM r WHERE w <= 10""")
+def a21_blueprint_lists(s, d):
+    return formats.blueprint_lists(_card_stats(s, d))
+
+
 @query(f"WITH {MEAN_WR}, {GLOBAL_CARDS} SELECT set_code, format, round(sqrt(avg((gih_wr - mean_wr) * (gih_wr - mean_wr))), 6) AS sigma, count(*) AS cards FROM g JOIN mean_wr USING (set_code, format) GROUP BY 1, 2")
 def a21_format_spread(s, d):
     return rounded(formats.format_spread(_card_stats(s, d), _arch(s, d)))
@@ -702,6 +773,12 @@ def a30_compare_formats(s, d):
     return out.withColumn("diff", F.round("diff", 5))
 
 
+@query("WITH c AS (SELECT set_code, card_name, max(gih_wr) FILTER (format = 'PremierDraft') AS value_a, max(gih_wr) FILTER (format = 'TradDraft') AS value_b FROM fx_card_stats WHERE filter_context = 'Global' GROUP BY 1, 2) SELECT *, round(value_a - value_b, 5) AS diff FROM c WHERE value_a IS NOT NULL AND value_b IS NOT NULL")
+def a30_compare_cards(s, d):
+    out = formats.compare_formats(rounded(formats.card_format_pivot(_card_stats(s, d), _arch(s, d))), "premier", "trad")
+    return out.withColumn("diff", F.round("diff", 5))
+
+
 # ---- skeletons ----
 
 def _decks(s: SparkSession, d: str) -> DataFrame:
@@ -715,11 +792,18 @@ _FREQ = f"""{_META}, wd AS (SELECT *, {WEIGHT} AS weight FROM fx_decks), tw AS (
     mm AS (SELECT set_code, format, coalesce(avg(gih_wr) FILTER (gih_wr <> 0), 55.0) AS avg_wr, coalesce(avg(alsa), 4.0) AS avg_alsa FROM meta GROUP BY 1, 2)"""
 
 
-@query("SELECT x.id AS a, y.id AS b, round(CASE WHEN len(list_distinct(list_concat(x.c, y.c))) = 0 THEN 0 ELSE len(list_intersect(x.c, y.c)) / len(list_distinct(list_concat(x.c, y.c))) END, 6) AS similarity FROM (SELECT aggregate_id AS id, list(card_name) AS c FROM fx_items GROUP BY 1) x JOIN (SELECT aggregate_id AS id, list(card_name) AS c FROM fx_items GROUP BY 1) y ON y.id = x.id + 1")
+@query("""WITH n AS (SELECT set_code, format, archetype, count(DISTINCT aggregate_id) AS n FROM fx_items GROUP BY 1, 2, 3), core AS (SELECT set_code, format, archetype, list(card_name) AS k FROM (SELECT i.set_code, i.format, i.archetype, card_name FROM fx_items i JOIN n USING (set_code, format, archetype) GROUP BY 1, 2, 3, 4 HAVING count(*) * 10 >= max(n)) GROUP BY 1, 2, 3),
+    d AS (SELECT aggregate_id, set_code, format, archetype, list(card_name) AS c FROM fx_items GROUP BY 1, 2, 3, 4)
+    SELECT aggregate_id, round(len(list_intersect(c, coalesce(k, []))) / len(list_distinct(list_concat(c, coalesce(k, [])))), 6) AS similarity FROM d LEFT JOIN core USING (set_code, format, archetype)""")
 def m1_jaccard(s, d):
-    decks = fx.decks_with_cards(s, d).where(F.size("cardlist") > 0).select(F.col("aggregate_id").alias("a"), F.map_keys("cardlist").alias("ca"))
-    nxt = decks.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("ca").alias("cb"))
-    return rounded(decks.join(nxt, "a").select("a", "b", skeletons.jaccard("ca", "cb").alias("similarity")))
+    """Each deck against the cards that a tenth of its archetype's decks have."""
+    key = ["set_code", "format", "archetype"]
+    decks = _deck_table(s, d).where(F.size("cardlist") > 0).select(*key, "aggregate_id", F.map_keys("cardlist").alias("c"))
+    n = decks.groupBy(*key).agg(F.count("*").alias("n"))
+    held = decks.select(*key, F.explode("c").alias("card")).groupBy(*key, "card").agg(F.count("*").alias("m")).join(n, key).where(F.col("m") * 10 >= F.col("n"))
+    core = held.groupBy(*key).agg(F.collect_list("card").alias("k"))
+    both = decks.join(core, key, "left").withColumn("k", F.coalesce("k", F.array().cast("array<string>")))
+    return rounded(both.select("aggregate_id", skeletons.jaccard("c", "k").alias("similarity")))
 
 
 _CURVE = ", ".join(f"round(coalesce(sum(weight * c{i}), 0) / max(w), 1) AS curve_{i}" for i in range(8))
@@ -789,13 +873,41 @@ def a28_dictionary_coverage(s, d):
     return skeletons.dictionary_coverage(fx.decks_with_cards(s, d), known)
 
 
-@query()
+def _jac(x: str, y: str) -> str:
+    n = f"len(list_distinct(list_concat({x}, {y})))"
+    return f"CASE WHEN {n} = 0 THEN 0.0 ELSE len(list_intersect({x}, {y})) / {n} END"
+
+
+def _clusters_sql() -> str:
+    g = "set_code, format, archetype"
+    out = f"""WITH base AS (SELECT d.set_code, d.format, d.archetype, d.aggregate_id, coalesce(list(card_name) FILTER (card_name IS NOT NULL AND NOT regexp_matches(card_name, 'Plains|Island|Swamp|Mountain|Forest')), []) AS cards FROM fx_decks d LEFT JOIN (SELECT aggregate_id, card_name FROM fx_items) i USING (aggregate_id) GROUP BY 1, 2, 3, 4),
+    big AS (SELECT * FROM base JOIN (SELECT {g} FROM base GROUP BY ALL HAVING count(*) >= 40) USING ({g})),
+    pick AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {g} ORDER BY md5(CAST(aggregate_id AS VARCHAR)), aggregate_id) AS r FROM big) WHERE r <= 50),
+    far AS (SELECT a.set_code, a.format, a.archetype, a.aggregate_id AS ia, b.aggregate_id AS ib, a.cards AS c0, b.cards AS c1, 1 - {_jac('a.cards', 'b.cards')} AS d FROM pick a JOIN pick b ON a.set_code = b.set_code AND a.format = b.format AND a.archetype = b.archetype AND a.aggregate_id < b.aggregate_id),
+    cent0 AS (SELECT {g}, c0, c1 FROM (SELECT *, row_number() OVER (PARTITION BY {g} ORDER BY d DESC, ia, ib) AS r FROM far) WHERE r = 1)"""
+    for k in range(3):
+        out += f""",
+    near{k} AS (SELECT {g}, aggregate_id, cards, CASE WHEN {_jac('cards', 'c1')} > {_jac('cards', 'c0')} THEN 1 ELSE 0 END AS cluster FROM big JOIN cent{k} USING ({g})),
+    n{k} AS (SELECT {g}, count(*) FILTER (cluster = 0) AS n0, count(*) FILTER (cluster = 1) AS n1 FROM near{k} GROUP BY ALL),
+    m{k} AS (SELECT {g}, cluster, card, count(*) AS m FROM (SELECT {g}, cluster, unnest(cards) AS card FROM near{k}) GROUP BY ALL),
+    h{k} AS (SELECT {g}, coalesce(list(card) FILTER (cluster = 0 AND m * 2 >= n0), []) AS h0, coalesce(list(card) FILTER (cluster = 1 AND m * 2 >= n1), []) AS h1 FROM m{k} JOIN n{k} USING ({g}) GROUP BY ALL),
+    cent{k + 1} AS (SELECT c.set_code, c.format, c.archetype, CASE WHEN n0 > 0 THEN coalesce(h0, []) ELSE c0 END AS c0, CASE WHEN n1 > 0 THEN coalesce(h1, []) ELSE c1 END AS c1 FROM cent{k} c JOIN n{k} USING ({g}) LEFT JOIN h{k} USING ({g}))"""
+    return out + f""",
+    lists AS (SELECT {g}, card, count(*) AS k FROM (SELECT *, row_number() OVER (PARTITION BY {g}, cluster ORDER BY m DESC, card) AS r FROM m2) WHERE r <= 15 GROUP BY ALL),
+    common AS (SELECT {g}, count(*) FILTER (k = 2) AS common FROM lists GROUP BY ALL),
+    ok AS (SELECT {g}, CASE WHEN n0 >= n1 THEN 1 ELSE 0 END AS alt FROM n2 JOIN common USING ({g}) WHERE least(n0, n1) >= 20 AND least(n0, n1) / (n0 + n1) >= 0.15 AND common <= 9)
+    SELECT base.set_code, base.format, base.archetype, base.aggregate_id, coalesce(cluster = alt, false) AS is_alternative FROM base LEFT JOIN ok USING ({g}) LEFT JOIN near2 ON near2.aggregate_id = base.aggregate_id"""
+
+
+@query(_clusters_sql())
 def m2_cluster_decks(s, d):
     return skeletons.cluster_decks(fx.decks_with_cards(s, d), save=saved)
 
 
 def _skeletons(s: SparkSession, d: str) -> DataFrame:
-    return skeleton_table.skeletons(fx.decks_with_cards(s, d), fx.meta(s, d), _syn(s, d), as_of(), BOUNDS, DAYS, save=saved)
+    decks = _deck_table(s, d)
+    scores = saved(synergy.synergy_scores(decks, min_lift=1.0), "synergy")
+    return skeleton_table.skeletons(decks, saved(fx.meta(s, d), "meta"), scores, as_of(), BOUNDS, DAYS, save=saved)
 
 
 @query()
@@ -818,6 +930,47 @@ def a26_skeleton_stacks(s, d):
     return skeletons.skeleton_stacks(saved(_skeletons(s, d), "skeletons"))
 
 
+def _deck_lists(s: SparkSession, d: str) -> DataFrame:
+    """Each deck in the form of a skeleton; neighbouring ids are main version and variant."""
+    items = fx.frame(s, d, "fx_items").join(fx.frame(s, d, "fx_card_list"), ["set_code", "card_name"])
+    card = F.struct(F.col("card_name").alias("name"), F.col("card_cmc").alias("cmc"), F.col("card_type").alias("type"), F.col("card_cost").alias("cost"), "rarity")
+    spell = lambda i: F.coalesce(F.sum(F.when(~C.is_land("card_type") & (C.cmc_bucket("card_cmc") == i), F.col("qty"))), F.lit(0)).cast("double")
+    per = items.groupBy("set_code", "format", "archetype", "aggregate_id").agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("card_name", "qty", card.alias("c")))), lambda x: F.array_repeat(x["c"], x["qty"]))).alias("deck_list"),
+        F.map_from_arrays(F.array(*[F.lit(str(i)) for i in range(8)]), F.array(*[spell(i) for i in range(8)])).alias("avg_mana_curve"))
+    name = F.concat("archetype", F.lit(" #"), F.floor(F.col("aggregate_id") / 2).cast("string"))
+    return per.select("set_code", "format", name.alias("archetype_name"), (F.col("aggregate_id") % 2 == 1).alias("is_alternative"), (F.col("aggregate_id") % 97).alias("sample_size"), "deck_list", "avg_mana_curve")
+
+
+_NAMED = "named AS (SELECT *, archetype || ' #' || CAST(CAST(floor(aggregate_id / 2) AS BIGINT) AS VARCHAR) AS archetype_name, aggregate_id % 2 = 1 AS is_alternative FROM fx_items JOIN (SELECT set_code, card_name, card_cmc, card_type, card_cost FROM fx_card_list) l USING (set_code, card_name))"
+_SKELETON_KEY = ["set_code", "format", "archetype_name", "is_alternative"]
+
+
+@query(f"WITH {_NAMED} SELECT set_code, format, archetype_name, is_alternative, 'Deck' || chr(10) || string_agg(qty || ' ' || card_name, chr(10) ORDER BY card_name) AS deck_text FROM named GROUP BY 1, 2, 3, 4")
+def s7_deck_text(s, d):
+    return tables.export_deck_text(_deck_lists(s, d))
+
+
+@query(f"""WITH {_NAMED}, k AS (SELECT DISTINCT set_code, format, archetype, archetype_name, is_alternative, aggregate_id % 97 AS sample_size FROM named)
+    SELECT set_code, format, archetype_name, sample_size, has_alternative FROM (SELECT *, max(is_alternative) OVER (PARTITION BY set_code, format, archetype_name) AS has_alternative FROM k) WHERE NOT is_alternative AND length({q_extract('archetype_name')}) = 2""")
+def f5_select_skeletons(s, d):
+    return skeletons.select_skeletons(_deck_lists(s, d), 2).select("set_code", "format", "archetype_name", "sample_size", "has_alternative")
+
+
+@query(f"""WITH {_NAMED}, c AS (SELECT set_code, format, archetype_name, is_alternative, b, coalesce(sum(qty) FILTER (NOT contains(card_type, 'Land') AND least(CAST(card_cmc AS INT), 7) = b), 0) AS v FROM named, range(1, 8) AS r(b) GROUP BY 1, 2, 3, 4, 5),
+    m AS (SELECT set_code, format, archetype_name, is_alternative, round(CASE WHEN sum(v) > 0 THEN sum(b * v) / sum(v) ELSE 0 END, 6) AS avg_cmc, CAST(list(b ORDER BY v DESC, b)[1] AS INT) AS modal_bucket, CAST(greatest(coalesce(max(b) FILTER (v > 0), 5), 5) AS INT) AS top_bucket FROM c GROUP BY 1, 2, 3, 4),
+    k AS (SELECT set_code, format, archetype_name, is_alternative, {', '.join(f"CAST(coalesce(sum(qty) FILTER (contains(card_cost, '{{{x}}}')), 0) AS BIGINT) AS n_{x.lower()}" for x in "WUBRG")} FROM named WHERE NOT contains(card_type, 'Land') GROUP BY 1, 2, 3, 4)
+    SELECT * FROM m LEFT JOIN k USING (set_code, format, archetype_name, is_alternative)""")
+def a26_deck_summary(s, d):
+    return rounded(skeletons.skeleton_summary(_deck_lists(s, d)))
+
+
+@query(f"""WITH {_NAMED} SELECT set_code, format, archetype_name, is_alternative, CAST(least(CAST(card_cmc AS INT), 7) AS INT) AS bucket, CASE WHEN contains(card_type, 'Creature') OR contains(card_type, 'Planeswalker') THEN 'creature' ELSE 'other' END AS stack, card_name, CAST(sum(qty) AS BIGINT) AS copies
+    FROM named WHERE NOT contains(card_type, 'Land') GROUP BY ALL""")
+def a26_deck_stacks(s, d):
+    return skeletons.skeleton_stacks(_deck_lists(s, d))
+
+
 # ---- articles ----
 
 _GOOD = "CASE WHEN votes_yes + votes_meh + votes_no > 0 THEN CAST(floor(votes_yes / (votes_yes + votes_meh + votes_no) * 100 + 0.5) AS INT) END"
@@ -871,30 +1024,47 @@ def f8_filter_articles(s, d):
     return articles.filter_articles(fx.articles(s, d), ["en"], True, "card 1").select("id")
 
 
-_DICT = ("the of", "of the and", "die der", "nicht", "que la", "is the", "on", "from the")
+#: Names as texts have them, and the official ones.
+_DICT = (("the of", "The Of"), ("of the and", "Of The And"), ("die der", "Die Der"), ("nicht", "Nicht"), ("que la", "Que // La"), ("is the", "Is The"), ("on", "On"), ("from the", "From The"))
+_ANY = "(?i)\\b(" + "|".join(sorted((n for n, _ in _DICT), key=len, reverse=True)) + ")\\b"
 
 
-@query()
+def _dictionary(s: SparkSession) -> DataFrame:
+    return s.createDataFrame(_DICT, "name string, official string")
+
+
+@query(f"SELECT id, lower(name) AS name, count(*) AS times FROM (SELECT id, unnest(regexp_extract_all(summary, '{_ANY}')) AS name FROM fx_articles) GROUP BY 1, 2")
 def j12_detect_mentions(s, d):
-    """The dictionary is a list of frequent word groups; checked by a plain scan in the tests."""
-    names = s.createDataFrame([(x,) for x in _DICT], "name string")
-    return articles.detect_mentions(fx.articles(s, d), names)
+    return articles.detect_mentions(fx.articles(s, d), _dictionary(s)).groupBy("id", "name").agg(F.count("*").alias("times"))
 
 
-@query()
+def _linked_sql() -> str:
+    out = f"regexp_replace(summary, '{_ANY}', '[[\\1]]', 'g')"
+    for name, official in _DICT:
+        out = f"regexp_replace({out}, '(?i)\\[\\[{name}\\]\\]', '[[{official}]]', 'g')"
+    return out
+
+
+@query(f"SELECT id, {_linked_sql()} AS linked FROM fx_articles")
 def j12_link_mentions(s, d):
-    names = s.createDataFrame([(x,) for x in _DICT], "name string")
-    return articles.link_mentions(fx.articles(s, d), names).select("id", "linked")
+    return articles.link_mentions(fx.articles(s, d), _dictionary(s)).select("id", "linked")
 
 
 # ---- streaming ----
 
-def _stream(s: SparkSession, d: str, name: str) -> tuple[DataFrame, str]:
-    """A mapped table as a file stream."""
-    root = shared(s)
-    df = fx.frame(s, d, name)
-    df.write.parquet(f"{root}/in")
-    return s.readStream.schema(df.schema).parquet(f"{root}/in"), root
+def _stream(df: DataFrame, root: str, time: str, parts: int = 3) -> DataFrame:
+    """df as a stream of files in the order of a time column, a few days to a trigger."""
+    s = df.sparkSession
+    lo, hi = df.agg(F.min(F.col(time).cast("timestamp").cast("long")), F.max(F.col(time).cast("timestamp").cast("long"))).first()
+    step = ((hi or 0) - (lo or 0)) // parts + 1
+    at = F.coalesce(F.floor((F.col(time).cast("timestamp").cast("long") - (lo or 0)) / step), F.lit(0))
+    for k in range(parts):
+        df.where(at == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    return s.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+
+
+def _run(writer: DataStreamWriter, root: str) -> None:
+    writer.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
 
 
 def _to_table(df: DataFrame, root: str, key: list[str] | None = None) -> DataFrame:
@@ -904,42 +1074,41 @@ def _to_table(df: DataFrame, root: str, key: list[str] | None = None) -> DataFra
     def each(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{root}/out/batch={epoch}")
 
-    w = df.writeStream.outputMode("update" if key else "append").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).foreachBatch(each)
-    w.start().awaitTermination()
+    _run(df.writeStream.outputMode("update" if key else "append").foreachBatch(each), root)
     out = s.read.parquet(f"{root}/out").drop("batch")
     return tables.last_by_key(out, key, [F.col("epoch")]).drop("epoch") if key else out.drop("epoch")
 
 
-@query("SELECT aggregate_id, set_code, format, archetype FROM fx_decks WHERE trophy_time >= TIMESTAMP '1996-01-01' AND trophy_time < TIMESTAMP '2001-01-01'")
+@query("SELECT aggregate_id, set_code, format, archetype FROM fx_decks WHERE trophy_time >= TIMESTAMP '1996-01-01' AND trophy_time < TIMESTAMP '2001-01-01' AND aggregate_id % 7 <> 0")
 def r1_stream_new_decks(s, d):
-    stream, root = _stream(s, d, "fx_decks")
-    return _to_table(jobs.stream_new_decks(stream, "10000 days", "1996-01-01", "2001-01-01").select("aggregate_id", "set_code", "format", "archetype"), root)
+    """Some ids come twice, some are stored already."""
+    root = shared(s)
+    feed, stored = _feed(s, d)
+    stream = _stream(feed, root, "trophy_time")
+    return _to_table(jobs.stream_new_decks(stream, "2 days", "1996-01-01", "2001-01-01", stored).select("aggregate_id", "set_code", "format", "archetype"), root)
 
 
 @query("SELECT set_code, format, colors, array_to_string(list(CAST(round(rate * 10) AS BIGINT) ORDER BY run_date), ',') AS points FROM (SELECT *, row_number() OVER (PARTITION BY set_code, format, colors ORDER BY run_date DESC) AS k FROM (" + f"SELECT set_code, format, run_date, {q_clean('color_name')} AS colors, {RATE_SQL} AS rate FROM fx_raw_ratings WHERE games <> 0" + ")) WHERE k <= 14 GROUP BY 1, 2, 3")
 def r2_stream_history(s, d):
     key = ["set_code", "format", "colors"]
     root = shared(s)
-    log = _snapshots(s, d).select(*key, "run_date", "win_rate")
-    log.write.parquet(f"{root}/in")
-    stream = s.readStream.schema(log.schema).parquet(f"{root}/in")
-    jobs.stream_history(stream, key, "win_rate", f"{root}/log").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    stream = _stream(_snapshots(s, d).select(*key, "run_date", "win_rate"), root, "run_date")
+    _run(jobs.stream_history(stream, key, "win_rate", f"{root}/log"), root)
     out = jobs.history_of(s.read.parquet(f"{root}/log"), key, "win_rate")
     return out.select(*key, F.array_join(F.transform("win_rate_history", lambda x: F.round(x * 10).cast("long").cast("string")), ",").alias("points"))
 
 
-@query("SELECT article_id, count(*) AS readers FROM (SELECT DISTINCT article_id, reader_id FROM fx_votes) GROUP BY 1")
+@query(_VOTES)
 def r3_stream_votes(s, d):
-    """Which of a reader's votes is first depends on arrival; the number of counted votes does not."""
-    stream, root = _stream(s, d, "fx_votes")
-    out = _to_table(jobs.stream_votes(stream), root, ["article_id"])
-    return out.select("article_id", (F.col("votes_yes") + F.col("votes_meh") + F.col("votes_no")).alias("readers"))
+    root = shared(s)
+    _run(jobs.stream_votes(_stream(fx.frame(s, d, "fx_votes"), root, "ts"), f"{root}/log"), root)
+    return jobs.votes_of(s.read.parquet(f"{root}/log"))
 
 
 @query("SELECT CAST(date_trunc('day', trophy_time) AS TIMESTAMP) AS day, set_code, format, archetype, count(*) AS decks, round(sum(wins) / sum(wins + losses) * 100, 6) AS win_rate FROM fx_decks GROUP BY 1, 2, 3, 4")
 def r4_stream_daily_rates(s, d):
-    stream, root = _stream(s, d, "fx_decks")
-    rates = jobs.stream_daily_rates(stream, "10000 days")
+    root = shared(s)
+    rates = jobs.stream_daily_rates(_stream(fx.frame(s, d, "fx_decks"), root, "trophy_time"))
     flat = rates.select(F.col("window.start").alias("day"), "set_code", "format", "archetype", "decks", "win_rate")
     return rounded(_to_table(flat, root, ["day", "set_code", "format", "archetype"]))
 

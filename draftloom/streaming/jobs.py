@@ -11,36 +11,50 @@ from pyspark.sql.streaming import DataStreamWriter
 from ..operators.snapshots import history_from_log
 
 
-def stream_new_decks(stream: DataFrame, delay: str = "2 days", start: str | None = None, end: str | None = None) -> DataFrame:
-    """Decks with a valid time inside [start, end), each id once within the watermark."""
+def stream_new_decks(stream: DataFrame, delay: str = "2 days", start: str | None = None, end: str | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """Decks with a valid time inside [start, end) that are not stored yet, each id once within the watermark."""
     out = stream.where("trophy_time is not null")
     if start:
         out = out.where(F.col("trophy_time") >= F.lit(start).cast("timestamp"))
     if end:
         out = out.where(F.col("trophy_time") < F.lit(end).cast("timestamp"))
-    return out.withWatermark("trophy_time", delay).dropDuplicatesWithinWatermark(["aggregate_id"])
+    out = out.withWatermark("trophy_time", delay).dropDuplicatesWithinWatermark(["aggregate_id"])
+    return out.join(stored.select("aggregate_id").distinct(), "aggregate_id", "left_anti") if stored is not None else out
 
 
-def stream_history(stream: DataFrame, keys: list[str], rate: str, path: str, keep: int = 14, skip_null: bool = False) -> DataStreamWriter:
-    """R2: a log of (key, run_date, rate) kept at ``path``; a batch run again overwrites its own rows only."""
+def _log_batches(stream: DataFrame, path: str, reduce: Callable[[DataFrame], DataFrame]) -> DataStreamWriter:
+    """Appends each reduced batch to a log at ``path``; a batch run again overwrites its own rows only."""
 
     def each(batch: DataFrame, epoch: int) -> None:
-        batch.select(*keys, "run_date", rate).dropDuplicates([*keys, "run_date"]).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        reduce(batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return stream.writeStream.foreachBatch(each)
 
 
+def stream_history(stream: DataFrame, keys: list[str], rate: str, path: str) -> DataStreamWriter:
+    """R2: a log of (key, run_date, rate); the history is taken from it by history_of."""
+    return _log_batches(stream, path, lambda b: b.select(*keys, "run_date", rate).dropDuplicates([*keys, "run_date"]))
+
+
 def history_of(log: DataFrame, keys: list[str], rate: str, keep: int = 14, skip_null: bool = False) -> DataFrame:
     """R2: the histories that a log holds; a key and day written by two batches counts once, the later batch wins."""
     newest = log.groupBy(*keys, "run_date").agg(F.max_by(rate, "epoch").alias(rate))
     return history_from_log(newest, keys, rate, keep=keep, skip_null=skip_null)
 
 
-def stream_votes(stream: DataFrame) -> DataFrame:
-    """Running vote counts by article; each reader's first vote on an article counts."""
-    once = stream.where(F.col("kind").isin("yes", "meh", "no")).dropDuplicates(["article_id", "reader_id"])
-    n = lambda k: F.count(F.when(F.col("kind") == k, 1)).alias(f"votes_{k}")
-    return once.groupBy("article_id").agg(n("yes"), n("meh"), n("no"))
+_KINDS = ("yes", "meh", "no")
+
+
+def stream_votes(stream: DataFrame, path: str) -> DataStreamWriter:
+    """A log of each batch's first vote of every reader on every article; the job itself keeps no state."""
+    first = F.min(F.struct("ts", "event_id", "kind")).alias("vote")
+    return _log_batches(stream, path, lambda b: b.where(F.col("kind").isin(*_KINDS)).groupBy("article_id", "reader_id").agg(first))
+
+
+def votes_of(log: DataFrame) -> DataFrame:
+    """The vote counts that a log holds; of a reader's votes on an article the first counts, in whatever batch it came."""
+    once = log.groupBy("article_id", "reader_id").agg(F.min("vote").alias("vote"))
+    return once.groupBy("article_id").agg(*[F.count(F.when(F.col("vote.kind") == k, 1)).alias(f"votes_{k}") for k in _KINDS])
 
 
 def stream_daily_rates(stream: DataFrame, delay: str = "1 day") -> DataFrame:

@@ -56,14 +56,14 @@ def test_pg_array_and_summary(spark):
 
 
 def test_clean_summary_keeps_texts_with_back_ticks(spark, sf_dir, tmp_path):
-    texts = {1: "plain --- x {y}", 2: "a `b` c ", 3: "see ```py\nx = 1\n``` after", 4: "``two`` and ```", 5: "{`}", 6: "x ***``` y\n", 7: "", 8: None}
+    texts = {1: "plain --- x {y}", 2: "a `b` c ", 3: "see ```py\nx = 1\n``` after", 4: "``two`` and ```", 5: "{`}", 6: "x ***``` y\n", 7: "", 8: None, 9: " \u00a0\n lead and trail \u2003"}
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(1).drop("doc_id", "text")
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     rows.crossJoin(docs).write.parquet(str(tmp_path / "documents.parquet"))
 
     def plain(t):
         head = re.sub(r"```.*\Z", "", (t or "").split("{")[0], flags=re.S)
-        return re.sub(r"\s+\Z", "", re.sub("[-_*]{3,}", "", head.replace("`", "")))
+        return re.sub("[-_*]{3,}", "", head.replace("`", "")).strip()
 
     got = {r.id: r.cleaned for r in queries.p18_clean_summary(spark, str(tmp_path)).collect()}
     assert got == {i: plain(t) for i, t in texts.items()}
@@ -129,6 +129,8 @@ def test_greedy_deck_rules():
     names = [c["name"] for c in deck]
     assert len(deck) == 40 and names.count("L") == 1 and "Rare land" not in names and names.count("C") == 2
     assert names.count("Island") + names.count("Plains") == 16
+    assert all((c["cmc"], c["cost"]) == (0.0, "") for c in deck if "Land" in c["type"])
+    assert all(c["cmc"] <= 7 for c in skeletons.greedy_deck([card("big", cmc=9.0)], 17.0, 15.0, {str(i): 6.0 for i in range(8)}))
     assert sum("Creature" in c["type"] for c in deck) <= round(23 * 15 / 23) + 1
     short = skeletons.greedy_deck([card("only")], 17.0, 15.0, {str(i): 1.0 for i in range(8)})
     assert len(short) == 1 + 17  # no second pass
@@ -147,27 +149,47 @@ def test_skeleton_needs_full_decks(spark):
 
 
 def test_mentions_longest_first_and_links(spark):
-    arts = spark.createDataFrame([(1, "Play Lightning Bolt, not lightning helix or bolts."), (2, None), (3, "")], "id int, summary string")
-    names = spark.createDataFrame([("Lightning",), ("Lightning Bolt",), ("Bolt",)], "name string")
-    got = {(r.id, r.pos, r.name) for r in articles.detect_mentions(arts, names).collect()}
-    assert got == {(1, 1, "Lightning Bolt"), (1, 4, "Lightning")}
+    arts = spark.createDataFrame([(1, "Play Lightning Bolt, not LIGHTNING helix or bolts."), (2, None), (3, ""), (4, "the dogs' tails hit Lightning Bolt today again"), (5, "Jace, the Mind x Jace, the mind."), (6, "+2 mace a+2 mace")], "id int, summary string")
+    names = spark.createDataFrame([("Lightning", None), ("Lightning Bolt", "Lightning Bolt // Back"), ("Bolt", None), ("Jace, the Mind", None), ("+2 Mace", None)], "name string, official string")
+    got = {(r.id, r.start, r.official) for r in articles.detect_mentions(arts, names).collect()}
+    assert got == {(1, 5, "Lightning Bolt // Back"), (1, 25, "Lightning"), (4, 20, "Lightning Bolt // Back"), (5, 0, "Jace, the Mind"), (5, 17, "Jace, the Mind"), (6, 9, "+2 Mace")}
     linked = {r.id: r.linked for r in articles.link_mentions(arts, names).collect()}
-    assert linked[1] == "Play [[Lightning Bolt]], not [[Lightning]] helix or bolts." and linked[2] is None
+    assert linked[1] == "Play [[Lightning Bolt // Back]], not [[Lightning]] helix or bolts." and linked[2] is None and linked[3] == ""
+    assert linked[4] == "the dogs' tails hit [[Lightning Bolt // Back]] today again"
+    assert {r.id for r in articles.detect_mentions(arts, names, max_names=0).collect()} == {1, 4, 5, 6}
+    assert articles.detect_mentions(arts, names.where("false")).count() == 0 and articles.link_mentions(arts.where("false"), names).count() == 0
 
 
 def test_chains_of_overlapping_mentions(spark):
     r = random.Random(4)
-    names = ["the of", "of the and", "is the", "the", "and is the of", "on"]
-    texts = {0: "is the of the and", 1: "the of the of the and is the of the and"} | {i: " ".join(r.choice(("the", "of", "and", "is", "on")) for _ in range(r.randint(1, 30))) for i in range(2, 80)}
+    names = ["the of", "of the and", "is the", "the", "and is the of", "on", "of, the"]
+    texts = {0: "is the of the and", 1: "the of the of the and is the of the and"} | {i: "".join(r.choice(("the", "of", "and", "is", "on", "Then", "it's")) + r.choice((" ", " ", ", ", "-", "  ")) for _ in range(r.randint(1, 30))) for i in range(2, 80)}
     arts = spark.createDataFrame(list(texts.items()), "id int, summary string")
     dictionary = spark.createDataFrame([(n,) for n in names], "name string")
-    # the reference's rule: one alternation, longest name first, over the whole text
-    rule = re.compile(r"\b(%s)\b" % "|".join(sorted(names, key=len, reverse=True)))
-    want = {(i, len(t[: m.start()].split()), m.group()) for i, t in texts.items() for m in rule.finditer(t)}
-    assert {(x.id, x.pos, x.name) for x in articles.detect_mentions(arts, dictionary).collect()} == want
+    # one alternation, longest name first, over the whole text
+    rule = re.compile(r"\b(%s)\b" % "|".join(sorted(names, key=len, reverse=True)), re.IGNORECASE | re.ASCII)
+    want = {(i, m.start(), m.group()) for i, t in texts.items() for m in rule.finditer(t)}
+    assert {(x.id, x.start, x.name) for x in articles.detect_mentions(arts, dictionary).collect()} == want
     assert {x.id: x.linked for x in articles.link_mentions(arts, dictionary).collect()} == {i: rule.sub(r"[[\1]]", t) for i, t in texts.items()}
 
 
+def test_video_urls(spark):
+    urls = ["https://youtu.be/abcdefghijk", "https://www.youtube.com/watch?v=abcdefghijk&t=3", "youtube.com/watch?t=1&v=abcdefghijk", "https://youtube.com/embed/abcdefghijk?x=1", "http://youtube.com/v/abcdefghijk", "https://youtube.com/u/1/abcdefghijk", "https://youtu.be/short", "", None]
+    assert col(spark, urls, "string", C.video_id) == ["abcdefghijk"] * 6 + [None] * 3
+    assert col(spark, urls[:1], "string", lambda c: C.video_thumbnail(c, F.lit("x"))) == ["https://img.youtube.com/vi/abcdefghijk/maxresdefault.jpg"]
+
+
+def test_status_is_around_the_rate_of_all_decks(spark):
+    cards_ = spark.createDataFrame([("S", "F", "Global", f"c{i}", w, a) for i, (w, a) in enumerate([(60.0, 1.5), (50.2, 4.0), (44.0, 8.0), (56.0, None), (None, 2.0)])], "set_code string, format string, filter_context string, card_name string, gih_wr double, alsa double")
+    decks = spark.createDataFrame([("S", "F", "All Decks", "", 50.0, 9), ("S", "F", "WU", "WU", 58.0, 9)], "set_code string, format string, archetype_name string, colors string, win_rate double, games_count long")
+    got = {r.card_name: r.status for r in cards.evaluate_cards(cards_, decks).collect()}
+    # mean of the cards 52.55, rate of all decks 50: c1 is within half a point of the latter only
+    assert got == {"c0": "Bomb", "c1": "Playable", "c2": "Unplayable", "c3": "Very Good"}
+    quads = {r.card_name: r.quadrant for r in cards.matrix_quadrants(cards_, decks).collect()}
+    # mean ALSA over cards with a rate: 4.5
+    assert quads == {"c0": "Top tier", "c1": "Top tier", "c2": "Chaff"}
+
+
 def test_resolve_names_tiers(spark):
     q = spark.createDataFrame([("Forest Elf",), ("Fire // Ice",), ("Foreat Elf",), ("Zzz",)], "query string")
     d = spark.createDataFrame([("Forest Elf",), ("Fire",)], "name string")

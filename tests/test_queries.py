@@ -1,6 +1,7 @@
 """Every registered query of the library against its SQL in DuckDB."""
 
 import datetime
+import decimal
 import math
 
 import duckdb
@@ -19,6 +20,8 @@ def duck(sf_dir):
 
 
 def plain(v):
+    if isinstance(v, decimal.Decimal):
+        v = float(v)
     if isinstance(v, float):
         return None if math.isnan(v) else round(v, 6) + 0.0
     if isinstance(v, (datetime.datetime, datetime.date)):

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from draftloom.operators import articles
 from draftloom.streaming import jobs
 
 
@@ -12,6 +13,30 @@ def test_new_decks_once(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     out = jobs.drain(jobs.stream_new_decks(stream, "30 days", "2024-01-01", "2024-01-04"), "decks_once", checkpoint=str(tmp_path / "ck"))
     assert sorted(r.aggregate_id for r in out.collect()) == ["a", "b"]
+    stored = spark.createDataFrame([("b",)], "aggregate_id string")
+    out = jobs.drain(jobs.stream_new_decks(stream, "30 days", stored=stored), "decks_new", checkpoint=str(tmp_path / "ck2"))
+    assert sorted(r.aggregate_id for r in out.collect()) == ["a", "c"]
+
+
+def test_late_decks_are_dropped_and_counted_days_close(spark, tmp_path):
+    for k, d in enumerate((1, 20, 2)):
+        spark.sql(f"SELECT 'x{k}' AS aggregate_id, timestamp'2024-01-01' + make_dt_interval({d}) AS trophy_time, 'S' AS set_code, 'F' AS format, 'WU' AS archetype, 7 AS wins, 1 AS losses").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = jobs.drain(jobs.stream_new_decks(stream, "2 days"), "decks_late", checkpoint=str(tmp_path / "ck"))
+    assert sorted(r.aggregate_id for r in out.collect()) == ["x0", "x1"]
+    days = jobs.drain(jobs.stream_daily_rates(stream, "2 days"), "days_closed", checkpoint=str(tmp_path / "ck3"))
+    assert [(str(r.window.start)[:10], r.decks) for r in days.collect()] == [("2024-01-02", 1)]
+
+
+def test_votes_equal_the_batch_count_in_any_order(spark, tmp_path):
+    rows = [(1, 9, "2024-01-03", 5, "no"), (1, 9, "2024-01-01", 1, "yes"), (1, 8, "2024-01-02", 2, "meh"), (2, 9, "2024-01-02", 3, "yes"), (2, 9, "2024-01-02", 4, "no"), (2, 7, "2024-01-02", 6, "odd")]
+    votes = spark.createDataFrame(rows, "article_id int, reader_id int, t string, event_id int, kind string").withColumn("ts", F.to_timestamp("t")).drop("t")
+    votes.repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(votes.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    jobs.stream_votes(stream, str(tmp_path / "log")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted(map(tuple, jobs.votes_of(spark.read.parquet(str(tmp_path / "log"))).collect()))
+    assert got == sorted(map(tuple, articles.count_votes(votes.where("kind <> 'odd'")).collect())) == [(1, 1, 1, 0), (2, 1, 0, 0)]
 
 
 def test_history_equals_rebuild(spark, tmp_path):
