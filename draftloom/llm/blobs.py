@@ -19,6 +19,7 @@ MEMBERS = "sig long, doc long, rep long, note long, row long"
 _TYPES = (pa.int32(), pa.bool_(), *[pa.binary()] * 10)
 _NAMES = ["bucket", "wide", "s", "d", "ls", "ld", "lr", "nd", "nv", "rd", "rv", "rn"]
 _NONE = np.empty(0, np.int64)
+SHARES = 256
 
 
 def pack(
@@ -38,17 +39,20 @@ def pack(
     ls, ld, lr = s[many], d[many], np.repeat(least, runs)[many]
     s, d = s[at], least
     narrow = np.uint32 if not len(d) or (d.min() >= 0 and d.max() < 2**32) else np.int64
-    cuts = np.searchsorted((s >> U64(32)) * U64(buckets) >> U64(32), np.arange(buckets + 1, dtype=U64))
+    of = ((s >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(s) else _NONE
+    own = {int(of[i]): (i, j) for i, j in zip(first.tolist(), [*first[1:].tolist(), len(s)])}
+    # what belongs to no bucket goes in even shares to SHARES of them, others each time
     spread = [(ls, ld, lr), notes, (rows[0], rows[1].astype(np.uint8), rows[2])]
-    edges = [np.linspace(0, len(c[0]), buckets + 1).astype(np.int64) for c in spread]
+    n = min(buckets, SHARES)
+    edges = [np.linspace(0, len(c[0]), n + 1).astype(np.int64) for c in spread]
+    shares = {(turn * n + k) % buckets: [(e[k], e[k + 1]) for e in edges] for k in range(n)}
     out = []
-    for b in range(buckets):
-        i, j = cuts[b], cuts[b + 1]
-        share = (b + turn) % buckets
-        ends = [(e[share], e[share + 1]) for e in edges]
-        if i < j or any(x < y for x, y in ends):
-            own = [s[i:j], d[i:j].astype(narrow), *(c[x:y] for cols, (x, y) in zip(spread, ends) for c in cols)]
-            out.append((b, narrow is np.int64, *map(tv.planes, own)))
+    for b in sorted({*own, *(b for b, ends in shares.items() if any(x < y for x, y in ends))}):
+        i, j = own.get(b, (0, 0))
+        ends = shares.get(b, [(0, 0)] * len(spread))
+        parts = [s[i:j], d[i:j].astype(narrow), *(c[x:y] for cols, (x, y) in zip(spread, ends) for c in cols)]
+        out.append((b, narrow is np.int64, *map(tv.planes, parts)))
     columns = zip(*out) if out else [[]] * len(_NAMES)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=_NAMES)
 

@@ -138,20 +138,25 @@ def signatures(
     return np.concatenate(out_s), np.concatenate(out_d), np.concatenate(info)
 
 
-def _emit(k: int, percent: int, buckets: int):
-    """Signatures of a batch, packed by bucket (see blobs); notes: size << 32 | instance << 24 | signatures needed; rows: set sizes."""
+def _emit(k: int, percent: int, buckets: int, most: int = 1 << 19):
+    """Signatures packed by bucket (see blobs), about ``most`` at a time; notes: size << 32 | instance << 24 | signatures needed; rows: set sizes."""
     scheme = Scheme(percent)
+    none = np.empty(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for turn, batch in enumerate(batches):
+        turn = 0
+        for batch in batches:
             if not batch.num_rows:
                 continue
             valid = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offs = tv.buffers(batch.column(1))
-            ss, dd, nd, nv, counts = [np.empty(0, U64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], []
-            for x, y in tv.row_blocks(offs):
+            ss, dd, nd, nv, counts, begun = [none.view(U64)], [none], [none], [none], [none], 0
+            for x, y in tv.row_blocks(offs, 2 << 20):
+                if sum(map(len, ss)) > most:
+                    yield blobs.pack(np.concatenate(ss), np.concatenate(dd), buckets, turn, (np.concatenate(nd), np.concatenate(nv)), (ids[begun:x], valid[begun:x], np.concatenate(counts)))
+                    ss, dd, nd, nv, counts, begun, turn = [none.view(U64)], [none], [none], [none], [none], x, turn + 1
                 g, d, sizes = shingle_sets(data, offs[x : y + 1], k)
                 counts.append(sizes)
                 known = valid[x:y]
@@ -174,7 +179,8 @@ def _emit(k: int, percent: int, buckets: int):
                 dd += [ids[sd + x], ids[present + x]]
                 nd += [ids[info[:, 0] + x], ids[present + x]]
                 nv += [sizes[info[:, 0]] << 32 | info[:, 1] << 24 | np.minimum(info[:, 2], NEED), sizes[present] << 32 | INSTANCE << 24]
-            yield blobs.pack(np.concatenate(ss), np.concatenate(dd), buckets, turn, (np.concatenate(nd), np.concatenate(nv)), (ids, valid, np.concatenate(counts)))
+            yield blobs.pack(np.concatenate(ss), np.concatenate(dd), buckets, turn, (np.concatenate(nd), np.concatenate(nv)), (ids[begun:], valid[begun:], np.concatenate(counts)))
+            turn += 1
 
     return run
 
