@@ -97,7 +97,10 @@ def unmatched_names(card_stats: DataFrame, cards: DataFrame) -> DataFrame:
 def resolve_names(names: DataFrame, dictionary: DataFrame, max_dist: int = 2) -> DataFrame:
     """(query, name, tier): exact, then the front face, then the nearest within max_dist edits.
 
-    The last tier compares only names with the same first letter and near lengths.
+    The last tier is for names with the same first letter.  A name is cut in
+    max_dist + 1 pieces; within max_dist edits one of them is left whole and has
+    moved by max_dist places at most, so only names that share a piece, the
+    length and about its place are compared.
     """
     q = names.select("query").distinct()
     d = dictionary.select("name").distinct()
@@ -105,10 +108,17 @@ def resolve_names(names: DataFrame, dictionary: DataFrame, max_dist: int = 2) ->
     left = q.join(exact.select("query"), "query", "left_anti")
     front = left.withColumn("front", F.split_part("query", F.lit(" // "), F.lit(1))).join(d, F.col("front") == d["name"]).select("query", "name", F.lit("front").alias("tier"))
     left = left.join(front.select("query"), "query", "left_anti")
-    block = lambda c, n: F.struct(F.lower(F.substring(c, 1, 1)).alias("i"), n.cast("int").alias("n"))
-    bands = F.explode(F.sequence(F.length("query") - max_dist, F.length("query") + max_dist))
-    near = left.withColumn("len", bands).withColumn("b", block("query", F.col("len"))).join(d.withColumn("b", block("name", F.length("name"))), "b")
-    near = near.withColumn("dist", F.levenshtein(F.lower("query"), F.lower("name"), max_dist)).where("dist >= 0")
+    parts = max_dist + 1
+    cut = lambda n, i: F.floor(n * i / parts).cast("int")
+    numbered = F.explode(F.sequence(F.lit(0), F.lit(max_dist))).alias("i")
+    own = d.select("name", F.lower("name").alias("n_low"), F.length("name").alias("n"), numbered)
+    own = own.select("name", "n_low", "n", "i", F.substring("n_low", cut(F.col("n"), F.col("i")) + 1, cut(F.col("n"), F.col("i") + 1) - cut(F.col("n"), F.col("i"))).alias("piece"))
+    tried = left.select("query", F.lower("query").alias("q_low"), F.explode(F.sequence(F.greatest(F.length("query") - max_dist, F.lit(1)), F.length("query") + max_dist)).alias("n"))
+    tried = tried.select("query", "q_low", "n", numbered).select("query", "q_low", "n", "i", F.explode(F.sequence(F.lit(-max_dist), F.lit(max_dist))).alias("moved"))
+    at, size = cut(F.col("n"), F.col("i")) + F.col("moved"), cut(F.col("n"), F.col("i") + 1) - cut(F.col("n"), F.col("i"))
+    tried = tried.where(at >= 0).select("query", "q_low", "n", "i", F.substring("q_low", at + 1, size).alias("piece")).distinct()
+    near = tried.join(own, ["n", "i", "piece"]).where(F.substring("q_low", 1, 1) == F.substring("n_low", 1, 1)).select("query", "name", "q_low", "n_low").distinct()
+    near = near.withColumn("dist", F.levenshtein("q_low", "n_low", max_dist)).where("dist >= 0")
     w = Window.partitionBy("query").orderBy("dist", "name")
     fuzzy = near.withColumn("r", F.row_number().over(w)).where("r = 1").select("query", "name", F.lit("fuzzy").alias("tier"))
     return exact.unionByName(front).unionByName(fuzzy)
@@ -117,8 +127,9 @@ def resolve_names(names: DataFrame, dictionary: DataFrame, max_dist: int = 2) ->
 def match_names_normalized(a: DataFrame, b: DataFrame) -> DataFrame:
     """(query, name): equal when reduced to letters and digits; else one contains the other.
 
-    Only what the equi-join leaves over is compared by containment, through
-    shared 4-character pieces.
+    Only what the equi-join leaves over is compared by containment: of two names,
+    one within the other, the shorter one's head is a piece of the longer.  Heads
+    have 8 characters, or 4 or 1 where a name is shorter than that.
     """
     norm = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     q = a.select("query").distinct().withColumn("k", norm("query")).where("k <> ''")
@@ -126,16 +137,19 @@ def match_names_normalized(a: DataFrame, b: DataFrame) -> DataFrame:
     w = Window.partitionBy("query").orderBy("name")
     pick = lambda df: df.withColumn("r", F.row_number().over(w)).where("r = 1").select("query", "name")
     exact = pick(q.join(d, "k").select("query", "name"))
-    rest = q.join(exact.select("query"), "query", "left_anti").withColumnRenamed("k", "qk")
-    size = 4
-    pieces = lambda k: F.when(F.length(k) < size, F.array(k)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(k) - size + 1), lambda i: F.substring(k, i, F.lit(size)))))
-    # of two names, one within the other, the shorter one's first piece is in the longer
-    head = lambda k: F.substring(k, F.lit(1), F.lit(size))
-    short_q = rest.withColumn("p", head(F.col("qk"))).join(d.withColumn("p", F.explode(pieces(F.col("k")))), "p").where(F.col("k").contains(F.col("qk")))
-    short_d = rest.withColumn("p", F.explode(pieces(F.col("qk")))).join(d.withColumn("p", head(F.col("k"))), "p").where(F.col("qk").contains(F.col("k")))
-    tiny = F.length("k") < size
-    small = rest.withColumn("p", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(size - 1)), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("qk") - n + 1, F.lit(1))), lambda i: F.substring(F.col("qk"), i, n)))))).join(d.where(tiny).withColumn("p", F.col("k")), "p")
-    return exact.unionByName(pick(short_q.select("query", "name").unionByName(short_d.select("query", "name")).unionByName(small.select("query", "name"))))
+    sizes = (8, 4, 1)
+    k = F.col("k")
+
+    def of_size(n: int) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.length(k) - n + 1), lambda i: F.substring(k, i, F.lit(n)))
+        return F.when(F.length(k) >= n, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
+
+    pieces = F.flatten(F.array(*[of_size(n) for n in sizes]))
+    head = F.substring(k, F.lit(1), F.when(F.length(k) >= 8, 8).when(F.length(k) >= 4, 4).otherwise(1))
+    rest = q.join(exact.select("query"), "query", "left_anti")
+    shorter = rest.select("query", k.alias("qk"), head.alias("p")).join(d.select("name", k.alias("nk"), F.explode(pieces).alias("p")), "p").where(F.col("nk").contains(F.col("qk")))
+    longer = rest.select("query", k.alias("qk"), F.explode(pieces).alias("p")).join(d.select("name", k.alias("nk"), head.alias("p")), "p").where(F.col("qk").contains(F.col("nk")))
+    return exact.unionByName(pick(shorter.select("query", "name").unionByName(longer.select("query", "name")).distinct()))
 
 
 def apply_arena_ids(card_list: DataFrame, ratings: DataFrame) -> DataFrame:
