@@ -153,7 +153,7 @@ def _emit(k: int, percent: int, buckets: int, most: int = 1 << 19):
             ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offs = tv.buffers(batch.column(1))
             ss, dd, nd, nv, counts, begun = [none.view(U64)], [none], [none], [none], [none], 0
-            for x, y in tv.row_blocks(offs, 2 << 20):
+            for x, y in tv.row_blocks(offs):
                 if sum(map(len, ss)) > most:
                     yield blobs.pack(np.concatenate(ss), np.concatenate(dd), buckets, turn, (np.concatenate(nd), np.concatenate(nv)), (ids[begun:x], valid[begun:x], np.concatenate(counts)))
                     ss, dd, nd, nv, counts, begun, turn = [none.view(U64)], [none], [none], [none], [none], x, turn + 1
@@ -193,7 +193,7 @@ def _verify(k: int, percent: int):
                 continue
             (da, oa), (db, ob) = tv.buffers(b.column(2)), tv.buffers(b.column(3))
             ok = []
-            for x, y in tv.row_blocks(oa + ob, 8 << 20):
+            for x, y in tv.row_blocks(oa + ob, 2 << 20):
                 ga, ia, na = shingle_sets(da, oa[x : y + 1], k)
                 gb, ib, nb = shingle_sets(db, ob[x : y + 1], k)
                 key = np.sort(np.concatenate([ia, ib]).astype(U64) << U64(52) | np.concatenate([ga, gb]))
@@ -209,7 +209,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     a = texts.select(F.col("doc").alias("a"), F.col("text").alias("ta"))
     b = texts.select(F.col("doc").alias("b"), F.col("text").alias("tb"))
     rows = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "ta", "tb")
-    return scratch.table(rows.mapInArrow(_verify(k, percent), "a long, b long"), "nj-links")
+    return scratch.table(rows.mapInArrow(tv.released(_verify(k, percent)), "a long, b long"), "nj-links")
 
 
 def similar_documents(
@@ -228,7 +228,7 @@ def similar_documents(
     src = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     tasks = scratch.tasks_for(src)
     n_buckets = buckets or 4 * tasks
-    packed = src.mapInArrow(_emit(k, percent, n_buckets), blobs.SCHEMA).repartition(tasks, "bucket")
+    packed = src.mapInArrow(tv.released(_emit(k, percent, n_buckets)), blobs.SCHEMA).repartition(tasks, "bucket")
     found = scratch.table(packed.groupBy("bucket").applyInArrow(blobs.gather, blobs.MEMBERS), "nj-found")
     rows = scratch.table(found.where("row is not null").select("doc", "row"), "nj-rows")
     able = scratch.table(_able(found.where("row is null")), "nj-able")

@@ -183,7 +183,7 @@ def with_scores(docs: DataFrame, model: BradleyTerry, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(text_features(b.column(1))))], names=["doc_id", "score"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, score double").select(
+    return src.mapInArrow(tv.released(run), "doc_id long, score double").select(
         "doc_id", F.coalesce(fold("doc_id", held_parts) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -216,7 +216,7 @@ def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         for b in batches:
             yield b.filter(pa.array(model.score(text_features(b.column(at))) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tv.released(run), docs.schema)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

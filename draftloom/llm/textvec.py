@@ -92,6 +92,18 @@ def release() -> None:
         _libc.malloc_trim(0)
 
 
+def released(run):
+    """The task function run, which at its end returns the worker's freed memory to the system."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, row offsets) of a string column; a null counts as an empty text."""
     release()
@@ -113,7 +125,7 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 ROWS = 4096  # rows of a block at most
 
 
-def row_blocks(offs: np.ndarray, max_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def row_blocks(offs: np.ndarray, max_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges [a, b) of at most max_bytes and ROWS rows each, or of one row."""
     n, a = len(offs) - 1, 0
     while a < n:
