@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.tables import saved
 from .snapshots import top_n
 from .synergy import card_partners
 
@@ -31,7 +32,7 @@ def _sets(decks: DataFrame) -> DataFrame:
 
 def cluster_decks(
     decks: DataFrame, by: tuple[str, ...] = ("set_code", "format", "archetype"), min_decks: int = 40, sample: int = 50, rounds: int = 3,
-    min_cluster: int = 20, min_share: float = 0.15, max_common: int = 9, top: int = 15, save=None,
+    min_cluster: int = 20, min_share: float = 0.15, max_common: int = 9, top: int = 15,
 ) -> DataFrame:
     """M2: (by..., aggregate_id, is_alternative): two clusters per group where they differ enough.
 
@@ -39,31 +40,29 @@ def cluster_decks(
     per group (the ``sample`` smallest by MD5 of the id; ties to the smaller ids);
     then each round assigns decks to the nearer centroid and takes as centroid the
     cards of at least half of a cluster's decks.  Centroids are small (two card
-    sets a group); the decks are never collected by group.
-
-    save: writes a frame and reads it back, to cut the lineage between rounds.
+    sets a group); the decks are never collected by group.  Each round's tables are
+    written, which cuts the lineage.
     """
-    keep = save or (lambda df, name: df)
     by_ = list(by)
-    base = keep(_sets(decks).select(*by_, "aggregate_id", "cards"), "cluster-base")
+    base = saved(_sets(decks).select(*by_, "aggregate_id", "cards"), "cluster-base")
     sizes = base.groupBy(*by_).agg(F.count("*").alias("n")).where(F.col("n") >= min_decks)
     big = base.join(sizes.select(*by_), by_, "left_semi")
     w = Window.partitionBy(*by_).orderBy(F.md5(F.col("aggregate_id").cast("string")), "aggregate_id")
-    pick = keep(big.withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample).drop("r"), "cluster-sample")
+    pick = saved(big.withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample).drop("r"), "cluster-sample")
     a, b = pick.select(*by_, F.col("aggregate_id").alias("ia"), F.col("cards").alias("ca")), pick.select(*by_, F.col("aggregate_id").alias("ib"), F.col("cards").alias("cb"))
     far = a.join(b, by_).where("ia < ib").withColumn("d", 1 - jaccard("ca", "cb"))
     seeds = top_n(far, by_, [F.desc("d"), "ia", "ib"], 1)
-    centroids = keep(seeds.select(*by_, F.col("ca").alias("c0"), F.col("cb").alias("c1")), "cluster-seeds")
+    centroids = saved(seeds.select(*by_, F.col("ca").alias("c0"), F.col("cb").alias("c1")), "cluster-seeds")
     for k in range(rounds):
         near = big.join(centroids, by_).withColumn("cluster", F.when(jaccard("cards", "c1") > jaccard("cards", "c0"), 1).otherwise(0))
-        near = keep(near.select(*by_, "aggregate_id", "cards", "cluster"), f"cluster-{k}")
+        near = saved(near.select(*by_, "aggregate_id", "cards", "cluster"), f"cluster-{k}")
         n = near.groupBy(*by_, "cluster").agg(F.count("*").alias("n"))
         half = near.select(*by_, "cluster", F.explode("cards").alias("card")).groupBy(*by_, "cluster", "card").agg(F.count("*").alias("m")).join(n, [*by_, "cluster"]).where(F.col("m") * 2 >= F.col("n"))
         new = half.groupBy(*by_).agg(F.sort_array(F.collect_list(F.when(F.col("cluster") == 0, F.col("card")))).alias("n0"), F.sort_array(F.collect_list(F.when(F.col("cluster") == 1, F.col("card")))).alias("n1"))
         seen = n.groupBy(*by_).agg(F.max(F.col("cluster") == 0).alias("s0"), F.max(F.col("cluster") == 1).alias("s1"))
         empty = F.array().cast("array<string>")
         step = centroids.join(new, by_, "left").join(seen, by_, "left")
-        centroids = keep(step.select(*by_, F.when(F.col("s0"), F.coalesce("n0", empty)).otherwise(F.col("c0")).alias("c0"), F.when(F.col("s1"), F.coalesce("n1", empty)).otherwise(F.col("c1")).alias("c1")), f"cluster-centroids-{k}")
+        centroids = saved(step.select(*by_, F.when(F.col("s0"), F.coalesce("n0", empty)).otherwise(F.col("c0")).alias("c0"), F.when(F.col("s1"), F.coalesce("n1", empty)).otherwise(F.col("c1")).alias("c1")), f"cluster-centroids-{k}")
     lists = top_n(near.select(*by_, "cluster", F.explode("cards").alias("card")).groupBy(*by_, "cluster", "card").agg(F.count("*").alias("m")), [*by_, "cluster"], [F.desc("m"), "card"], top)
     common = lists.groupBy(*by_, "card").agg(F.count("*").alias("k")).groupBy(*by_).agg(F.count(F.when(F.col("k") == 2, 1)).alias("common"))
     split = n.groupBy(*by_).agg(F.sum(F.when(F.col("cluster") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("cluster") == 1, F.col("n")).otherwise(0)).alias("n1")).join(common, by_)

@@ -6,19 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import skeletons as S
+from ..sources.tables import saved
 
 
-def skeletons(decks: DataFrame, meta: DataFrame, synergy: DataFrame, as_of: Column, bounds: tuple[int, int] = (7, 14), days: int = 7, save=None, **cluster) -> DataFrame:
+def skeletons(decks: DataFrame, meta: DataFrame, synergy: DataFrame, as_of: Column, bounds: tuple[int, int] = (7, 14), days: int = 7, **cluster) -> DataFrame:
     """M4: one row per archetype (at least three decks) and variant that has a full deck."""
     by = ["set_code", "format", "archetype"]
     enough = decks.groupBy(*by).agg(F.count("*").alias("n")).where("n >= 3").select(*by)
-    marks = S.cluster_decks(decks.join(enough, by, "left_semi"), save=save, **cluster)
-    rows = decks.join(marks, [*by, "aggregate_id"])
-    rows = save(rows, "skeleton-decks") if save else rows
+    marks = S.cluster_decks(decks.join(enough, by, "left_semi"), **cluster)
+    rows = saved(decks.join(marks, [*by, "aggregate_id"]), "skeleton-decks")
     profile = S.deck_profile(rows, meta, as_of, bounds)
-    freq = S.weighted_frequency(rows, meta, as_of, bounds)
-    freq = save(freq, "skeleton-freq") if save else freq
-    scores = S.candidate_scores(freq, synergy)
+    freq = saved(S.weighted_frequency(rows, meta, as_of, bounds), "skeleton-freq")
+    scores = saved(S.candidate_scores(freq, synergy), "skeleton-scores")
     lists = S.build_skeleton(scores, profile, meta)
 
     def gathered(df: DataFrame, name: str) -> DataFrame:

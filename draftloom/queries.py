@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +13,7 @@ from .operators import articles, cards, formats, skeletons, snapshots, stats, sy
 from .plans import fixtures as fx
 from .plans import skeleton_table
 from .sources import tables
+from .sources.tables import saved, shared
 from .streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,22 +41,6 @@ def as_of() -> Column:
     return F.lit(AS_OF).cast("timestamp")
 
 
-def shared(spark: SparkSession) -> str:
-    """A fresh folder that all executors see; a temporary one only on a local master where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = root or "file://" + tempfile.mkdtemp(prefix="spark-draft-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes df and reads it back, to cut its lineage."""
-    path = f"{shared(df.sparkSession)}-{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def rounded(df: DataFrame, n: int = 6) -> DataFrame:
     return df.select(*[F.round(c, n).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
@@ -901,13 +884,13 @@ def _clusters_sql() -> str:
 
 @query(_clusters_sql())
 def m2_cluster_decks(s, d):
-    return skeletons.cluster_decks(fx.decks_with_cards(s, d), save=saved)
+    return skeletons.cluster_decks(fx.decks_with_cards(s, d))
 
 
 def _skeletons(s: SparkSession, d: str) -> DataFrame:
     decks = _deck_table(s, d)
     scores = saved(synergy.synergy_scores(decks, min_lift=1.0), "synergy")
-    return skeleton_table.skeletons(decks, saved(fx.meta(s, d), "meta"), scores, as_of(), BOUNDS, DAYS, save=saved)
+    return skeleton_table.skeletons(decks, saved(fx.meta(s, d), "meta"), scores, as_of(), BOUNDS, DAYS)
 
 
 @query()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -10,6 +12,22 @@ from pyspark.sql import functions as F
 from .. import schemas
 
 
+def shared(spark: SparkSession) -> str:
+    """A fresh folder that all executors see; a temporary one only on a local master where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = root or "file://" + tempfile.mkdtemp(prefix="spark-draft-")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Writes df and reads it back: what several passes read is computed once, and plans stay small."""
+    path = f"{shared(df.sparkSession)}-{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_ratings(spark: SparkSession, path: str, row: str = schemas.CARD_RATING) -> DataFrame:
     """Rows of feed files laid out as set_code=/format=/filter_context=/run_date=.
 

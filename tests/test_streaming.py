@@ -19,12 +19,12 @@ def test_new_decks_once(spark, tmp_path):
 
 
 def test_late_decks_are_dropped_and_counted_days_close(spark, tmp_path):
-    for k, d in enumerate((1, 20, 2)):
+    for k, d in enumerate((1, 20, 21, 2)):
         spark.sql(f"SELECT 'x{k}' AS aggregate_id, timestamp'2024-01-01' + make_dt_interval({d}) AS trophy_time, 'S' AS set_code, 'F' AS format, 'WU' AS archetype, 7 AS wins, 1 AS losses").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     schema = spark.read.parquet(str(tmp_path / "in")).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     out = jobs.drain(jobs.stream_new_decks(stream, "2 days"), "decks_late", checkpoint=str(tmp_path / "ck"))
-    assert sorted(r.aggregate_id for r in out.collect()) == ["x0", "x1"]
+    assert sorted(r.aggregate_id for r in out.collect()) == ["x0", "x1", "x2"]
     days = jobs.drain(jobs.stream_daily_rates(stream, "2 days"), "days_closed", checkpoint=str(tmp_path / "ck3"))
     assert [(str(r.window.start)[:10], r.decks) for r in days.collect()] == [("2024-01-02", 1)]
 
