@@ -138,6 +138,69 @@ def test_greedy_deck_rules():
     assert [c["name"] for c in no_pips] == list(C.BASIC_LANDS)
 
 
+def plain_deck(cards_, avg_lands, avg_creatures, curve):
+    """The rules of the 40-card deck, step by step, as (name, cmc, cost)."""
+    goal = int(round(avg_lands))
+    out = []
+    for c in cards_:
+        if len(out) < goal and "Land" in c["type"] and "Basic" not in c["type"] and c["freq"] > 0.2:
+            out.append((c["name"], 0.0, ""))
+    lands, spells = len(out), 40 - goal
+    want = {"creature": round(spells * avg_creatures / max(1, 40 - avg_lands))}
+    want["other"] = spells - want["creature"]
+    have, in_slot, pairs, pips = {"creature": 0, "other": 0}, {}, 0, {}
+    for c in cards_:
+        if "Land" in c["type"] or sum(have.values()) >= spells:
+            continue
+        kind = "creature" if "Creature" in c["type"] else "other"
+        if have[kind] >= want[kind] + 1:
+            continue
+        n = 2 if c["rarity"] == "common" and pairs < 2 and c["freq"] > 1.0 else 1
+        n = min(n, spells - sum(have.values()), want[kind] + 1 - have[kind])
+        slot = min(int(c["cmc"]), 7)
+        if n > 0 and in_slot.get(slot, 0) < round(curve[str(slot)]) + 2:
+            out += [(c["name"], float(slot), c["cost"])] * n
+            have[kind] += n
+            in_slot[slot] = in_slot.get(slot, 0) + n
+            pairs += n == 2
+            for x in "WUBRG":
+                pips[x] = pips.get(x, 0) + n * c["cost"].count("{%s}" % x)
+    if goal > lands:
+        if not sum(pips.values()):
+            pips = dict.fromkeys("WUBRG", 1)
+        basics = []
+        for x, land in zip("WUBRG", ("Plains", "Island", "Swamp", "Mountain", "Forest")):
+            basics += [land] * round(pips[x] / sum(pips.values()) * (goal - lands))
+        top = max("WUBRG", key=lambda x: pips[x])
+        while len(basics) < goal - lands:
+            basics.append({"W": "Plains", "U": "Island", "B": "Swamp", "R": "Mountain", "G": "Forest"}[top])
+        out += [(b, 0.0, "") for b in basics[: goal - lands]]
+    return out
+
+
+def test_skeleton_decks_match_plain_rules(spark):
+    r = random.Random(12)
+    decks, rows, profiles, meta = {}, [], [], []
+    for g in range(12):
+        listed = []
+        for k in range(r.randint(0, 60)):
+            kind = r.choice(("Creature", "Creature", "Instant", "Land", "Basic Land", "Artifact Creature"))
+            listed.append({"name": f"{g}-{k:02d}", "cmc": float(r.randint(0, 9)), "type": kind, "cost": "".join("{%s}" % r.choice("WUBRG2") for _ in range(r.randint(0, 3))), "rarity": r.choice(("common", "common", "Common", "uncommon", "rare", "")), "freq": round(r.random() * 2, 3), "score": round(r.random(), 2)})
+        listed.sort(key=lambda c: (-c["score"], c["name"]))
+        lands, creatures, curve = r.choice((16.5, 17.0, 0.0)), r.random() * 20, {str(i): round(r.random() * 6, 1) for i in range(8)}
+        if listed:
+            decks[str(g)] = plain_deck(listed, lands, creatures, curve)
+            profiles.append(("S", "F", str(g), False, lands, creatures, curve))
+        rows += [("S", "F", str(g), False, c["name"], c["freq"], c["score"]) for c in listed]
+        meta += [("S", "F", c["name"], c["cmc"], c["cost"], c["type"], c["rarity"]) for c in listed]
+    key = "set_code string, format string, archetype string, is_alternative boolean"
+    candidates = spark.createDataFrame(rows, f"{key}, card_name string, freq double, score double")
+    profile = spark.createDataFrame(profiles, f"{key}, avg_lands double, avg_creatures double, avg_mana_curve map<string,double>")
+    info = spark.createDataFrame(meta, "set_code string, format string, card_name string, card_cmc double, card_cost string, card_type string, rarity string")
+    got = {x.archetype: [(c["name"], c["cmc"], c["cost"]) for c in x.deck_list] for x in skeletons.build_skeleton(candidates, profile, info).collect()}
+    assert got == decks
+
+
 def test_skeleton_needs_full_decks(spark):
     meta = spark.createDataFrame([("S", "F", f"a{i}", 2.0, "{W}", "Creature", "common", 55.0, 4.0) for i in range(40)], "set_code string, format string, card_name string, card_cmc double, card_cost string, card_type string, rarity string, gih_wr double, alsa double")
     syn = spark.createDataFrame([], "set_code string, format string, card_a string, card_b string, synergy_score double, lift_score double, confidence_a_to_b double, confidence_b_to_a double, co_occurrence_count long")
