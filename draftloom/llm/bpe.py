@@ -86,12 +86,6 @@ class Codec:
             self.reused_chunks += 1
         return got
 
-    def forget(self) -> None:
-        """Empties the chunk cache, which else would outlive the task in its worker."""
-        self.cache.clear()
-        self.cached = 0
-        tv.release()
-
     def decode_bytes(self, ids: np.ndarray) -> np.ndarray:
         n = self.lengths[ids]
         at = np.repeat(self.starts[ids] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum())) if len(ids) else np.empty(0, np.int64)
@@ -214,6 +208,12 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
+def forget() -> None:
+    """Drops the worker's codecs and their chunk caches, which else would outlive the task; they are made anew in a tenth of a second."""
+    _codecs.clear()
+    tv.release()
+
+
 def encoded(docs: DataFrame, path: str | None = None, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with a column of token ids, one row per input row.
 
@@ -234,7 +234,7 @@ def encoded(docs: DataFrame, path: str | None = None, text_col: str = "text", id
                 rows = c.encode_rows(data, offs[x : y + 1])
                 ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)), pa.array(np.concatenate([np.empty(0, np.int32), *rows]).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(col.slice(x, y - x) for col in b.columns), ids], names=[*names, ids_col])
-        c.forget()
+        forget()
 
     from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
@@ -289,7 +289,7 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
                     piece = out[i:j]
                     t.append(hashlib.sha256(piece.decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(s, pa.string()), pa.array(t, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        c.forget()
+        forget()
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

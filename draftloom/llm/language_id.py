@@ -1,10 +1,10 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 One model per language, order 4, over letters and single spaces.  Counts cover
-every training text; the lower orders use continuation counts.  For each n-gram
-that any language has, the interpolated log-probability under every language is
-stored in arrays sorted by the n-gram's hash; an n-gram that none has falls back
-to its context's weight and the next lower order.  The language with the lowest
+every training text; the lower orders use continuation counts.  The interpolated
+log-probability of each n-gram that a language has is stored in the language's own
+arrays, sorted by the n-gram's hash; any other falls back to its context's weight
+and the next lower order.  The language with the lowest
 cross-entropy per character wins; how far that lies above what the language's
 own texts have decides on rejection.
 """
@@ -107,91 +107,85 @@ class Lookup:
 
 
 @dataclass
-class KneserNey:
-    langs: list[str]
-    probs: list[Lookup]  # of order 1..ORDER: log-probability by language
+class LanguageModel:
+    """The interpolated model of one language."""
+
+    probs: list[Lookup]  # of order 1..ORDER: log-probability of the n-grams that the language has
     weights: list[Lookup]  # of context length 1..ORDER-1: log of the weight of the lower order
-    floor: np.ndarray  # log-probability of an unseen symbol
-    limit: np.ndarray  # largest cross-entropy of the language's own texts
+    floor: float  # log-probability of an unseen symbol
 
     def log_probs(self, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
-        """Log-probability of each n-gram's last symbol under every language."""
-        if order == 0:
-            return np.broadcast_to(self.floor, (len(keys), len(self.langs)))
+        """Log-probability of each n-gram's last symbol; an unseen one falls back to its context's weight and the lower order."""
+        if order == 0 or not len(self.probs[order - 1].h):
+            return np.full(len(keys), self.floor)
         at, ok = self.probs[order - 1].find(keys)
-        out = self.probs[order - 1].values[at] if len(self.probs[order - 1].h) else np.zeros((len(keys), len(self.langs)), np.float32)
+        out = self.probs[order - 1].values[at].astype(np.float64)
         miss = np.flatnonzero(~ok)
         if len(miss):
             k = keys[miss]
             low = self.log_probs(k & U64((1 << 16 * (order - 1)) - 1), order - 1)
             if order > 1:
                 at, ok = self.weights[order - 2].find(k >> U64(16))
-                if len(self.weights[order - 2].h):
-                    low = low + np.where(ok[:, None], self.weights[order - 2].values[at], 0)
+                low = low + np.where(ok, self.weights[order - 2].values[at], 0)
             out[miss] = low
         return out
 
+
+@dataclass
+class KneserNey:
+    langs: list[str]
+    models: list[LanguageModel]
+    limit: np.ndarray  # largest cross-entropy of the language's own texts
+
+    def log_probs(self, keys: np.ndarray, order: int = ORDER) -> np.ndarray:
+        """Log-probability of each n-gram's last symbol under every language."""
+        return np.column_stack([m.log_probs(keys, order) for m in self.models]) if self.models else np.zeros((len(keys), 0))
+
     def entropies(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(cross-entropy per symbol of each text and language, letters of each text)."""
         k, d, letters = ngrams(data, offs)
         n = len(offs) - 1
         size = np.maximum(np.bincount(d, minlength=n), 1)
         total = np.zeros((n, len(self.langs)))
-        for i in range(0, len(k), 1 << 19):
-            lp = self.log_probs(k[i : i + (1 << 19)])
-            for j in range(len(self.langs)):
-                total[:, j] += np.bincount(d[i : i + (1 << 19)], lp[:, j], n)
+        different, of = np.unique(k, return_inverse=True)  # texts repeat their n-grams: each is looked up once
+        lp = self.log_probs(different)
+        for j in range(len(self.langs)):
+            total[:, j] = np.bincount(d, lp[of, j], n)
         return -total / size[:, None], letters
 
 
+def build_language(keys: np.ndarray, counts: np.ndarray, symbols_seen: int) -> LanguageModel:
+    """The model of one language from its distinct 4-grams and their counts."""
+    order = np.argsort(keys)
+    tables = [(keys[order], counts[order].astype(np.float64))]
+    for n in range(ORDER - 1, 0, -1):  # continuations: how many different symbols stand before
+        k, c = np.unique(tables[-1][0] & U64((1 << 16 * n) - 1), return_counts=True)
+        tables.append((k, c.astype(np.float64)))
+    probs, weights, floor = [], [], float(-np.log(symbols_seen + 1.0))
+    low_keys, low_p = np.zeros(1, U64), np.exp([floor])
+    for n, (k, c) in enumerate(tables[::-1], 1):
+        contexts, at = np.unique(k >> U64(16), return_inverse=True)
+        n1, n2 = (c == 1).sum(), (c == 2).sum()
+        d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        total, kinds = np.bincount(at, c, len(contexts)), np.bincount(at, minlength=len(contexts))
+        w = d * kinds / np.maximum(total, 1)
+        suffix = k & U64((1 << 16 * (n - 1)) - 1)
+        p = np.maximum(c - d, 0) / total[at] + w[at] * low_p[np.searchsorted(low_keys, suffix)]
+        probs.append(Lookup(k, np.log(p).astype(np.float32)))
+        log_w = np.log(np.maximum(w, 1e-12)).astype(np.float32)
+        if n > 1:
+            weights.append(Lookup(contexts, log_w))
+        elif len(log_w):
+            floor += float(log_w[0])
+        low_keys, low_p = k, p
+    return LanguageModel(probs, weights, floor)
+
+
 def build(langs: list[str], lang_of: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> KneserNey:
-    """Model from (language, packed 4-gram, count) triples."""
-    m = len(langs)
+    """Models from (language, packed 4-gram, count) triples."""
     symbols_seen = max(len(np.unique(keys & U64(0xFFFF))), 1)
-    floor = np.full(m, -np.log(symbols_seen + 1.0), np.float32)
-    # tables of each order and language: counts of the highest, continuations of the others
-    per = []
-    for order in range(ORDER, 0, -1):
-        cur = []
-        for j in range(m):
-            if order == ORDER:
-                sel = lang_of == j
-                k, c = keys[sel], counts[sel].astype(np.float64)
-                o = np.argsort(k)
-                k, c = k[o], c[o]
-            else:
-                k, c = np.unique(per[-1][j][0] & U64((1 << 16 * order) - 1), return_counts=True)
-                c = c.astype(np.float64)
-            cur.append((k, c))
-        per.append(cur)
-    per = per[::-1]
-    probs, weights = [], []
-    low_keys, low_p = np.zeros(1, U64), np.exp(floor.astype(np.float64))[None, :]
-    for order in range(1, ORDER + 1):
-        union = np.unique(np.concatenate([k for k, _ in per[order - 1]] or [np.empty(0, U64)]))
-        contexts = np.unique(union >> U64(16))
-        suffix = union & U64((1 << 16 * (order - 1)) - 1)
-        p_low = low_p[np.searchsorted(low_keys, suffix)] if len(union) else np.empty((0, m))
-        at_ctx = np.searchsorted(contexts, union >> U64(16))
-        p, w = np.empty((len(union), m)), np.ones((len(contexts), m))
-        for j, (k, c) in enumerate(per[order - 1]):
-            n1, n2 = (c == 1).sum(), (c == 2).sum()
-            d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-            full = np.zeros(len(union))
-            full[np.searchsorted(union, k)] = c
-            total = np.bincount(at_ctx, full, len(contexts))
-            kinds = np.bincount(at_ctx, full > 0, len(contexts))
-            seen = total > 0
-            w[seen, j] = d * kinds[seen] / total[seen]
-            main = np.where(seen[at_ctx], np.maximum(full - d, 0) / np.maximum(total, 1)[at_ctx], 0)
-            p[:, j] = main + w[at_ctx, j] * p_low[:, j]
-        probs.append(Lookup(union, np.log(p).astype(np.float32)))
-        if order > 1:
-            weights.append(Lookup(contexts, np.log(np.maximum(w, 1e-12)).astype(np.float32)))
-        else:
-            floor = (floor + np.log(np.maximum(w[0], 1e-12)) if len(contexts) else floor).astype(np.float32)
-        low_keys, low_p = union, p
-    return KneserNey(langs, probs, weights, floor, np.full(m, np.inf))
+    models = [build_language(keys[lang_of == j], counts[lang_of == j], symbols_seen) for j in range(len(langs))]
+    return KneserNey(langs, models, np.full(len(langs), np.inf))
 
 
 def _training(docs: DataFrame, held_parts: int, held: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
