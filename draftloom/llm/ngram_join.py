@@ -22,7 +22,8 @@ Filter.  A document that shares fewer than m - D/2 signatures with others cannot
 link at all and is out before any text is fetched; sharing a mere passage with
 other documents does not pass this.
 
-Groups.  Members of one signature are not expanded into pairs.  Each document is
+Groups.  A set of equal sets is linked to its smallest document and otherwise
+stands for all.  Members of one signature are not expanded into pairs.  Each document is
 first paired with one of the smallest documents that it shares most signatures
 with; pairs are verified and closed to components.  Only documents that share
 enough signatures with foreign components go on, with their rarest signatures.
@@ -213,7 +214,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
 
 
 def similar_documents(
-    docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None,
+    docs: DataFrame, k: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, broadcast_ids: int = 500_000,
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per input row.
 
@@ -222,23 +223,28 @@ def similar_documents(
     are their own component.  A row whose id is null keeps its n_shingles and has
     a null component.  Rows that repeat an id are one document with several
     texts: it is linked if any of them is.  Texts of any length are whole.
-    An empty table gives an empty result.
+    An empty table gives an empty result.  The ids of texts whose set another has are
+    broadcast up to broadcast_ids of them.
     """
-    spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     tasks = scratch.tasks_for(src)
     n_buckets = buckets or 4 * tasks
     packed = src.mapInArrow(tv.released(_emit(k, percent, n_buckets)), blobs.SCHEMA).repartition(tasks, "bucket")
     found = scratch.table(packed.groupBy("bucket").applyInArrow(blobs.gather, blobs.MEMBERS), "nj-found")
     rows = scratch.table(found.where("row is not null").select("doc", "row"), "nj-rows")
-    able = scratch.table(_able(found.where("row is null")), "nj-able")
+    members = found.where("row is null")
+    twins = scratch.table(_twins(members), "nj-twins")
+    known = twins.select("doc")
+    members = members.join(F.broadcast(known) if twins.count() <= broadcast_ids else known, "doc", "left_anti")
+    able = scratch.table(_able(members), "nj-able")
     scratch.drop(found)
-    texts = scratch.table(src.join(able.select("doc").distinct(), "doc", "left_semi"), "nj-texts")
+    texts = scratch.table(src.join(able.select("doc").unionByName(known).distinct(), "doc", "left_semi"), "nj-texts")
 
-    links = _verified(_best_representative(able), texts, k, percent)
+    pairs = _best_representative(able).unionByName(twins.select(F.col("rep").alias("a"), F.col("doc").alias("b")))
+    links = _verified(pairs, texts, k, percent)
     comps = connected_components(links)
     mixed = scratch.table(_mixed(able, comps), "nj-mixed")
-    scratch.drop(able, links)
+    scratch.drop(able, links, twins)
     hot = mixed.where("big").groupBy("doc", "comp", "lo", "hi").agg(F.collect_list("sig").alias("sigs"), F.collect_set("least").alias("leasts"))
     hot = scratch.table(hot, "nj-hot")
     pairs = _pairs_of_small(mixed.where("not big"), percent).unionByName(_drawn(hot, 0, percent)).distinct()
@@ -250,6 +256,19 @@ def similar_documents(
     return rows.join(comps, rows.doc == comps.node, "left").select(F.col("doc").alias("doc_id"), F.col("row").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
 
+def _twins(members: DataFrame) -> DataFrame:
+    """(doc, rep): documents of one text that list the signatures of a set which a smaller one lists too.
+
+    Linking them to that one is enough.  Texts that a task has met before list
+    nothing but their whole set's signature, so only those that list are told apart here.
+    """
+    sig, inst = F.col("sig"), F.shiftright("note", 24).bitwiseAND(F.lit(0xFF))
+    whole = members.where(sig.isNull() | (sig.bitwiseAND(F.lit(INSTANCE)) == INSTANCE))
+    per = whole.groupBy("doc").agg(F.max("sig").alias("sig"), F.count_if(inst == INSTANCE).alias("texts"), F.count_if(inst != INSTANCE).alias("lists"))
+    per = per.where("sig is not null and texts = 1 and lists > 0").select("sig", "doc")
+    return per.join(per.groupBy("sig").agg(F.min("doc").alias("rep")), "sig").where("rep <> doc").select("doc", "rep")
+
+
 def _able(rows: DataFrame) -> DataFrame:
     """(doc, inst, m, need, lo, hi) of the documents that share as many signatures of an instance as any link takes.
 
@@ -283,11 +302,12 @@ def _mixed(able: DataFrame, comps: DataFrame) -> DataFrame:
     """
     lab = able.join(comps, able.doc == comps.node, "left").select("doc", "inst", "need", "lo", "hi", F.coalesce("component", "doc").alias("comp"), F.explode(F.array_distinct("m.sig")).alias("sig"))
     foreign = lab.groupBy("sig").agg(F.count("*").alias("freq"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("sig", "freq")
-    shared = lab.join(foreign, "sig").groupBy("doc", "inst", "need", "lo", "hi", "comp").agg(F.sort_array(F.collect_list(F.struct("freq", "sig"))).alias("l")).where("size(l) >= need")
+    # one row a signature on that side: hashing it spares the sort of all memberships
+    shared = lab.join(foreign.hint("shuffle_hash"), "sig").groupBy("doc", "inst", "need", "lo", "hi", "comp").agg(F.sort_array(F.collect_list(F.struct("freq", "sig"))).alias("l")).where("size(l) >= need")
     picked = scratch.table(shared.select("doc", "comp", "lo", "hi", F.expr("slice(l.sig, 1, size(l) - need + 1)").alias("sigs")), "nj-picked")
     members = picked.select("doc", "comp", "lo", "hi", F.explode("sigs").alias("sig"))
     groups = members.groupBy("sig").agg(F.count("*").alias("n"), F.min("comp").alias("least"), F.max("comp").alias("y")).where("least <> y")
-    return members.join(groups.select("sig", "least", (F.col("n") > MANY).alias("big")), "sig")
+    return members.join(groups.select("sig", "least", (F.col("n") > MANY).alias("big")).hint("shuffle_hash"), "sig")
 
 
 MANY = 32  # signatures of more documents than this are not expanded into pairs
@@ -466,18 +486,18 @@ def _block_links(hot: DataFrame, comps: DataFrame, texts: DataFrame, k: int, per
     return links
 
 
-def representatives(docs: DataFrame, broadcast_ids: int = 500_000, **options) -> DataFrame:
+def representatives(docs: DataFrame, **options) -> DataFrame:
     """docs without the near copies: of each component the document with the smallest id stays.
 
     Rows with a null id stay, and so do null and empty texts; all rows that repeat
     the id of a document that goes do.  Columns of any name are kept as they are.
     An empty table stays empty.  The ids that go are broadcast up to broadcast_ids
-    of them, so that texts are not shuffled once more; beyond that by shuffle.
+    of them (500,000), so that texts are not shuffled once more; beyond that by shuffle.
     """
     id_col = options.get("id_col", "doc_id")
     found = similar_documents(docs, **options)
     gone = scratch.table(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "nj-gone")
-    side = F.broadcast(gone) if gone.count() <= broadcast_ids else gone
+    side = F.broadcast(gone) if gone.count() <= options.get("broadcast_ids", 500_000) else gone
     return docs.join(side, docs[id_col].cast("long") == side["__gone"], "left_anti")
 
 

@@ -99,6 +99,7 @@ def edited_groups():
                 w[r.randrange(len(w))] = word()
             out.append(" ".join(w))
     out += [" ".join([word() for _ in range(20)] + passage) for _ in range(12)]
+    out += [r.choice(out) for _ in range(40)]
     return dict(enumerate(out))
 
 
@@ -172,6 +173,13 @@ def test_near_duplicates_of_odd_rows(spark, odd, empty):
     by_id = {i: c for i, _, c in got}
     assert by_id[4] == by_id[5] == 4 and by_id[1] == 1 and by_id[2] == 2 and by_id[None] is None and sum(got.values()) == 11
     assert ngram_join.similar_documents(empty).count() == 0
+    by_shuffle = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_documents(odd, broadcast_ids=0).collect())
+    assert by_shuffle == got
+    # of rows that repeat an id each text can link it, also where one of them has a twin
+    words = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    rows = [(1, words("a", 30)), (9, words("a", 30)), (9, words("b", 30)), (5, words("b", 30) + " end"), (7, words("c", 30)), (7, words("a", 30) + " z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert {(r.doc_id, r.component_id) for r in ngram_join.similar_documents(df).collect()} == {(i, 1) for i in (1, 5, 7, 9)}
     assert {r.doc_id for r in ngram_join.representatives(odd).collect()} == {1, 2, 3, 4, 6, 7, 8, 9, None}
 
 
