@@ -402,10 +402,10 @@ def training_table(spark: SparkSession) -> DataFrame:
 
 
 def find_personal_data(docs: DataFrame, labelled: list[tuple[list[str], list[str]]] | DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 5000) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret), one row per input row.
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret, n_spans), one row per input row.
 
     The counts of the four fixed kinds are the patterns' spans; the field adds only
-    ``secret`` spans.  Null and empty texts have none.  Each row is judged by its
+    ``secret`` spans; n_spans counts all.  Null and empty texts have none.  Each row is judged by its
     own text, also where rows repeat an id or it is null.  Other columns are
     ignored.  An empty table gives an empty result.  labelled: rows (words, tags),
     at most max_labelled of which are learned.
@@ -424,11 +424,11 @@ def find_personal_data(docs: DataFrame, labelled: list[tuple[list[str], list[str
                 base, every = all_spans(field, [t or "" for t in part.column(1).to_pylist()])
                 count = lambda rows, k: pa.array([sum(s[0] == k for s in r) for r in rows], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(count(base, k) for k in KINDS[:4]), pa.array([hashlib.sha256(write(r).encode()).hexdigest() for r in base]), pa.array([write(r) for r in every], pa.string()), count(every, "secret")],
-                    names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_secret"])
+                    [part.column(0), *(count(base, k) for k in KINDS[:4]), pa.array([hashlib.sha256(write(r).encode()).hexdigest() for r in base]), pa.array([write(r) for r in every], pa.string()), count(every, "secret"), pa.array([len(r) for r in every], pa.int64())],
+                    names=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_secret", "n_spans"])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long")
+    return src.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_secret long, n_spans long")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
