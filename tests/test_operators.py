@@ -24,6 +24,20 @@ def test_color_codes(spark):
     assert col(spark, ["Orzhov (BW) + Splash", "GU"], "string", C.archetype_acronym) == ["WB+", "UG"]
 
 
+def test_letters_and_hybrid_costs(spark):
+    assert col(spark, ["GWUGW", "xR", ""], "string", lambda c: C.sort_wubrg(c, distinct=True)) == ["WUG", "R", ""]
+    assert col(spark, ["{1}{W/U}", "{U/W}", "{2/W}", "{W}", "{B}", None], "string", lambda c: C.cost_has_color(c, "W")) == [True, True, True, True, False, False]
+
+
+def test_audit_of_every_outcome(spark):
+    day = lambda d: f"2024-01-{d:02d}" if d else None
+    rows = [("a", day(2)), ("a", day(3)), ("b", day(2)), ("c", day(20)), ("d", None), ("e", day(10)), ("f", day(1))]
+    feed = spark.createDataFrame(rows, "aggregate_id string, t string").select("aggregate_id", F.to_timestamp("t").alias("trophy_time"))
+    stored = spark.createDataFrame([("b",), ("b",)], "aggregate_id string")
+    got = dict(stats.ingest_audit(feed, stored, F.lit(day(1)).cast("timestamp"), F.lit(day(10)).cast("timestamp")).collect())
+    assert got == {"saved": 2, "repeated": 1, "existing": 1, "out of window": 2, "error": 1}
+
+
 def test_rates(spark):
     assert col(spark, ["0", "1", "1.0001", "0.5", "nan", "inf", "x", None, "55"], "string", C.safe_rate) == [0.0, 100.0, 1.0001, 50.0, None, None, None, None, 55.0]
 
