@@ -132,7 +132,7 @@ def scan(
     return texts, whole.unionByName(long)
 
 
-def license_labels(docs: DataFrame, **options) -> DataFrame:
+def license_labels(docs: DataFrame, broadcast_texts: int = 200_000, **options) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score), one row per input row.
 
     n_base counts the places of fixed phrases, first_word and last_word are the
@@ -140,13 +140,16 @@ def license_labels(docs: DataFrame, **options) -> DataFrame:
     has those of license notices; score is the best share of a template found.
     Null and empty texts have no words and no labels ('').  Rows are judged each
     by its own text, also where they repeat an id or it is null.  Other columns
-    are ignored.  An empty table gives an empty result.
+    are ignored.  An empty table gives an empty result.  What is found in up to
+    broadcast_texts texts is broadcast to their rows, beyond that joined by shuffle.
     """
     texts, spans = scan(docs, **options)
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
     per = spans.groupBy("k1", "k2").agg(
         F.count_if("phrase").alias("n_base"), F.min(F.when(F.col("phrase"), F.col("first"))).alias("first_word"), F.max(F.when(F.col("phrase"), F.col("first"))).alias("last_word"),
         joined(F.when(F.col("phrase"), F.col("label"))).alias("base_labels"), joined("label").alias("labels"), F.max("coverage").alias("score"))
+    per = scratch.table(per, "license-found")
+    per = F.broadcast(per) if per.count() <= broadcast_texts else per
     return texts.join(per, ["k1", "k2"], "left").select(
         "doc_id", "n_words", F.coalesce("n_base", F.lit(0)).alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
