@@ -148,14 +148,18 @@ def contaminated(
     return enough.withColumn("agree", best).where(F.col("agree") >= share).select("__k1", "__k2", "item_id", "offset", "agree")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_texts: int = 500_000, **options) -> DataFrame:
     """(doc_id, item_id, agree): the items each document holds, with the best agreement.
 
     Null and empty texts hold nothing; empty items are in no document.  Rows that
     repeat an id give the items of all their texts, each once; a null id is
     reported as null.  Other columns are ignored.  Either table may be empty.
+    What is found in texts is broadcast to their rows up to broadcast_texts
+    findings, beyond that joined by shuffle.
     """
     found = contaminated(docs, benchmark, text_col=text_col, **options).groupBy("__k1", "__k2", "item_id").agg(F.max("agree").alias("agree"))
+    found = scratch.table(found, "dc-found")
+    found = F.broadcast(found) if found.count() <= broadcast_texts else found
     ids = _texts(docs, text_col).select(F.col(id_col).cast("long").alias("doc_id"), "__k1", "__k2")
     return ids.join(found, ["__k1", "__k2"]).groupBy("doc_id", "item_id").agg(F.max("agree").alias("agree"))
 

@@ -249,6 +249,7 @@ def test_labels_match_brute_force(spark):
         rows[n] = r.choice((" ", ", ", "\n")).join(w)
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
     got = {x.doc_id: (x.labels, round(x.score, 9)) for x in licenses.license_labels(df).collect()}
+    assert got == {x.doc_id: (x.labels, round(x.score, 9)) for x in licenses.license_labels(df, broadcast_texts=0).collect()}
     want = {i: brute_labels(t) for i, t in rows.items()}
     assert got == {i: (a, round(b, 9)) for i, (a, b) in want.items()}
     assert got[0] == ("", 0.0) and got[1] == ("mit", 1.0) and len({a for a, _ in got.values()}) > 8
@@ -288,7 +289,7 @@ def test_a_long_text_of_many_hits_and_a_large_benchmark(spark):
     docs = spark.createDataFrame([(1, " ".join((item + ["x"]) * 400)), (2, " ".join(item[:9] + ["y"] * 3000 + item))], "doc_id long, text string")
     bench = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(item[2:] + ["q"]))], "item_id long, text string")
     for limit in (100_000, 0):
-        got = sorted((x.doc_id, x.item_id, x.agree) for x in decontaminate.leaks(docs, bench, broadcast_rows=limit).collect())
+        got = sorted((x.doc_id, x.item_id, x.agree) for x in decontaminate.leaks(docs, bench, broadcast_rows=limit, broadcast_texts=limit).collect())
         assert got == [(1, 7, 1.0), (1, 8, 1.0), (2, 7, 1.0), (2, 8, 1.0)]
 
 
