@@ -9,9 +9,10 @@ are sorted and counted exactly, by 128-bit fingerprints of their words.
 Only minimisers that several documents have can hold a repeated window.  They
 are found first, from (minimiser, document) pairs alone, so that texts without
 any are never sent.  A minimiser of very many windows (of many documents, ``hot``,
-or of many windows in one, ``dense``) is not brought to one bucket: its windows become rows, their smallest document is taken by an
-aggregate that combines map-side, and an equi-join (whose hot keys AQE splits)
-brings it back.
+or of many windows in one, ``dense``) is not brought to one bucket: its windows
+are dealt out by their own fingerprints, and a batch sends each fingerprint once,
+with its smallest document there; what other documents of the batch have of it is known to
+be repeated at once.
 """
 
 from __future__ import annotations
@@ -167,35 +168,63 @@ def _runs(doc: np.ndarray, th: np.ndarray, pos: np.ndarray, width: int) -> pa.Ta
     return pa.table({"doc": doc[at], "th": th[at], "start": pos[at], "n": pos[last] - pos[at] + width})
 
 
+def _judged(f1: np.ndarray, f2: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that have an equal one in a smaller document, and all others."""
+    order = np.lexsort((doc, f2, f1))
+    a, b, ds = f1[order], f2[order], doc[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    at = np.flatnonzero(new)
+    smallest = ds[at][np.cumsum(new) - 1] if len(at) else ds
+    return order[ds > smallest], order[ds == smallest]
+
+
 def _count_bucket(width: int):
     """Sorts the windows of a bucket; those with an equal one in a smaller document give ranges."""
 
     def run(t: pa.Table) -> pa.Table:
         f1, f2, row, pos = _windows(t, width)
         doc, th, start = (t[c].to_numpy() for c in ("doc", "th", "start"))
-        d = doc[row]
-        order = np.lexsort((d, f2, f1))
-        a, b, ds = f1[order], f2[order], d[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        at = np.flatnonzero(new)
-        smallest = ds[at][np.cumsum(new) - 1] if len(at) else ds
-        hit = order[ds > smallest]
+        hit, _ = _judged(f1, f2, doc[row])
         r = row[hit]
         return _runs(doc[r], th[r], start[r] + pos[hit], width)
 
     return run
 
 
-def _expand(width: int):
+_SPREAD = "bucket int, doc long, th long, start long, n long, body binary"
+
+
+def _spread(width: int, buckets: int):
+    """Windows of hot minimisers, batch by batch: ranges of those that a smaller document of the batch has too
+    (bucket -1), and the others packed by the bucket of their fingerprint, one entry a batch however many documents have it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f1, f2, row, pos = _windows(b, width)
-            for i in range(0, len(f1), 200_000):
-                r = row[i : i + 200_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(f1[i : i + 200_000].view(np.int64)), pa.array(f2[i : i + 200_000].view(np.int64)), pa.array(b["doc"].to_numpy()[r]), pa.array(b["th"].to_numpy()[r]), pa.array(b["start"].to_numpy()[r] + pos[i : i + 200_000])],
-                    names=["f1", "f2", "doc", "th", "pos"])
+            doc, th, pos = b["doc"].to_numpy()[row], b["th"].to_numpy()[row], b["start"].to_numpy()[row] + pos
+            hit, rest = _judged(f1, f2, doc)
+            found = _runs(doc[hit], th[hit], pos[hit], width).combine_chunks()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(found), -1, np.int32)), *(found[c].combine_chunks() for c in ("doc", "th", "start", "n")), pa.nulls(len(found), pa.binary())], names=["bucket", "doc", "th", "start", "n", "body"])
+            of = ((f1[rest] >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int32)
+            rest = rest[np.argsort(of, kind="stable")]
+            of = np.sort(of)
+            cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]).tolist() if len(of) else []
+            packed = [np.column_stack([f1[w].view(np.int64), f2[w].view(np.int64), doc[w], th[w], pos[w]]).tobytes() for w in (rest[x:y] for x, y in zip(cuts, [*cuts[1:], len(of)]))]
+            none = pa.nulls(len(cuts), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(of[cuts] if cuts else np.empty(0, np.int32)), none, none, none, none, pa.array(packed, pa.binary())], names=["bucket", "doc", "th", "start", "n", "body"])
+
+    return run
+
+
+def _meet(width: int):
+    """Ranges of the windows of a bucket of fingerprints that a smaller document of another batch has."""
+
+    def run(t: pa.Table) -> pa.Table:
+        w = np.concatenate([np.empty((0, 5), np.int64), *(np.frombuffer(x, np.int64).reshape(-1, 5) for x in t["body"].to_pylist())])
+        hit, _ = _judged(w[:, 0].view(U64), w[:, 1].view(U64), w[:, 2])
+        return _runs(w[hit, 2], w[hit, 3], w[hit, 4], width)
 
     return run
 
@@ -269,7 +298,7 @@ def remove_repeats(
     An empty table gives an empty result.
 
     hot, dense: minimisers of more documents, or of more windows in one text, take
-    the row-wise way, so a bucket's minimiser has at most hot * dense windows.
+    that other way, so a bucket's minimiser has at most hot * dense windows.
     """
     spark = docs.sparkSession
     if not 1 <= m <= width:
@@ -288,14 +317,14 @@ def remove_repeats(
     rows = supers.where("not hot").count()
     buckets = max(4 * tasks, rows // 10_000 + 1)
     cold = supers.where("not hot").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).repartition(max(tasks, buckets // 8), "bucket").groupBy("bucket").applyInArrow(_count_bucket(width), _RANGES)
-    occ = supers.where("hot").mapInArrow(_expand(width), "f1 long, f2 long, doc long, th long, pos long")
-    least = occ.groupBy("f1", "f2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").drop("hi")
-    warm = occ.join(least, ["f1", "f2"]).where("doc > lo").select("doc", "th", F.col("pos").alias("start"), F.lit(width).cast("long").alias("n"))
-    ranges = cold.unionByName(warm).groupBy("doc", "th").agg(F.collect_set(F.struct("start", "n")).alias("ranges"))
+    spread = scratch.table(supers.where("hot").select("doc", "th", "start", "body").mapInArrow(_spread(width, 4 * tasks), _SPREAD), "sd-spread")
+    near = spread.where("bucket < 0").select("doc", "th", "start", "n")
+    far = spread.where("bucket >= 0").select("bucket", "body").repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_meet(width), _RANGES)
+    ranges = cold.unionByName(near).unionByName(far).groupBy("doc", "th").agg(F.collect_set(F.struct("start", "n")).alias("ranges"))
     tail = ", kept_text string" if with_text else ""
     out = f"doc long, th long, n_words long, n_removed long, kept_sha256 string{tail}"
     changed = scratch.table(cand.select("doc", "th", "text").distinct().join(ranges, ["doc", "th"]).mapInArrow(_digest(True, with_text), out), "sd-changed")
-    scratch.drop(found, cand, supers)
+    scratch.drop(found, cand, supers, spread)
     whole = src.mapInArrow(_digest(False, with_text), out)
     names = ["n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
     new = changed.select(F.col("doc").alias("d2"), F.col("th").alias("t2"), *[F.col(c).alias(f"_{c}") for c in names])
