@@ -315,8 +315,8 @@ def remove_repeats(
     cand = scratch.table(src.where("doc is not null").join(lists, "doc").select("doc", "th", "text", "sigs", "hots"), "sd-cand")
     supers = scratch.table(cand.mapInArrow(_packed(width, m), "key long, hot boolean, doc long, th long, start long, body binary"), "sd-super")
     rows = supers.where("not hot").count()
-    buckets = max(4 * tasks, rows // 10_000 + 1)
-    cold = supers.where("not hot").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).repartition(max(tasks, buckets // 8), "bucket").groupBy("bucket").applyInArrow(_count_bucket(width), _RANGES)
+    buckets = max(16 * tasks, rows // 2_000 + 1)  # many a task, so that tasks are even
+    cold = supers.where("not hot").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).repartition(max(tasks, buckets // 16), "bucket").groupBy("bucket").applyInArrow(_count_bucket(width), _RANGES)
     spread = scratch.table(supers.where("hot").select("doc", "th", "start", "body").mapInArrow(_spread(width, 4 * tasks), _SPREAD), "sd-spread")
     near = spread.where("bucket < 0").select("doc", "th", "start", "n")
     far = spread.where("bucket >= 0").select("bucket", "body").repartition(tasks, "bucket").groupBy("bucket").applyInArrow(_meet(width), _RANGES)
