@@ -60,10 +60,13 @@ def table(df: DataFrame, name: str) -> DataFrame:
 def drop(*tables: DataFrame) -> None:
     """Removes written tables whose readers have all been written themselves."""
     for t in tables:
-        spark = t.sparkSession
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        drop_path(t.sparkSession, t._scratch_path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Removes a folder of written tables."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
