@@ -13,6 +13,7 @@ from .operators import articles, cards, formats, skeletons, snapshots, stats, sy
 from .plans import fixtures as fx
 from .plans import skeleton_table
 from .sources import tables
+from .sources.keyed import KeyedTable
 from .sources.tables import saved, shared
 from .streaming import jobs
 
@@ -308,8 +309,38 @@ def s3_upsert(s, d):
     return tables.upsert(now, changed.unionByName(stale).unionByName(fresh), ["id"], "seq")
 
 
+def _accounts(s: SparkSession, d: str) -> tuple[DataFrame, KeyedTable]:
+    """Customers as a keyed table that was written in two versions."""
+    now = fx.frame(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"))
+    table = KeyedTable(s, shared(s), ["id"], now.schema)
+    table.upsert(now.where("id % 4 <> 0"))
+    table.insert_new(now.withColumn("balance", F.when(F.col("id") % 4 == 0, F.col("balance"))))
+    return now, table
+
+
+@query("""SELECT c_custkey AS id, c_nationkey AS nation, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS balance FROM customer WHERE c_custkey % 10 <> 0
+    UNION ALL SELECT c_custkey + 10000000, c_nationkey, c_acctbal FROM customer WHERE c_custkey % 5 = 0""")
+def s3_keyed_table(s, d):
+    """Rows added, replaced and taken out in a table that is there."""
+    now, table = _accounts(s, d)
+    table.upsert(now.where("id % 3 = 0").withColumn("balance", F.col("balance") + 1).unionByName(now.where("id % 5 = 0").withColumn("id", F.col("id") + 10_000_000)))
+    table.delete(now.where("id % 10 = 0"))
+    table.compact(1)
+    table.vacuum()
+    return table.read()
+
+
+@query("SELECT c_custkey AS id, c_nationkey AS nation, CASE WHEN c_custkey % 6 = 0 THEN NULL WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS balance FROM customer")
+def s4_keyed_columns(s, d):
+    """One column set in place, to null for some rows."""
+    now, table = _accounts(s, d)
+    table.update_columns(now.where("id % 3 = 0").select("id", F.when(F.col("id") % 6 != 0, F.col("balance") + 1).alias("balance")), ["balance"], set_null=True)
+    return table.read()
+
+
 @query("SELECT c_custkey AS id, c_nationkey AS nation, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS balance FROM customer")
 def s4_upsert_columns(s, d):
+    """By a join; s4_keyed_columns writes the same in place."""
     now = fx.frame(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"))
     return tables.upsert_columns(now, now.where("id % 3 = 0").select("id", (F.col("balance") + 1).alias("balance")), ["id"], ["balance"])
 
@@ -1035,65 +1066,77 @@ def j12_link_mentions(s, d):
 
 # ---- streaming ----
 
-def _stream(df: DataFrame, root: str, time: str, parts: int = 3) -> DataFrame:
-    """df as a stream of files in the order of a time column, a few days to a trigger."""
+def _fed(df: DataFrame, root: str, by: Column, parts: int, start: Callable[[DataFrame], DataStreamWriter]) -> None:
+    """Runs a stream once for each part of df as its files arrive; ``by`` numbers the parts from 0."""
     s = df.sparkSession
-    lo, hi = df.agg(F.min(F.col(time).cast("timestamp").cast("long")), F.max(F.col(time).cast("timestamp").cast("long"))).first()
-    step = ((hi or 0) - (lo or 0)) // parts + 1
-    at = F.coalesce(F.floor((F.col(time).cast("timestamp").cast("long") - (lo or 0)) / step), F.lit(0))
+    numbered = df.withColumn("part", by.cast("int"))
+    numbered.write.partitionBy("part").parquet(f"{root}/parts")
+    every = s.read.schema(numbered.schema).parquet(f"{root}/parts")
     for k in range(parts):
-        df.where(at == k).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    return s.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        every.where(F.col("part") == k).drop("part").write.mode("append").parquet(f"{root}/in")
+        writer = start(s.readStream.schema(df.schema).parquet(f"{root}/in"))
+        writer.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
 
 
-def _run(writer: DataStreamWriter, root: str) -> None:
-    writer.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+def _in_time(df: DataFrame, time: str, parts: int) -> Column:
+    """The part of a row, in the order of a time column."""
+    t = F.col(time).cast("timestamp").cast("long")
+    lo, hi = df.agg(F.min(t), F.max(t)).first()
+    return F.coalesce(F.floor((t - (lo or 0)) / (((hi or 0) - (lo or 0)) // parts + 1)), F.lit(0))
 
 
-def _to_table(df: DataFrame, root: str, key: list[str] | None = None) -> DataFrame:
-    """Runs the stream over what is there and gives its result; with a key, each batch's rows replace older ones."""
-    s = df.sparkSession
-
-    def each(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{root}/out/batch={epoch}")
-
-    _run(df.writeStream.outputMode("update" if key else "append").foreachBatch(each), root)
-    out = s.read.parquet(f"{root}/out").drop("batch")
-    return tables.last_by_key(out, key, [F.col("epoch")]).drop("epoch") if key else out.drop("epoch")
+def _late(key: str, parts: int) -> Column:
+    """The part of a row by a hash: every part has rows of all times, so most come late."""
+    return F.pmod(F.xxhash64(key), F.lit(parts))
 
 
 @query("SELECT aggregate_id, set_code, format, archetype FROM fx_decks WHERE trophy_time >= TIMESTAMP '1996-01-01' AND trophy_time < TIMESTAMP '2001-01-01' AND aggregate_id % 7 <> 0")
 def r1_stream_new_decks(s, d):
-    """Some ids come twice, some are stored already."""
+    """Some ids come twice, some are stored already, and later files hold earlier days."""
     root = shared(s)
     feed, stored = _feed(s, d)
-    stream = _stream(feed, root, "trophy_time")
-    return _to_table(jobs.stream_new_decks(stream, "2 days", "1996-01-01", "2001-01-01", stored).select("aggregate_id", "set_code", "format", "archetype"), root)
+    decks = feed.select("aggregate_id", "set_code", "format", "archetype", "trophy_time")
+    table = jobs.deck_table(s, f"{root}/decks", decks.schema)
+    table.insert_new(decks.join(stored, "aggregate_id", "left_semi").withColumn("batch", F.lit(None).cast("long")))
+    _fed(decks, root, 2 - _in_time(decks, "trophy_time", 3), 3, lambda x: jobs.stream_new_decks(x, table, "1996-01-01", "2001-01-01"))
+    return table.read().where("batch is not null").select("aggregate_id", "set_code", "format", "archetype")
 
 
 @query("SELECT set_code, format, colors, array_to_string(list(CAST(round(rate * 10) AS BIGINT) ORDER BY run_date), ',') AS points FROM (SELECT *, row_number() OVER (PARTITION BY set_code, format, colors ORDER BY run_date DESC) AS k FROM (" + f"SELECT set_code, format, run_date, {q_clean('color_name')} AS colors, {RATE_SQL} AS rate FROM fx_raw_ratings WHERE games <> 0" + ")) WHERE k <= 14 GROUP BY 1, 2, 3")
 def r2_stream_history(s, d):
-    key = ["set_code", "format", "colors"]
+    """The days come out of order."""
     root = shared(s)
-    stream = _stream(_snapshots(s, d).select(*key, "run_date", "win_rate"), root, "run_date")
-    _run(jobs.stream_history(stream, key, "win_rate", f"{root}/log"), root)
-    out = jobs.history_of(s.read.parquet(f"{root}/log"), key, "win_rate")
-    return out.select(*key, F.array_join(F.transform("win_rate_history", lambda x: F.round(x * 10).cast("long").cast("string")), ",").alias("points"))
+    log = _snapshots(s, d).select("set_code", "format", "colors", "run_date", "win_rate")
+    table = jobs.history_table(s, f"{root}/history", log.select("set_code", "format", "colors").schema)
+    _fed(log, root, _late("run_date", 3), 3, lambda x: jobs.stream_history(x, table, "win_rate"))
+    return jobs.history_of(table).select("set_code", "format", "colors", F.array_join(F.transform("win_rate_history", lambda x: F.round(x * 10).cast("long").cast("string")), ",").alias("points"))
 
 
 @query(_VOTES)
 def r3_stream_votes(s, d):
+    """Votes come out of order, so later batches take back what earlier ones counted."""
     root = shared(s)
-    _run(jobs.stream_votes(_stream(fx.frame(s, d, "fx_votes"), root, "ts"), f"{root}/log"), root)
-    return jobs.votes_of(s.read.parquet(f"{root}/log"))
+    events = fx.frame(s, d, "fx_votes")
+    votes, counts = jobs.vote_tables(s, root)
+    _fed(events, root, _late("event_id", 3), 3, lambda x: jobs.stream_votes(x, votes, counts))
+    return counts.read()
 
 
 @query("SELECT CAST(date_trunc('day', trophy_time) AS TIMESTAMP) AS day, set_code, format, archetype, count(*) AS decks, round(sum(wins) / sum(wins + losses) * 100, 6) AS win_rate FROM fx_decks GROUP BY 1, 2, 3, 4")
 def r4_stream_daily_rates(s, d):
-    root = shared(s)
-    rates = jobs.stream_daily_rates(_stream(fx.frame(s, d, "fx_decks"), root, "trophy_time"))
-    flat = rates.select(F.col("window.start").alias("day"), "set_code", "format", "archetype", "decks", "win_rate")
-    return rounded(_to_table(flat, root, ["day", "set_code", "format", "archetype"]))
+    root, key = shared(s), ["day", "set_code", "format", "archetype"]
+    decks = fx.frame(s, d, "fx_decks")
+
+    def start(stream: DataFrame) -> DataStreamWriter:
+        flat = jobs.stream_daily_rates(stream).select(F.col("window.start").alias("day"), "set_code", "format", "archetype", "decks", "win_rate")
+
+        def each(batch: DataFrame, epoch: int) -> None:
+            batch.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{root}/out/batch={epoch}")
+
+        return flat.writeStream.outputMode("update").foreachBatch(each)
+
+    _fed(decks, root, _in_time(decks, "trophy_time", 3), 3, start)
+    return rounded(tables.last_by_key(s.read.parquet(f"{root}/out").drop("batch"), key, [F.col("epoch")]).drop("epoch"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,21 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes df and reads it back: what several passes read is computed once, and plans stay small."""
     path = f"{shared(df.sparkSession)}-{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder, in whatever store it lies."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes saved tables that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, t._saved_at)
 
 
 def read_ratings(spark: SparkSession, path: str, row: str = schemas.CARD_RATING) -> DataFrame:
@@ -59,23 +73,26 @@ def read_table(spark: SparkSession, root: str, name: str, set_code: str | None =
 def upsert(current: DataFrame, incoming: DataFrame, keys: list[str], order_col: str | None = None) -> DataFrame:
     """S3: incoming rows replace stored ones of the same key; other stored rows stay.
 
-    Of several incoming rows of a key the last by order_col wins.
+    Of several incoming rows of a key the last by order_col wins; ties go to the
+    least row, so a run again gives the same.  KeyedTable writes the result in place.
     """
-    new = last_by_key(incoming, keys, [F.col(order_col)]) if order_col else incoming.dropDuplicates(keys)
+    new = last_by_key(incoming, keys, [F.col(order_col)] if order_col else [], settle=True)
     return current.join(new.select(*keys), keys, "left_anti").select(*current.columns).unionByName(new.select(*current.columns))
 
 
-def last_by_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The row of each key that comes last in the given order."""
-    w = Window.partitionBy(*keys).orderBy(*[c.desc_nulls_last() for c in order])
+def last_by_key(df: DataFrame, keys: list[str], order: list[Column], settle: bool = False) -> DataFrame:
+    """The row of each key that comes last in the given order; with ``settle`` ties go to the least row as text."""
+    ties = [F.to_json(F.struct(*df.columns))] if settle else []
+    w = Window.partitionBy(*keys).orderBy(*[c.desc_nulls_last() for c in order], *ties)
     return df.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def upsert_columns(current: DataFrame, incoming: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
-    """Only the named columns change, and only where a row of the key comes in."""
-    new = incoming.dropDuplicates(keys).select(*keys, *[F.col(c).alias(f"__{c}") for c in cols])
+def upsert_columns(current: DataFrame, incoming: DataFrame, keys: list[str], cols: list[str], set_null: bool = False) -> DataFrame:
+    """Only the named columns change, and only where a row of the key comes in; an incoming null counts only with set_null."""
+    new = last_by_key(incoming.select(*keys, *cols), keys, [], settle=True).select(*keys, *[F.col(c).alias(f"__{c}") for c in cols], F.lit(True).alias("__in"))
     joined = current.join(new, keys, "left")
-    return joined.select(*[F.coalesce(f"__{c}", c).alias(c) if c in cols else F.col(c) for c in current.columns])
+    value = lambda c: F.when(F.col("__in"), F.col(f"__{c}")).otherwise(F.col(c)) if set_null else F.coalesce(f"__{c}", c)
+    return joined.select(*[value(c).alias(c) if c in cols else F.col(c) for c in current.columns])
 
 
 def replace_partitions(df: DataFrame, path: str, by: tuple[str, ...] = ("set_code", "format")) -> None:
