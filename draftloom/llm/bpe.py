@@ -66,6 +66,7 @@ class Codec:
         self.special = [t.encode() for t in special]
         self.mask = U64((1 << max(average // 8, 2).bit_length()) - 1)
         self.cache: dict[bytes, np.ndarray] = {}
+        self.joins: dict[tuple[bytes, bytes], bool] = {}
         self.cached, self.cache_bytes = 0, cache_bytes
         self.encoded_chunks = self.reused_chunks = self.repairs = 0
 
@@ -80,6 +81,7 @@ class Codec:
             self.cached += len(b) + got.nbytes + 150
             if self.cached > self.cache_bytes:
                 self.cache.clear()
+                self.joins.clear()
                 self.cached = 0
             self.cache[b] = got
         else:
@@ -171,13 +173,11 @@ class Codec:
         left = [_tail(p, 1) for p in parts[:-1]]
         right = [_head(p, 1) for p in parts[1:]]
         for a, b in zip(left, right):
-            pair = self.cache.get(a + b"\x00" + b)
-            if pair is None:
-                same = np.array_equal(self._encode(a + b), np.concatenate([self._encode(a), self._encode(b)]))
-                pair = np.array([same])
-                self.cached += len(a) + len(b) + 150
-                self.cache[a + b"\x00" + b] = pair
-            if not pair[0]:
+            same = self.joins.get((a, b))
+            if same is None:
+                same = self.joins[a, b] = np.array_equal(self._encode(a + b), np.concatenate([self._encode(a), self._encode(b)]))
+                self.cached += len(a) + len(b) + 250
+            if not same:
                 return self.repaired(pieces, parts)
         return np.concatenate(pieces)
 
