@@ -3,13 +3,14 @@
 A seed is a hash of the words at the positions a fixed mask keeps; the ignored
 positions may hold any word, so a passage with substituted words still shares
 seeds with its source.  Seeds of the corpus and of the benchmark are joined,
-hits are collected by (text, item, offset), and on each offset the two word
+hits are collected by (text, item, offset, block of the item), and there the two word
 sequences are compared around the hit: a text is contaminated if some run of
 ``window`` aligned words (or the whole item, if shorter) agrees in at least
 ``share`` of them.  The masks for a window leave no gap: however the words that
 may differ lie, one of the masks keeps none of them, so every such run is found.
 
-Texts are told apart by their hash, so exact copies are seeded and compared once.
+Texts are told apart by their hash: exact copies have their hits in common, and what
+is found in one is found in all.
 """
 
 from __future__ import annotations
@@ -96,41 +97,37 @@ def word_hashes(text: Column) -> Column:
     return F.transform(word_list(text), lambda w: F.xxhash64(w))
 
 
-def _window_at(offset: Column, item: str = "ih", doc: str = "h") -> tuple[Column, Column, Column]:
-    """(first aligned word of the item, the item's aligned words, the text's) of an alignment; texts cut at their edges."""
-    start = F.greatest(F.lit(0), -offset)
-    length = F.greatest(F.least(F.size(item), F.size(doc) - offset) - start, F.lit(0))
-    return start, F.slice(item, start + 1, length), F.slice(doc, start + offset + 1, length)
+def _blocks(items: DataFrame, window: int) -> DataFrame:
+    """(item_id, w, block, lo, own): each item's words in blocks of window, with the words of a window less one on both sides; lo is own's first place."""
+    last = F.floor((F.size("h") - 1) / window)
+    rows = items.select("item_id", F.least(F.lit(window), F.size("h")).alias("w"), "h", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
+    lo = F.greatest(F.lit(0), F.col("block") * window - (window - 1)).cast("int")
+    return rows.select("item_id", "w", "block", lo.alias("lo"), F.slice("h", lo + 1, F.least(F.size("h").cast("long"), (F.col("block") + 2) * window - 1).cast("int") - lo).alias("own"))
 
 
-def _alignments(rows: DataFrame, items: DataFrame, seeds: DataFrame, masks: tuple[str, ...], broadcast_rows: int) -> DataFrame:
-    """(__k1, __k2, item_id, offset, own, other): the aligned words of every text and item that share a seed, once per offset.
+def _hits(rows: DataFrame, seeds: DataFrame, masks: tuple[str, ...], window: int, broadcast_bytes: int) -> DataFrame:
+    """(__k1, __k2, item_id, offset, block): where a text and an item share a seed, once for each offset and block of the item.
 
-    A benchmark of few seeds is broadcast, and the words around a hit are cut out
-    right there.  For a larger one the seeds are joined by shuffle, without the
-    words; then each text, once, meets the list of its hits and is cut.
+    The seeds of a benchmark (some 40 bytes each, without its words) are broadcast
+    if they take at most broadcast_bytes, else joined by shuffle.
     """
-    key = ["__k1", "__k2"]
-    own = items.select("item_id", F.col("h").alias("ih"))
-    cut = lambda df: df.select(*key, "item_id", "offset", *[c.alias(n) for c, n in zip(_window_at(F.col("offset"))[1:], ("own", "other"))])
-    found = _seeds(rows, masks, *key, "h")
-    if seeds.count() <= broadcast_rows:
-        hits = found.join(F.broadcast(seeds.join(own, "item_id")), ["mask", "seed"]).withColumn("offset", F.col("pos") - F.col("item_pos"))
-        return cut(hits).groupBy(*key, "item_id", "offset").agg(F.first("own").alias("own"), F.first("other").alias("other"))
-    hits = found.drop("h").join(seeds, ["mask", "seed"]).select(*key, "item_id", (F.col("pos") - F.col("item_pos")).alias("offset")).distinct()
-    listed = hits.groupBy(*key).agg(F.collect_list(F.struct("item_id", "offset")).alias("l"))
-    texts = rows.join(listed, key).groupBy(*key).agg(F.first("h").alias("h"), F.first("l").alias("l"))
-    return cut(texts.select(*key, "h", F.inline("l")).join(own, "item_id"))
+    found = _seeds(rows, masks, "__k1", "__k2")
+    small = seeds.count() * 40 <= broadcast_bytes
+    hits = found.join(F.broadcast(seeds) if small else seeds, ["mask", "seed"])
+    return hits.select("__k1", "__k2", "item_id", (F.col("pos") - F.col("item_pos")).alias("offset"), F.floor(F.col("item_pos") / window).alias("block")).distinct()
 
 
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    window: int = 13, share: float = 0.75, broadcast_rows: int = 100_000,
+    window: int = 13, share: float = 0.75, broadcast_bytes: int = 8 << 20,
 ) -> DataFrame:
     """(__k1, __k2, item_id, offset, agree): texts of docs, by hash, and the items they hold.
 
     agree is the largest share of equal words over the windows of the alignment.
-    The benchmark's seeds are broadcast only if they are at most broadcast_rows.
+    Any window that counts has a seed in it, so around a hit the words of a block of
+    the item are compared, at most three windows, however long text and item are.
+    Seeds, hits and the items' blocks are each broadcast if they take at most
+    broadcast_bytes, beyond that joined by shuffle.
     """
     items = scratch.table(benchmark.select(F.col(item_col).cast("long").alias("item_id"), word_hashes(F.coalesce(F.col(item_text).cast("string"), F.lit(""))).alias("h")).where("size(h) > 0"), "dc-items")
     width = F.least(F.size("h"), F.lit(window))
@@ -138,14 +135,30 @@ def contaminated(
     masks = tuple(served)
     item_seeds = _seeds(items.withColumn("n", width), masks, "item_id", "n")
     ok = reduce(lambda a, b: a | b, [(F.col("mask") == i) & F.col("n").isin(served[m]) for i, m in enumerate(masks)])
-    item_seeds = scratch.table(item_seeds.where(ok).select("mask", "seed", "item_id", F.col("pos").alias("item_pos")).distinct(), "dc-seeds")
-
-    rows = _texts(docs, text_col).select("__k1", "__k2", word_hashes(F.col("__t")).alias("h"))
-    pairs = _alignments(rows, items, item_seeds, masks, broadcast_rows).join(items.select("item_id", F.least(F.lit(window), F.size("h")).alias("w")), "item_id")
+    seeds = scratch.table(item_seeds.where(ok).select("mask", "seed", "item_id", F.col("pos").alias("item_pos")).distinct(), "dc-seeds")
+
+    texts = _texts(docs, text_col).select("__k1", "__k2", "__t")
+    hits = scratch.table(_hits(texts.select("__k1", "__k2", word_hashes(F.col("__t")).alias("h")), seeds, masks, window, broadcast_bytes), "dc-hits")
+    # (item, offset, block) of each text with any; only these texts' words are hashed again
+    listed = hits.groupBy("__k1", "__k2").agg(F.collect_list(F.struct("item_id", "offset", "block")).alias("l"))
+    rows = texts.join(F.broadcast(listed) if hits.count() * 40 <= broadcast_bytes else listed, ["__k1", "__k2"])
+    rows = rows.select("__k1", "__k2", "l", word_hashes(F.col("__t")).alias("h")).select("__k1", "__k2", "h", F.inline("l"))
+    first = (F.col("block") * window - (window - 1) + F.col("offset")).cast("int")
+    start = F.greatest(F.lit(0), first)
+    length = F.greatest(F.least(F.size("h"), first + 3 * window - 2) - start, F.lit(0))
+    cut = rows.select("__k1", "__k2", "item_id", "offset", "block", (start - F.col("offset")).alias("at"), F.slice("h", start + 1, length).alias("other")).where("size(other) > 0")
+    blocks = scratch.table(_blocks(items, window), "dc-blocks")
+    pairs = cut.join(F.broadcast(blocks) if blocks.count() * (24 * window + 60) <= broadcast_bytes else blocks, ["item_id", "block"])
+    # what both have of the aligned words
+    lo, hi = F.greatest("lo", "at"), F.least(F.col("lo") + F.size("own"), F.col("at") + F.size("other"))
+    both = F.zip_with(F.slice("own", lo - F.col("lo") + 1, hi - lo), F.slice("other", lo - F.col("at") + 1, hi - lo), lambda a, b: (a == b).cast("int"))
     # a passage cut off by the text's edge must still fill the window
-    enough = pairs.withColumn("same", F.zip_with("own", "other", lambda a, b: (a == b).cast("int"))).where(F.size("same") >= F.col("w"))
+    enough = pairs.where(hi - lo >= F.col("w")).withColumn("same", both)
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.size("same") - F.col("w") + 1), lambda i: F.aggregate(F.slice("same", i, F.col("w")), F.lit(0), lambda s, x: s + x))) / F.col("w")
-    return enough.withColumn("agree", best).where(F.col("agree") >= share).select("__k1", "__k2", "item_id", "offset", "agree")
+    found = enough.withColumn("agree", best).where(F.col("agree") >= share).groupBy("__k1", "__k2", "item_id", "offset").agg(F.max("agree").alias("agree"))
+    found = scratch.table(found, "dc-found")
+    scratch.drop(items, seeds, hits, blocks)
+    return found
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_texts: int = 500_000, **options) -> DataFrame:
@@ -158,7 +171,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     findings, beyond that joined by shuffle.
     """
     found = contaminated(docs, benchmark, text_col=text_col, **options).groupBy("__k1", "__k2", "item_id").agg(F.max("agree").alias("agree"))
-    found = scratch.table(found, "dc-found")
     found = F.broadcast(found) if found.count() <= broadcast_texts else found
     ids = _texts(docs, text_col).select(F.col(id_col).cast("long").alias("doc_id"), "__k1", "__k2")
     return ids.join(found, ["__k1", "__k2"]).groupBy("doc_id", "item_id").agg(F.max("agree").alias("agree"))
@@ -173,7 +185,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", broadca
     The hashes of contaminated texts are broadcast up to broadcast_texts of them, so
     that texts are not shuffled; beyond that they are joined by shuffle.
     """
-    found = scratch.table(contaminated(docs, benchmark, text_col=text_col, **options).select("__k1", "__k2").distinct(), "dc-found")
+    found = contaminated(docs, benchmark, text_col=text_col, **options).select("__k1", "__k2").distinct()
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     found = F.broadcast(found) if found.count() <= broadcast_texts else found
     return docs.join(found, (F.xxhash64(text) == found["__k1"]) & (F.xxhash64(F.lit(2), text) == found["__k2"]), "left_anti")

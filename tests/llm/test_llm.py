@@ -289,10 +289,25 @@ def test_a_long_text_of_many_hits_and_a_large_benchmark(spark):
     docs = spark.createDataFrame([(1, " ".join((item + ["x"]) * 400)), (2, " ".join(item[:9] + ["y"] * 3000 + item))], "doc_id long, text string")
     bench = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(item[2:] + ["q"]))], "item_id long, text string")
     for limit in (100_000, 0):
-        got = sorted((x.doc_id, x.item_id, x.agree) for x in decontaminate.leaks(docs, bench, broadcast_rows=limit, broadcast_texts=limit).collect())
+        got = sorted((x.doc_id, x.item_id, x.agree) for x in decontaminate.leaks(docs, bench, broadcast_bytes=limit, broadcast_texts=limit).collect())
         assert got == [(1, 7, 1.0), (1, 8, 1.0), (2, 7, 1.0), (2, 8, 1.0)]
 
 
+@pytest.mark.parametrize("limit", [8 << 20, 0])
+def test_a_benchmark_item_of_many_words(spark, limit):
+    """Whole, in part, with a word in twelve replaced; what is compared at a hit stays small however long the item is."""
+    item = [f"w{i * i % 9973}a{i}" for i in range(20_000)]
+    worn = [w if i % 12 else "other" for i, w in enumerate(item[7_000:7_200])]
+    docs = {1: item, 2: ["x"] * 50 + item[12_345:12_358] + ["y"] * 50, 3: worn, 4: item[19_990:] + ["z"] * 40, 5: [w if i % 3 else "z" for i, w in enumerate(item[:300])]}
+    df = spark.createDataFrame([(i, " ".join(d)) for i, d in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {x.doc_id: x.agree for x in decontaminate.leaks(df, bench, broadcast_bytes=limit).collect()}
+    assert got == {1: 1.0, 2: 1.0, 3: 12 / 13}
+    items = spark.createDataFrame([(7, list(range(n))) for n in (1, 13, 14, 20_000)], "item_id long, h array<long>")
+    blocks = decontaminate._blocks(items, 13).collect()
+    assert max(len(b.own) for b in blocks) == 3 * 13 - 2 and all(b.own == list(range(b.lo, b.lo + len(b.own))) for b in blocks)
+
+
 def brute_agreement(item, doc, window=13):
     """The best share of equal words over all windows of all alignments."""
     w = min(window, len(item))
@@ -683,6 +698,28 @@ def test_joins_are_repaired():
     assert np.array_equal(c.repaired([c._encode(p) for p in parts], parts), whole) and c.repairs > 0
 
 
+def test_texts_with_control_characters_match_the_library(spark):
+    """A text must not be taken for anything else that a task has kept, whatever characters it holds."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(bpe.default_path())
+    r = random.Random(6)
+    words = [" foo", " bar", " it's", " 12", " \x00", "\x00", "\x01b", "\x1f", "\u2028", " \x7f", "\n\n", "\t x"]
+    c = bpe.Codec(bpe.default_path())
+    pieces = [w.encode() for w in words]
+    for _ in range(300):  # every join of two words is met, then texts that spell it out
+        parts = [b"".join(r.choices(pieces, k=3)) for _ in range(3)]
+        c._joined([c.chunk(p) for p in parts], parts)
+    rows = [" foo\x00 bar", *(a + "\x00" + b for a in words for b in words), *("".join(r.choices(words, k=r.randint(1, 400))) for _ in range(60))]
+    got = c.encode_rows(*tv.buffers(__import__("pyarrow").array(rows)))
+    assert [x.tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in rows]
+    for n in (1, 5):
+        df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(n)
+        for x in bpe.round_trip(df).collect():
+            ids = t.encode(rows[x.doc_id], add_special_tokens=False).ids
+            assert (x.n_tokens, x.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+
+
 # ---- 9: substring dedup ----
 
 def brute_removed(rows, width):
