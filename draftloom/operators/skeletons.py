@@ -7,12 +7,11 @@ meta: set_code, format, card_name, card_cmc, card_cost, card_type, rarity, gih_w
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..sources.tables import saved
+from ..sources.tables import dropped, saved
 from .snapshots import top_n
 from .synergy import card_partners
 
@@ -41,7 +40,7 @@ def cluster_decks(
     then each round assigns decks to the nearer centroid and takes as centroid the
     cards of at least half of a cluster's decks.  Centroids are small (two card
     sets a group); the decks are never collected by group.  Each round's tables are
-    written, which cuts the lineage.
+    written, which cuts the lineage, and removed once the next one is.
     """
     by_ = list(by)
     base = saved(_sets(decks).select(*by_, "aggregate_id", "cards"), "cluster-base")
@@ -53,15 +52,19 @@ def cluster_decks(
     far = a.join(b, by_).where("ia < ib").withColumn("d", 1 - jaccard("ca", "cb"))
     seeds = top_n(far, by_, [F.desc("d"), "ia", "ib"], 1)
     centroids = saved(seeds.select(*by_, F.col("ca").alias("c0"), F.col("cb").alias("c1")), "cluster-seeds")
+    dropped(pick)
+    past = []
     for k in range(rounds):
         near = big.join(centroids, by_).withColumn("cluster", F.when(jaccard("cards", "c1") > jaccard("cards", "c0"), 1).otherwise(0))
         near = saved(near.select(*by_, "aggregate_id", "cards", "cluster"), f"cluster-{k}")
+        dropped(*past)
         n = near.groupBy(*by_, "cluster").agg(F.count("*").alias("n"))
         half = near.select(*by_, "cluster", F.explode("cards").alias("card")).groupBy(*by_, "cluster", "card").agg(F.count("*").alias("m")).join(n, [*by_, "cluster"]).where(F.col("m") * 2 >= F.col("n"))
         new = half.groupBy(*by_).agg(F.sort_array(F.collect_list(F.when(F.col("cluster") == 0, F.col("card")))).alias("n0"), F.sort_array(F.collect_list(F.when(F.col("cluster") == 1, F.col("card")))).alias("n1"))
         seen = n.groupBy(*by_).agg(F.max(F.col("cluster") == 0).alias("s0"), F.max(F.col("cluster") == 1).alias("s1"))
         empty = F.array().cast("array<string>")
         step = centroids.join(new, by_, "left").join(seen, by_, "left")
+        past = [near, centroids] if k + 1 < rounds else [centroids]
         centroids = saved(step.select(*by_, F.when(F.col("s0"), F.coalesce("n0", empty)).otherwise(F.col("c0")).alias("c0"), F.when(F.col("s1"), F.coalesce("n1", empty)).otherwise(F.col("c1")).alias("c1")), f"cluster-centroids-{k}")
     lists = top_n(near.select(*by_, "cluster", F.explode("cards").alias("card")).groupBy(*by_, "cluster", "card").agg(F.count("*").alias("m")), [*by_, "cluster"], [F.desc("m"), "card"], top)
     common = lists.groupBy(*by_, "card").agg(F.count("*").alias("k")).groupBy(*by_).agg(F.count(F.when(F.col("k") == 2, 1)).alias("common"))
@@ -69,7 +72,10 @@ def cluster_decks(
     small = F.least("n0", "n1")
     ok = split.where((small >= min_cluster) & (small / (F.col("n0") + F.col("n1")) >= min_share) & (F.col("common") <= max_common)).select(*by_, F.when(F.col("n0") >= F.col("n1"), 1).otherwise(0).alias("alt"))
     marked = near.select(*by_, "aggregate_id", "cluster").join(ok, by_).where("cluster = alt").select(*by_, "aggregate_id", F.lit(True).alias("alt"))
-    return base.select(*by_, "aggregate_id").join(marked, [*by_, "aggregate_id"], "left").select(*by_, "aggregate_id", F.coalesce("alt", F.lit(False)).alias("is_alternative"))
+    out = base.select(*by_, "aggregate_id").join(marked, [*by_, "aggregate_id"], "left").select(*by_, "aggregate_id", F.coalesce("alt", F.lit(False)).alias("is_alternative"))
+    out = saved(out, "cluster-marks")
+    dropped(base, near, centroids, *past)
+    return out
 
 
 def _lines(decks: DataFrame, meta: DataFrame) -> DataFrame:
@@ -177,68 +183,88 @@ def dictionary_coverage(decks: DataFrame, meta: DataFrame) -> DataFrame:
     return cards.join(known, ["set_code", "format", "card_name"], "left").groupBy("set_code", "format", "archetype").agg(F.count("*").alias("cards"), F.count("known").alias("found"))
 
 
-def greedy_deck(cards: list[dict], avg_lands: float, avg_creatures: float, curve: dict[str, float], size: int = 40) -> list[dict]:
-    """M3 for one group: candidates in score order -> the deck list in append order."""
-    lands_goal = round(avg_lands)
-    deck = [{**c, "cmc": 0.0, "cost": ""} for c in cards if "Land" in c["type"] and "Basic" not in c["type"] and c["freq"] > 0.2][:max(lands_goal, 0)]
-    lands = len(deck)
-    spells = size - lands_goal
-    creatures = round(spells * avg_creatures / max(1, size - avg_lands))
-    quota = {True: creatures, False: spells - creatures}
-    taken = {True: 0, False: 0}
-    filled = [0] * 8
-    pairs, added, pips = 0, 0, dict.fromkeys(C.WUBRG, 0)
-    for c in cards:
-        if added >= spells:
-            break
-        if "Land" in c["type"]:
-            continue
-        kind = "Creature" in c["type"]
-        if taken[kind] >= quota[kind] + 1:
-            continue
-        want = 2 if c["common"] and pairs < 2 and c["freq"] > 1.0 else 1
-        qty = min(want, spells - added, quota[kind] + 1 - taken[kind])
-        slot = min(int(c["cmc"] or 0), 7)
-        if qty <= 0 or filled[slot] >= round(curve.get(str(slot), 0.0)) + 2:
-            continue
-        deck += [{**c, "cmc": float(slot)}] * qty
-        added, taken[kind], filled[slot] = added + qty, taken[kind] + qty, filled[slot] + qty
-        pairs += qty == 2
-        for x in C.WUBRG:
-            pips[x] += (c["cost"] or "").count("{%s}" % x) * qty
-    need = lands_goal - lands
-    if need > 0:
-        if not sum(pips.values()):
-            pips = dict.fromkeys(C.WUBRG, 1)
-        total = sum(pips.values())
-        basics = [x for x in C.WUBRG for _ in range(round(pips[x] / total * need))]
-        most = max(C.WUBRG, key=lambda x: pips[x])
-        basics = (basics + [most] * max(0, need - len(basics)))[:need]
-        names = dict(zip(C.WUBRG, C.BASIC_LANDS))
-        deck += [{"name": names[x], "cmc": 0.0, "type": "Basic Land", "cost": "", "rarity": "common"} for x in basics]
-    return deck
-
-
-_DECK = "set_code string, format string, archetype string, is_alternative boolean, deck_list array<struct<name:string,cmc:double,type:string,cost:string,rarity:string>>"
-
-
-def build_skeleton(candidates: DataFrame, profile: DataFrame, meta: DataFrame) -> DataFrame:
-    """M3: one deck list per group.  The order-dependent choice runs in pandas, on a few hundred candidates a group."""
+_CARD = "struct<name:string,cmc:double,type:string,cost:string,rarity:string>"
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value) with value computed once: inside a fold, where there is no other name for it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _spells(cards: Column, spells: Column, creatures: Column, curve: Column) -> Column:
+    """The spells of a deck as a fold over its candidates in score order.
+
+    A kind may go one over its quota, a mana value two over the curve; up to two
+    commons of more than one copy a deck go in twice.
+    """
+    zero = F.struct(
+        F.array().cast(f"array<{_CARD}>").alias("deck"), F.lit(0).alias("added"), F.lit(0).alias("creatures"), F.lit(0).alias("others"), F.lit(0).alias("pairs"),
+        F.array_repeat(F.lit(0), 8).alias("filled"))
+
+    def step(s: Column, c: Column) -> Column:
+        kind, slot = C.is_creature(c["type"]), F.least(F.coalesce(c["cmc"], F.lit(0.0)).cast("int"), F.lit(7))
+        room = F.when(kind, creatures + 1 - s["creatures"]).otherwise(spells - creatures + 1 - s["others"])
+        want = F.when((c["rarity"] == "common") & (s["pairs"] < 2) & (c["freq"] > 1.0), 2).otherwise(1)
+        open_slot = F.get(s["filled"], slot) < F.bround(F.get(curve, slot)).cast("int") + 2
+        n = F.when(open_slot, F.greatest(F.least(want, spells - s["added"], room), F.lit(0))).otherwise(0)
+        card = F.struct(c["card_name"].alias("name"), slot.cast("double").alias("cmc"), c["type"].alias("type"), c["cost"].alias("cost"), c["rarity"].alias("rarity"))
+
+        def taken(n: Column) -> Column:
+            return F.struct(
+                F.concat(s["deck"], F.array_repeat(card, n)).alias("deck"), (s["added"] + n).alias("added"), (s["creatures"] + F.when(kind, n).otherwise(0)).alias("creatures"),
+                (s["others"] + F.when(kind, 0).otherwise(n)).alias("others"), (s["pairs"] + (n == 2).cast("int")).alias("pairs"),
+                F.transform(s["filled"], lambda x, i: x + F.when(i == slot, n).otherwise(0)).alias("filled"))
+
+        return _bound(n, taken)
+
+    return F.aggregate(F.filter(cards, lambda c: ~C.is_land(c["type"])), zero, step, lambda s: s["deck"])
+
+
+def _basics(spells: Column, need: Column) -> Column:
+    """``need`` basic lands in proportion to the mana symbols of the spells, one of each colour's if there are none."""
+
+    def pips(x: str) -> Column:
+        sign = F.lit("{%s}" % x)
+        return F.aggregate(spells, F.lit(0), lambda n, c: n + ((F.length(c["cost"]) - F.length(F.replace(c["cost"], sign, F.lit("")))) / 3).cast("int"))
+
+    def lands(own: Column) -> Column:
+        total = F.aggregate(own, F.lit(0), lambda a, n: a + n)
+        share = F.when(total == 0, F.array_repeat(F.lit(1), 5)).otherwise(own)
+
+        def dealt(share: Column) -> Column:
+            sum_ = F.aggregate(share, F.lit(0), lambda a, n: a + n)
+            names = F.array(*[F.lit(n) for n in C.BASIC_LANDS])
+            even = F.flatten(F.zip_with(names, share, lambda name, n: F.array_repeat(name, F.bround(n / sum_ * need).cast("int"))))
+            most = F.get(names, (F.array_position(share, F.array_max(share)) - 1).cast("int"))
+            return F.slice(F.concat(even, F.array_repeat(most, need)), F.lit(1), need)
+
+        return _bound(share, dealt)
+
+    card = lambda name: F.struct(name.alias("name"), F.lit(0.0).alias("cmc"), F.lit("Basic Land").alias("type"), F.lit("").alias("cost"), F.lit("common").alias("rarity"))
+    return F.when(need > 0, F.transform(_bound(F.array(*map(pips, C.WUBRG)), lands), card)).otherwise(F.array().cast(f"array<{_CARD}>"))
+
+
+def build_skeleton(candidates: DataFrame, profile: DataFrame, meta: DataFrame, size: int = 40) -> DataFrame:
+    """M3: one deck list per group of the profile: non-basic lands, spells by score, basic lands.
+
+    The order-dependent choice is a fold over a group's few hundred candidates.
+    """
     info = meta.select("set_code", "format", "card_name", "card_cmc", "card_cost", "card_type", "rarity")
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    card = F.struct((-F.col("score")).alias("order"), "card_name", F.col("card_cmc").alias("cmc"), text("card_type").alias("type"), text("card_cost").alias("cost"), text("rarity").alias("rarity"), "freq")
+    listed = candidates.join(info, ["set_code", "format", "card_name"]).groupBy(*GROUP).agg(F.array_sort(F.collect_list(card)).alias("cards"))
     curve = F.array(*[F.coalesce(F.try_element_at("avg_mana_curve", F.lit(str(i))), F.lit(0.0)) for i in range(8)])
-    rows = candidates.join(info, ["set_code", "format", "card_name"]).join(profile.select(*GROUP, "avg_lands", "avg_creatures", curve.alias("curve")), GROUP)
-
-    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["score", "card_name"], ascending=[False, True])
-        cards = [
-            {"name": r.card_name, "cmc": float(r.card_cmc or 0), "type": r.card_type or "", "cost": r.card_cost or "", "rarity": r.rarity or "", "freq": r.freq, "common": r.rarity == "common"}
-            for r in df.itertuples()
-        ]
-        first = df.iloc[0]
-        deck = greedy_deck(cards, first.avg_lands, first.avg_creatures, {str(i): v for i, v in enumerate(first.curve)})
-        return pd.DataFrame([[*key, [{k: c[k] for k in ("name", "cmc", "type", "cost", "rarity")} for c in deck]]], columns=[*GROUP, "deck_list"])
-
-    return rows.groupBy(*GROUP).applyInPandas(run, _DECK)
+    rows = profile.select(*GROUP, "avg_lands", "avg_creatures", curve.alias("curve")).join(listed, GROUP, "left")
+    goal = F.bround("avg_lands").cast("int")
+    spells = F.lit(size) - goal
+    creatures = F.bround(spells * F.col("avg_creatures") / F.greatest(F.lit(1.0), F.lit(size) - F.col("avg_lands"))).cast("int")
+    rows = rows.select(*GROUP, "cards", "curve", goal.alias("goal"), spells.alias("spells"), creatures.alias("creatures"))
+    good = F.filter("cards", lambda c: C.is_land(c["type"]) & ~C.is_basic(c["type"]) & (c["freq"] > 0.2))
+    land = lambda c: F.struct(c["card_name"].alias("name"), F.lit(0.0).alias("cmc"), c["type"].alias("type"), F.lit("").alias("cost"), c["rarity"].alias("rarity"))
+    none = F.array().cast(f"array<{_CARD}>")
+    lands = F.coalesce(F.transform(F.slice(good, F.lit(1), F.greatest("goal", F.lit(0))), land), none)
+    rows = rows.select(*GROUP, "goal", lands.alias("lands"), F.coalesce(_spells(F.col("cards"), F.col("spells"), F.col("creatures"), F.col("curve")), none).alias("chosen"))
+    return rows.select(*GROUP, F.concat("lands", "chosen", _basics(F.col("chosen"), F.col("goal") - F.size("lands"))).alias("deck_list"))
 
 
 def select_skeletons(skeletons: DataFrame, mode: int | None = None) -> DataFrame:

@@ -122,7 +122,8 @@ def with_ctes(query: str) -> str:
     body = query.strip()
     if not parts:
         return body
-    return "WITH " + ",\n".join(parts) + ("," + body[4:] if body[:5].upper() == "WITH " else "\n" + body)
+    rest = re.match(r"(?i)WITH\s+(RECURSIVE\s+)?", body)
+    return f"WITH {'RECURSIVE ' if rest and rest[1] else ''}" + ",\n".join(parts) + (", " + body[rest.end() :] if rest else "\n" + body)
 
 
 def decks_with_cards(spark: SparkSession, sf_dir: str) -> DataFrame:

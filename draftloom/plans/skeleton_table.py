@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import skeletons as S
-from ..sources.tables import saved
+from ..sources.keyed import KeyedTable
+from ..sources.tables import dropped, saved
+
+KEY = ["set_code", "format", "archetype_name", "is_alternative"]
 
 
 def skeletons(decks: DataFrame, meta: DataFrame, synergy: DataFrame, as_of: Column, bounds: tuple[int, int] = (7, 14), days: int = 7, **cluster) -> DataFrame:
@@ -31,4 +34,22 @@ def skeletons(decks: DataFrame, meta: DataFrame, synergy: DataFrame, as_of: Colu
         out = out.join(gathered(df, name), S.GROUP, "left")
     out = out.join(S.openness(freq, meta).select(*S.GROUP, "openness_score"), S.GROUP, "left")
     ratio = F.round(F.col("avg_creatures") / F.nullif(F.lit(40) - F.col("avg_lands"), F.lit(0.0)), 3)
-    return out.withColumn("creature_ratio", ratio).withColumn("avg_lands", F.round("avg_lands", 1)).drop("full_decks", "avg_creatures").withColumnRenamed("archetype", "archetype_name")
+    out = out.withColumn("creature_ratio", ratio).withColumn("avg_lands", F.round("avg_lands", 1)).drop("full_decks", "avg_creatures").withColumnRenamed("archetype", "archetype_name")
+    out = saved(out, "skeletons")
+    dropped(marks, rows, freq, scores)
+    return out
+
+
+def store_skeletons(rows: DataFrame, path: str, prune: bool = False) -> KeyedTable:
+    """M4: a run's skeletons in the keyed table at path; those that it did not give stay.
+
+    With prune a set and format that the run gives any skeleton of holds only these
+    afterwards, so variants that are no longer found go.
+    """
+    table = KeyedTable(rows.sparkSession, path, KEY, rows.schema)
+    table.upsert(rows)
+    if prune:
+        stored = table.read(columns=KEY).join(rows.select("set_code", "format").distinct(), ["set_code", "format"], "left_semi")
+        stale = stored.join(rows.select(*KEY), KEY, "left_anti")
+        table.delete(stale.select(*KEY))
+    return table

@@ -919,29 +919,100 @@ def m2_cluster_decks(s, d):
 
 
 def _skeletons(s: SparkSession, d: str) -> DataFrame:
-    decks = _deck_table(s, d)
+    decks, meta = _deck_table(s, d), saved(fx.meta(s, d), "meta")
     scores = saved(synergy.synergy_scores(decks, min_lift=1.0), "synergy")
-    return skeleton_table.skeletons(decks, saved(fx.meta(s, d), "meta"), scores, as_of(), BOUNDS, DAYS)
+    out = skeleton_table.skeletons(decks, meta, scores, as_of(), BOUNDS, DAYS)
+    tables.dropped(decks, meta, scores)
+    return out
 
 
-@query()
+_G = "set_code, format, archetype, is_alternative"
+
+
+def _list(rows: str, name: str, cols: str) -> str:
+    """The ranked rows of each group as a list of structs."""
+    return f"{name} AS (SELECT {_G}, list({{'rank': rank, 'name': card_name, {', '.join(f'{chr(39)}{c}{chr(39)}: {c}' for c in cols.split())}}} ORDER BY rank) AS {name}_list FROM {rows} GROUP BY ALL)"
+
+
+def _skeleton_sql() -> str:
+    """M4's rows: the clusters' marks, profiles and frequencies by variant, the deck as a recursion over its candidates."""
+    curve = ", ".join(f"round(coalesce(sum(weight * c{i}), 0) / max(w), 1)" for i in range(8))
+    slots = ", ".join(f"coalesce(sum(qty) FILTER (NOT contains(card_type, 'Land') AND least(CAST(card_cmc AS INT), 7) = {i}), 0) AS c{i}" for i in range(8))
+    pips = ", ".join(f"coalesce(sum(n * (length(cost) - length(replace(cost, '{{{x}}}', ''))) / 3), 0)" for x in "WUBRG")
+    lands = "[" + ", ".join(f"'{x}'" for x in C.BASIC_LANDS) + "]"
+    card = "{'name': card_name, 'cmc': CAST(least(CAST(cmc AS INT), 7) AS DOUBLE), 'type': kind, 'cost': cost, 'rarity': rarity}"
+    return f"""WITH RECURSIVE {_META.replace("l.card_type,", "l.card_type, l.card_cost, l.rarity,")}, {_PARTNERS}, clu AS ({_clusters_sql()}),
+    enough AS (SELECT set_code, format, archetype FROM fx_decks GROUP BY ALL HAVING count(*) >= 3),
+    dk AS (SELECT d.*, is_alternative, {WEIGHT} AS weight, trophy_time >= TIMESTAMP '{AS_OF}' - INTERVAL {DAYS} DAY AS rc FROM fx_decks d JOIN enough USING (set_code, format, archetype) JOIN (SELECT aggregate_id, is_alternative FROM clu) USING (aggregate_id)),
+    it AS (SELECT i.aggregate_id, i.card_name, i.qty, dk.set_code, dk.format, dk.archetype, dk.is_alternative, dk.weight, dk.rc FROM fx_items i JOIN dk USING (aggregate_id)),
+    fd AS (SELECT * FROM dk JOIN (SELECT aggregate_id FROM fx_items GROUP BY 1 HAVING sum(qty) >= 35) USING (aggregate_id)),
+    pd AS (SELECT it.aggregate_id, {', '.join('it.' + x for x in _G.split(', '))}, it.weight, coalesce(sum(qty) FILTER (contains(card_type, 'Land')), 0) AS lands, coalesce(sum(qty) FILTER (NOT contains(card_type, 'Land') AND contains(card_type, 'Creature')), 0) AS creatures, {slots}
+        FROM it JOIN fd USING (aggregate_id) JOIN meta m ON m.set_code = it.set_code AND m.format = it.format AND m.card_name = it.card_name GROUP BY ALL),
+    tf AS (SELECT {_G}, sum(weight) AS w FROM fd GROUP BY ALL),
+    prof AS (SELECT {_G}, coalesce(sum(weight * lands), 0) / max(w) AS avg_lands, coalesce(sum(weight * creatures), 0) / max(w) AS avg_creatures, [{curve}] AS curve FROM tf LEFT JOIN pd USING ({_G}) GROUP BY {_G}),
+    goals AS (SELECT *, CAST(round_even(avg_lands, 0) AS INT) AS goal, 40 - CAST(round_even(avg_lands, 0) AS INT) AS spells, CAST(round_even((40 - CAST(round_even(avg_lands, 0) AS INT)) * avg_creatures / greatest(1.0, 40 - avg_lands), 0) AS INT) AS want FROM prof),
+    tw AS (SELECT {_G}, sum(weight) AS w, count(*) AS sample_size FROM dk GROUP BY ALL),
+    fr AS (SELECT {_G}, card_name, weight_sum, weight_sum / w AS freq FROM (SELECT {_G}, card_name, sum(weight * qty) AS weight_sum FROM it JOIN meta USING (set_code, format, card_name) GROUP BY ALL) JOIN tw USING ({_G})),
+    pil AS (SELECT {_G}, card_name AS pillar FROM (SELECT *, row_number() OVER (PARTITION BY {_G} ORDER BY freq DESC, card_name) AS r FROM fr) WHERE r <= 15),
+    ps AS (SELECT {_G}, partner AS card_name, avg(synergy_score) AS syn FROM pil JOIN (SELECT set_code, format, card_name AS pillar, partner, synergy_score FROM both_ways WHERE synergy_score > 0) b USING (set_code, format, pillar) GROUP BY ALL),
+    sc AS (SELECT *, round(0.8 * freq + 0.2 * least(syn / 10, 1), 12) AS score FROM (SELECT {_G}, card_name, weight_sum, freq, coalesce(syn, 0) AS syn FROM fr LEFT JOIN ps USING ({_G}, card_name))),
+    cand AS (SELECT {', '.join('sc.' + x for x in _G.split(', '))}, sc.card_name, freq, weight_sum, syn, coalesce(m.card_cmc, 0) AS cmc, coalesce(m.card_type, '') AS kind, coalesce(m.card_cost, '') AS cost, coalesce(m.rarity, '') AS rarity, gih_wr, alsa,
+        row_number() OVER (PARTITION BY {', '.join('sc.' + x for x in _G.split(', '))} ORDER BY score DESC, sc.card_name) AS place FROM sc JOIN meta m USING (set_code, format, card_name)),
+    spell AS (SELECT *, row_number() OVER (PARTITION BY {_G} ORDER BY place) AS r FROM cand WHERE NOT contains(kind, 'Land')),
+    walk AS (SELECT {_G}, 0 AS r, 0 AS added, 0 AS cs, 0 AS os, 0 AS pairs, [0, 0, 0, 0, 0, 0, 0, 0] AS filled, 0 AS n FROM goals
+        UNION ALL SELECT {_G}, r, added + n, cs + CASE WHEN creature THEN n ELSE 0 END, os + CASE WHEN creature THEN 0 ELSE n END, pairs + CASE WHEN n = 2 THEN 1 ELSE 0 END, list_transform(filled, lambda x, i: x + CASE WHEN i = slot + 1 THEN n ELSE 0 END), n
+        FROM (SELECT *, CASE WHEN filled[slot + 1] < CAST(round_even(curve[slot + 1], 0) AS INT) + 2 THEN CAST(greatest(0, least(CASE WHEN rarity = 'common' AND pairs < 2 AND freq > 1 THEN 2 ELSE 1 END, spells - added, CASE WHEN creature THEN want + 1 - cs ELSE spells - want + 1 - os END)) AS INT) ELSE 0 END AS n
+            FROM (SELECT {', '.join('w.' + x for x in _G.split(', '))}, CAST(s.r AS INT) AS r, added, cs, os, pairs, filled, curve, spells, want, s.rarity, s.freq, contains(s.kind, 'Creature') AS creature, CAST(least(CAST(s.cmc AS INT), 7) AS INT) AS slot
+                FROM walk w JOIN spell s ON s.r = w.r + 1 AND {' AND '.join(f's.{x} = w.{x}' for x in _G.split(', '))} JOIN goals g ON {' AND '.join(f'g.{x} = w.{x}' for x in _G.split(', '))})))
+    , taken AS (SELECT s.*, w.n FROM walk w JOIN spell s ON s.r = w.r AND {' AND '.join(f's.{x} = w.{x}' for x in _G.split(', '))} WHERE w.n > 0),
+    chosen AS (SELECT {_G}, list({card} ORDER BY r, k) AS chosen FROM taken, range(1, 3) AS two(k) WHERE k <= n GROUP BY ALL),
+    land AS (SELECT {_G}, list({{'name': card_name, 'cmc': 0.0::DOUBLE, 'type': kind, 'cost': '', 'rarity': rarity}} ORDER BY place) AS lands FROM (SELECT cand.*, goal, row_number() OVER (PARTITION BY {_G} ORDER BY place) AS k FROM cand JOIN goals USING ({_G}) WHERE contains(kind, 'Land') AND NOT contains(kind, 'Basic') AND freq > 0.2) WHERE k <= goal GROUP BY {_G}),
+    pip AS (SELECT {_G}, [{pips}] AS p FROM taken GROUP BY ALL),
+    need AS (SELECT {_G}, goal, coalesce(lands, []) AS lands, coalesce(chosen, []) AS chosen, goal - len(coalesce(lands, [])) AS need, CASE WHEN coalesce(list_sum(p), 0) = 0 THEN [1, 1, 1, 1, 1] ELSE p END AS p FROM goals LEFT JOIN land USING ({_G}) LEFT JOIN chosen USING ({_G}) LEFT JOIN pip USING ({_G})),
+    basic AS (SELECT *, list_concat(flatten(list_transform(range(1, 6), lambda i: list_transform(range(0, CAST(round_even(p[i] / list_sum(p) * need, 0) AS BIGINT)), lambda k: ({lands})[i]))), list_transform(range(0, need), lambda k: ({lands})[list_position(p, list_max(p))]))[1:need] AS basics FROM need),
+    deck AS (SELECT {_G}, list_concat(lands, chosen, list_transform(CASE WHEN need > 0 THEN basics ELSE [] END, lambda b: {{'name': b, 'cmc': 0.0::DOUBLE, 'type': 'Basic Land', 'cost': '', 'rarity': 'common'}})) AS deck_list FROM basic),
+    nl AS (SELECT * FROM cand WHERE NOT contains(kind, 'Land')),
+    mm AS (SELECT set_code, format, coalesce(avg(gih_wr) FILTER (gih_wr <> 0), 55.0) AS avg_wr, coalesce(avg(alsa), 4.0) AS avg_alsa FROM meta GROUP BY 1, 2),
+    sl AS (SELECT {_G}, card_name, round(alsa, 2) AS alsa, round(freq * 100, 1) AS frequency, round((alsa - avg_alsa) * freq, 3) AS score, CAST(row_number() OVER (PARTITION BY {_G} ORDER BY (alsa - avg_alsa) * freq DESC, card_name) AS INT) AS rank FROM nl JOIN mm USING (set_code, format) WHERE alsa > avg_alsa AND freq >= 0.15 QUALIFY rank <= 5),
+    tn AS (SELECT {_G}, count(*) FILTER (rc) AS nr, count(*) FILTER (NOT rc) AS no FROM dk GROUP BY ALL),
+    tc AS (SELECT {_G}, card_name, count(*) FILTER (rc) / any_value(nr) AS rf, count(*) FILTER (NOT rc) / any_value(no) AS ofr FROM it JOIN tn USING ({_G}) JOIN meta USING (set_code, format, card_name) WHERE nr >= 3 AND no >= 3 AND NOT contains(card_type, 'Land') GROUP BY ALL),
+    tr AS (SELECT {_G}, card_name, round(rf * 100, 1) AS recent_freq, round(ofr * 100, 1) AS old_freq, round((rf - ofr) * 100, 1) AS delta, CAST(row_number() OVER (PARTITION BY {_G} ORDER BY rf - ofr DESC, card_name) AS INT) AS rank FROM tc WHERE rf - ofr > 0.15 AND rf > 0.20 QUALIFY rank <= 5),
+    im AS (SELECT *, 0.4 * freq + 0.3 * s + 0.3 * wr AS imp FROM (SELECT nl.*, least(syn / 5, 1) AS s, CASE WHEN coalesce(gih_wr, 0) <> 0 THEN greatest(0.0, least(1.0, (gih_wr - avg_wr + 10) / 20)) ELSE 0.0 END AS wr FROM nl JOIN mm USING (set_code, format))),
+    ic AS (SELECT {_G}, card_name, round(imp * 100, 1) AS importance, round(freq * 100, 1) AS freq_score, round(s * 100, 1) AS synergy_score, round(wr * 100, 1) AS wr_score, round(freq * 100, 1) AS frequency, gih_wr, CAST(row_number() OVER (PARTITION BY {_G} ORDER BY imp DESC, card_name) AS INT) AS rank FROM im QUALIFY rank <= 15),
+    op AS (SELECT {_G}, CAST(greatest(0, least(100, round_even((count(*) FILTER (b < 0.8 * t) - 25) / 45 * 100, 0))) AS INT) AS openness_score FROM (SELECT *, sum(weight_sum) OVER (PARTITION BY {_G}) AS t, sum(weight_sum) OVER (PARTITION BY {_G} ORDER BY weight_sum DESC, card_name ROWS UNBOUNDED PRECEDING) - weight_sum AS b FROM nl) GROUP BY ALL),
+    {_list("sl", "sleeper", "alsa frequency score")}, {_list("tr", "trend", "recent_freq old_freq delta")}, {_list("ic", "key", "importance freq_score synergy_score wr_score frequency gih_wr")},
+    skel AS (SELECT set_code, format, archetype AS archetype_name, is_alternative, sample_size, round(avg_lands, 1) AS avg_lands, round(avg_creatures / nullif(40 - avg_lands, 0), 3) AS creature_ratio, openness_score, curve, deck_list, sleeper_list, trend_list, key_list
+        FROM goals JOIN deck USING ({_G}) JOIN tw USING ({_G}) LEFT JOIN op USING ({_G}) LEFT JOIN sleeper USING ({_G}) LEFT JOIN trend USING ({_G}) LEFT JOIN key USING ({_G}))"""
+
+
+_SKELETONS = _skeleton_sql()
+
+
+@query(f"{_SKELETONS} SELECT set_code, format, archetype_name, is_alternative, sample_size, avg_lands, creature_ratio, openness_score, CAST(to_json(deck_list) AS VARCHAR) AS deck_list, CAST(to_json(sleeper_list) AS VARCHAR) AS sleeper_cards, CAST(to_json(trend_list) AS VARCHAR) AS trending_cards, CAST(to_json(key_list) AS VARCHAR) AS importance_cards FROM skel")
 def m3_m4_skeletons(s, d):
     return _skeletons(s, d).select("set_code", "format", "archetype_name", "is_alternative", "sample_size", "avg_lands", "creature_ratio", "openness_score", F.to_json("deck_list").alias("deck_list"), F.to_json("sleeper_cards").alias("sleeper_cards"), F.to_json("trending_cards").alias("trending_cards"), F.to_json("importance_cards").alias("importance_cards"))
 
 
-@query()
+_NTH = "cards AS (SELECT set_code, format, archetype_name, is_alternative, unnest(deck_list, recursive := true), unnest(range(len(deck_list))) AS pos FROM skel)"
+
+
+@query(f"""{_SKELETONS}, {_NTH}, per_name AS (SELECT set_code, format, archetype_name, is_alternative, name, count(*) AS n, min(pos) AS pos FROM cards GROUP BY ALL)
+    SELECT set_code, format, archetype_name, is_alternative, 'Deck' || chr(10) || string_agg(n || ' ' || name, chr(10) ORDER BY pos) AS deck_text FROM per_name WHERE NOT is_alternative AND length({q_extract('archetype_name')}) = 2 GROUP BY ALL""")
 def s7_f5_export_deck_text(s, d):
-    return tables.export_deck_text(skeletons.select_skeletons(saved(_skeletons(s, d), "skeletons"), 2))
+    return tables.export_deck_text(skeletons.select_skeletons(_skeletons(s, d), 2))
 
 
-@query()
+@query(f"""{_SKELETONS}, {_NTH}, per_value AS (SELECT set_code, format, archetype_name, is_alternative, unnest(range(1, 8)) AS b, unnest(curve[2:8]) AS v FROM skel),
+    summed AS (SELECT set_code, format, archetype_name, is_alternative, round(CASE WHEN sum(v) > 0 THEN sum(b * v) / sum(v) ELSE 0 END, 6) AS avg_cmc, CAST(list(b ORDER BY v DESC, b)[1] AS INT) AS modal_bucket, CAST(greatest(coalesce(max(b) FILTER (v > 0), 5), 5) AS INT) AS top_bucket FROM per_value GROUP BY ALL),
+    hues AS (SELECT set_code, format, archetype_name, is_alternative, {', '.join(f"count(*) FILTER (contains(cost, '{{{x}}}')) AS n_{x.lower()}" for x in "WUBRG")} FROM cards WHERE NOT contains(type, 'Land') GROUP BY ALL)
+    SELECT * FROM summed LEFT JOIN hues USING (set_code, format, archetype_name, is_alternative)""")
 def a26_skeleton_summary(s, d):
-    return rounded(skeletons.skeleton_summary(saved(_skeletons(s, d), "skeletons")))
+    return rounded(skeletons.skeleton_summary(_skeletons(s, d)))
 
 
-@query()
+@query(f"""{_SKELETONS}, {_NTH} SELECT set_code, format, archetype_name, is_alternative, CAST(least(CAST(cmc AS INT), 7) AS INT) AS bucket, CASE WHEN contains(type, 'Creature') OR contains(type, 'Planeswalker') THEN 'creature' ELSE 'other' END AS stack, name AS card_name, count(*) AS copies FROM cards WHERE NOT contains(type, 'Land') GROUP BY ALL""")
 def a26_skeleton_stacks(s, d):
-    return skeletons.skeleton_stacks(saved(_skeletons(s, d), "skeletons"))
+    return skeletons.skeleton_stacks(_skeletons(s, d))
 
 
 def _deck_lists(s: SparkSession, d: str) -> DataFrame:

@@ -133,22 +133,35 @@ def test_two_clusters(spark):
 
 
 def card(name, kind="Creature", cmc=2, cost="{W}", rarity="rare", freq=0.9, common=False):
-    return {"name": name, "cmc": cmc, "type": kind, "cost": cost, "rarity": rarity, "freq": freq, "common": common}
+    return {"name": name, "cmc": float(cmc), "type": kind, "cost": cost, "rarity": rarity, "freq": freq, "common": common}
 
 
-def test_greedy_deck_rules():
+def built(spark, cards_, avg_lands, avg_creatures, curve):
+    """The deck of one group, its candidates in the given order."""
+    key = "set_code string, format string, archetype string, is_alternative boolean"
+    group = ("S", "F", "A", False)
+    rows = [(*group, c["name"], c["freq"], 1.0 - i / 1000) for i, c in enumerate(cards_)]
+    meta = [("S", "F", c["name"], c["cmc"], c["cost"], c["type"], c["rarity"]) for c in cards_]
+    candidates = spark.createDataFrame(rows, f"{key}, card_name string, freq double, score double")
+    profile = spark.createDataFrame([(*group, avg_lands, avg_creatures, curve)], f"{key}, avg_lands double, avg_creatures double, avg_mana_curve map<string,double>")
+    info = spark.createDataFrame(meta, "set_code string, format string, card_name string, card_cmc double, card_cost string, card_type string, rarity string")
+    (row,) = skeletons.build_skeleton(candidates, profile, info).collect()
+    return [c.asDict() for c in row.deck_list]
+
+
+def test_deck_rules(spark):
     cards_ = [card("L", "Land", freq=0.5), card("Rare land", "Land", freq=0.1), card("C", rarity="common", freq=1.5, common=True)]
     cards_ += [card(f"x{i}", "Instant" if i % 2 else "Creature", i % 5, "{U}") for i in range(40)]
-    deck = skeletons.greedy_deck(cards_, 17.0, 15.0, {str(i): 6.0 for i in range(8)})
+    deck = built(spark, cards_, 17.0, 15.0, {str(i): 6.0 for i in range(8)})
     names = [c["name"] for c in deck]
     assert len(deck) == 40 and names.count("L") == 1 and "Rare land" not in names and names.count("C") == 2
     assert names.count("Island") + names.count("Plains") == 16
     assert all((c["cmc"], c["cost"]) == (0.0, "") for c in deck if "Land" in c["type"])
-    assert all(c["cmc"] <= 7 for c in skeletons.greedy_deck([card("big", cmc=9.0)], 17.0, 15.0, {str(i): 6.0 for i in range(8)}))
+    assert all(c["cmc"] <= 7 for c in built(spark, [card("big", cmc=9.0)], 17.0, 15.0, {str(i): 6.0 for i in range(8)}))
     assert sum("Creature" in c["type"] for c in deck) <= round(23 * 15 / 23) + 1
-    short = skeletons.greedy_deck([card("only")], 17.0, 15.0, {str(i): 1.0 for i in range(8)})
+    short = built(spark, [card("only")], 17.0, 15.0, {str(i): 1.0 for i in range(8)})
     assert len(short) == 1 + 17  # no second pass
-    no_pips = skeletons.greedy_deck([], 5.0, 0.0, {})
+    no_pips = built(spark, [], 5.0, 0.0, {})
     assert [c["name"] for c in no_pips] == list(C.BASIC_LANDS)
 
 
@@ -283,3 +296,26 @@ def test_sort_nulls_last(spark):
     df = spark.createDataFrame([("a", None, 1.0), ("b", 2.0, None), ("c", 3.0, 2.0)], "card_name string, gih_wr double, alsa double")
     assert [r[0] for r in cards.sort_cards(df, "gih_wr", True).collect()] == ["c", "b", "a"]
     assert [r[0] for r in cards.sort_cards(df, "alsa", False).collect()] == ["a", "c", "b"]
+
+
+def test_stored_skeletons_and_stale_variants(spark, tmp_path):
+    key = "set_code string, format string, archetype_name string, is_alternative boolean, sample_size int"
+    first = spark.createDataFrame([("S", "F", "WU", False, 5), ("S", "F", "WU", True, 2), ("S", "F", "RG", False, 4), ("S", "G", "WU", True, 3)], key)
+    later = spark.createDataFrame([("S", "F", "WU", False, 9)], key)
+    rows = lambda t: sorted(map(tuple, t.read().collect()))
+    skeleton_table.store_skeletons(first, str(tmp_path / "s"))
+    kept = skeleton_table.store_skeletons(later, str(tmp_path / "s"))
+    assert rows(kept) == [("S", "F", "RG", False, 4), ("S", "F", "WU", False, 9), ("S", "F", "WU", True, 2), ("S", "G", "WU", True, 3)]
+    pruned = skeleton_table.store_skeletons(later, str(tmp_path / "s"), prune=True)
+    assert rows(pruned) == [("S", "F", "WU", False, 9), ("S", "G", "WU", True, 3)]
+
+
+def test_a_skeleton_run_leaves_its_result_only(spark, tmp_path, monkeypatch):
+    from draftloom.sources import tables
+
+    monkeypatch.setattr(tables, "shared", lambda s: f"{tmp_path}/{len(list(tmp_path.iterdir()))}-{random.random()}")
+    meta = spark.createDataFrame([("S", "F", f"a{i}", 2.0, "{W}", "Creature", "common", 55.0, 4.0) for i in range(40)], "set_code string, format string, card_name string, card_cmc double, card_cost string, card_type string, rarity string, gih_wr double, alsa double")
+    syn = spark.createDataFrame([], "set_code string, format string, card_a string, card_b string, synergy_score double, lift_score double, confidence_a_to_b double, confidence_b_to_a double, co_occurrence_count long")
+    out = skeleton_table.skeletons(_decks(spark, [{f"a{i}": 1 for i in range(36)}] * 45), meta, syn, F.lit("2024-01-02").cast("timestamp"))
+    assert out.count() == 1
+    assert [p.name.split("-")[-1] for p in tmp_path.iterdir()] == ["skeletons"]
