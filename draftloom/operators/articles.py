@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.tables import saved
 
 
 def _votes() -> tuple[Column, Column]:
@@ -79,79 +76,110 @@ def filter_articles(df: DataFrame, tags: list[str] | None = None, top: bool = Fa
     return out
 
 
-#: A word, or one other character: what a text has at a word boundary.
-_FIRST = re.compile(r"[A-Za-z0-9_]+|[^A-Za-z0-9_]")
-_EDGE = re.compile(r"\b", re.ASCII)
-_WORD_CHAR = "[A-Za-z0-9_]"
+#: A token: a word, or one other character.  Names begin and end where tokens do.
+_TOKEN = "[A-Za-z0-9_]+|[^A-Za-z0-9_]"
+_WORD = "^[A-Za-z0-9_]"
+_BLOCK = 256
+
 
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({_TOKEN})"), F.lit(1))
 
-def _starts(firsts: frozenset[str] | None, reach: int):
-    """Places where a name may start: (id, start, first, piece); piece is long enough for any name and one character more."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for i, text in zip(b["id"], b["text"]):
-                for m in _EDGE.finditer(text or ""):
-                    word = _FIRST.match(text, m.start())
-                    if word and (firsts is None or word.group().lower() in firsts):
-                        out.append((i, m.start(), word.group().lower(), text[m.start() : m.start() + reach].lower()))
-            for k in range(0, len(out), 10_000):
-                yield pd.DataFrame(out[k : k + 10_000], columns=["id", "start", "first", "piece"])
+def _edges(dictionary: DataFrame) -> DataFrame:
+    """The names as a trie in a table: (state, token) -> next, and the name (with its official form) that ends there.
 
-    return run
+    A state is the hash of the tokens that lead to it, that of the root is the hash of none.
+    """
+    official = F.coalesce("official", "name") if "official" in dictionary.columns else F.col("name")
+    names = dictionary.where("name <> ''").select(F.lower("name").alias("name"), official.alias("official")).groupBy("name").agg(F.min("official").alias("official"))
+    steps = names.select("*", _tokens(F.col("name")).alias("t")).select("*", F.posexplode("t").alias("at", "token"))
+    upto = lambda n: F.xxhash64(F.slice("t", F.lit(1), n))
+    ends = F.col("at") + 1 == F.size("t")
+    own = steps.select(upto(F.col("at")).alias("state"), "token", upto(F.col("at") + 1).alias("next"), *[F.when(ends, F.col(c)).alias(c) for c in ("name", "official")], (F.col("at") + 1).alias("level"))
+    return own.groupBy("state", "token").agg(F.max("next").alias("next"), F.min("name").alias("name"), F.min("official").alias("official"), F.max("level").alias("level"))
 
 
-def detect_mentions(articles: DataFrame, dictionary: DataFrame, text: str = "summary", max_names: int = 100_000) -> DataFrame:
+def detect_mentions(articles: DataFrame, dictionary: DataFrame, text: str = "summary", max_edges: int = 500_000) -> DataFrame:
     """(id, start, length, name, official): dictionary names in the texts, whole words, of any case.
 
     start and length count characters.  dictionary: name, as texts have it, and
-    official (else the name itself).  Each place where the first word of a name
-    stands is joined to the names with that first word; a text's matches are
-    taken from left to right, the longest at each place, and one that starts before
-    the end of the last one taken is dropped.  Up to max_names names are
-    broadcast; beyond that all words are joined by shuffle.
+    official (else the name itself).  The names are a trie of tokens, which all places
+    of a text walk together, a level at a time, by equi-joins on (state, next token).
+    A text's matches are taken from left to right, the longest at each place, and one
+    that starts before the end of the last one taken is dropped.  The trie is
+    broadcast up to max_edges edges; beyond that it is joined by shuffle.
     """
-    official = F.coalesce("official", "name") if "official" in dictionary.columns else F.col("name")
-    names = dictionary.where("name <> ''").select(F.lower("name").alias("name"), official.alias("official")).groupBy("name").agg(F.min("official").alias("official"))
-    names = names.withColumn("first", F.lower(F.regexp_extract("name", _FIRST.pattern, 0))).withColumn("length", F.length("name"))
-    longest, count = names.agg(F.max("length"), F.count("*")).first()
-    few = count <= max_names
-    firsts = frozenset(r[0] for r in names.select("first").distinct().collect()) if few else None
-    rows = articles.select("id", F.col(text).alias("text"))
-    places = rows.mapInPandas(_starts(firsts, (longest or 0) + 1), f"id {dict(rows.dtypes)['id']}, start int, first string, piece string")
-    ends = F.substring("piece", F.col("length") + 1, F.lit(1)).rlike(_WORD_CHAR) != F.substring("name", F.col("length"), F.lit(1)).rlike(_WORD_CHAR)
-    hits = places.join(F.broadcast(names) if few else names, "first").where(F.startswith("piece", "name") & ends)
-    best = hits.groupBy("id", "start").agg(F.max(F.struct("length", "name", "official")).alias("m")).select("id", F.struct("start", "m.*").alias("m"))
-
-    @F.pandas_udf("array<struct<start:int,length:int,name:string,official:string>>")
-    def taken(all_hits: pd.Series) -> pd.Series:
-        out = []
-        for hits in all_hits:
-            kept, end = [], 0
-            for m in hits:
-                if m["start"] >= end:
-                    kept.append(m)
-                    end = m["start"] + m["length"]
-            out.append(kept)
-        return pd.Series(out)
-
-    return best.groupBy("id").agg(F.array_sort(F.collect_list("m")).alias("all")).select("id", F.explode(taken("all")).alias("m")).select("id", "m.*")
-
-
-def link_mentions(articles: DataFrame, dictionary: DataFrame, text: str = "summary") -> DataFrame:
+    return _mentions(articles, dictionary, text, max_edges).drop("at", "tokens")
+
+
+def _mentions(articles: DataFrame, dictionary: DataFrame, text: str, max_edges: int) -> DataFrame:
+    """detect_mentions with the first token and the number of tokens of each mention."""
+    edges = saved(_edges(dictionary), "mention-edges")
+    count, levels = edges.agg(F.count("*"), F.max("level")).first()
+    levels = levels or 1
+    few = count <= max_edges
+    trie = F.broadcast(edges) if few else edges
+    root = trie.where("level = 1").select(F.col("token").alias("first"), F.col("next").alias("state"), F.col("name").alias("n1"), F.col("official").alias("o1"))
+
+    # texts in blocks of tokens, each with the tokens around it, so that a place carries no more than its block
+    rows = articles.select("id", _tokens(F.col(text)).alias("t")).where("size(t) > 0")
+    every = F.sequence(F.lit(0), F.floor((F.size("t") - 1) / _BLOCK).cast("int"))
+    sizes = F.transform(every, lambda b: F.length(F.array_join(F.slice("t", b * _BLOCK + 1, F.lit(_BLOCK)), "")))
+    rows = rows.select("id", "t", F.aggregate(sizes, F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n))).alias("before"))
+    block = lambda b: F.struct(b.alias("b"), F.get("before", b).alias("chars"), F.get("t", b * _BLOCK - 1).alias("prev"), F.slice("t", b * _BLOCK + 1, F.lit(_BLOCK + levels)).alias("own"))
+    blocks = rows.select("id", F.inline(F.transform(every, block)))
+    places = blocks.select("id", "b", "chars", "prev", "own", F.posexplode(F.slice("own", 1, _BLOCK)).alias("i", "token")).withColumn("first", F.lower("token"))
+    start = F.col("chars") + F.length(F.array_join(F.slice("own", F.lit(1), F.col("i")), ""))
+    follow = F.transform(F.slice("own", F.col("i") + 1, F.lit(levels + 1)), lambda x: F.lower(x))
+    previous = F.when(F.col("i") == 0, F.col("prev")).otherwise(F.get("own", F.col("i") - 1))
+    at = (F.col("b") * _BLOCK + F.col("i")).alias("at")
+    with_window = lambda df, *more: df.select("id", at, start.alias("start"), follow.alias("w"), F.coalesce(previous.rlike(_WORD), F.lit(False)).alias("after_word"), *more)
+    if few:
+        found = with_window(places.join(root, "first"), "state", "n1", "o1")
+    else:
+        found = with_window(places, "first").join(root, "first").drop("first")
+    # a name that begins (or ends) in another character than a word's does so at an edge only beside a word
+    found = found.where(F.get("w", F.lit(0)).rlike(_WORD) | F.col("after_word"))
+    ended = lambda k: F.get("w", F.lit(k - 1)).rlike(_WORD) | F.coalesce(F.get("w", F.lit(k)).rlike(_WORD), F.lit(False))
+    found = found.select("id", "at", "start", "w", "state", *[F.when(ended(1), F.col(c)).alias(n) for c, n in (("n1", "name"), ("o1", "official"))]).withColumn("tokens", F.lit(1))
+    for k in range(2, levels + 1):
+        step = trie.select(F.col("state").alias("s"), F.col("token").alias("x"), F.col("next").alias("to"), F.col("name").alias("n"), F.col("official").alias("o"))
+        found = found.join(step, (found["state"] == step["s"]) & (F.get("w", F.lit(k - 1)) == step["x"]), "left")
+        better = F.col("n").isNotNull() & ended(k)
+        found = found.select("id", "at", "start", "w", F.col("to").alias("state"), F.when(better, F.col("n")).otherwise(F.col("name")).alias("name"), F.when(better, F.col("o")).otherwise(F.col("official")).alias("official"), F.when(better, F.lit(k)).otherwise(F.col("tokens")).alias("tokens"))
+        found = found.where("state is not null or name is not null")
+    hits = found.where("name is not null").select("id", "start", F.length("name").alias("length"), "name", "official", "at", "tokens")
+    return _left_to_right(hits)
+
+
+def _left_to_right(hits: DataFrame) -> DataFrame:
+    """Of each text's hits those that start at or after the end of the last one taken.
+
+    Runs of overlapping hits are folded, each by itself; most are a single hit.
+    """
+    order = Window.partitionBy("id").orderBy("start")
+    reach = F.max(F.col("start") + F.col("length")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = hits.withColumn("new", F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(order))
+    names = hits.columns[1:]
+    listed = runs.groupBy("id", "run").agg(F.array_sort(F.collect_list(F.struct(*names))).alias("all"))
+    zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("kept"))
+
+    def step(s: Column, m: Column) -> Column:
+        fits = m["start"] >= s["end"]
+        return F.struct(F.when(fits, m["start"] + m["length"]).otherwise(s["end"]).alias("end"), (s["i"] + 1).alias("i"), F.when(fits, F.concat(s["kept"], F.array(s["i"]))).otherwise(s["kept"]).alias("kept"))
+
+    kept = F.when(F.size("all") == 1, F.array(F.lit(0))).otherwise(F.aggregate("all", zero, step, lambda s: s["kept"]))
+    return listed.select("id", "all", F.explode(kept).alias("i")).select("id", F.get("all", F.col("i")).alias("m")).select("id", "m.*")
+
+
+def link_mentions(articles: DataFrame, dictionary: DataFrame, text: str = "summary", max_edges: int = 500_000) -> DataFrame:
     """Articles with each mention in the text written as a link [[official name]]."""
-    found = detect_mentions(articles, dictionary, text).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "length", "official"))).alias("m"))
-
-    @F.pandas_udf("string")
-    def rewrite(texts: pd.Series, mentions: pd.Series) -> pd.Series:
-        out = []
-        for t, found in zip(texts, mentions):
-            parts, at = [], 0
-            for m in found if found is not None else ():
-                parts += [t[at : m["start"]], f"[[{m['official']}]]"]
-                at = m["start"] + m["length"]
-            out.append("".join([*parts, t[at:]]) if parts else t)
-        return pd.Series(out)
-
-    return articles.join(found, "id", "left").withColumn("linked", rewrite(F.col(text), F.col("m"))).drop("m")
+    found = _mentions(articles, dictionary, text, max_edges).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "tokens", "official"))).alias("m"))
+    rows = articles.join(found, "id", "left").withColumn("t", _tokens(F.col(text)))
+    part = lambda a, b: F.array_join(F.slice("t", a + 1, b - a), "")  # noqa: E731  tokens a to b
+    end = lambda x: F.coalesce(x["at"] + x["tokens"], F.lit(0))
+    pieces = F.transform("m", lambda x, i: F.concat(part(end(F.get(F.col("m"), i - 1)), x["at"]), F.lit("[["), x["official"], F.lit("]]")))
+    last = end(F.element_at("m", -1))
+    linked = F.concat(F.array_join(pieces, ""), part(last, F.size("t")))
+    return rows.withColumn("linked", F.when(F.col("m").isNull(), F.col(text)).otherwise(linked)).drop("m", "t")

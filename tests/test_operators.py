@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from draftloom import queries
@@ -246,7 +247,7 @@ def test_mentions_longest_first_and_links(spark):
     linked = {r.id: r.linked for r in articles.link_mentions(arts, names).collect()}
     assert linked[1] == "Play [[Lightning Bolt // Back]], not [[Lightning]] helix or bolts." and linked[2] is None and linked[3] == ""
     assert linked[4] == "the dogs' tails hit [[Lightning Bolt // Back]] today again"
-    assert {r.id for r in articles.detect_mentions(arts, names, max_names=0).collect()} == {1, 4, 5, 6}
+    assert {r.id for r in articles.detect_mentions(arts, names, max_edges=0).collect()} == {1, 4, 5, 6}
     assert articles.detect_mentions(arts, names.where("false")).count() == 0 and articles.link_mentions(arts.where("false"), names).count() == 0
 
 
@@ -319,3 +320,19 @@ def test_a_skeleton_run_leaves_its_result_only(spark, tmp_path, monkeypatch):
     out = skeleton_table.skeletons(_decks(spark, [{f"a{i}": 1 for i in range(36)}] * 45), meta, syn, F.lit("2024-01-02").cast("timestamp"))
     assert out.count() == 1
     assert [p.name.split("-")[-1] for p in tmp_path.iterdir()] == ["skeletons"]
+
+
+@pytest.mark.parametrize("max_edges", [500_000, 0])
+def test_mentions_match_one_pattern(spark, max_edges):
+    """Any dictionary against the rule of one alternation, longest name first, on texts of many blocks."""
+    r = random.Random(8)
+    words = ["red", "Ring", "blue", "x1", "of", "a_b"]
+    names = sorted({" ".join(r.choices(words, k=r.randint(1, 4))).lower() for _ in range(40)} | {"red, blue", "(of", "ring!", "é", "of é ring"}, key=lambda n: (-len(n), n))
+    rule = re.compile(r"\b(?:" + "|".join(map(re.escape, names)) + r")\b", re.I | re.A)
+    texts = {i: "".join(r.choice([*words, *words, "redder", "é", "😀", "\n"]) + r.choice([" ", " ", " ", ", ", " (", "! ", ""]) for _ in range(n)) for i, n in enumerate((0, 1, 5, 40, 127, 128, 129, 700))}
+    arts = spark.createDataFrame([*texts.items(), (99, None)], "id int, summary string")
+    dictionary = spark.createDataFrame([(n, f"<{n}>") for n in names], "name string, official string")
+    want = {(i, m.start(), m.group().lower()) for i, t in texts.items() for m in rule.finditer(t)}
+    assert {(x.id, x.start, x.name) for x in articles.detect_mentions(arts, dictionary, max_edges=max_edges).collect()} == want and len(want) > 100
+    linked = {x.id: x.linked for x in articles.link_mentions(arts, dictionary, max_edges=max_edges).collect()}
+    assert linked == {**{i: rule.sub(lambda m: f"[[<{m.group().lower()}>]]", t) for i, t in texts.items()}, 99: None}
