@@ -94,62 +94,119 @@ def unmatched_names(card_stats: DataFrame, cards: DataFrame) -> DataFrame:
     return card_stats.select("card_name").distinct().join(cards.select(F.col("name").alias("card_name")), "card_name", "left_anti")
 
 
-def resolve_names(names: DataFrame, dictionary: DataFrame, max_dist: int = 2) -> DataFrame:
-    """(query, name, tier): exact, then the front face, then the nearest within max_dist edits.
+_SHORT = 12  # names below this length are looked up by what is left after deletions, longer ones by pieces
 
-    The last tier is for names with the same first letter.  A name is cut in
-    max_dist + 1 pieces; within max_dist edits one of them is left whole and has
-    moved by max_dist places at most, so only names that share a piece, the
-    length and about its place are compared.
+
+def _deletions(name: Column, most: int) -> Column:
+    """name, and what is left of it after up to ``most`` characters are taken out."""
+    out = level = F.array(name)
+    for _ in range(most):
+        shorter = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+        level = F.array_distinct(F.flatten(F.transform(F.filter(level, lambda s: F.length(s) > 0), shorter)))
+        out = F.array_distinct(F.concat(out, level))
+    return out
+
+
+def near_names(queries: DataFrame, names: DataFrame, max_dist: int = 2) -> DataFrame:
+    """(query, name, dist): all names within max_dist edits of a query, upper and lower case alike.
+
+    Two names within k edits have something in common that is left of both after k
+    deletions; that is the key for short names.  A longer one is cut in k + 1 pieces,
+    of which one is left whole and has moved by k places at most, so it is looked up by
+    pieces of about their place.  Both ways miss nothing; the distance decides.
     """
-    q = names.select("query").distinct()
-    d = dictionary.select("name").distinct()
-    exact = q.join(d, q["query"] == d["name"]).select("query", "name", F.lit("exact").alias("tier"))
-    left = q.join(exact.select("query"), "query", "left_anti")
-    front = left.withColumn("front", F.split_part("query", F.lit(" // "), F.lit(1))).join(d, F.col("front") == d["name"]).select("query", "name", F.lit("front").alias("tier"))
-    left = left.join(front.select("query"), "query", "left_anti")
+    q = queries.select("query", F.lower("query").alias("q_low")).distinct()
+    d = names.select("name", F.lower("name").alias("n_low")).distinct().withColumn("n", F.length("n_low"))
+    few = d.where(F.col("n") < _SHORT).select("name", "n_low", F.explode(_deletions(F.col("n_low"), max_dist)).alias("key"))
+    asked = q.where(F.length("q_low") < _SHORT + max_dist).select("query", "q_low", F.explode(_deletions(F.col("q_low"), max_dist)).alias("key"))
+    short = asked.join(few, "key").select("query", "name", "q_low", "n_low")
+
     parts = max_dist + 1
     cut = lambda n, i: F.floor(n * i / parts).cast("int")
     numbered = F.explode(F.sequence(F.lit(0), F.lit(max_dist))).alias("i")
-    own = d.select("name", F.lower("name").alias("n_low"), F.length("name").alias("n"), numbered)
-    own = own.select("name", "n_low", "n", "i", F.substring("n_low", cut(F.col("n"), F.col("i")) + 1, cut(F.col("n"), F.col("i") + 1) - cut(F.col("n"), F.col("i"))).alias("piece"))
-    tried = left.select("query", F.lower("query").alias("q_low"), F.explode(F.sequence(F.greatest(F.length("query") - max_dist, F.lit(1)), F.length("query") + max_dist)).alias("n"))
+    at, size = cut(F.col("n"), F.col("i")), cut(F.col("n"), F.col("i") + 1) - cut(F.col("n"), F.col("i"))
+    own = d.where(F.col("n") >= _SHORT).select("name", "n_low", "n", numbered).select("name", "n_low", "n", "i", F.substring("n_low", at + 1, size).alias("piece"))
+    lengths = F.sequence(F.greatest(F.length("q_low") - max_dist, F.lit(_SHORT)), F.length("q_low") + max_dist)
+    tried = q.where(F.length("q_low") + max_dist >= _SHORT).select("query", "q_low", F.explode(lengths).alias("n"))
     tried = tried.select("query", "q_low", "n", numbered).select("query", "q_low", "n", "i", F.explode(F.sequence(F.lit(-max_dist), F.lit(max_dist))).alias("moved"))
-    at, size = cut(F.col("n"), F.col("i")) + F.col("moved"), cut(F.col("n"), F.col("i") + 1) - cut(F.col("n"), F.col("i"))
+    at = at + F.col("moved")
     tried = tried.where(at >= 0).select("query", "q_low", "n", "i", F.substring("q_low", at + 1, size).alias("piece")).distinct()
-    near = tried.join(own, ["n", "i", "piece"]).where(F.substring("q_low", 1, 1) == F.substring("n_low", 1, 1)).select("query", "name", "q_low", "n_low").distinct()
-    near = near.withColumn("dist", F.levenshtein("q_low", "n_low", max_dist)).where("dist >= 0")
+    long = tried.join(own, ["n", "i", "piece"]).select("query", "name", "q_low", "n_low")
+    near = short.unionByName(long).distinct()
+    return near.withColumn("dist", F.levenshtein("q_low", "n_low", max_dist)).where("dist >= 0").select("query", "name", "dist")
+
+
+def resolve_names(names: DataFrame, dictionary: DataFrame, max_dist: int = 2, elsewhere: DataFrame | None = None) -> DataFrame:
+    """(query, name, tier): exact, then by the front face, then so in the dictionary of other sets, then the nearest within max_dist edits.
+
+    A name ``A // B`` answers to ``A``, and ``A // B`` finds ``A``.  The nearest name
+    comes from both dictionaries; of equally near ones the first by name.
+    """
+    q = names.select("query").distinct()
+    face = lambda c: F.split_part(c, F.lit(" // "), F.lit(1))
+
+    def looked_up(left: DataFrame, d: DataFrame, exact: str, front: str) -> DataFrame:
+        d = d.select("name").distinct()
+        same = left.join(d, left["query"] == d["name"]).select("query", "name", F.lit(0).alias("t"), F.lit(exact).alias("tier"))
+        by_front = left.withColumn("face", face("query")).join(d, F.col("face") == d["name"]).select("query", "name", F.lit(1).alias("t"), F.lit(front).alias("tier"))
+        fronts = d.where(F.col("name").contains(" // ")).withColumn("face", face("name"))
+        of_front = left.join(fronts, left["query"] == fronts["face"]).select("query", "name", F.lit(2).alias("t"), F.lit(front).alias("tier"))
+        best = Window.partitionBy("query").orderBy("t", "name")
+        return same.unionByName(by_front).unionByName(of_front).withColumn("r", F.row_number().over(best)).where("r = 1").select("query", "name", "tier")
+
+    found = looked_up(q, dictionary, "exact", "front")
+    left = q.join(found.select("query"), "query", "left_anti")
+    pool = dictionary.select("name")
+    if elsewhere is not None:
+        other = looked_up(left, elsewhere, "elsewhere", "elsewhere")
+        left = left.join(other.select("query"), "query", "left_anti")
+        found, pool = found.unionByName(other), pool.unionByName(elsewhere.select("name"))
     w = Window.partitionBy("query").orderBy("dist", "name")
-    fuzzy = near.withColumn("r", F.row_number().over(w)).where("r = 1").select("query", "name", F.lit("fuzzy").alias("tier"))
-    return exact.unionByName(front).unionByName(fuzzy)
+    fuzzy = near_names(left, pool, max_dist).withColumn("r", F.row_number().over(w)).where("r = 1").select("query", "name", F.lit("fuzzy").alias("tier"))
+    return found.unionByName(fuzzy)
+
+
+def _grams(k: Column, n: int) -> Column:
+    """The distinct runs of n characters of k."""
+    every = F.transform(F.sequence(F.lit(1), F.length(k) - n + 1), lambda i: F.substring(k, i, F.lit(n)))
+    return F.when(F.length(k) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+
+def contained(short: DataFrame, long: DataFrame, n: int = 3) -> DataFrame:
+    """(a, b): keys ``a`` of short, of n characters at least, and the keys ``b`` of long that they stand in.
+
+    The grams of the long keys are an index; a short key is looked up by that one of
+    its grams which the fewest of them have, and not at all if one is missing.
+    """
+    index = long.select("b", F.explode(_grams(F.col("b"), n)).alias("g"))
+    common = index.groupBy("g").agg(F.count("*").alias("df"))
+    own = short.where(F.length("a") >= n).select("a", F.explode(_grams(F.col("a"), n)).alias("g")).join(common, "g", "left")
+    rarest = own.groupBy("a").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g")).alias("m")).where("m.df > 0").select("a", F.col("m.g").alias("g"))
+    return rarest.join(index, "g").where(F.contains("b", "a")).select("a", "b")
 
 
 def match_names_normalized(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(query, name): equal when reduced to letters and digits; else one contains the other.
+    """(query, name): equal when reduced to letters and digits; else one contains the other; the first by name.
 
-    Only what the equi-join leaves over is compared by containment: of two names,
-    one within the other, the shorter one's head is a piece of the longer.  Heads
-    have 8 characters, or 4 or 1 where a name is shorter than that.
+    Only what the equi-join leaves over is compared by containment, names of three
+    characters and more by their rarest three (``contained``).  Of one or two characters
+    there are few different names: for these the first name of each is aggregated.
     """
     norm = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
     q = a.select("query").distinct().withColumn("k", norm("query")).where("k <> ''")
     d = b.select("name").distinct().withColumn("k", norm("name")).where("k <> ''")
-    w = Window.partitionBy("query").orderBy("name")
-    pick = lambda df: df.withColumn("r", F.row_number().over(w)).where("r = 1").select("query", "name")
-    exact = pick(q.join(d, "k").select("query", "name"))
-    sizes = (8, 4, 1)
-    k = F.col("k")
-
-    def of_size(n: int) -> Column:
-        found = F.transform(F.sequence(F.lit(1), F.length(k) - n + 1), lambda i: F.substring(k, i, F.lit(n)))
-        return F.when(F.length(k) >= n, F.array_distinct(found)).otherwise(F.array().cast("array<string>"))
-
-    pieces = F.flatten(F.array(*[of_size(n) for n in sizes]))
-    head = F.substring(k, F.lit(1), F.when(F.length(k) >= 8, 8).when(F.length(k) >= 4, 4).otherwise(1))
+    exact = q.join(d, "k").groupBy("query").agg(F.min("name").alias("name"))
     rest = q.join(exact.select("query"), "query", "left_anti")
-    shorter = rest.select("query", k.alias("qk"), head.alias("p")).join(d.select("name", k.alias("nk"), F.explode(pieces).alias("p")), "p").where(F.col("nk").contains(F.col("qk")))
-    longer = rest.select("query", k.alias("qk"), F.explode(pieces).alias("p")).join(d.select("name", k.alias("nk"), head.alias("p")), "p").where(F.col("qk").contains(F.col("nk")))
-    return exact.unionByName(pick(shorter.select("query", "name").unionByName(longer.select("query", "name")).distinct()))
+    keys, asked = d.groupBy(F.col("k").alias("b")).agg(F.min("name").alias("name")), rest.select("k").distinct()
+    pairs = lambda x, y: contained(x.select(F.col(x.columns[0]).alias("a")), y.select(F.col(y.columns[0]).alias("b")))
+    inside = pairs(asked, keys).join(keys, "b").groupBy(F.col("a").alias("k")).agg(F.min("name").alias("name"))
+    around = pairs(keys, asked).select(F.col("a"), F.col("b").alias("k")).join(keys.withColumnRenamed("b", "a"), "a").groupBy("k").agg(F.min("name").alias("name"))
+    small = lambda c: F.concat(_grams(c, 1), _grams(c, 2))
+    firsts = keys.select("name", F.explode(small(F.col("b"))).alias("k")).groupBy("k").agg(F.min("name").alias("name"))
+    tiny_queries = asked.where(F.length("k") <= 2).join(firsts, "k").select("k", "name")
+    tiny_names = asked.select("k", F.explode(small(F.col("k"))).alias("b")).join(keys.where(F.length("b") <= 2), "b").groupBy("k").agg(F.min("name").alias("name"))
+    best = inside.unionByName(around).unionByName(tiny_queries).unionByName(tiny_names).groupBy("k").agg(F.min("name").alias("name"))
+    return exact.unionByName(rest.join(best, "k").select("query", "name"))
 
 
 def apply_arena_ids(card_list: DataFrame, ratings: DataFrame) -> DataFrame:

@@ -588,12 +588,22 @@ def _edited(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return names.select(q.alias("query")), names
 
 
-@query(f"""WITH {_EDITED}, u AS (SELECT DISTINCT query FROM q), c AS (SELECT query, n.name, CASE WHEN query = n.name THEN 0 WHEN split_part(query, ' // ', 1) = n.name THEN 1 ELSE 2 END AS t, levenshtein(lower(query), lower(n.name)) AS dist FROM u JOIN names n ON query = n.name OR split_part(query, ' // ', 1) = n.name OR (lower(substr(query, 1, 1)) = lower(substr(n.name, 1, 1)) AND levenshtein(lower(query), lower(n.name)) <= 2))
+@query(f"""WITH {_EDITED}, u AS (SELECT DISTINCT query FROM q), c AS (SELECT query, n.name, CASE WHEN query = n.name THEN 0 WHEN split_part(query, ' // ', 1) = n.name THEN 1 ELSE 2 END AS t, levenshtein(lower(query), lower(n.name)) AS dist FROM u JOIN names n ON query = n.name OR split_part(query, ' // ', 1) = n.name OR levenshtein(lower(query), lower(n.name)) <= 2)
     SELECT query, name, CASE t WHEN 0 THEN 'exact' WHEN 1 THEN 'front' ELSE 'fuzzy' END AS tier FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY t, dist, name) AS r FROM c) WHERE r = 1""")
 def j7_resolve_names(s, d):
     return cards.resolve_names(*_edited(s, d))
 
 
+@query(f"""WITH {_EDITED}, known AS (SELECT name FROM names WHERE ascii(name) % 2 = 0), u AS (SELECT DISTINCT CASE WHEN length(query) % 2 = 0 THEN 'x' || substr(query, 2) ELSE query END AS query FROM q),
+    c AS (SELECT query, n.name, CASE WHEN query = n.name THEN 0 WHEN split_part(query, ' // ', 1) = n.name THEN 1 END + CASE WHEN n.name IN (FROM known) THEN 0 ELSE 2 END AS t, levenshtein(lower(query), lower(n.name)) AS dist FROM u JOIN names n ON query = n.name OR split_part(query, ' // ', 1) = n.name OR levenshtein(lower(query), lower(n.name)) <= 2)
+    SELECT query, name, CASE t WHEN 0 THEN 'exact' WHEN 1 THEN 'front' WHEN 2 THEN 'elsewhere' WHEN 3 THEN 'elsewhere' ELSE 'fuzzy' END AS tier FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY coalesce(t, 4), dist, name) AS r FROM c) WHERE r = 1""")
+def j7_other_sets(s, d):
+    """Half of the names are in this set's dictionary, and half of the queries have another first letter."""
+    asked, names = _edited(s, d)
+    asked = asked.select(F.when(F.length("query") % 2 == 0, F.concat(F.lit("x"), F.col("query").substr(F.lit(2), F.length("query")))).otherwise(F.col("query")).alias("query"))
+    return cards.resolve_names(asked, names.where(F.ascii("name") % 2 == 0), elsewhere=names)
+
+
 @query(f"""WITH {_EDITED}, u AS (SELECT DISTINCT query, regexp_replace(lower(query), '[^a-z0-9]', '', 'g') AS a FROM q), m AS (SELECT name, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS b FROM names),
     c AS (SELECT query, name, CASE WHEN a = b THEN 0 ELSE 1 END AS t FROM u JOIN m ON a = b OR contains(a, b) OR contains(b, a)) SELECT query, name FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY t, name) AS r FROM c) WHERE r = 1""")
 def j8_match_names(s, d):

@@ -336,3 +336,53 @@ def test_mentions_match_one_pattern(spark, max_edges):
     assert {(x.id, x.start, x.name) for x in articles.detect_mentions(arts, dictionary, max_edges=max_edges).collect()} == want and len(want) > 100
     linked = {x.id: x.linked for x in articles.link_mentions(arts, dictionary, max_edges=max_edges).collect()}
     assert linked == {**{i: rule.sub(lambda m: f"[[<{m.group().lower()}>]]", t) for i, t in texts.items()}, 99: None}
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_near_names_miss_nothing(spark, k):
+    r = random.Random(k)
+    names = {"".join(r.choice("abAB ") for _ in range(n)) for n in (0, 1, 2, 3, 5, 8, 11, 12, 13, 14, 20, 33) for _ in range(6)}
+
+    def worn(s):
+        s = list(s)
+        for _ in range(r.randint(0, k + 1)):
+            i = r.randint(0, len(s))
+            s[i : i + r.randint(0, 1)] = r.choice(["", "a", "B", "c"])
+        return "".join(s)
+
+    queries = {worn(x) for x in names for _ in range(3)}
+    got = cards.near_names(spark.createDataFrame([(x,) for x in queries], "query string"), spark.createDataFrame([(x,) for x in names], "name string"), k)
+    want = {(q, n, e) for q in queries for n in names if (e := edits(q.lower(), n.lower())) <= k}
+    assert {tuple(x) for x in got.collect()} == want and any(q[:1].lower() != n[:1].lower() for q, n, _ in want)
+
+
+def test_names_of_other_sets_and_faces(spark):
+    frame = lambda c, rows: spark.createDataFrame([(x,) for x in rows], f"{c} string")
+    own, other = frame("name", ["Fire // Ice", "Forest Elf", "Wear"]), frame("name", ["Guest", "Forest Elk", "Dusk // Dawn", "Forest Elf"])
+    q = frame("query", ["Fire", "Wear // Tear", "Guest", "Dusk", "Forest Elm", "Torest Elf", "nothing like it"])
+    got = {x.query: (x.name, x.tier) for x in cards.resolve_names(q, own, elsewhere=other).collect()}
+    assert got == {"Fire": ("Fire // Ice", "front"), "Wear // Tear": ("Wear", "front"), "Guest": ("Guest", "elsewhere"), "Dusk": ("Dusk // Dawn", "elsewhere"), "Forest Elm": ("Forest Elf", "fuzzy"), "Torest Elf": ("Forest Elf", "fuzzy")}
+
+
+def test_containment_matches_all_pairs(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abc1 -B") for _ in range(r.choice((1, 1, 2, 3, 4, 6, 9))))
+    queries, names = sorted({word() for _ in range(150)}), sorted({word() for _ in range(120)})
+    norm = lambda x: re.sub("[^a-z0-9]", "", x.lower())
+    want = {}
+    for q in queries:
+        own = [n for n in names if norm(q) and norm(n) == norm(q)] or [n for n in names if norm(q) and norm(n) and (norm(n) in norm(q) or norm(q) in norm(n))]
+        if own:
+            want[q] = min(own)
+    got = cards.match_names_normalized(spark.createDataFrame([(x,) for x in queries], "query string"), spark.createDataFrame([(x,) for x in names], "name string"))
+    rows = got.collect()
+    assert {x.query: x.name for x in rows} == want and len(rows) == len(want) > 100
