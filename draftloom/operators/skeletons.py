@@ -25,53 +25,85 @@ def jaccard(a: Column | str, b: Column | str) -> Column:
     return F.when(u == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / u)
 
 
-def _sets(decks: DataFrame) -> DataFrame:
-    return decks.withColumn("cards", F.filter(F.map_keys("cardlist"), lambda c: ~c.rlike(_BASIC_WORDS)))
+def _coded(decks: DataFrame, by: list[str], broadcast_rows: int) -> DataFrame:
+    """(by..., aggregate_id, ids, bits, size): each deck's cards, basic lands left out, by number within their group.
+
+    Cards are numbered in the order of their names; ids lists the numbers and bits
+    holds them as a bitmap of 64-bit words.
+    """
+    cards = decks.select(*by, "aggregate_id", F.filter(F.map_keys("cardlist"), lambda c: ~c.rlike(_BASIC_WORDS)).alias("cards"))
+    rows = cards.select(*by, "aggregate_id", F.explode_outer("cards").alias("card"))
+    numbers = rows.where("card is not null").select(*by, "card").distinct().withColumn("id", F.row_number().over(Window.partitionBy(*by).orderBy("card")) - 1)
+    numbers = saved(numbers, "cluster-cards")
+    side = F.broadcast(numbers) if numbers.count() <= broadcast_rows else numbers
+    coded = rows.join(side, [*by, "card"], "left").groupBy(*by, "aggregate_id").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    words = F.sequence(F.lit(0), F.coalesce(F.floor(F.array_max("ids") / 64), F.lit(0)).cast("int"))
+    word = lambda w: F.aggregate(F.filter("ids", lambda i: F.floor(i / 64) == w), F.lit(0).cast("long"), lambda s, i: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i % 64)))
+    out = saved(coded.select(*by, "aggregate_id", "ids", F.transform(words, word).alias("bits"), F.size("ids").alias("size")), "cluster-decks")
+    dropped(numbers)
+    return out
+
+
+def _near(bits: str, size: str, other: str, other_size: str) -> Column:
+    """M1 of two bitmaps."""
+    both = F.aggregate(F.zip_with(bits, other, lambda x, y: F.bit_count(F.coalesce(x.bitwiseAND(y), F.lit(0).cast("long")))), F.lit(0), lambda s, n: s + n)
+    union = F.col(size) + F.col(other_size) - both
+    return F.when(union == 0, 0.0).otherwise(both / union)
 
 
 def cluster_decks(
     decks: DataFrame, by: tuple[str, ...] = ("set_code", "format", "archetype"), min_decks: int = 40, sample: int = 50, rounds: int = 3,
-    min_cluster: int = 20, min_share: float = 0.15, max_common: int = 9, top: int = 15,
+    min_cluster: int = 20, min_share: float = 0.15, max_common: int = 9, top: int = 15, broadcast_rows: int = 200_000,
 ) -> DataFrame:
     """M2: (by..., aggregate_id, is_alternative): two clusters per group where they differ enough.
 
     All groups are clustered together.  Seeds are the most distant pair of a sample
     per group (the ``sample`` smallest by MD5 of the id; ties to the smaller ids);
     then each round assigns decks to the nearer centroid and takes as centroid the
-    cards of at least half of a cluster's decks.  Centroids are small (two card
-    sets a group); the decks are never collected by group.  Each round's tables are
-    written, which cuts the lineage, and removed once the next one is.
+    cards of at least half of a cluster's decks.  Decks and centroids are bitmaps.
+    There are two centroids a group: up to broadcast_rows groups they are broadcast, so
+    decks are never dealt out by their group, of which there are few; what a round
+    counts is combined before it is shuffled.  Each round's tables are written, which
+    cuts the lineage, and removed once the next one is.
     """
     by_ = list(by)
-    base = saved(_sets(decks).select(*by_, "aggregate_id", "cards"), "cluster-base")
+    base = _coded(decks, by_, broadcast_rows)
     sizes = base.groupBy(*by_).agg(F.count("*").alias("n")).where(F.col("n") >= min_decks)
-    big = base.join(sizes.select(*by_), by_, "left_semi")
+    groups = sizes.count()
+    small = (lambda df: F.broadcast(df)) if groups <= broadcast_rows else (lambda df: df)
+    big = base.join(small(sizes.select(*by_)), by_, "left_semi")
     w = Window.partitionBy(*by_).orderBy(F.md5(F.col("aggregate_id").cast("string")), "aggregate_id")
     pick = saved(big.withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample).drop("r"), "cluster-sample")
-    a, b = pick.select(*by_, F.col("aggregate_id").alias("ia"), F.col("cards").alias("ca")), pick.select(*by_, F.col("aggregate_id").alias("ib"), F.col("cards").alias("cb"))
-    far = a.join(b, by_).where("ia < ib").withColumn("d", 1 - jaccard("ca", "cb"))
-    seeds = top_n(far, by_, [F.desc("d"), "ia", "ib"], 1)
-    centroids = saved(seeds.select(*by_, F.col("ca").alias("c0"), F.col("cb").alias("c1")), "cluster-seeds")
+    half = lambda x: pick.select(*by_, *[F.col(c).alias(f"{c}_{x}") for c in ("aggregate_id", "bits", "size")])
+    far = half("a").join(half("b"), by_).where("aggregate_id_a < aggregate_id_b").withColumn("d", 1 - _near("bits_a", "size_a", "bits_b", "size_b"))
+    seeds = top_n(far, by_, [F.desc("d"), "aggregate_id_a", "aggregate_id_b"], 1)
+    centroids = saved(seeds.select(*by_, F.col("bits_a").alias("c0"), F.col("size_a").alias("s0"), F.col("bits_b").alias("c1"), F.col("size_b").alias("s1")), "cluster-seeds")
     dropped(pick)
     past = []
     for k in range(rounds):
-        near = big.join(centroids, by_).withColumn("cluster", F.when(jaccard("cards", "c1") > jaccard("cards", "c0"), 1).otherwise(0))
-        near = saved(near.select(*by_, "aggregate_id", "cards", "cluster"), f"cluster-{k}")
+        near = big.join(small(centroids), by_).withColumn("cluster", F.when(_near("bits", "size", "c1", "s1") > _near("bits", "size", "c0", "s0"), 1).otherwise(0))
+        near = saved(near.select(*by_, "aggregate_id", "ids", "cluster"), f"cluster-{k}")
         dropped(*past)
         n = near.groupBy(*by_, "cluster").agg(F.count("*").alias("n"))
-        half = near.select(*by_, "cluster", F.explode("cards").alias("card")).groupBy(*by_, "cluster", "card").agg(F.count("*").alias("m")).join(n, [*by_, "cluster"]).where(F.col("m") * 2 >= F.col("n"))
-        new = half.groupBy(*by_).agg(F.sort_array(F.collect_list(F.when(F.col("cluster") == 0, F.col("card")))).alias("n0"), F.sort_array(F.collect_list(F.when(F.col("cluster") == 1, F.col("card")))).alias("n1"))
-        seen = n.groupBy(*by_).agg(F.max(F.col("cluster") == 0).alias("s0"), F.max(F.col("cluster") == 1).alias("s1"))
-        empty = F.array().cast("array<string>")
-        step = centroids.join(new, by_, "left").join(seen, by_, "left")
+        held = near.select(*by_, "cluster", F.explode("ids").alias("id")).groupBy(*by_, "cluster", "id").agg(F.count("*").alias("m"))
+        often = held.join(n, [*by_, "cluster"]).where(F.col("m") * 2 >= F.col("n"))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("id") % 64)
+        words = often.groupBy(*by_, "cluster", F.floor(F.col("id") / 64).alias("w")).agg(F.bit_or(bit).alias("word"), F.count("*").alias("cards"))
+        maps = words.groupBy(*by_, "cluster").agg(F.map_from_entries(F.collect_list(F.struct("w", "word"))).alias("m"), F.max("w").alias("top"), F.sum("cards").cast("int").alias("s"))
+        bits = F.transform(F.sequence(F.lit(0).cast("long"), "top"), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")))
+        new = n.join(maps, [*by_, "cluster"], "left").select(*by_, "cluster", F.coalesce(bits, F.array().cast("array<bigint>")).alias("b"), F.coalesce("s", F.lit(0)).alias("s"))
+        both = new.groupBy(*by_).agg(*[F.max_by(c, F.when(F.col("cluster") == i, 1)).alias(f"{c}{i}_new") for c in ("b", "s") for i in (0, 1)])
+        # a cluster that has lost all its decks keeps its centroid
+        step = centroids.join(both, by_, "left").select(*by_, *[F.coalesce(f"{c}{i}_new", f"{o}{i}").alias(f"{o}{i}") for c, o in (("b", "c"), ("s", "s")) for i in (0, 1)])
         past = [near, centroids] if k + 1 < rounds else [centroids]
-        centroids = saved(step.select(*by_, F.when(F.col("s0"), F.coalesce("n0", empty)).otherwise(F.col("c0")).alias("c0"), F.when(F.col("s1"), F.coalesce("n1", empty)).otherwise(F.col("c1")).alias("c1")), f"cluster-centroids-{k}")
-    lists = top_n(near.select(*by_, "cluster", F.explode("cards").alias("card")).groupBy(*by_, "cluster", "card").agg(F.count("*").alias("m")), [*by_, "cluster"], [F.desc("m"), "card"], top)
-    common = lists.groupBy(*by_, "card").agg(F.count("*").alias("k")).groupBy(*by_).agg(F.count(F.when(F.col("k") == 2, 1)).alias("common"))
+        centroids = saved(step, f"cluster-centroids-{k}")
+    # numbers are in the order of names, so ties go to the first by name
+    lists = top_n(held, [*by_, "cluster"], [F.desc("m"), "id"], top)
+    common = lists.groupBy(*by_, "id").agg(F.count("*").alias("k")).groupBy(*by_).agg(F.count(F.when(F.col("k") == 2, 1)).alias("common"))
     split = n.groupBy(*by_).agg(F.sum(F.when(F.col("cluster") == 0, F.col("n")).otherwise(0)).alias("n0"), F.sum(F.when(F.col("cluster") == 1, F.col("n")).otherwise(0)).alias("n1")).join(common, by_)
-    small = F.least("n0", "n1")
-    ok = split.where((small >= min_cluster) & (small / (F.col("n0") + F.col("n1")) >= min_share) & (F.col("common") <= max_common)).select(*by_, F.when(F.col("n0") >= F.col("n1"), 1).otherwise(0).alias("alt"))
-    marked = near.select(*by_, "aggregate_id", "cluster").join(ok, by_).where("cluster = alt").select(*by_, "aggregate_id", F.lit(True).alias("alt"))
+    least = F.least("n0", "n1")
+    ok = split.where((least >= min_cluster) & (least / (F.col("n0") + F.col("n1")) >= min_share) & (F.col("common") <= max_common)).select(*by_, F.when(F.col("n0") >= F.col("n1"), 1).otherwise(0).alias("alt"))
+    marked = near.select(*by_, "aggregate_id", "cluster").join(small(ok), by_).where("cluster = alt").select(*by_, "aggregate_id", F.lit(True).alias("alt"))
     out = base.select(*by_, "aggregate_id").join(marked, [*by_, "aggregate_id"], "left").select(*by_, "aggregate_id", F.coalesce("alt", F.lit(False)).alias("is_alternative"))
     out = saved(out, "cluster-marks")
     dropped(base, near, centroids, *past)
