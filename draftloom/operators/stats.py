@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -74,11 +76,29 @@ def new_decks(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     return once.join(stored.select("aggregate_id"), "aggregate_id", "left_anti")
 
 
-def ingest_audit(incoming: DataFrame, stored: DataFrame, start: Column, end: Column) -> DataFrame:
-    """How many incoming decks were saved, known, repeated, out of the window or without a time."""
+def _outcomes(incoming: DataFrame, stored: DataFrame, start: Column, end: Column) -> DataFrame:
+    """incoming with ``outcome``: saved, existing, repeated, out of window or error."""
     w = Window.partitionBy("aggregate_id").orderBy("trophy_time")
-    known = stored.select("aggregate_id").distinct().withColumn("known", F.lit(True))
+    known = stored.select("aggregate_id").distinct().withColumn("__known", F.lit(True))
     t = F.col("trophy_time")
-    rows = incoming.withColumn("r", F.row_number().over(w)).join(known, "aggregate_id", "left")
-    outcome = F.when(t.isNull(), "error").when(~((t >= start) & (t < end)), "out of window").when(F.col("known"), "existing").when(F.col("r") > 1, "repeated").otherwise("saved")
-    return rows.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("decks"))
+    rows = incoming.withColumn("__r", F.row_number().over(w)).join(known, "aggregate_id", "left")
+    outcome = F.when(t.isNull(), "error").when(~((t >= start) & (t < end)), "out of window").when(F.col("__known"), "existing").when(F.col("__r") > 1, "repeated").otherwise("saved")
+    return rows.withColumn("outcome", outcome).drop("__r", "__known")
+
+
+def ingest_audit(incoming: DataFrame, stored: DataFrame, start: Column, end: Column) -> DataFrame:
+    """How many incoming decks were saved, known, repeated, out of the window or without a time."""
+    return _outcomes(incoming, stored, start, end).groupBy("outcome").agg(F.count("*").alias("decks"))
+
+
+OUTCOMES = ("saved", "existing", "repeated", "out of window", "error")
+
+
+def ingest(incoming: DataFrame, stored: DataFrame, start: Column, end: Column, write: Callable[[DataFrame], None]) -> DataFrame:
+    """A12 of a run: hands the decks to be saved to ``write`` and gives (outcome, decks), counted in that same pass."""
+    spark = incoming.sparkSession
+    seen = Observation()
+    count = lambda k: F.count(F.when(F.col("outcome") == k, 1)).alias(k)
+    rows = _outcomes(incoming, stored, start, end).observe(seen, *map(count, OUTCOMES))
+    write(rows.where("outcome = 'saved'").drop("outcome"))
+    return spark.createDataFrame([(k, n) for k, n in seen.get.items() if n], "outcome string, decks long")

@@ -439,6 +439,14 @@ def a12_ingest_audit(s, d):
     return stats.ingest_audit(*_feed(s, d), F.lit("1996-01-01").cast("timestamp"), F.lit("2001-01-01").cast("timestamp"))
 
 
+@query(f"""WITH u AS (SELECT aggregate_id, trophy_time, 1 AS c FROM fx_decks UNION ALL SELECT aggregate_id, trophy_time, 2 FROM fx_decks WHERE aggregate_id % 9 = 0),
+    t AS (SELECT *, row_number() OVER (PARTITION BY aggregate_id ORDER BY trophy_time) AS r FROM u) SELECT {_AUDIT} AS outcome, count(*) AS decks FROM t GROUP BY 1""")
+def a12_ingest_run(s, d):
+    """The same counts, taken while the new decks are written."""
+    at = f"{shared(s)}/decks"
+    return stats.ingest(*_feed(s, d), F.lit("1996-01-01").cast("timestamp"), F.lit("2001-01-01").cast("timestamp"), lambda df: df.write.parquet(at))
+
+
 # ---- synergy ----
 
 @query("SELECT set_code, format, card_name, count(*) AS decks FROM fx_items GROUP BY 1, 2, 3")

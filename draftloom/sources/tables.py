@@ -42,22 +42,39 @@ def dropped(*tables: DataFrame) -> None:
         remove(t.sparkSession, t._saved_at)
 
 
+_ROWS = "array<variant>"
+
+
+def _feeds(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """(context..., file, ok, rows): each file's JSON, parsed once, and its list of rows; the names of the context columns."""
+    text = spark.read.text(path, wholetext=True).select("*", F.col("_metadata.file_path").alias("file"))
+    context = [c for c in text.columns if c not in ("value", "file")]
+    parsed = text.select(*context, "file", "value", F.try_parse_json("value").alias("v"))
+    fields = F.try_variant_get("v", "$", "map<string,variant>")
+    as_list = lambda v: F.try_variant_get(v, "$", _ROWS)
+    # only an object without results is asked for its keys in the order of the file
+    ordered = F.filter(F.json_object_keys("value"), lambda k: as_list(F.try_element_at(fields, k)).isNotNull())
+    rows = F.coalesce(as_list(F.col("v")), as_list(F.try_element_at(fields, F.lit("results"))), as_list(F.try_element_at(fields, F.get(ordered, F.lit(0)))))
+    return parsed.select(*context, "file", F.col("v").isNotNull().alias("ok"), rows.alias("rows")), context
+
+
 def read_ratings(spark: SparkSession, path: str, row: str = schemas.CARD_RATING) -> DataFrame:
     """Rows of feed files laid out as set_code=/format=/filter_context=/run_date=.
 
     A file is a list of rows, an object with ``results``, or an object whose first
-    list value holds the rows.
+    list value holds the rows.  A field that is missing or of another type is null.
+    Files that hold no rows in any of these ways are listed by rejected_feeds.
     """
-    text = spark.read.text(path, wholetext=True)
-    wide = f"array<struct<{','.join(c.strip().replace(' ', ':', 1) for c in row.split(','))}>>"
-    as_map = F.from_json("value", "map<string,string>")
-    keys = F.map_keys(as_map)
-    lists = F.filter(keys, lambda k: F.startswith(F.trim(F.try_element_at(as_map, k)), F.lit("[")))
-    named = F.try_element_at(as_map, F.lit("results"))
-    body = F.when(F.startswith(F.trim("value"), F.lit("[")), F.col("value")).otherwise(F.coalesce(named, F.try_element_at(as_map, F.get(lists, 0))))
-    context = [c for c in text.columns if c != "value"]
-    parsed = text.select(*context, F.from_json(body, wide).alias("rows"))
-    return parsed.select(*context, F.posexplode("rows").alias("ingest_seq", "r")).select(*context, "ingest_seq", "r.*")
+    feeds, context = _feeds(spark, path)
+    each = feeds.select(*context, F.posexplode("rows").alias("ingest_seq", "r"))
+    fields = [c.strip().split(" ", 1) for c in row.split(",")]
+    return each.select(*context, "ingest_seq", *[F.try_variant_get("r", f"$.{name}", kind).alias(name) for name, kind in fields])
+
+
+def rejected_feeds(spark: SparkSession, path: str) -> DataFrame:
+    """(context..., file, reason): files that are no JSON, or hold no list of rows."""
+    feeds, context = _feeds(spark, path)
+    return feeds.where("rows is null").select(*context, "file", F.when(F.col("ok"), "no list of rows").otherwise("no JSON").alias("reason"))
 
 
 def read_table(spark: SparkSession, root: str, name: str, set_code: str | None = None, fmt: str | None = None, columns: Iterable[str] | None = None) -> DataFrame:

@@ -94,6 +94,17 @@ def test_read_ratings_variants(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(f"S{i}", "F", "A", 5) for i in range(3)]
 
 
+def test_bad_feeds_are_reported(spark, tmp_path):
+    files = {"A": "[{\"name\": \"x\", \"game_count\": \"many\"}, 7]", "B": "[1, 2", "C": "{\"n\": 1}", "D": "", "E": "{\"zz\": [{\"name\": \"z\"}], \"aa\": [{\"name\": \"a\"}]}", "F": "[]", "G": "{\"results\": 3, \"it's\": [{\"name\": \"q\", \"ever_drawn_win_rate\": 55}]}"}
+    for k, body in files.items():
+        (tmp_path / f"set_code={k}").mkdir()
+        (tmp_path / f"set_code={k}" / "x.json").write_text(body)
+    got = sorted((r.set_code, r.name, r.game_count, r.ever_drawn_win_rate) for r in tables.read_ratings(spark, str(tmp_path)).collect() if r.name)
+    assert got == [("A", "x", None, None), ("E", "z", None, None), ("G", "q", None, 55.0)]
+    bad = {r.set_code: r.reason for r in tables.rejected_feeds(spark, str(tmp_path)).collect()}
+    assert bad.pop("D", "no JSON") == "no JSON" and bad == {"B": "no JSON", "C": "no list of rows"}
+
+
 def test_history_rerun_and_length(spark):
     log = spark.createDataFrame([("k", d, float(d)) for d in range(20)], "k string, run_date int, r double")
     (row,) = snapshots.history_from_log(log, ["k"], "r").collect()
