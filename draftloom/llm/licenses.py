@@ -5,14 +5,16 @@ positions that it has in the templates, a fixed table.  A copy of a template
 puts its hits on one diagonal (text position minus template position); inserted
 or missing words shift the rest to a neighbouring one.  Hits are aggregated by
 diagonal, neighbouring diagonals are merged, and a merged span counts if enough
-of the template's k-grams vote for it, each once.  Then the span is verified:
-its words and the template's are aligned, and enough of the template's words
+of the template's k-grams vote for it, each once.  Only then are words fetched: the
+span's words and the template's are aligned, and enough of the template's words
 must stand in it in their order.  A phrase is a template whose k-grams must all
 vote on a single diagonal.
 """
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,8 +24,73 @@ from . import scratch
 #: Fixed phrases and their labels.
 PHRASES: tuple[tuple[str, str], ...] = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Notices as they stand in public license texts.
-TEMPLATES: tuple[tuple[str, str], ...] = (
+_AS_IS = (
+    "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular "
+    "purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or "
+    "otherwise, arising from, out of or in connection with the software or the use or other dealings in the software."
+)
+_BSD_2 = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_3 = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_END = (
+    "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and "
+    "fitness for a particular purpose are disclaimed. In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages "
+    "(including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, "
+    "strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage."
+)
+#: Whole licenses, and the notices that others ask for, as they are published (fixed values).
+TEXTS: tuple[tuple[str, str], ...] = (
+    (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished "
+        "to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _AS_IS, "mit",
+    ),
+    (_BSD_2 + _BSD_END, "bsd-2"),
+    (_BSD_2 + _BSD_3 + _BSD_END, "bsd-3"),
+    (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in "
+        "all copies. The software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. In no event shall the "
+        "author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other "
+        "tortious action, arising out of or in connection with the use or performance of this software.", "isc",
+    ),
+    (
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to "
+        "anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not "
+        "be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not "
+        "required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.", "zlib",
+    ),
+    (
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an as is basis, without warranties or "
+        "conditions of any kind, either express or implied. See the License for the specific language governing permissions and limitations under the License.", "apache",
+    ),
+    (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.", "mpl",
+    ),
+    (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, "
+        "or (at your option) any later version. This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a "
+        "particular purpose. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.", "gpl",
+    ),
+    (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a "
+        "compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright "
+        "interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt "
+        "act of relinquishment in perpetuity of all present and future rights to this software under copyright law. " + _AS_IS, "unlicense",
+    ),
+)
+
+
+def plain_words(text: str) -> str:
+    """The words of a template, as texts are cut into words, with a space between."""
+    return " ".join(w.lower() for w in re.findall("[A-Za-z0-9]+", text))
+
+
+#: Short notices, and the whole texts; by words.
+NOTICES: tuple[tuple[str, str], ...] = (
     ("released under the mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
     ("licensed under the apache license version 2 0", "apache"),
@@ -38,6 +105,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
 )
+TEMPLATES = (*NOTICES, *((plain_words(t), label) for t, label in TEXTS))
 
 
 def words_of(text: Column) -> Column:
@@ -65,71 +133,83 @@ def _grams(rows: DataFrame, sizes: tuple[int, ...], *keep: str) -> DataFrame:
 _TEMPLATE = "template int, label string, phrase boolean, text string"
 
 
-def template_table(spark: SparkSession, phrases: tuple = PHRASES, templates: tuple = TEMPLATES, k: int = 3) -> DataFrame:
-    """(template, label, phrase, words, grams, th, k, seed, tpos): a row per k-gram of each template; th: its words' hashes."""
+def template_tables(spark: SparkSession, phrases: tuple = PHRASES, templates: tuple = TEMPLATES, k: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(template, label, phrase, words, grams, th), a row per template with the hashes of its words, and (template, k, seed, tpos), a row per k-gram."""
     rows = [(i, label, i < len(phrases), text) for i, (text, label) in enumerate((*phrases, *templates))]
     t = spark.createDataFrame(rows, _TEMPLATE).withColumn("h", word_hashes(F.col("text"))).withColumn("words", F.size("h")).withColumn("own", F.least(F.lit(k), F.col("words")))
     sizes = tuple(sorted({min(k, len(r[3].split())) for r in rows}))
-    grams = _grams(t, sizes, "template", "label", "phrase", "words", "own").where("k = own")
-    return grams.select("template", "label", "phrase", "words", (F.col("words") - F.col("own") + 1).alias("grams"), F.col("h").alias("th"), "k", "seed", F.col("pos").alias("tpos"))
+    grams = _grams(t, sizes, "template", "own").where("k = own")
+    return t.select("template", "label", "phrase", "words", (F.col("words") - F.col("own") + 1).alias("grams"), F.col("h").alias("th")), grams.select("template", "k", "seed", F.col("pos").alias("tpos"))
 
 
 def in_order(a: list[int], b: list[int]) -> int:
-    """How many words of a stand in b in their order (longest common subsequence)."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        last = 0
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+    """How many words of a stand in b in their order (longest common subsequence).
+
+    A bit a word of a: those that are still set after all of b are the words left
+    over, so a word of b costs a few operations on one number of len(a) bits.
+    """
+    where: dict[int, int] = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    every = (1 << len(a)) - 1
+    left = every
+    for y in b:
+        own = left & where.get(y, 0)
+        left = (left + own | left - own) & every
+    return len(a) - left.bit_count()
 
 
 def scan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: tuple = PHRASES, templates: tuple = TEMPLATES,
-    k: int = 3, drift: int = 3, share: float = 0.6,
+    k: int = 3, drift: int = 3, share: float = 0.6, votes: float = 0.3, long: int = 30, broadcast_spans: int = 100_000,
 ) -> tuple[DataFrame, DataFrame]:
     """(texts, spans): texts has (k1, k2, doc_id, n_words), a row per row of docs, and spans one per place found in
     a text: (k1, k2, template, label, phrase, first, last, coverage), words counted from 0.  (k1, k2) is the text's hash.
 
     drift: diagonals this far apart, at most, may belong to one copy.
-    share: part of a template's k-grams that must vote for a span, and part of its
-    words that must stand in it in order; coverage is the latter.
-    The templates are few and fixed, whatever the corpus; their table is broadcast.
+    share: part of a template's words that must stand in a span in order (coverage),
+    and of its k-grams that must vote for it; of templates of ``long`` words and
+    more, whose k-grams are rarely met elsewhere, ``votes`` of them.
+    The templates are few and fixed, whatever the corpus: their k-grams and their words
+    are broadcast, each by itself.  The words of a text are fetched for voted spans only,
+    which are broadcast up to broadcast_spans of them, beyond that joined by shuffle.
     """
     spark = docs.sparkSession
-    table = scratch.table(template_table(spark, phrases, templates, k), "license-templates")
-    sizes = tuple(r[0] for r in table.select("k").distinct().orderBy("k").collect())
+    heads, grams = (scratch.table(t, "license-templates") for t in template_tables(spark, phrases, templates, k))
+    about = F.broadcast(heads.drop("th"))
+    sizes = tuple(r[0] for r in grams.select("k").distinct().orderBy("k").collect())
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keys = [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(2), text).alias("k2")]
-    # hits take the words around their diagonal along, for the verification
-    hits = _grams(docs.select(*keys, word_hashes(text).alias("h")), sizes, "k1", "k2").join(F.broadcast(table), ["k", "seed"])
-    lo = F.greatest(F.col("pos") - F.col("tpos") - F.col("words"), F.lit(0))
-    hits = hits.select(
-        "k1", "k2", "template", "label", "phrase", "grams", "words", "th", "pos", "tpos", (F.col("pos") - F.col("tpos")).alias("diag"), lo.alias("near_at"),
-        F.when(~F.col("phrase"), F.slice("h", lo + 1, 3 * F.col("words"))).alias("near"))
-    diag = hits.groupBy("k1", "k2", "template", "label", "phrase", "grams", "words", "th", "diag", "near_at").agg(
-        F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_set("tpos").alias("votes"), F.first("near").alias("near"))
+    found = _grams(docs.select(*keys, word_hashes(text).alias("h")), sizes, "k1", "k2").join(F.broadcast(grams), ["k", "seed"])
+    hits = found.select("k1", "k2", "template", "pos", "tpos", (F.col("pos") - F.col("tpos")).alias("diag"))
+    diag = hits.groupBy("k1", "k2", "template", "diag").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.collect_set("tpos").alias("votes"))
     texts = docs.select(*keys, F.col(id_col).cast("long").alias("doc_id"), F.size(words_of(text)).cast("long").alias("n_words"))
-    diag = scratch.table(diag, "license-diagonals")
+    diag = scratch.table(diag, "license-diagonals").join(about, "template")
     whole = diag.where(F.col("phrase") & (F.size("votes") == F.col("grams"))).select(
         "k1", "k2", "template", "label", "phrase", F.col("diag").cast("long").alias("first"), (F.col("diag") + F.col("words") - 1).cast("long").alias("last"), F.lit(1.0).alias("coverage"))
-    # one copy's pieces follow each other closely in the text
-    order = Window.partitionBy("k1", "k2", "template").orderBy("lo", "diag")
-    cut = (F.abs(F.col("diag") - F.lag("diag").over(order)) > drift) | (F.col("lo") - F.lag("hi").over(order) > F.col("words"))
-    parts = diag.where("not phrase").withColumn("new", F.coalesce(cut.cast("int"), F.lit(1))).withColumn("piece", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = parts.groupBy("k1", "k2", "template", "label", "phrase", "piece", "grams", "words", "th").agg(
-        F.min("lo").alias("first"), (F.max("hi") + k - 1).alias("last"), F.size(F.array_distinct(F.flatten(F.collect_list("votes")))).alias("votes"),
-        F.min_by(F.struct("near_at", "near"), "lo").alias("n"))
-    voted = merged.where(F.col("votes") >= F.col("grams") * share)
+    # a copy's diagonals differ by little from one to the next, and its pieces follow each other closely in the text
+    copy = Window.partitionBy("k1", "k2", "template")
+    parts = diag.where("not phrase").withColumn("new", (F.col("diag") - F.lag("diag").over(copy.orderBy("diag")) > drift).cast("int"))
+    parts = parts.withColumn("band", F.coalesce(F.sum("new").over(copy.orderBy("diag")), F.lit(0)))
+    band = Window.partitionBy("k1", "k2", "template", "band").orderBy("lo", "diag")
+    gap = (F.col("lo") - F.lag("hi").over(band) > F.col("words")).cast("int")
+    parts = parts.withColumn("gap", gap).withColumn("piece", F.coalesce(F.sum("gap").over(band.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    merged = parts.groupBy("k1", "k2", "template", "band", "piece", "grams", "words").agg(
+        F.min("lo").alias("first"), (F.max("hi") + k - 1).alias("last"), F.size(F.array_distinct(F.flatten(F.collect_list("votes")))).alias("votes"))
+    need = F.when(F.col("words") >= long, F.lit(votes)).otherwise(F.lit(share))
+    voted = scratch.table(merged.where(F.col("votes") >= F.col("grams") * need).select("k1", "k2", "template", "first", "last"), "license-voted")
 
     @F.pandas_udf("double")
     def verified(template: pd.Series, span: pd.Series) -> pd.Series:
-        return pd.Series([in_order(list(a), list(b)) / len(a) for a, b in zip(template, span)])
-
-    span = F.slice("n.near", F.col("first") - F.col("n.near_at") + 1, F.least(F.col("last") - F.col("first") + 1, 2 * F.col("words")))
-    checked = voted.withColumn("coverage", verified("th", span)).where(F.col("coverage") >= share)
-    long = checked.select("k1", "k2", "template", "label", "phrase", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "coverage")
-    return texts, whole.unionByName(long)
+        return pd.Series([in_order(a.tolist(), b.tolist()) / len(a) for a, b in zip(template, span)])
+
+    listed = voted.groupBy("k1", "k2").agg(F.collect_list(F.struct("template", "first", "last")).alias("l"))
+    rows = docs.select(*keys, text.alias("t")).join(F.broadcast(listed) if voted.count() <= broadcast_spans else listed, ["k1", "k2"])
+    spans = rows.select("k1", "k2", "l", word_hashes(F.col("t")).alias("h")).select("k1", "k2", "h", F.inline("l")).join(F.broadcast(heads), "template")
+    span = F.slice("h", F.col("first") + 1, F.least(F.col("last") - F.col("first") + 1, 2 * F.col("words")))
+    checked = spans.select("k1", "k2", "template", "label", "phrase", "first", "last", "th", span.alias("span")).withColumn("coverage", verified("th", "span")).where(F.col("coverage") >= share)
+    sure = checked.select("k1", "k2", "template", "label", "phrase", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"), "coverage").distinct()
+    return texts, whole.unionByName(sure)
 
 
 def license_labels(docs: DataFrame, broadcast_texts: int = 200_000, **options) -> DataFrame:
