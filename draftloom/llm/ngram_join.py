@@ -1,8 +1,9 @@
 """N-gram Jaccard join with PartEnum signatures.
 
 Documents whose sets of word 5-grams have Jaccard similarity >= threshold are
-linked; links are closed to components.  Nothing is approximate: a pair over the
-threshold always shares a signature, and every reported link is verified.
+linked; links are closed to components.  Nothing is sampled or capped: a pair over the
+threshold always shares a signature, and every reported link is verified on the whole
+sets.  Shingles are compared by 52 bits of their hash; it is exact but for collisions.
 
 Signatures.  Let t be the threshold.  Sets A, B of sizes a <= b can only link if
 a >= t*b, and then differ in at most D = floor((1-t)/(1+t) * (a+b)) features.
@@ -139,7 +140,7 @@ def signatures(
     return np.concatenate(out_s), np.concatenate(out_d), np.concatenate(info)
 
 
-def _emit(k: int, percent: int, buckets: int, most: int = 1 << 19):
+def _emit(k: int, percent: int, buckets: int, most: int = 1 << 18):
     """Signatures packed by bucket (see blobs), about ``most`` at a time; notes: size << 32 | instance << 24 | signatures needed; rows: set sizes."""
     scheme = Scheme(percent)
     none = np.empty(0, np.int64)

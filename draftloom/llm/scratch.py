@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Spark then drops the shuffle files of a plan at the end of its run.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of a batch of rows that a Python task gets; a single row may be longer.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 _local: list[str] = []
@@ -34,16 +36,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 @contextmanager
 def freed_shuffles(spark: SparkSession):
-    """What runs inside leaves no shuffle files behind: its result is written, so no later plan reads them."""
-    old = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+    """What runs inside leaves no shuffle files behind: its result is written, so no later plan reads them.  Its Python tasks get small batches."""
+    ours = {_CLEANUP: "true", _BATCH: str(BATCH_BYTES)}
+    old = {k: spark.conf.get(k, None) for k in ours}
+    for k, v in ours.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if old is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, old)
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
