@@ -123,8 +123,8 @@ def _mentions(articles: DataFrame, dictionary: DataFrame, text: str, max_edges:
     root = trie.where("level = 1").select(F.col("token").alias("first"), F.col("next").alias("state"), F.col("name").alias("n1"), F.col("official").alias("o1"))
 
     # texts in blocks of tokens, each with the tokens around it, so that a place carries no more than its block
-    rows = articles.select("id", _tokens(F.col(text)).alias("t")).where("size(t) > 0")
-    every = F.sequence(F.lit(0), F.floor((F.size("t") - 1) / _BLOCK).cast("int"))
+    rows = articles.select("id", _tokens(F.col(text)).alias("t"))
+    every = F.sequence(F.lit(0), F.greatest(F.floor((F.size("t") - 1) / _BLOCK).cast("int"), F.lit(0)))
     sizes = F.transform(every, lambda b: F.length(F.array_join(F.slice("t", b * _BLOCK + 1, F.lit(_BLOCK)), "")))
     rows = rows.select("id", "t", F.aggregate(sizes, F.array(F.lit(0)), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n))).alias("before"))
     block = lambda b: F.struct(b.alias("b"), F.get("before", b).alias("chars"), F.get("t", b * _BLOCK - 1).alias("prev"), F.slice("t", b * _BLOCK + 1, F.lit(_BLOCK + levels)).alias("own"))
@@ -139,15 +139,15 @@ def _mentions(articles: DataFrame, dictionary: DataFrame, text: str, max_edges:
         found = with_window(places.join(root, "first"), "state", "n1", "o1")
     else:
         found = with_window(places, "first").join(root, "first").drop("first")
-    # a name that begins (or ends) in another character than a word's does so at an edge only beside a word
-    found = found.where(F.get("w", F.lit(0)).rlike(_WORD) | F.col("after_word"))
-    ended = lambda k: F.get("w", F.lit(k - 1)).rlike(_WORD) | F.coalesce(F.get("w", F.lit(k)).rlike(_WORD), F.lit(False))
-    found = found.select("id", "at", "start", "w", "state", *[F.when(ended(1), F.col(c)).alias(n) for c, n in (("n1", "name"), ("o1", "official"))]).withColumn("tokens", F.lit(1))
+    # a name that begins (or ends) in another character than a word's does so at an edge only beside a word; said of
+    # names, not of places: as a filter on these it would be taken ahead of the join, to every token
+    edges_of = lambda k: (F.get("w", F.lit(0)).rlike(_WORD) | F.col("after_word")) & (F.get("w", F.lit(k - 1)).rlike(_WORD) | F.coalesce(F.get("w", F.lit(k)).rlike(_WORD), F.lit(False)))
+    found = found.select("id", "at", "start", "w", "after_word", "state", *[F.when(F.col("n1").isNotNull() & edges_of(1), F.col(c)).alias(n) for c, n in (("n1", "name"), ("o1", "official"))], F.lit(1).alias("tokens"))
     for k in range(2, levels + 1):
         step = trie.select(F.col("state").alias("s"), F.col("token").alias("x"), F.col("next").alias("to"), F.col("name").alias("n"), F.col("official").alias("o"))
         found = found.join(step, (found["state"] == step["s"]) & (F.get("w", F.lit(k - 1)) == step["x"]), "left")
-        better = F.col("n").isNotNull() & ended(k)
-        found = found.select("id", "at", "start", "w", F.col("to").alias("state"), F.when(better, F.col("n")).otherwise(F.col("name")).alias("name"), F.when(better, F.col("o")).otherwise(F.col("official")).alias("official"), F.when(better, F.lit(k)).otherwise(F.col("tokens")).alias("tokens"))
+        better = F.col("n").isNotNull() & edges_of(k)
+        found = found.select("id", "at", "start", "w", "after_word", F.col("to").alias("state"), F.when(better, F.col("n")).otherwise(F.col("name")).alias("name"), F.when(better, F.col("o")).otherwise(F.col("official")).alias("official"), F.when(better, F.lit(k)).otherwise(F.col("tokens")).alias("tokens"))
         found = found.where("state is not null or name is not null")
     hits = found.where("name is not null").select("id", "start", F.length("name").alias("length"), "name", "official", "at", "tokens")
     return _left_to_right(hits)
