@@ -25,22 +25,22 @@ def jaccard(a: Column | str, b: Column | str) -> Column:
     return F.when(u == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / u)
 
 
-def _coded(decks: DataFrame, by: list[str], broadcast_rows: int) -> DataFrame:
+def _coded(decks: DataFrame, by: list[str], broadcast_groups: int) -> DataFrame:
     """(by..., aggregate_id, ids, bits, size): each deck's cards, basic lands left out, by number within their group.
 
     Cards are numbered in the order of their names; ids lists the numbers and bits
     holds them as a bitmap of 64-bit words.
     """
-    cards = decks.select(*by, "aggregate_id", F.filter(F.map_keys("cardlist"), lambda c: ~c.rlike(_BASIC_WORDS)).alias("cards"))
-    rows = cards.select(*by, "aggregate_id", F.explode_outer("cards").alias("card"))
-    numbers = rows.where("card is not null").select(*by, "card").distinct().withColumn("id", F.row_number().over(Window.partitionBy(*by).orderBy("card")) - 1)
-    numbers = saved(numbers, "cluster-cards")
-    side = F.broadcast(numbers) if numbers.count() <= broadcast_rows else numbers
-    coded = rows.join(side, [*by, "card"], "left").groupBy(*by, "aggregate_id").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    raw = saved(decks.select(*by, "aggregate_id", F.filter(F.map_keys("cardlist"), lambda c: ~c.rlike(_BASIC_WORDS)).alias("cards")), "cluster-raw")
+    # the cards of a group are those of the game, however many decks it has
+    names = saved(raw.select(*by, F.explode("cards").alias("card")).groupBy(*by).agg(F.array_sort(F.collect_set("card")).alias("names")), "cluster-cards")
+    side = F.broadcast(names) if names.count() <= broadcast_groups else names
+    ids = F.array_sort(F.transform("cards", lambda c: (F.array_position("names", c) - 1).cast("int")))
+    coded = raw.join(side, by, "left").select(*by, "aggregate_id", F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
     words = F.sequence(F.lit(0), F.coalesce(F.floor(F.array_max("ids") / 64), F.lit(0)).cast("int"))
     word = lambda w: F.aggregate(F.filter("ids", lambda i: F.floor(i / 64) == w), F.lit(0).cast("long"), lambda s, i: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i % 64)))
     out = saved(coded.select(*by, "aggregate_id", "ids", F.transform(words, word).alias("bits"), F.size("ids").alias("size")), "cluster-decks")
-    dropped(numbers)
+    dropped(raw, names)
     return out
 
 
@@ -53,7 +53,7 @@ def _near(bits: str, size: str, other: str, other_size: str) -> Column:
 
 def cluster_decks(
     decks: DataFrame, by: tuple[str, ...] = ("set_code", "format", "archetype"), min_decks: int = 40, sample: int = 50, rounds: int = 3,
-    min_cluster: int = 20, min_share: float = 0.15, max_common: int = 9, top: int = 15, broadcast_rows: int = 200_000,
+    min_cluster: int = 20, min_share: float = 0.15, max_common: int = 9, top: int = 15, broadcast_groups: int = 20_000,
 ) -> DataFrame:
     """M2: (by..., aggregate_id, is_alternative): two clusters per group where they differ enough.
 
@@ -61,17 +61,16 @@ def cluster_decks(
     per group (the ``sample`` smallest by MD5 of the id; ties to the smaller ids);
     then each round assigns decks to the nearer centroid and takes as centroid the
     cards of at least half of a cluster's decks.  Decks and centroids are bitmaps.
-    There are two centroids a group: up to broadcast_rows groups they are broadcast, so
+    There are two centroids a group: up to broadcast_groups groups they are broadcast, so
     decks are never dealt out by their group, of which there are few; what a round
-    counts is combined before it is shuffled.  Each round's tables are written, which
-    cuts the lineage, and removed once the next one is.
+    counts is combined before it is shuffled.  Each round's counts and centroids, a few
+    rows a card, are written, which cuts the lineage, and removed after the next.
     """
     by_ = list(by)
-    base = _coded(decks, by_, broadcast_rows)
-    sizes = base.groupBy(*by_).agg(F.count("*").alias("n")).where(F.col("n") >= min_decks)
-    groups = sizes.count()
-    small = (lambda df: F.broadcast(df)) if groups <= broadcast_rows else (lambda df: df)
-    big = base.join(small(sizes.select(*by_)), by_, "left_semi")
+    base = _coded(decks, by_, broadcast_groups)
+    sizes = saved(base.groupBy(*by_).agg(F.count("*").alias("n")).where(F.col("n") >= min_decks).select(*by_), "cluster-groups")
+    small = F.broadcast if sizes.count() <= broadcast_groups else (lambda df: df)
+    big = base.join(small(sizes), by_, "left_semi")
     w = Window.partitionBy(*by_).orderBy(F.md5(F.col("aggregate_id").cast("string")), "aggregate_id")
     pick = saved(big.withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample).drop("r"), "cluster-sample")
     half = lambda x: pick.select(*by_, *[F.col(c).alias(f"{c}_{x}") for c in ("aggregate_id", "bits", "size")])
@@ -79,13 +78,14 @@ def cluster_decks(
     seeds = top_n(far, by_, [F.desc("d"), "aggregate_id_a", "aggregate_id_b"], 1)
     centroids = saved(seeds.select(*by_, F.col("bits_a").alias("c0"), F.col("size_a").alias("s0"), F.col("bits_b").alias("c1"), F.col("size_b").alias("s1")), "cluster-seeds")
     dropped(pick)
-    past = []
     for k in range(rounds):
         near = big.join(small(centroids), by_).withColumn("cluster", F.when(_near("bits", "size", "c1", "s1") > _near("bits", "size", "c0", "s0"), 1).otherwise(0))
-        near = saved(near.select(*by_, "aggregate_id", "ids", "cluster"), f"cluster-{k}")
-        dropped(*past)
-        n = near.groupBy(*by_, "cluster").agg(F.count("*").alias("n"))
-        held = near.select(*by_, "cluster", F.explode("ids").alias("id")).groupBy(*by_, "cluster", "id").agg(F.count("*").alias("m"))
+        # decks and cards of each cluster are counted in one pass; -1 stands for the deck itself
+        counted = saved(near.select(*by_, "cluster", F.explode(F.concat(F.array(F.lit(-1)), "ids")).alias("id")).groupBy(*by_, "cluster", "id").agg(F.count("*").alias("m")), f"cluster-{k}")
+        n = counted.where("id < 0").select(*by_, "cluster", F.col("m").alias("n"))
+        held = counted.where("id >= 0")
+        if k + 1 == rounds:
+            break
         often = held.join(n, [*by_, "cluster"]).where(F.col("m") * 2 >= F.col("n"))
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("id") % 64)
         words = often.groupBy(*by_, "cluster", F.floor(F.col("id") / 64).alias("w")).agg(F.bit_or(bit).alias("word"), F.count("*").alias("cards"))
@@ -95,8 +95,9 @@ def cluster_decks(
         both = new.groupBy(*by_).agg(*[F.max_by(c, F.when(F.col("cluster") == i, 1)).alias(f"{c}{i}_new") for c in ("b", "s") for i in (0, 1)])
         # a cluster that has lost all its decks keeps its centroid
         step = centroids.join(both, by_, "left").select(*by_, *[F.coalesce(f"{c}{i}_new", f"{o}{i}").alias(f"{o}{i}") for c, o in (("b", "c"), ("s", "s")) for i in (0, 1)])
-        past = [near, centroids] if k + 1 < rounds else [centroids]
-        centroids = saved(step, f"cluster-centroids-{k}")
+        step = saved(step, f"cluster-centroids-{k}")
+        dropped(counted, centroids)
+        centroids = step
     # numbers are in the order of names, so ties go to the first by name
     lists = top_n(held, [*by_, "cluster"], [F.desc("m"), "id"], top)
     common = lists.groupBy(*by_, "id").agg(F.count("*").alias("k")).groupBy(*by_).agg(F.count(F.when(F.col("k") == 2, 1)).alias("common"))
@@ -106,7 +107,7 @@ def cluster_decks(
     marked = near.select(*by_, "aggregate_id", "cluster").join(small(ok), by_).where("cluster = alt").select(*by_, "aggregate_id", F.lit(True).alias("alt"))
     out = base.select(*by_, "aggregate_id").join(marked, [*by_, "aggregate_id"], "left").select(*by_, "aggregate_id", F.coalesce("alt", F.lit(False)).alias("is_alternative"))
     out = saved(out, "cluster-marks")
-    dropped(base, near, centroids, *past)
+    dropped(base, sizes, counted, centroids)
     return out
 
 
