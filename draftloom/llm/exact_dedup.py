@@ -3,8 +3,9 @@
 The index is a Spark table with one row per distinct text (32-byte SHA-256) and
 the id of the row that stays.  New data is reduced to one row per digest (combined
 map-side), sort-merge anti-joined with the index on the digest and appended.
-The index is bucketed and sorted by the digest, so its side of the join is
-neither shuffled nor sorted again.  A single table is fed to its index in
+The index is bucketed by the digest, so its side of the join is not shuffled; each
+append adds a sorted file to a bucket, and the join sorts a bucket of several
+files once more.  A single table is fed to its index in
 batches of falling ids, so the first row of a text that comes is the one to stay.
 """
 
