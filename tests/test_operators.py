@@ -1,5 +1,6 @@
 """Hand-made tables: boundaries, ties, empty inputs and rules that SQL cannot restate."""
 
+import math
 import random
 import re
 
@@ -333,6 +334,16 @@ def test_a_skeleton_run_leaves_its_result_only(spark, tmp_path, monkeypatch):
     assert [p.name.split("-")[-1] for p in tmp_path.iterdir()] == ["skeletons"]
 
 
+def test_the_order_of_a_sum_decides_neither_ranks_nor_halves(spark):
+    """Two equal cards, one of which lost a last bit of its mean in summing."""
+    key = "set_code string, format string, archetype string, is_alternative boolean"
+    scores = spark.createDataFrame([("S", "F", "W", False, "b", 0.5, 1.0625), ("S", "F", "W", False, "a", 0.5, math.nextafter(1.0625, 0))], f"{key}, card_name string, freq double, syn double")
+    meta = spark.createDataFrame([("S", "F", n, "Creature", 55.0, 4.0) for n in "ab"], "set_code string, format string, card_name string, card_type string, gih_wr double, alsa double")
+    got = skeletons.importance_cards(scores, meta).orderBy("rank").collect()
+    assert [(r.card_name, r.synergy_score) for r in got] == [("a", 21.3), ("b", 21.3)]
+    assert col(spark, [0.25, math.nextafter(0.25, 0), 0.249, 0.0, None], "double", lambda x: C.half_up(x, 1)) == [0.3, 0.3, 0.2, 0.0, None]
+
+
 @pytest.mark.parametrize("max_edges", [500_000, 0])
 def test_mentions_match_one_pattern(spark, max_edges):
     """Any dictionary against the rule of one alternation, longest name first, on texts of many blocks."""
