@@ -6,6 +6,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from draftloom import queries as Q
 from draftloom.plans import fixtures as fx
@@ -48,3 +49,15 @@ def test_matches_sql(spark, duck, sf_dir, name):
 def test_names_are_registered():
     assert set(Q.SQL) <= set(Q.QUERIES)
     assert len(Q.QUERIES) >= 100
+
+
+@pytest.mark.parametrize("name", ["a26_deck_stacks", "a26_deck_summary", "s7_deck_text", "a8_card_occurrence", "a28_dictionary_coverage", "j12_part_mentions"])
+def test_many_lines_are_dealt_out_by_their_number(spark, duck, sf_dir, monkeypatch, name):
+    """Beyond the session's four shuffle partitions a task's share of the lines stays the same, and so does the result."""
+    monkeypatch.setattr(fx, "_LINES", 500)
+    df = Q.QUERIES[name](spark, sf_dir)
+    want = duck.sql(Q.SQL[name])
+    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(want.columns, want.fetchall())
+    items = fx.frame(spark, sf_dir, "fx_items")
+    shares = [r["count"] for r in items.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) > 4 and max(shares) <= 2 * 500
