@@ -344,6 +344,38 @@ def test_the_order_of_a_sum_decides_neither_ranks_nor_halves(spark):
     assert col(spark, [0.25, math.nextafter(0.25, 0), 0.249, 0.0, None], "double", lambda x: C.half_up(x, 1)) == [0.3, 0.3, 0.2, 0.0, None]
 
 
+@pytest.fixture
+def unasked(spark):
+    """No join is broadcast that does not ask for it."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.unset(key)
+
+
+def _plan(df, capsys):
+    capsys.readouterr()
+    df.explain()
+    return capsys.readouterr().out.splitlines()
+
+
+def test_copies_are_summed_before_they_meet_the_cards(spark, unasked, capsys):
+    meta = spark.createDataFrame([("S", "F", f"a{i}", 2.0, "Creature") for i in range(3)], "set_code string, format string, card_name string, card_cmc double, card_type string")
+    for df in (skeletons.weighted_frequency, skeletons.deck_profile):
+        plan = _plan(df(_decks(spark, [{"a0": 40, "a1": 1}, {"a1": 40, "x": 2}]), meta, F.lit("2024-01-02").cast("timestamp")), capsys)
+        for i in (i for i, line in enumerate(plan) if "Generate explode(cardlist" in line):
+            assert "Aggregate" in next(line for line in reversed(plan[:i]) if "Aggregate" in line or "Exchange" in line)
+
+
+def test_decks_are_not_dealt_out_by_their_few_groups(spark, unasked, capsys, monkeypatch):
+    decks = _decks(spark, [{f"a{i}": 1 for i in range(k % 7 + 1)} for k in range(45)])
+    assert any("BroadcastHashJoin [set_code" in line for line in _plan(synergy.synergy_scores(decks), capsys))
+    plans = {}
+    monkeypatch.setattr(skeletons, "saved", lambda df, name: plans.setdefault(name, _plan(df, capsys)) and tables.saved(df, name))
+    assert skeletons.cluster_decks(decks).count() == 45
+    assert not any("Exchange hashpartitioning" in line and "aggregate_id" in line for line in plans["cluster-marks"])
+
+
 @pytest.mark.parametrize("max_edges", [500_000, 0])
 def test_mentions_match_one_pattern(spark, max_edges):
     """Any dictionary against the rule of one alternation, longest name first, on texts of many blocks."""
