@@ -376,6 +376,27 @@ def test_decks_are_not_dealt_out_by_their_few_groups(spark, unasked, capsys, mon
     assert not any("Exchange hashpartitioning" in line and "aggregate_id" in line for line in plans["cluster-marks"])
 
 
+def test_decks_of_the_same_cards_are_counted_once_for_all_rounds(spark, monkeypatch):
+    """And the columns kept go with the decks, so that nothing looks them up by the id."""
+    sizes = {}
+    monkeypatch.setattr(skeletons, "saved", lambda df, name: (sizes.setdefault(name, df.count()), tables.saved(df, name))[1])
+    one, two = {f"a{i}": 1 for i in range(12)}, {f"b{i}": 2 for i in range(12)}
+    marked, used = skeletons.marked_decks(_decks(spark, [one] * 35 + [two] * 25), keep=("cardlist",))
+    got = {(r.is_alternative, min(r.cardlist)) for r in marked.collect()}
+    assert got == {(False, "a0"), (True, "b0")} and marked.count() == 60
+    assert sizes["cluster-sets"] == 2
+    tables.dropped(*used)
+
+
+def test_tally_of_decks_and_cards(spark):
+    decks = _decks(spark, [{"a": 40, "b": 1}, {"a": 2}, {}])
+    got = {r.card_name: (r.decks, r.recent, r.full, r.copies / r.weight, r.full_copies) for r in skeletons.tally(decks, F.lit("2024-01-02").cast("timestamp")).collect()}
+    w = {r.card_name: r.weight for r in skeletons.tally(decks.limit(1), F.lit("2024-01-02").cast("timestamp")).collect()}
+    assert {k: v[0] for k, v in got.items()} == {None: 3, "a": 2, "b": 1}
+    assert {k: v[2] for k, v in got.items()} == {None: 1, "a": 1, "b": 1}
+    assert got["a"][3] == 21 and got["a"][4] == 40 * w["a"]
+
+
 @pytest.mark.parametrize("max_edges", [500_000, 0])
 def test_mentions_match_one_pattern(spark, max_edges):
     """Any dictionary against the rule of one alternation, longest name first, on texts of many blocks."""

@@ -61,3 +61,26 @@ def test_many_lines_are_dealt_out_by_their_number(spark, duck, sf_dir, monkeypat
     items = fx.frame(spark, sf_dir, "fx_items")
     shares = [r["count"] for r in items.groupBy(F.spark_partition_id()).count().collect()]
     assert len(shares) > 4 and max(shares) <= 2 * 500
+
+
+def test_skeletons_read_the_lines_once(spark, sf_dir, monkeypatch):
+    asked, real = [], fx.frame
+    monkeypatch.setattr(fx, "frame", lambda s, d, name: asked.append(name) or real(s, d, name))
+    assert Q.QUERIES["a26_skeleton_stacks"](spark, sf_dir).count()
+    assert asked.count("lineitem") == 1
+
+
+def test_skeletons_of_orders_without_customers_or_lines(spark, sf_dir, tmp_path):
+    """Cards that only orders without a customer have are in the list of cards, but in no deck."""
+    c, d = duckdb.connect(), str(tmp_path)
+    kept = {"customer": "c_custkey % 3 <> 0", "lineitem": "l_orderkey % 5 <> 0"}
+    for t in fx.BASE:
+        c.sql(f"COPY (SELECT * FROM '{sf_dir}/{t}.parquet' WHERE {kept.get(t, 'true')}) TO '{d}/{t}.parquet' (FORMAT parquet)")
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    same = lambda df: rows(df.columns, [tuple(r) for r in df.collect()])
+    orders = fx.orders_with_cards(spark, d)
+    assert orders.where("not has_player").count() and orders.where("size(cardlist) = 0").count()
+    assert same(fx.meta_of(orders)) == same(fx.meta(spark, d))
+    for name in ("a8_card_occurrence", "a26_skeleton_stacks"):
+        want = c.sql(Q.SQL[name])
+        assert same(Q.QUERIES[name](spark, d)) == rows(want.columns, want.fetchall())
