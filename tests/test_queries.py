@@ -70,6 +70,28 @@ def test_skeletons_read_the_lines_once(spark, sf_dir, monkeypatch):
     assert asked.count("lineitem") == 1
 
 
+def test_skeletons_read_the_orders_once(spark, sf_dir, monkeypatch):
+    asked, real = [], fx.frame
+    monkeypatch.setattr(fx, "frame", lambda s, d, name: asked.append(name) or real(s, d, name))
+    assert Q.QUERIES["a26_skeleton_summary"](spark, sf_dir).count()
+    assert asked.count("orders") == asked.count("customer") == 1
+
+
+def test_orders_without_customers_are_no_decks(spark, sf_dir, tmp_path):
+    """An order whose customer is missing or null comes once, with its cards, and is no deck."""
+    c, d = duckdb.connect(), str(tmp_path)
+    changed = {"orders": "SELECT * REPLACE (CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey END AS o_custkey)", "customer": "SELECT * REPLACE (CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_custkey END AS c_custkey)"}
+    for t in fx.BASE:
+        c.sql(f"COPY ({changed.get(t, 'SELECT *')} FROM '{sf_dir}/{t}.parquet') TO '{d}/{t}.parquet' (FORMAT parquet)")
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    orders = fx.orders_with_cards(spark, d)
+    assert orders.count() == orders.select("aggregate_id").distinct().count() == len(c.sql("SELECT o_orderkey FROM orders").fetchall())
+    decks = fx.decks_of(orders).drop("cardlist")
+    want = c.sql(fx.with_ctes("SELECT * FROM fx_decks"))
+    assert rows(decks.columns, [tuple(r) for r in decks.collect()]) == rows(want.columns, want.fetchall())
+    assert orders.where("not has_player and size(cardlist) > 0").count()
+
+
 def test_skeletons_of_orders_without_customers_or_lines(spark, sf_dir, tmp_path):
     """Cards that only orders without a customer have are in the list of cards, but in no deck."""
     c, d = duckdb.connect(), str(tmp_path)
