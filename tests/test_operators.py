@@ -1,5 +1,6 @@
 """Hand-made tables: boundaries, ties, empty inputs and rules that SQL cannot restate."""
 
+import hashlib
 import math
 import random
 import re
@@ -461,3 +462,27 @@ def test_containment_matches_all_pairs(spark):
     got = cards.match_names_normalized(spark.createDataFrame([(x,) for x in queries], "query string"), spark.createDataFrame([(x,) for x in names], "name string"))
     rows = got.collect()
     assert {x.query: x.name for x in rows} == want and len(rows) == len(want) > 100
+
+
+def test_sample_of_a_cluster_sorts_few_decks_and_is_the_smallest_by_digest(spark, monkeypatch):
+    """Of 6,000 decks those with leading zeros alone are ranked; groups too small for that rank all of theirs."""
+    names = [f"Card {i:02d}" for i in range(40)]
+    cards = F.map_from_entries(F.transform(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: (F.hash("id", k) % 20 + 20).cast("int"))), lambda i: F.struct(F.get(F.array(*map(F.lit, names)), i), F.lit(1))))
+    group = F.when(F.col("id") < 6000, "A").when(F.col("id") < 6100, "B").otherwise("C")
+    decks = tables.saved(spark.range(6145).select(F.lit("S").alias("set_code"), F.lit("F").alias("format"), group.alias("archetype"), F.col("id").alias("aggregate_id"), cards.alias("cardlist")), "decks")
+    kept, real = {}, skeletons.saved
+
+    def saving(df, name):
+        out = real(df, name)
+        if name == "cluster-sample":
+            kept["picked"] = {(r["archetype"], r["aggregate_id"]) for r in out.collect()}
+        if name == "cluster-groups":
+            kept["zeros"] = {r["archetype"]: r["zeros"] for r in out.collect()}
+        return out
+
+    monkeypatch.setattr(skeletons, "saved", saving)
+    skeletons.cluster_decks(decks)
+    by_digest = lambda ids: sorted(ids, key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[:50]
+    want = {(g, i) for g, ids in (("A", range(6000)), ("B", range(6000, 6100)), ("C", range(6100, 6145))) for i in by_digest(ids)}
+    assert kept["picked"] == want
+    assert kept["zeros"] == {"A": 1, "B": 0, "C": 0}
